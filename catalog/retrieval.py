@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.base import query, view
 from foliant.functions.plugins import overlap_score
-from foliant.functions.text import STOPWORDS, line_pieces, tokens
-from foliant.operators import ranking, sparse, vectors
+from foliant.functions.text import STOPWORDS, tokens
+from foliant.operators import documents, ranking, sparse, vectors
 from foliant.plans.ordered import top_n
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -40,14 +40,9 @@ view(
 
 
 def _blocks(t):
-
-    return t.documents.select("doc_id", F.posexplode(line_pieces(F.col("text"))).alias("n", "p")).select(
-        "doc_id",
-        F.col("n").cast("bigint").alias("block_no"),
-        F.col("p.piece").alias("text"),
-        F.col("p.start").alias("start"),
-        (F.col("p.start") + F.length("p.piece")).alias("end"),
-        (F.col("n") + 1).cast("bigint").alias("line"),
+    units = t.documents.select(F.col("doc_id").alias("document_id"), "text")
+    return documents.split_blocks(units).withColumnsRenamed(
+        {"document_id": "doc_id", "reading_order": "block_no"}
     )
 
 

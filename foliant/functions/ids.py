@@ -45,10 +45,9 @@ def json_object(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *items), F.lit("}"))
 
 
-def stable_id(*parts: Column) -> Column:
-    """Name-based (version 5) UUID of the compact JSON array of the parts."""
-    name = F.encode(json_array(*[json_string(p) for p in parts]), "UTF-8")
-    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), name))
+def name_uuid(name: Column) -> Column:
+    """Name-based (version 5) UUID in the URL namespace."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(name, "UTF-8")))
     variant = F.substring(
         F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1)
     )
@@ -58,6 +57,11 @@ def stable_id(*parts: Column) -> Column:
     )
 
 
+def stable_id(*parts: Column) -> Column:
+    """UUID of the compact JSON array of the parts."""
+    return name_uuid(json_array(*[json_string(p) for p in parts]))
+
+
 def fingerprint(canonical: Column) -> Column:
     """SHA-256 of canonical JSON text."""
     return F.sha2(canonical, 256)
