@@ -32,6 +32,25 @@ def _unique(df: DataFrame, keys: Sequence[str]) -> list[str]:
     return [*keys, BLOCK]
 
 
+def _running(df, keys, block, order, values, fold, merge, inclusive) -> DataFrame:
+    base = df.withColumn(BLOCK, block)
+    part = _unique(df, keys)
+    local = (
+        Window.partitionBy(*part)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    )
+    totals = base.groupBy(*part).agg(*[fold(v).alias(f"__t_{n}") for n, v in values.items()])
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(
+        *part, *[fold(f"__t_{n}").over(before).alias(f"__c_{n}") for n in values]
+    )
+    return _join_on(base, carry, part).select(
+        *df.columns,
+        *[merge(fold(v).over(local), F.col(f"__c_{n}")).alias(n) for n, v in values.items()],
+    )
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,30 +64,61 @@ def running_sums(
 
     ``block`` must not decrease along ``order``.
     """
-    base = df.withColumn(BLOCK, block)
-    part = _unique(df, keys)
-    local = (
-        Window.partitionBy(*part)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    zero = F.lit(0)
+    return _running(
+        df, keys, block, order, sums, F.sum,
+        lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), inclusive,
     )
-    totals = base.groupBy(*part).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
-    before = (
-        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_max(
+    df: DataFrame,
+    keys: Sequence[str],
+    block: Column,
+    order: Sequence[Column],
+    values: Mapping[str, Column],
+    *,
+    inclusive: bool = True,
+) -> DataFrame:
+    """Prefix maxima per key, in order; NULL where no row counts yet."""
+    return _running(df, keys, block, order, values, F.max, F.greatest, inclusive)
+
+
+def sliding_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    identity: str,
+    width: int,
+    sums: Mapping[str, Column],
+) -> DataFrame:
+    """Sums over the earlier rows with ``time > t - width``, the current row left out.
+
+    Equal times are ordered by ``identity``. Each row is also shown to the next time block,
+    so a window never needs rows of another task and a hot key is cut along time.
+    """
+    flagged = df.withColumn(BLOCK, F.floor(F.col(time) / width)).withColumn(
+        "__own", F.explode(F.array(F.lit(0), F.lit(1)))
     )
-    carry = totals.select(
-        *part, *[F.sum(f"__t_{n}").over(before).alias(f"__c_{n}") for n in sums]
+    both = flagged.withColumn(BLOCK, F.col(BLOCK) + F.col("__own"))
+    part = _unique(df, keys)
+    seen = Window.partitionBy(*part).orderBy(time).rangeBetween(-(width - 1), 0)
+    later = (
+        Window.partitionBy(*part, time).orderBy(identity).rowsBetween(0, Window.unboundedFollowing)
     )
-    joined = _join_on(base, carry, part)
     zero = F.lit(0)
-    out = joined.select(
-        *df.columns,
-        *[
-            (F.coalesce(F.sum(v).over(local), zero) + F.coalesce(F.col(f"__c_{n}"), zero)).alias(n)
-            for n, v in sums.items()
-        ],
+    return (
+        both.select(
+            *df.columns,
+            "__own",
+            *[
+                (F.coalesce(F.sum(v).over(seen), zero) - F.coalesce(F.sum(v).over(later), zero)).alias(n)
+                for n, v in sums.items()
+            ],
+        )
+        .where("__own = 0")
+        .drop("__own")
     )
-    return out
 
 
 def carry_forward(
