@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.plans.ordered import running_sums, sliding_sums
+from foliant.plans.ordered import Scan, ordered_scan, running_sums, sliding_sums
 
 MONEY = "decimal(38,12)"
 DAY = 86_400_000_000
@@ -127,44 +127,40 @@ def budget_remaining(reservations: DataFrame, limits: DataFrame, keys: list[str]
     )
 
 
-def _period_before(rows: DataFrame, keys: list[str], period: Column, amount: Column, name: str) -> DataFrame:
-    """Earlier spend of the same period plus unsettled spend of all earlier time.
-
-    Settled rows count inside the period only; unsettled rows count for ever, once.
-    """
-    block = F.floor(F.col("created") / DAY)
-    order = [F.col("created"), F.col("ticket")]
-    tagged = rows.withColumn("__p", period)
-    inside = running_sums(
-        tagged, [*keys, "__p"], block, order,
-        {"__in": F.when(~_released() & ~unsettled(), amount)}, inclusive=False,
-    )
-    ever = running_sums(
-        inside, keys, block, order, {"__ever": F.when(unsettled(), amount)}, inclusive=False
-    )
-    return ever.withColumn(name, F.col("__in") + F.col("__ever")).drop("__in", "__ever", "__p")
-
-
 def budget_admission(reservations: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
-    """Would each recorded reservation pass, given the earlier ones of its owner or tenant?
+    """Amounts used before each recorded reservation, per owner or per tenant, with the limits.
 
-    Adds the used amounts before the row and ``denied``; call once per level and combine with
-    ``bool_or``. ``limits`` as in :func:`budget_remaining` plus ``concurrent``.
+    Settled rows count inside their UTC day or month, unsettled rows count for ever and once.
+    Days are the blocks, so all amounts come from one ordered pass. Combine the levels with OR.
     """
-    day, month = day_start(F.col("created")), month_start(F.col("created"))
-    rows = _period_before(reservations, keys, day, used_tokens(), "day_used")
-    rows = _period_before(rows, keys, month, used_tokens(), "month_used")
-    rows = _period_before(rows, keys, month, used_cost(), "month_cost")
-    block, order = F.floor(F.col("created") / DAY), [F.col("created"), F.col("ticket")]
-    rows = running_sums(
-        rows, keys, block, order,
-        {"held": F.when(unsettled(), F.col("input") + F.col("output"))}, inclusive=False,
-    )
+    settled = F.col("state") == "SETTLED"
     live = F.col("state").isin("RESERVED", "ADMITTING", "STARTED")
-    rows = running_sums(
-        rows, [*keys, "workload"], block, order, {"active": F.when(live, 1)}, inclusive=False
-    )
-    return rows.join(limits, keys, "left")
+    day, month = day_start(F.col("created")), month_start(F.col("created"))
+
+    def before(amount: Column, within: Column | None = None) -> Scan:
+        return Scan("sum", amount, inclusive=False, within=within)
+
+    inside = {
+        "__day": before(F.when(settled, used_tokens()), day),
+        "__month": before(F.when(settled, used_tokens()), month),
+        "__cost": before(F.when(settled, used_cost()), month),
+        "held": before(F.when(unsettled(), F.col("input") + F.col("output"))),
+        "__held_cost": before(F.when(unsettled(), F.col("cost"))),
+        "__interactive": before(F.when(live & (F.col("workload") == "INTERACTIVE"), 1)),
+        "__background": before(F.when(live & (F.col("workload") != "INTERACTIVE"), 1)),
+    }
+    order = [F.col("created"), F.col("ticket")]
+    rows = ordered_scan(reservations, keys, F.floor(F.col("created") / DAY), order, inside)
+    return rows.select(
+        *reservations.columns,
+        "held",
+        (F.col("__day") + F.col("held")).alias("day_used"),
+        (F.col("__month") + F.col("held")).alias("month_used"),
+        (F.col("__cost") + F.col("__held_cost")).alias("month_cost"),
+        F.when(F.col("workload") == "INTERACTIVE", F.col("__interactive"))
+        .otherwise(F.col("__background"))
+        .alias("active"),
+    ).join(limits, keys, "left")
 
 
 def window_requests(reservations: DataFrame, keys: list[str], window_us: int) -> DataFrame:
@@ -191,11 +187,12 @@ def concurrent_before(calls: DataFrame, keys: list[str], block_us: int, names: d
     ``calls``: ``call_id, started, finished`` (NULL: never). An end frees its place before a
     start at the same moment; ``names`` maps an output to the condition it counts.
     """
+    lasting = F.col("finished").isNull() | (F.col("finished") > F.col("started"))
     marks = calls.select(
         *keys, "call_id", F.col("started").alias("at"), F.lit(1).alias("kind"),
-        *[F.when(c, 1).otherwise(0).alias(n) for n, c in names.items()],
+        *[F.when(c & lasting, 1).otherwise(0).alias(n) for n, c in names.items()],
     ).unionByName(
-        calls.where(F.col("finished").isNotNull()).select(
+        calls.where(F.col("finished") > F.col("started")).select(
             *keys, "call_id", F.col("finished").alias("at"), F.lit(0).alias("kind"),
             *[F.when(c, -1).otherwise(0).alias(n) for n, c in names.items()],
         )
@@ -262,14 +259,15 @@ def capacity_forecast(history: DataFrame, plan: DataFrame, limits: DataFrame, ke
         plan.select("*", F.lit(True).alias("planned"))
     )
     block, order = F.floor(F.col("at") / DAY), [F.col("at"), F.col("call_id")]
-    day = running_sums(
-        rows.withColumn("__d", day_start(F.col("at"))), [*keys, "__d"], block, order,
-        {"day_tokens": F.col("tokens")},
-    ).drop("__d")
-    month = running_sums(
-        day.withColumn("__m", month_start(F.col("at"))), [*keys, "__m"], block, order,
-        {"month_tokens": F.col("tokens"), "month_cost": F.col("cost")},
-    ).drop("__m")
+    months = month_start(F.col("at"))
+    month = ordered_scan(
+        rows, keys, block, order,
+        {
+            "day_tokens": Scan("sum", F.col("tokens"), within=day_start(F.col("at"))),
+            "month_tokens": Scan("sum", F.col("tokens"), within=months),
+            "month_cost": Scan("sum", F.col("cost"), within=months),
+        },
+    )
     joined = month.where("planned").join(limits, keys)
     broken = (
         (F.col("day_tokens") > F.col("daily_tokens"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.plans.fixpoint import reach
-from foliant.plans.ordered import next_row, previous_row, running_max, running_sums
+from foliant.plans.ordered import Scan, ordered_scan, previous_row
 from foliant.plans.session import cut_lineage
 
 # Job and step states.
@@ -126,14 +126,34 @@ def generation_numbers(jobs: DataFrame, block: Column) -> DataFrame:
     """Generation per (scope, version) and an execution time that never repeats.
 
     The time is the admission time, or one microsecond after the last one if the clock has
-    not moved: the running maximum of ``created - n``, plus ``n``.
+    not moved: the running maximum of ``created - n``, plus ``n``. ``n`` is the place inside
+    the block plus the size of the earlier blocks, so one pass over blocks gives both.
     """
-    keys, order = ["scope", "version_id"], [F.col("created_at"), F.col("job_id")]
-    numbered = running_sums(jobs, keys, block, order, {"generation": F.lit(1)})
-    late = running_max(
-        numbered, keys, block, order, {"ahead": F.col("created_at") - F.col("generation")}
+    keys = ["scope", "version_id"]
+    part = [*keys, "__b"]
+    order = [F.col("created_at"), F.col("job_id")]
+    local = Window.partitionBy(*part).orderBy(*order)
+    rows = jobs.withColumn("__b", block).withColumn("__n", F.row_number().over(local))
+    ahead = F.col("created_at") - F.col("__n")
+    totals = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("size"), F.max(ahead).alias("most"))
+    across = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sized = totals.withColumn("base", F.coalesce(F.sum("size").over(across), F.lit(0)))
+    carry = sized.select(
+        *part, "base", F.max(F.col("most") - F.col("base")).over(across).alias("earlier")
+    )
+    return (
+        rows.withColumn("__most", F.max(ahead).over(local))
+        .join(carry, part)
+        .select(
+            *jobs.columns,
+            (F.col("base") + F.col("__n")).alias("generation"),
+            (
+                F.greatest(F.col("__most") - F.col("base"), F.col("earlier"))
+                + F.col("base")
+                + F.col("__n")
+            ).alias("execution_at"),
+        )
     )
-    return late.withColumn("execution_at", F.col("ahead") + F.col("generation")).drop("ahead")
 
 
 def plan_validity(steps: DataFrame, deps: DataFrame) -> DataFrame:
@@ -198,8 +218,10 @@ def lease_expiry(attempts: DataFrame, block: Column, order: list[Column], *, lea
     ``attempts``: ``step_id, started_at, finished_at`` (NULL while open). Adds the attempt
     number, the fence and the outcome.
     """
-    numbered = running_sums(attempts, ["step_id"], block, order, {"attempt": F.lit(1)})
-    near = next_row(numbered, ["step_id"], block, order, {"next_start": F.col("started_at")})
+    near = ordered_scan(
+        attempts, ["step_id"], block, order,
+        {"attempt": Scan("sum", F.lit(1)), "next_start": Scan("next", F.col("started_at"))},
+    )
     expires = F.col("started_at") + lease
     in_time = F.col("finished_at").isNotNull() & (F.col("finished_at") <= expires)
     return near.select(

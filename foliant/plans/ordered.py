@@ -8,6 +8,7 @@ block across blocks. The rows of a hot key are spread over as many tasks as it h
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,91 @@ from pyspark.sql import functions as F
 BLOCK = "__block"
 
 
+@dataclass(frozen=True)
+class Scan:
+    """One ordered output: ``sum``, ``max``, ``last`` (non-NULL), ``prev`` or ``next``.
+
+    ``within`` limits what is carried into a block to earlier blocks with the same value; it
+    must be constant inside a block.
+    """
+
+    kind: str
+    value: Column
+    inclusive: bool = True
+    within: Column | None = None
+
+
+def ordered_scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    block: Column,
+    order: Sequence[Column],
+    outputs: Mapping[str, Scan],
+) -> DataFrame:
+    """All ordered outputs in one pass: one aggregate per block and one join.
+
+    ``block`` must not decrease along ``order``. Asking for several outputs at once reads the
+    input twice in total, whereas chained calls would double it each time.
+    """
+    base = df.withColumn(BLOCK, block)
+    part = [*keys, BLOCK]
+    position = F.struct(*order)
+    totals = base.groupBy(*part).agg(
+        *[_block_total(s, position).alias(f"__t_{n}") for n, s in outputs.items()],
+        *[F.min(s.within).alias(f"__w_{n}") for n, s in outputs.items() if s.within is not None],
+    )
+    carry = totals.select(*part, *[_carried(n, s, keys).alias(f"__c_{n}") for n, s in outputs.items()])
+    joined = _join_on(base, carry, part)
+    local = Window.partitionBy(*part).orderBy(*order)
+    near = {n: s for n, s in outputs.items() if s.kind in ("prev", "next")}
+    for n, s in near.items():
+        step = F.lag if s.kind == "prev" else F.lead
+        joined = joined.withColumn(f"__n_{n}", step(F.struct(s.value.alias("v"))).over(local))
+    return joined.select(
+        *df.columns, *[_merged(n, s, local).alias(n) for n, s in outputs.items()]
+    )
+
+
+def _block_total(s: Scan, position: Column) -> Column:
+    if s.kind == "sum":
+        return F.sum(s.value)
+    if s.kind == "max":
+        return F.max(s.value)
+    if s.kind == "last":
+        return F.max_by(s.value, F.when(s.value.isNotNull(), position))
+    pick = F.max_by if s.kind == "prev" else F.min_by
+    return pick(F.struct(s.value.alias("v")), position)
+
+
+def _carried(n: str, s: Scan, keys: Sequence[str]) -> Column:
+    scope = [*keys, f"__w_{n}"] if s.within is not None else list(keys)
+    across = Window.partitionBy(*scope).orderBy(BLOCK)
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col(f"__t_{n}")
+    if s.kind == "sum":
+        return F.sum(total).over(before)
+    if s.kind == "max":
+        return F.max(total).over(before)
+    if s.kind == "last":
+        return F.last(total, ignorenulls=True).over(before)
+    return (F.lag if s.kind == "prev" else F.lead)(total).over(across)
+
+
+def _merged(n: str, s: Scan, local) -> Column:
+    carry = F.col(f"__c_{n}")
+    rows = local.rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if s.inclusive else -1
+    )
+    if s.kind == "sum":
+        zero = F.lit(0)
+        return F.coalesce(F.sum(s.value).over(rows), zero) + F.coalesce(carry, zero)
+    if s.kind == "max":
+        return F.greatest(F.max(s.value).over(rows), carry)
+    if s.kind == "last":
+        return F.coalesce(F.last(s.value, ignorenulls=True).over(rows), carry)
+    return F.coalesce(F.col(f"__n_{n}"), carry)["v"]
+
+
 def _join_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
     """Left join on keys that may be NULL."""
     renamed = right.select(
@@ -28,60 +114,26 @@ def _join_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFra
     return left.join(renamed, cond, "left").drop(*[f"__r_{n}" for n in names])
 
 
-def _unique(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    return [*keys, BLOCK]
-
-
-def _running(df, keys, block, order, values, fold, merge, inclusive) -> DataFrame:
-    base = df.withColumn(BLOCK, block)
-    part = _unique(df, keys)
-    local = (
-        Window.partitionBy(*part)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    )
-    totals = base.groupBy(*part).agg(*[fold(v).alias(f"__t_{n}") for n, v in values.items()])
-    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *part, *[fold(f"__t_{n}").over(before).alias(f"__c_{n}") for n in values]
-    )
-    return _join_on(base, carry, part).select(
-        *df.columns,
-        *[merge(fold(v).over(local), F.col(f"__c_{n}")).alias(n) for n, v in values.items()],
+def running_sums(df, keys, block, order, sums: Mapping[str, Column], *, inclusive=True) -> DataFrame:
+    """Prefix sums per key, in order; ``inclusive=False`` leaves out the current row."""
+    return ordered_scan(
+        df, keys, block, order, {n: Scan("sum", v, inclusive) for n, v in sums.items()}
     )
 
 
-def running_sums(
-    df: DataFrame,
-    keys: Sequence[str],
-    block: Column,
-    order: Sequence[Column],
-    sums: Mapping[str, Column],
-    *,
-    inclusive: bool = True,
-) -> DataFrame:
-    """Prefix sums per key, in order; ``inclusive=False`` leaves out the current row.
+def carry_forward(df, keys, block, order, values: Mapping[str, Column]) -> DataFrame:
+    """Latest non-NULL value at or before each row (as-of fill)."""
+    return ordered_scan(df, keys, block, order, {n: Scan("last", v) for n, v in values.items()})
 
-    ``block`` must not decrease along ``order``.
-    """
-    zero = F.lit(0)
-    return _running(
-        df, keys, block, order, sums, F.sum,
-        lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), inclusive,
-    )
 
+def previous_row(df, keys, block, order, values: Mapping[str, Column]) -> DataFrame:
+    """``lag`` by one row, across block edges."""
+    return ordered_scan(df, keys, block, order, {n: Scan("prev", v) for n, v in values.items()})
 
-def running_max(
-    df: DataFrame,
-    keys: Sequence[str],
-    block: Column,
-    order: Sequence[Column],
-    values: Mapping[str, Column],
-    *,
-    inclusive: bool = True,
-) -> DataFrame:
-    """Prefix maxima per key, in order; NULL where no row counts yet."""
-    return _running(df, keys, block, order, values, F.max, F.greatest, inclusive)
+
+def next_row(df, keys, block, order, values: Mapping[str, Column]) -> DataFrame:
+    """``lead`` by one row, across block edges."""
+    return ordered_scan(df, keys, block, order, {n: Scan("next", v) for n, v in values.items()})
 
 
 def sliding_sums(
@@ -101,7 +153,7 @@ def sliding_sums(
         "__own", F.explode(F.array(F.lit(0), F.lit(1)))
     )
     both = flagged.withColumn(BLOCK, F.col(BLOCK) + F.col("__own"))
-    part = _unique(df, keys)
+    part = [*keys, BLOCK]
     seen = Window.partitionBy(*part).orderBy(time).rangeBetween(-(width - 1), 0)
     later = (
         Window.partitionBy(*part, time).orderBy(identity).rowsBetween(0, Window.unboundedFollowing)
@@ -121,81 +173,6 @@ def sliding_sums(
     )
 
 
-def carry_forward(
-    df: DataFrame,
-    keys: Sequence[str],
-    block: Column,
-    order: Sequence[Column],
-    values: Mapping[str, Column],
-) -> DataFrame:
-    """Latest non-NULL value at or before each row (as-of fill)."""
-    base = df.withColumn(BLOCK, block)
-    part = _unique(df, keys)
-    local = (
-        Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    position = F.struct(*order)
-    tails = base.groupBy(*part).agg(
-        *[
-            F.max_by(v, F.when(v.isNotNull(), position)).alias(f"__t_{n}")
-            for n, v in values.items()
-        ]
-    )
-    before = (
-        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = tails.select(
-        *part,
-        *[F.last(f"__t_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in values],
-    )
-    return _join_on(base, carry, part).select(
-        *df.columns,
-        *[
-            F.coalesce(F.last(v, ignorenulls=True).over(local), F.col(f"__c_{n}")).alias(n)
-            for n, v in values.items()
-        ],
-    )
-
-
-def _neighbour(df, keys, block, order, values, *, forward: bool) -> DataFrame:
-    base = df.withColumn(BLOCK, block)
-    part = _unique(df, keys)
-    local = Window.partitionBy(*part).orderBy(*order)
-    step = F.lead if forward else F.lag
-    pick = F.min_by if forward else F.max_by
-    packed = F.struct(*[v.alias(n) for n, v in values.items()])
-    edges = base.groupBy(*part).agg(pick(packed, F.struct(*order)).alias("__edge"))
-    across = Window.partitionBy(*keys).orderBy(BLOCK)
-    carry = edges.select(*part, step("__edge").over(across).alias("__carry"))
-    joined = _join_on(base, carry, part).withColumn("__near", step(packed).over(local))
-    near = F.coalesce(F.col("__near"), F.col("__carry"))
-    return joined.withColumn("__near", near).select(
-        *df.columns, *[F.col("__near")[n].alias(n) for n in values]
-    )
-
-
-def previous_row(
-    df: DataFrame,
-    keys: Sequence[str],
-    block: Column,
-    order: Sequence[Column],
-    values: Mapping[str, Column],
-) -> DataFrame:
-    """``lag`` by one row, across block edges."""
-    return _neighbour(df, keys, block, order, values, forward=False)
-
-
-def next_row(
-    df: DataFrame,
-    keys: Sequence[str],
-    block: Column,
-    order: Sequence[Column],
-    values: Mapping[str, Column],
-) -> DataFrame:
-    """``lead`` by one row, across block edges."""
-    return _neighbour(df, keys, block, order, values, forward=True)
-
-
 def top_n(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank"
 ) -> DataFrame:
