@@ -300,7 +300,6 @@ def _stream(t, name: str):
 
 
 def _events(t):
-    at = F.to_timestamp_ltz(F.col("ts").cast("string"))
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     return _stream(t, "events").withColumn("ts_us", micros).withColumn(
         "at", F.timestamp_micros("ts_us")
@@ -367,7 +366,10 @@ def route_windows(t):
     return out.withColumn("total", F.round("total", 4))
 
 
-@query("stream_interrupted")
+# Rows leave once the watermark, ten minutes behind the slower side, has passed their lease.
+@query("stream_interrupted", f"""WITH s AS (SELECT user_id, event_id AS start_id, ts_us FROM {{events}} WHERE event_type = 'click'), e AS (SELECT user_id, ts_us FROM {{events}} WHERE event_type = 'purchase')
+SELECT user_id, start_id, ts_us AS started_us FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = s.user_id AND e.ts_us >= s.ts_us AND e.ts_us <= s.ts_us + {6 * HOUR})
+  AND s.ts_us + {6 * HOUR} < least((SELECT max(ts_us) FROM s), (SELECT max(ts_us) FROM e)) - 600000000""")
 def stream_interrupted(t):
     starts = _events(t).where("event_type = 'click'").select(
         "user_id", F.col("event_id").alias("start_id"), F.col("at").alias("started_at")
@@ -380,7 +382,16 @@ def stream_interrupted(t):
 view("admission_requests", "SELECT event_type AS quota, event_id AS call_id, ts_us, k * 10 AS tokens FROM {events}")
 
 
-@query("admission_replay")
+# The state of a quota is the list of its admitted calls, carried row by row.
+ADMISSION = f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY quota ORDER BY ts_us, call_id) AS rn FROM {{admission_requests}}),
+c AS (SELECT quota, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS call_id, CAST(0 AS BIGINT) AS tokens, false AS admitted, CAST([] AS STRUCT(t BIGINT, n BIGINT)[]) AS held FROM r WHERE rn = 1
+  UNION ALL SELECT quota, rn, call_id, tokens, ok, CASE WHEN ok THEN list_append(held, {{'t': ts_us, 'n': tokens}}) ELSE held END FROM (
+    SELECT *, len(held) < 15 AND coalesce(list_sum(list_transform(held, lambda h: h.n)), 0) + tokens <= 8000 AS ok FROM (
+      SELECT r.quota, r.rn, r.call_id, r.tokens, r.ts_us, list_filter(c.held, lambda h: h.t > r.ts_us - {6 * HOUR}) AS held FROM c JOIN r ON r.quota = c.quota AND r.rn = c.rn + 1)))
+SELECT quota, call_id, tokens, admitted FROM c WHERE rn > 0"""
+
+
+@query("admission_replay", ADMISSION)
 def admission_replay(t):
     rows = t.admission_requests.withColumnRenamed("ts_us", "at")
     return st.admission_replay(rows, day("at"), width=HOUR * 6, rpm=15, tpm=8_000).select(
@@ -388,7 +399,7 @@ def admission_replay(t):
     )
 
 
-@query("admission_stream")
+@query("admission_stream", ADMISSION)
 def admission_stream(t):
     rows = _events(t).select(
         F.col("event_type").alias("quota"), F.col("event_id").alias("call_id"),
