@@ -281,4 +281,4 @@ FROM {activations} a LEFT JOIN c ON c.scope = a.scope AND c.pos = a.position""")
 def activation_replay(t):
     return publication.activation_replay(t.activations.select(
         "scope", F.col("position").cast("bigint").alias("position"), F.col("expected").cast("bigint").alias("expected")
-    ), 16)
+    ), 512)

@@ -40,8 +40,8 @@ _MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in ("documents", "pages"):
-        return spread(df, df.columns[0])
+    if name in ("documents", "pages", "lineitem", "orders", "events"):
+        df = spread(df, df.columns[0])
     if name == "events":
         return df.select(
             "event_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SLICE = 256
@@ -17,19 +17,29 @@ def _prefix(values: Column) -> Column:
     )
 
 
-def starts(lengths: Column) -> Column:
-    """Exclusive prefix sums of a BIGINT array, in slices so that long arrays stay cheap."""
-    slices = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(lengths) - 1) / _SLICE)).cast("int")),
-        lambda k: F.slice(lengths, k * _SLICE + 1, F.lit(_SLICE)),
+def with_starts(rows: DataFrame, pieces: str, out: str) -> DataFrame:
+    """Add the offset of each text piece: exclusive prefix sums of the lengths.
+
+    Sums run inside slices of the array and over the slice totals, so a long array costs
+    little more than a short one.
+    """
+    slices = F.sequence(
+        F.lit(0), F.greatest(F.lit(0), F.floor((F.size(pieces) - 1) / _SLICE)).cast("int")
+    )
+
+    def inside(k: Column) -> Column:
+        part = F.slice(pieces, k * _SLICE + 1, F.lit(_SLICE))
+        return _prefix(F.transform(part, lambda x: F.length(x).cast("bigint")))
+
+    local = rows.withColumn("__local", F.transform(slices, inside))
+    based = local.withColumn(
+        "__base", _prefix(F.transform("__local", lambda p: F.element_at(p, -1)))
     )
-    local = F.transform(slices, _prefix)
-    bases = _prefix(F.transform(local, lambda p: F.element_at(p, -1)))
-    return F.flatten(
-        F.transform(
-            F.arrays_zip(local.alias("p"), F.slice(bases, F.lit(1), F.size(local)).alias("b")),
-            lambda z: F.transform(
-                F.slice(z["p"], F.lit(1), F.size(z["p"]) - 1), lambda v: v + z["b"]
-            ),
-        )
+
+    def shifted(p: Column, i: Column) -> Column:
+        cut = F.slice(p, F.lit(1), F.size(p) - 1)
+        return F.transform(cut, lambda v: v + F.element_at("__base", i + 1))
+
+    return based.withColumn(out, F.flatten(F.transform("__local", shifted))).drop(
+        "__local", "__base"
     )

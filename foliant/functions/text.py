@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.arrays import starts
+from foliant.functions.arrays import with_starts
 
 # The words the tokenizer drops.
 STOPWORDS = (
@@ -20,14 +20,18 @@ UNPRINTABLE = r"[[\p{C}\p{Z}]&&[^ \r\n\t]]"
 REPLACEMENT = "�"
 
 
+_WORD = r"[\p{L}\p{N}_]"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased whole ASCII-alphanumeric words without the stopwords.
 
     A word is a maximal run of letters, digits and underscores; runs holding anything but
     ASCII letters and digits give no token.
     """
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(runs, lambda t: t.rlike("^[a-z0-9]+$") & ~t.isin(*STOPWORDS))
+    pattern = rf"(?<!{_WORD})[a-z0-9]++(?!{_WORD})"
+    words = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+    return F.filter(words, lambda t: ~t.isin(*STOPWORDS))
 
 
 def has_text(text: Column) -> Column:
@@ -46,14 +50,25 @@ def replacement_ratio(text: Column) -> Column:
     return F.when(n > 0, bad / n).otherwise(F.lit(0.0))
 
 
-def line_pieces(text: Column) -> Column:
-    """ARRAY<STRUCT<piece, start>>: LF-delimited lines that keep their LF; no empty tail."""
-    lines = F.split(text, "\n", -1)
-    last = F.size(lines) - 1
-    whole = F.transform(lines, lambda x, i: F.when(i < last, F.concat(x, F.lit("\n"))).otherwise(x))
-    kept = F.filter(whole, lambda x: F.length(x) > 0)
-    begin = starts(F.transform(kept, lambda x: F.length(x).cast("bigint")))
-    return F.arrays_zip(kept.alias("piece"), begin.alias("start"))
+def explode_lines(rows: DataFrame, text: str = "text") -> DataFrame:
+    """One row per LF-delimited line, in place of ``text``: ``n`` (0-based), ``piece`` (keeps
+    its LF) and ``start`` (offset). No empty tail.
+
+    Each array is its own projection, because a repeated array expression is evaluated again
+    at every use.
+    """
+    keep = [c for c in rows.columns if c != text]
+    lines = rows.select(*keep, F.split(text, "\n", -1).alias("__l"))
+    last = F.size("__l") - 1
+    whole = F.transform(
+        "__l", lambda x, i: F.when(i < last, F.concat(x, F.lit("\n"))).otherwise(x)
+    )
+    kept = lines.select(*keep, F.filter(whole, lambda x: F.length(x) > 0).alias("__k"))
+    placed = with_starts(kept, "__k", "__s")
+    zipped = F.arrays_zip(F.col("__k").alias("piece"), F.col("__s").alias("start"))
+    return placed.select(*keep, F.posexplode(zipped).alias("n", "p")).select(
+        *keep, "n", "p.piece", "p.start"
+    )
 
 
 def bounded_pieces(text: Column, limit: int) -> Column:

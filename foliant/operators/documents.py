@@ -85,13 +85,12 @@ def split_blocks(units: DataFrame) -> DataFrame:
 
     ``units``: ``document_id, text``. CR stays in the text, an empty tail gives no block.
     """
-    parts = units.select("document_id", F.posexplode(tx.line_pieces(F.col("text"))).alias("n", "p"))
-    return parts.select(
+    return tx.explode_lines(units.select("document_id", "text")).select(
         "document_id",
         F.col("n").cast("bigint").alias("reading_order"),
-        F.col("p.piece").alias("text"),
-        F.col("p.start").alias("start"),
-        (F.col("p.start") + F.length("p.piece")).alias("end"),
+        F.col("piece").alias("text"),
+        "start",
+        (F.col("start") + F.length("piece")).alias("end"),
         (F.col("n") + 1).cast("bigint").alias("line"),
     )
 
@@ -113,15 +112,19 @@ def check_blocks(blocks: DataFrame, units: DataFrame) -> DataFrame:
 
     ``blocks``: ``document_id, block_id, reading_order, start, end, line_start, text``.
     """
+    spans = blocks.select(
+        "document_id", "block_id", "reading_order", "start", "end", "line_start",
+        (F.col("line_start") + tx.count_char(F.col("text"), "\n")).alias("line_after"),
+    )
     near = previous_row(
-        blocks,
+        spans,
         ["document_id"],
         F.floor(F.col("reading_order") / POSITION_BLOCK),
         [F.col("reading_order"), F.col("block_id")],
         {
             "p_end": F.col("end"),
             "p_order": F.col("reading_order"),
-            "p_line": F.col("line_start") + tx.count_char(F.col("text"), "\n"),
+            "p_line": F.col("line_after"),
         },
     )
     first = F.col("p_order").isNull()

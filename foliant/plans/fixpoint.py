@@ -18,6 +18,7 @@ def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], depth: str | None
     """
     cols = [*keys, "node"]
     rounds = 0
+    edges = cut_lineage(edges.select(*keys, "src", "dst"))  # every round reads them
     frontier = cut_lineage(seeds.select(*cols).distinct().withColumn("__d", F.lit(0)))
     found = [frontier]
     while True:
