@@ -1,12 +1,21 @@
 """BM25 over a corpus table ``(source, chunk_id, text)``.
 
 Weights follow the common Okapi form with k1=1.5, b=0.75 and a floor for negative idf of
-0.25 times the mean idf. Corpus constants enter the plan as scalar subqueries; terms are
-counted with map-side combine, so a frequent word costs one row per task.
+0.25 times the mean idf. The corpus is read twice: once to count its vocabulary, with
+map-side combine, and once to score it. A frequent word meets every query in every document,
+so scoring never forms (query, document) rows: each task multiplies its documents with the
+query weights and keeps its best ``k`` per query. Only those rows are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +24,8 @@ from foliant.plans.ordered import top_n
 from foliant.plans.session import cut_lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # fixed values
+WEIGHT_CELLS = 8_000_000  # largest query matrix a task holds, in float64 cells
+_ROW_CELLS = 4_000_000
 DOC = ["source", "chunk_id"]
 
 
@@ -55,25 +66,34 @@ def _raw_idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def corpus_size(tokened: DataFrame) -> DataFrame:
-    return tokened.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+def _raw_idf(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def _vocabulary(tokened: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys + [term, df, words]`` per distinct term. Every document also counts once under
+    the empty term, which gives the corpus size and the word total in the same pass."""
+    terms = F.array_append(F.array_distinct("terms"), F.lit(""))
+    return cut_lineage(
+        tokened.select(*keys, "dl", F.explode(terms).alias("term"))
+        .groupBy(*keys, "term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("words"))
+    )
 
 
 def term_stats(tokened: DataFrame) -> DataFrame:
     """``term, df, n_docs, avgdl, idf`` for the whole vocabulary."""
-    size = corpus_size(tokened)
-    counts = (
-        tokened.select(F.explode(F.array_distinct("terms")).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("raw", _raw_idf(size.select("n_docs").scalar(), F.col("df")))
-    )
-    floor = counts.agg((F.avg("raw") * EPSILON).alias("floor")).scalar()
-    return counts.select(
+    counts = _vocabulary(tokened, [])
+    whole = counts.where("term = ''")
+    n_docs = whole.select("df").scalar()
+    avgdl = whole.select(F.col("words") / F.col("df")).scalar()
+    raw = counts.where("term <> ''").withColumn("raw", _raw_idf(n_docs, F.col("df")))
+    floor = raw.agg((F.avg("raw") * EPSILON).alias("floor")).scalar()
+    return raw.select(
         "term",
         "df",
-        size.select("n_docs").scalar().alias("n_docs"),
-        size.select("avgdl").scalar().alias("avgdl"),
+        n_docs.alias("n_docs"),
+        avgdl.alias("avgdl"),
         F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"),
     )
 
@@ -87,99 +107,205 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def _saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
+def _saturation(tf, dl, avgdl):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every positive (query, document) score; only words some query holds are shuffled."""
+def _cells(wanted: DataFrame) -> int:
+    """Terms times queries of the query matrix: two counts, no rows."""
+    row = wanted.agg(F.countDistinct("term").alias("t"), F.countDistinct("query_id").alias("q")).head()
+    return row["t"] * row["q"]
+
+
+def _share(weights: DataFrame):
+    """The measured-small query side as (query ids, terms, matrix), broadcast."""
+    rows = weights.toPandas()  # at most WEIGHT_CELLS, checked by the caller
+    ids, cols = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+    names, lines = np.unique(rows["term"].to_numpy(dtype=str), return_inverse=True)
+    matrix = np.zeros((len(names), len(ids)))
+    matrix[lines, cols] = rows["w"].to_numpy(dtype=float)
+    return weights.sparkSession.sparkContext.broadcast((ids.tolist(), names.tolist(), matrix))
+
+
+def _task_topk(names: list[str], k: int, shared, postings, carry: list[str] | None = None):
+    """A mapInArrow function: best ``k`` rows per query of the task, equal scores by ``names``
+    (the last one as text); the ``carry`` columns go along.
+
+    ``postings(batch, index_of)`` gives row, term and value arrays of one Arrow batch.
+    """
+
+    columns = [*(carry or []), *names]
+
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        ranked = frame.assign(r=-frame["score"].round(9), t=frame[names[-1]].astype(str))
+        ranked = ranked.sort_values(["query_id", "r", *names[:-1], "t"], kind="stable")
+        return ranked.groupby("query_id", sort=False).head(k).drop(columns=["r", "t"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms, weights = shared.value
+        vocabulary = pa.array(terms, pa.string())
+        query_ids = np.array(ids)
+        step = max(16, _ROW_CELLS // max(1, max(weights.shape)))
+        best = None
+        for batch in batches:
+            if not batch.num_rows or not ids:
+                continue
+            rows, cols, values = postings(batch, vocabulary)
+            keys = {n: batch.column(batch.schema.get_field_index(n)).to_pandas() for n in columns}
+            for lo in range(0, batch.num_rows, step):
+                hi = min(lo + step, batch.num_rows)
+                mine = (rows >= lo) & (rows < hi)
+                block = np.zeros((hi - lo, len(terms)))
+                block[rows[mine] - lo, cols[mine]] = values[mine]
+                score = block @ weights
+                rounded = score.round(9)
+                place = max(0, len(score) - k)
+                floor = np.partition(rounded, place, axis=0)[place]
+                r, q = np.nonzero((rounded >= floor) & (score > 0))
+                found = pd.DataFrame({"query_id": query_ids[q], "score": score[r, q]})
+                for n in columns:
+                    found[n] = keys[n].to_numpy()[lo + r]
+                best = cut(found if best is None else pd.concat([best, found], ignore_index=True))
+        if best is not None and len(best):
+            yield pa.RecordBatch.from_pandas(best[["query_id", *columns, "score"]], preserve_index=False)
+
+    return scan
+
+
+def _flat(column) -> tuple[np.ndarray, pa.Array]:
+    """Row number of every list element, and the elements."""
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(sizes)), sizes), column.flatten()
+
+
+def search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Top ``k`` documents per query; equal scores keep corpus order.
+
+    Scores are compared at nine places, because the order of a distributed sum is not fixed.
+    Query sets over ``WEIGHT_CELLS`` are scored with joins instead.
+    """
+    wanted = query_terms(queries)
+    order = [
+        F.round("score", 9).desc(), F.col("source").asc(), F.col("chunk_id").cast("string").asc()
+    ]
+    if _cells(wanted) > WEIGHT_CELLS:
+        return top_n(joined_scores(corpus, queries), ["query_id"], order, k)
+    tokened = tokenized(corpus)
+    weighted = wanted.join(term_stats(tokened), "term").select(
+        "query_id", "term", (F.col("weight") * F.col("idf")).alias("w"), "avgdl"
+    )
+    weights = cut_lineage(weighted)
+    shared = _share(weights)
+    head = weights.select("avgdl").head()
+    avgdl = float(head["avgdl"]) if head else 1.0
+
+    def postings(batch, vocabulary):
+        column = batch.column(batch.schema.get_field_index("terms"))
+        rows, flat = _flat(column)
+        found = pc.index_in(flat, value_set=vocabulary).to_numpy(zero_copy_only=False)
+        held = ~np.isnan(found) if found.dtype.kind == "f" else np.ones(len(found), bool)
+        size = max(1, len(vocabulary))
+        pairs, tf = np.unique(
+            rows[held] * size + found[held].astype(np.int64), return_counts=True
+        )
+        dl = batch.column(batch.schema.get_field_index("dl")).to_numpy(zero_copy_only=False)
+        at = pairs // size
+        return at, pairs % size, _saturation(tf, dl[at], avgdl)
+
+    types = dict(corpus.select(*DOC).dtypes)
+    schema = f"query_id bigint, source {types['source']}, chunk_id {types['chunk_id']}, score double"
+    local = tokened.mapInArrow(_task_topk(DOC, k, shared, postings), schema)
+    return top_n(local, ["query_id"], order, k)
+
+
+def joined_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every positive (query, document) score, for query sets too large for one matrix."""
     tokened = tokenized(corpus)
     wanted = query_terms(queries)
     weighted = wanted.join(term_stats(tokened), "term")
-    postings = (
+    hits = (
         tokened.select(*DOC, "dl", F.explode("terms").alias("term"))
         .join(wanted.select("term").distinct(), "term", "left_semi")
         .groupBy(*DOC, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    part = _saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
     return (
-        postings.join(weighted, "term")
+        hits.join(weighted, "term")
         .groupBy("query_id", *DOC)
-        .agg(
-            F.sum(
-                F.col("weight")
-                * F.col("idf")
-                * _saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
-            ).alias("score")
-        )
+        .agg(F.sum(F.col("weight") * F.col("idf") * part).alias("score"))
         .where(F.col("score") > 0)
     )
 
 
-def search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Top ``k`` documents per query; equal scores keep corpus order.
-
-    Scores are compared at nine places, because the order of a distributed sum is not fixed.
-    """
-    order = [
-        F.round("score", 9).desc(),
-        F.col("source").asc(),
-        F.col("chunk_id").cast("string").asc(),
-    ]
-    return top_n(scores(corpus, queries), ["query_id"], order, k)
-
-
-def isolated_scores(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """BM25 with the statistics of each document's own records.
-
-    ``records``: ``document_id, record_id, text``. Returns ``query_id, document_id,
-    record_id, score`` for positive scores.
-    """
+def _isolated_parts(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``document_id, record_id, term, part``: idf times saturation with the statistics of
+    each document's own records, for the words some query holds."""
     tokened = records.select(
         "document_id", "record_id", tokens(F.col("text")).alias("terms")
     ).withColumn("dl", F.size("terms"))
-    sizes = tokened.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")
+    counts = _vocabulary(tokened, ["document_id"])
+    sizes = counts.where("term = ''").select(
+        "document_id", F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl")
     )
     raw = (
-        tokened.select("document_id", F.explode(F.array_distinct("terms")).alias("term"))
-        .groupBy("document_id", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
+        counts.where("term <> ''")
         .join(sizes, "document_id")
         .withColumn("raw", _raw_idf(F.col("n"), F.col("df")))
     )
     floors = raw.groupBy("document_id").agg((F.avg("raw") * EPSILON).alias("floor"))
-    wanted = query_terms(queries)
     vocabulary = wanted.select("term").distinct()
     idf = (
         raw.join(vocabulary, "term", "left_semi")
         .join(floors, "document_id")
         .select(
-            "document_id",
-            "term",
-            "avgdl",
+            "document_id", "term", "avgdl",
             F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"),
         )
     )
-    postings = (
+    hits = (
         tokened.select("document_id", "record_id", "dl", F.explode("terms").alias("term"))
         .join(vocabulary, "term", "left_semi")
         .groupBy("document_id", "record_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    return (
-        postings.join(idf, ["document_id", "term"])
-        .withColumn("part", F.col("idf") * _saturation(F.col("tf"), F.col("dl"), F.col("avgdl")))
-        .join(wanted, "term")
-        .groupBy("query_id", "document_id", "record_id")
-        .agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
-        .where(F.col("score") > 0)
+    part = F.col("idf") * _saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return hits.join(idf, ["document_id", "term"]).select(
+        "document_id", "record_id", "term", part.alias("part")
     )
 
 
 def isolated_search(records: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
-    """Merged ranking over the isolated indexes: score, then record id."""
+    """Merged ranking over the isolated indexes: score, then record id.
+
+    ``records``: ``document_id, record_id, text``. A record's word list is bounded by its text.
+    """
     if not 1 <= k <= 32:
         raise ValueError("k must be between 1 and 32")
+    wanted = query_terms(queries)
+    parts = _isolated_parts(records, wanted)
     order = [F.round("score", 9).desc(), F.col("record_id").asc()]
-    return top_n(isolated_scores(records, queries), ["query_id"], order, k)
+    names = ["document_id", "record_id"]
+    if _cells(wanted) > WEIGHT_CELLS:
+        scored = (
+            parts.join(wanted, "term")
+            .groupBy("query_id", *names)
+            .agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+            .where(F.col("score") > 0)
+        )
+        return top_n(scored, ["query_id"], order, k)
+    shared = _share(wanted.withColumnRenamed("weight", "w"))
+    listed = parts.groupBy(*names).agg(
+        F.collect_list("term").alias("terms"), F.collect_list("part").alias("parts")
+    )
+
+    def postings(batch, vocabulary):
+        rows, flat = _flat(batch.column(batch.schema.get_field_index("terms")))
+        cols = pc.index_in(flat, value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = batch.column(batch.schema.get_field_index("parts")).flatten()
+        return rows, cols, values.to_numpy(zero_copy_only=False)
+
+    types = dict(records.select(*names).dtypes)
+    schema = f"query_id bigint, document_id {types['document_id']}, record_id {types['record_id']}, score double"
+    scan = _task_topk(["record_id"], k, shared, postings, carry=["document_id"])
+    return top_n(listed.mapInArrow(scan, schema), ["query_id"], order, k)
