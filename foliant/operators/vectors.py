@@ -78,7 +78,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         rows = asks.collect()  # at most FIXED_LIMIT_BYTES, checked above
         ids = [r["query_id"] for r in rows]
         shared = vectors.sparkSession.sparkContext.broadcast(
-            (ids, np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(ids), -1))
+            (ids, np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(ids), dims))
         )
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +205,12 @@ def semantic_route(
             for batch in batches:
                 if not batch.num_rows:
                     continue
+                if not routes:
+                    none = [pa.nulls(batch.num_rows, t) for t in (pa.string(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), *none], names=["query_id", "route", "score"]
+                    )
+                    continue
                 sims = _best_per_route(_matrix(batch.column(1)), fixed, codes, len(routes), best)
                 score = np.round(np.nanmean(sims, axis=2), 9)
                 pick = score.argmax(axis=1)
@@ -228,7 +234,7 @@ def semantic_route(
         chosen = first_row(mean, ["query_id"], [-F.col("score"), F.col("route")])
     return chosen.select(
         "query_id",
-        F.when(F.col("score") < threshold, F.lit(fallback)).otherwise(F.col("route")).alias("route"),
+        F.when(F.col("score") >= threshold, F.col("route")).otherwise(F.lit(fallback)).alias("route"),
         F.col("score").alias("confidence"),
     )
 
@@ -237,7 +243,8 @@ def _share(sets: DataFrame):
     found = sets.collect()  # under the byte limit, measured by the caller
     routes = sorted({r["route"] for r in found})
     codes = np.array([routes.index(r["route"]) for r in found])
-    fixed = _unit(np.array([r["embedding"] for r in found], dtype=np.float64))
+    width = len(found[0]["embedding"]) if found else 1
+    fixed = _unit(np.array([r["embedding"] for r in found], dtype=np.float64).reshape(-1, width))
     return sets.sparkSession.sparkContext.broadcast((routes, codes, fixed))
 
 
