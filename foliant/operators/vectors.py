@@ -72,7 +72,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     vecs = vectors.select("id", "embedding").where("embedding is not null")
     asks = queries.select("query_id", "embedding").where("embedding is not null")
-    dims = _dims(vecs, "embedding")
+    dims = _dims(asks, "embedding")
     schema = "query_id bigint, id bigint, distance double"
     if _fits(asks, dims):
         rows = asks.collect()  # at most FIXED_LIMIT_BYTES, checked above
