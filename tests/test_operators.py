@@ -316,3 +316,14 @@ def test_empty_inputs(spark):
     assert [r.route for r in vectors.semantic_route(qv, none).collect()] == ["direct"]
     units = spark.createDataFrame([], "document_id bigint, text string")
     assert documents.split_blocks(units).count() == 0
+
+
+def test_parser_port(spark):
+    from foliant.sources import parsers
+
+    files = spark.createDataFrame([(1, bytearray(b"one")), (2, bytearray(b"\xff"))], "document_id bigint, content binary")
+    got = rows_of(parsers.parse_pages(files, parsers.text_parser), "document_id", "ordinal", "text", "failed")
+    assert got == [(1, 1, "one", False), (2, 1, "", True)]
+    pages = spark.createDataFrame([(1, 1, False), (1, 3, True)], "document_id bigint, ordinal int, failed boolean")
+    counts = spark.createDataFrame([(1, 3), (2, 0)], "document_id bigint, page_count bigint")
+    assert rows_of(documents.page_inventory(pages, counts), "ordinal", "state") == [(1, "present"), (2, "missing"), (3, "failed")]
