@@ -119,58 +119,71 @@ def activation_replay(requests: DataFrame, block_rows: int = 4096) -> DataFrame:
 
     ``requests``: ``scope, position (0-based), expected``. Each block of positions is first
     reduced to its effect on every epoch it mentions; the effects are folded along each scope
-    as a sorted stream with one number of state; then all blocks are replayed in parallel.
+    with one number of state; then all blocks are replayed in parallel. All three steps read
+    sorted streams, so no group is gathered.
     """
-    blocked = requests.withColumn("block", F.floor(F.col("position") / block_rows))
-
-    def effect(rows: pd.DataFrame) -> pd.DataFrame:
-        after: dict[int, int] = {}
-        for e in rows.sort_values("position", ascending=False)["expected"]:
-            after[e] = after.get(e + 1, e + 1)
-        return pd.DataFrame(
-            {
-                "scope": rows["scope"].iloc[0], "block": rows["block"].iloc[0],
-                "before": list(after), "after": list(after.values()),
-            }
-        )
+    blocked = requests.select(
+        "scope", "position", "expected", F.floor(F.col("position") / block_rows).alias("block")
+    )
 
-    effects = blocked.groupBy("scope", "block").applyInPandas(
-        effect, "scope bigint, block bigint, before bigint, after bigint"
+    def effect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come latest first: entering at epoch ``e`` here leaves the block at ``after[e]``."""
+        current, after = None, {}
+        for batch in batches:
+            out = []
+            for scope, block, expected in zip(batch["scope"], batch["block"], batch["expected"]):
+                if (scope, block) != current:
+                    out += [(*current, e, a) for e, a in after.items()] if current else []
+                    current, after = (scope, block), {}
+                after[expected] = after.get(expected + 1, expected + 1)
+            yield pd.DataFrame(out, columns=["scope", "block", "before", "after"])
+        rest = [(*current, e, a) for e, a in after.items()] if current else []
+        yield pd.DataFrame(rest, columns=["scope", "block", "before", "after"])
+
+    effects = (
+        blocked.repartition("scope", "block")
+        .sortWithinPartitions("scope", "block", F.col("position").desc())
+        .mapInPandas(effect, "scope bigint, block bigint, before bigint, after bigint")
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scope, block, epoch, found = None, None, 0, None
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                if (row.scope, row.block) != (scope, block):
-                    epoch = (epoch if found is None else found) if row.scope == scope else 0
-                    scope, block, found = row.scope, row.block, None
+            for s, b, before, after in zip(batch["scope"], batch["block"], batch["before"], batch["after"]):
+                if (s, b) != (scope, block):
+                    epoch = (epoch if found is None else found) if s == scope else 0
+                    scope, block, found = s, b, None
                     out.append((scope, block, epoch))
-                if row.before == epoch:
-                    found = row.after
-            yield pd.DataFrame(out, columns=["scope", "block", "epoch"])
+                if before == epoch:
+                    found = after
+            yield pd.DataFrame(out, columns=["scope", "block", "start"])
 
     entry = (
         effects.repartition("scope")
         .sortWithinPartitions("scope", "block", "before")
-        .mapInPandas(fold, "scope bigint, block bigint, epoch bigint")
+        .mapInPandas(fold, "scope bigint, block bigint, start bigint")
     )
 
-    def replay(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        epoch = int(start["epoch"].iloc[0])
-        rows = rows.sort_values("position")
-        accepted, after = [], []
-        for e in rows["expected"]:
-            accepted.append(e == epoch)
-            epoch += int(e == epoch)
-            after.append(epoch)
-        return rows[["scope", "position", "expected"]].assign(accepted=accepted, epoch=after)
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, epoch = None, 0
+        for batch in batches:
+            accepted, after = [], []
+            for scope, block, expected, start in zip(
+                batch["scope"], batch["block"], batch["expected"], batch["start"]
+            ):
+                if (scope, block) != current:
+                    current, epoch = (scope, block), start
+                accepted.append(expected == epoch)
+                epoch += int(expected == epoch)
+                after.append(epoch)
+            yield batch[["scope", "position", "expected"]].assign(accepted=accepted, epoch=after)
 
     return (
-        blocked.groupBy("scope", "block")
-        .cogroup(entry.groupBy("scope", "block"))
-        .applyInPandas(
+        blocked.join(entry, ["scope", "block"])
+        .repartition("scope", "block")
+        .sortWithinPartitions("scope", "block", "position")
+        .mapInPandas(
             replay, "scope bigint, position bigint, expected bigint, accepted boolean, epoch bigint"
         )
     )
