@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm import pii
 from foliant.llm.exact_dedup import exact_dedup
+from foliant.llm.minhash import minhash_dedup
 from foliant.llm.packing import pack
+from foliant.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +52,55 @@ def op5(documents: DataFrame) -> DataFrame:
 )
 def op6(documents: DataFrame) -> DataFrame:
     return exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(
+    "op8_minhash",
+    "documents",
+    """
+    WITH RECURSIVE d AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2),
+          lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+    n AS (SELECT d.doc_id, count(s.g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+    c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both_have
+          FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v
+          WHERE 100 * both_have >= 80 * (x.n + y.n - both_have)),
+    r AS (SELECT doc_id, doc_id AS low FROM n UNION SELECT l.v, r.low FROM r JOIN l ON l.u = r.doc_id)
+    SELECT doc_id, n AS n_shingles, min(low) AS component_id, doc_id = min(low) AS kept
+    FROM r JOIN n USING (doc_id) GROUP BY doc_id, n
+    """,
+)
+def op8(documents: DataFrame) -> DataFrame:
+    return minhash_dedup(documents, k=4).drop("digest")
+
+
+@query(
+    "op10_substring_dedup",
+    "documents",
+    """
+    WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]'), lambda x: x <> '') AS w
+               FROM documents),
+    s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+    h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM s),
+    o AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS low FROM h),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM o WHERE low < doc_id),
+    g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+           sha256(coalesce(array_to_string(list_filter(w, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), ' '), '')) AS kept_sha256
+    FROM d LEFT JOIN g USING (doc_id)
+    """,
+)
+def op10(documents: DataFrame) -> DataFrame:
+    return substring_dedup(documents).withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
+
+
+@query("op1_pii", "documents")
+def op1(documents: DataFrame) -> DataFrame:
+    found = pii.detect(documents)
+    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = '{k}')) AS BIGINT) AS n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans")
+    )
