@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import pii
+from foliant.llm import langid, pii
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.minhash import minhash_dedup
 from foliant.llm.packing import pack
@@ -104,3 +104,11 @@ def op1(documents: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans")
     )
+
+
+@query("op4_langid", "documents")
+def op4(documents: DataFrame) -> DataFrame:
+    fold = langid.fold("doc_id")
+    model = langid.train(documents, fold > 1, fold == 1)
+    found = langid.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
