@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from foliant.llm.common import field, slices, text_of
 WINDOW = 2048
 END_ID = 1
 BLOCK_WINDOWS = 2048  # tokens that wait to be placed, in windows
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 # White space as Unicode has it. No token of a byte-level vocabulary crosses these cuts: a word
 # takes one blank before it, a run of white space leaves its last character to what follows.
 _WS = "\t-\r " + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -33,7 +34,13 @@ _WORDS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes; words seen before are looked up."""
+    """Token ids of texts as little-endian 32-bit bytes; words seen before are looked up.
+
+    The words of the last ``CACHE_WORDS`` to twice as many entries are remembered, across the
+    tasks that one Python worker runs.
+    """
+
+    _all: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -42,15 +49,27 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls._all:
+            cls._all[path] = cls(path)
+        return cls._all[path]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [_WORDS.findall(t) for t in texts]
-        new = list(set().union(*words).difference(self.seen))
-        if len(self.seen) + len(new) > CACHE_WORDS:
-            self.seen.clear()
-            new = list(set().union(*words))
+        distinct = set().union(*words)
+        if len(self.seen) > CACHE_WORDS:
+            self.seen, self.older = {}, self.seen
+        new = []
+        for w in distinct.difference(self.seen):
+            if w in self.older:
+                self.seen[w] = self.older[w]
+            else:
+                new.append(w)
         for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.seen[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self.seen[w] = array("I", e.ids).tobytes()
         return [b"".join(map(self.seen.__getitem__, ws)) for ws in words]
 
 
@@ -153,7 +172,7 @@ def pack(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, first = Encoder(tokenizer_path), TaskContext.get().partitionId() << 33
+        encoder, first = Encoder.of(tokenizer_path), TaskContext.get().partitionId() << 33
         id_type = None
 
         def documents():
