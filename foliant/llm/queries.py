@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import langid, pii
+from foliant.llm.embedding_dedup import embedding_dedup
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.minhash import minhash_dedup
 from foliant.llm.packing import pack
@@ -112,3 +113,22 @@ def op4(documents: DataFrame) -> DataFrame:
     model = langid.train(documents, fold > 1, fold == 1)
     found = langid.identify(documents.select("doc_id", "text"), model)
     return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op9_embedding_dedup",
+    "embeddings",
+    """
+    WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    s AS (SELECT * FROM e WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0
+          AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+    l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id
+          AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.93),
+    r AS (SELECT vec_id, vec_id AS low FROM e UNION SELECT l.v, r.low FROM r JOIN l ON l.u = r.vec_id),
+    n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+    SELECT r.vec_id, coalesce(max(n.n), 0) AS n_links, min(low) AS component_id, r.vec_id = min(low) AS kept
+    FROM r LEFT JOIN n ON n.u = r.vec_id GROUP BY r.vec_id
+    """,
+)
+def op9(embeddings: DataFrame) -> DataFrame:
+    return embedding_dedup(embeddings)
