@@ -13,6 +13,7 @@ from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.minhash import minhash_dedup
 from foliant.llm.packing import pack
 from foliant.llm.substring_dedup import substring_dedup
+from foliant.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,3 +133,24 @@ def op4(documents: DataFrame) -> DataFrame:
 )
 def op9(embeddings: DataFrame) -> DataFrame:
     return embedding_dedup(embeddings)
+
+
+@query(
+    "op7_warc",
+    "pages",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    f AS (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS low,
+          array_to_string(list_transform(string_split(sha1(h), ''), lambda d: substr(
+              '0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', d) - 3, 4)), '') AS bits
+          FROM p)
+    SELECT page_id, strlen(h) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(
+               list_transform(range(5), lambda k: CAST(substr(bits, 5 * i + k + 1, 1) AS INT) * (16 >> k))) AS INT), 1)), '') AS payload_digest,
+           CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> low THEN low END AS refers_to
+    FROM f
+    """,
+)
+def op7(pages: DataFrame) -> DataFrame:
+    return archive_pages(pages).drop("url")
