@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,3 +78,25 @@ def text_of(column: str):
 def field(df: DataFrame, column: str, name: str | None = None) -> T.StructField:
     """The schema field of ``column``, nullable, under another name."""
     return T.StructField(name or column, df.schema[column].dataType, True)
+
+
+class Memo(dict):
+    """Answers by key. Between ``most`` and twice as many are remembered, the latest asked for."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def fill(self, keys: set, answer: Callable[[list], Iterable]) -> Memo:
+        """Makes all ``keys`` present; ``answer`` gets those that are not remembered."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        new = []
+        for k in keys.difference(self):
+            if k in self.older:
+                self[k] = self.older[k]
+            else:
+                new.append(k)
+        self.update(zip(new, answer(new), strict=True))
+        return self

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from foliant.llm.common import field, slices, text_of
+from foliant.llm.common import Memo, field, slices, text_of
 
 WINDOW = 2048
 END_ID = 1
@@ -36,8 +36,7 @@ _WORDS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes; words seen before are looked up.
 
-    The words of the last ``CACHE_WORDS`` to twice as many entries are remembered, across the
-    tasks that one Python worker runs.
+    Words are remembered across the tasks that one Python worker runs.
     """
 
     _all: dict[str, Encoder] = {}
@@ -48,8 +47,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.seen = Memo(CACHE_WORDS)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -59,18 +57,11 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [_WORDS.findall(t) for t in texts]
-        distinct = set().union(*words)
-        if len(self.seen) > CACHE_WORDS:
-            self.seen, self.older = {}, self.seen
-        new = []
-        for w in distinct.difference(self.seen):
-            if w in self.older:
-                self.seen[w] = self.older[w]
-            else:
-                new.append(w)
-        for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.seen[w] = array("I", e.ids).tobytes()
-        return [b"".join(map(self.seen.__getitem__, ws)) for ws in words]
+        seen = self.seen.fill(set().union(*words), self.solve)
+        return [b"".join(map(seen.__getitem__, ws)) for ws in words]
+
+    def solve(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
 
 
 class OpenWindows:
