@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, pii
+from foliant.llm import chat, langid, pieces, pii
 from foliant.llm.embedding_dedup import embedding_dedup
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.minhash import minhash_dedup
@@ -154,3 +154,38 @@ def op9(embeddings: DataFrame) -> DataFrame:
 )
 def op7(pages: DataFrame) -> DataFrame:
     return archive_pages(pages).drop("url")
+
+
+@query("op2_sentencepiece", "documents")
+def op2(documents: DataFrame) -> DataFrame:
+    path = tokenizer("piece_bpe_32k.model")
+    spelt = pieces.documents(pieces.decode(pieces.encode(documents, path), path))
+    given = documents.select(F.monotonically_increasing_id().alias("row_no"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("given"))
+    return spelt.withColumn("text_sha256", F.sha2("text", 256)).drop("text").join(given, "row_no").select(
+        "doc_id", F.expr("CAST(octet_length(ids) / 4 AS BIGINT) AS n_ids"), F.crc32("ids").alias("ids_crc32"), "text_sha256",
+        (F.col("given") == F.col("text_sha256")).alias("round_trip"),
+    )
+
+
+@query(
+    "op3_chat",
+    "conversations",
+    """
+    WITH t AS (SELECT DISTINCT conv_id, turn, lower(trim(coalesce(role, ''))) AS role, coalesce(text, '') AS text FROM conversations),
+    p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS pos FROM t),
+    c AS (SELECT conv_id, list([role, text] ORDER BY pos) AS l, count(*) AS n FROM p GROUP BY conv_id),
+    x AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM c)),
+    k AS (SELECT min(conv_id) AS conv_id FROM c WHERE l NOT IN (SELECT l FROM x) GROUP BY l),
+    f AS (SELECT p.conv_id, (pos - 1) // 256 AS part, pos, '<|im_start|>' || replace(role, '<|', '<\\|') || chr(10) ||
+          replace(text, '<|', '<\\|') || '<|im_end|>' || chr(10) AS line FROM p JOIN k USING (conv_id)),
+    r AS (SELECT conv_id, part, sha256(string_agg(line, '' ORDER BY pos)) AS h FROM f GROUP BY conv_id, part)
+    SELECT conv_id, n AS n_turns, k.conv_id IS NOT NULL AS kept, g.h AS rendered_sha256
+    FROM c LEFT JOIN k USING (conv_id) LEFT JOIN (SELECT conv_id, sha256(string_agg(h, '' ORDER BY part)) AS h FROM r GROUP BY conv_id) g USING (conv_id)
+    """,
+)
+def op3(conversations: DataFrame) -> DataFrame:
+    decided, texts = chat.chat_format(conversations)
+    parts = texts.select("key", F.struct("part", F.sha2("text", 256).alias("h")).alias("at"))
+    whole = parts.groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    whole = whole.select("key", F.sha2(F.array_join(F.transform("at", lambda x: x["h"]), ""), 256).alias("rendered_sha256"))
+    return decided.join(whole, "key", "left").drop("key")
