@@ -11,13 +11,24 @@ from foliant.plans.session import cut_lineage
 LIMIT = 1000
 FAN = 4
 
-_PLAN = """SELECT doc_id AS document_id, block_no AS reading_order, concat(CAST(doc_id AS STRING), ':', CAST(block_no AS STRING)) AS block_id,
-  CASE WHEN length(text) <= 40 THEN 'heading' WHEN block_no % 17 = 5 THEN 'table' ELSE 'text' END AS kind,
-  CASE WHEN block_no % 13 = 7 THEN concat(CAST(doc_id AS STRING), ':0') END AS parent_id, text, start, {end} FROM {blocks}"""
+# Headings are every sixth line, two of three below the one before; later lines go back to the first heading or
+# name a line that is no heading. Some documents have a parent that is no heading or comes later.
+_ID = "concat(CAST(doc_id AS STRING), ':', CAST({n} AS STRING))"
+_FIRST = "(doc_id % 2 * 3)"
+_PLAN = f"""SELECT doc_id AS document_id, block_no AS reading_order, {_ID.format(n="block_no")} AS block_id,
+  CASE WHEN block_no % 6 = {_FIRST} THEN 'heading' WHEN block_no % 17 = 9 THEN 'table' ELSE 'text' END AS kind,
+  CASE WHEN block_no % 6 = {_FIRST} THEN CASE WHEN doc_id % 23 = 4 AND block_no = 12 THEN {_ID.format(n=1)} WHEN doc_id % 29 = 6 AND block_no = 6 THEN {_ID.format(n=12)}
+      WHEN (block_no - {_FIRST}) % 18 <> 0 THEN {_ID.format(n="block_no - 6")} END
+    WHEN block_no % 13 = 7 THEN {_ID.format(n=_FIRST)} WHEN block_no % 17 = 5 THEN {_ID.format(n=1)} END AS parent_id,
+  length(trim(text)) > 0 AND (doc_id + block_no) % 31 <> 2 AS eligible, text, start, {{end}} FROM {{blocks}}"""
 view("plan_blocks", _PLAN.replace("{end}", "`end`"), _PLAN.replace("{end}", '"end"'))
 
-STRUCT = """ow AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'heading' THEN block_id ELSE parent_id END IGNORE NULLS)
-  OVER (PARTITION BY document_id ORDER BY reading_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'fallback') AS owner FROM {plan_blocks}),
+HEADS = """hd AS (SELECT document_id, block_id, reading_order FROM {plan_blocks} WHERE kind = 'heading'),
+pb AS (SELECT p.*, h.reading_order AS parent_order FROM {plan_blocks} p LEFT JOIN hd h ON h.document_id = p.document_id AND h.block_id = p.parent_id),
+bad AS (SELECT DISTINCT document_id FROM pb WHERE (kind = 'heading' AND parent_id IS NOT NULL AND parent_order IS NULL) OR parent_order >= reading_order)"""
+STRUCT = f"""{HEADS},
+mk AS (SELECT *, CASE WHEN kind = 'heading' THEN block_id WHEN parent_order IS NOT NULL THEN parent_id END AS marker FROM pb WHERE document_id NOT IN (FROM bad)),
+ow AS (SELECT *, coalesce(last_value(marker IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY reading_order), 'fallback') AS owner FROM mk),
 tn AS (SELECT *, CASE WHEN owner <> lag(owner) OVER (PARTITION BY document_id ORDER BY reading_order) THEN 1 ELSE 0 END AS turn FROM ow),
 st AS (SELECT *, CAST(sum(turn) OVER (PARTITION BY document_id ORDER BY reading_order) AS BIGINT) AS island FROM tn)"""
 
@@ -27,6 +38,11 @@ def structure_assign(t):
     return dg.structure(t.plan_blocks).select("block_id", "owner")
 
 
+@query("planning_failures", f"WITH {HEADS} SELECT document_id, 'structural_planning_failed' AS reason FROM bad")
+def planning_failures(t):
+    return dg.planning_failures(t.plan_blocks)
+
+
 @query("owner_islands", f"""WITH {STRUCT} SELECT document_id, island, any_value(owner) AS owner, min(reading_order) AS first_block, count(*) AS blocks
 FROM st GROUP BY document_id, island""")
 def owner_islands(t):
@@ -37,86 +53,90 @@ def owner_islands(t):
     )
 
 
-def _chunks(t):
-    return dg.pack_chunks(dg.hard_split(dg.structure(t.plan_blocks), LIMIT), LIMIT)
+UNITS = f"""{STRUCT},
+ln AS (SELECT document_id, block_id AS unit, block_id AS above, parent_id AS up, length(text) AS chars, 1 AS depth FROM mk WHERE kind = 'heading'
+  UNION ALL SELECT l.document_id, l.unit, h.block_id, h.parent_id, l.chars + 1 + length(h.text), l.depth + 1 FROM ln l JOIN mk h ON h.document_id = l.document_id AND h.block_id = l.up),
+un AS (SELECT document_id, block_id AS unit, coalesce(parent_id, 'root') AS parent, CASE WHEN parent_id IS NULL THEN 'section' ELSE 'subsection' END AS kind FROM mk WHERE kind = 'heading'
+  UNION ALL SELECT DISTINCT document_id, 'fallback', 'root', 'fallback' FROM mk UNION ALL SELECT DISTINCT document_id, 'root', NULL, 'document' FROM mk),
+pa AS (SELECT document_id, unit, max(depth) AS depth, max(chars) AS chars FROM ln GROUP BY document_id, unit),
+fu AS (SELECT un.*, CAST(coalesce(pa.depth, 0) AS INT) AS depth, coalesce(pa.chars, 0) AS path_chars, greatest(2, least(4, (7000 - coalesce(pa.chars, 0)) // 1500)) AS fan FROM un LEFT JOIN pa USING (document_id, unit))"""
+
+
+@query("section_units", f"WITH RECURSIVE {UNITS} SELECT document_id, unit, parent, kind, depth, path_chars FROM fu")
+def section_units(t):
+    units = dg.section_units(dg.structure(t.plan_blocks))
+    path = F.length(F.array_join("path", "/")).alias("path_chars")
+    return units.select("document_id", "unit", "parent", "kind", F.size("path").alias("depth"), path)
 
 
-PACK = f"""{STRUCT},
-pc AS (SELECT document_id, island, block_id, start + n * {LIMIT} AS start, least({LIMIT}, length(text) - n * {LIMIT}) AS size, length(text) <= {LIMIT} AS whole,
+def _plan(t):
+    """Structure and chunks, each used several times."""
+    placed = cut_lineage(dg.structure(t.plan_blocks))
+    pieces = dg.hard_split(placed.where("eligible"), LIMIT)
+    return placed, cut_lineage(dg.pack_chunks(pieces, LIMIT))
+
+
+PACK = f"""{UNITS},
+pc AS (SELECT document_id, island, owner, kind, block_id, start + n * {LIMIT} AS start, least({LIMIT}, length(text) - n * {LIMIT}) AS size, length(text) <= {LIMIT} AS whole,
   row_number() OVER (PARTITION BY document_id ORDER BY reading_order, n) AS rn
-  FROM (SELECT *, unnest(range(0, (length(text) + {LIMIT - 1}) // {LIMIT})) AS n FROM st)),
+  FROM (SELECT *, unnest(range(0, (length(text) + {LIMIT - 1}) // {LIMIT})) AS n FROM st WHERE eligible)),
 pk AS (SELECT document_id, rn, island, size AS held, 0 AS sequence FROM pc WHERE rn = 1
   UNION ALL SELECT p.document_id, p.rn, p.island, CASE WHEN p.island <> k.island OR k.held + p.size > {LIMIT} THEN p.size ELSE k.held + p.size END,
     k.sequence + CASE WHEN p.island <> k.island OR k.held + p.size > {LIMIT} THEN 1 ELSE 0 END
   FROM pk k JOIN pc p ON p.document_id = k.document_id AND p.rn = k.rn + 1),
-ch AS (SELECT pc.*, pk.sequence FROM pc JOIN pk USING (document_id, rn))"""
+ch AS (SELECT pc.*, pk.sequence, CASE WHEN kind = 'table' THEN 'visual_uninterpreted' WHEN whole THEN 'none' ELSE 'hard_split' END AS limitation FROM pc JOIN pk USING (document_id, rn))"""
 
 
-@query("pack_chunks", f"""WITH RECURSIVE {PACK} SELECT document_id, block_id, start, size, sequence, CASE WHEN whole THEN 'none' ELSE 'hard_split' END AS limitation FROM ch""")
+@query("pack_chunks", f"""WITH RECURSIVE {PACK} SELECT document_id, block_id, start, size, sequence, sequence - min(sequence) OVER (PARTITION BY document_id, island) AS position, limitation FROM ch""")
 def pack_chunks(t):
-    return _chunks(t).select(
-        "document_id", "block_id", "start", (F.col("end") - F.col("start")).alias("size"), "sequence",
-        F.when(F.col("whole"), F.lit("none")).otherwise(F.lit("hard_split")).alias("limitation"),
+    return _plan(t)[1].select(
+        "document_id", "block_id", "start", (F.col("end") - F.col("start")).alias("size"), "sequence", "position", "limitation"
     )
 
 
-def _sections(plan):
-    """Chunks as tree nodes: the island is the section."""
-    return plan.select("document_id", F.col("island").alias("section"), "position").distinct()
-
-
 TREE = f"""{PACK},
-sec AS (SELECT DISTINCT document_id, island AS section, sequence FROM ch),
-leaf AS (SELECT document_id, section, sequence - min(sequence) OVER (PARTITION BY document_id, section) AS position FROM sec),
-grp AS (SELECT 'section' AS stage, document_id, section, position FROM leaf
-  UNION ALL SELECT DISTINCT 'document', document_id, -1, section FROM leaf),
-nd AS (SELECT stage, document_id, section, 0 AS level, count(*) AS n FROM grp GROUP BY ALL
-  UNION ALL SELECT stage, document_id, section, level + 1, (n + {FAN - 1}) // {FAN} FROM nd WHERE n > 1 OR level = 0),
-ed AS (SELECT stage, document_id, section, level + 1 AS level, c // {FAN} AS position, c AS child FROM (
-  SELECT *, unnest(range(0, n)) AS c FROM nd WHERE n > 1 OR level = 0))"""
+lf AS (SELECT DISTINCT document_id, owner AS unit, sequence FROM ch),
+up AS (SELECT DISTINCT document_id, unit, above FROM ln UNION SELECT document_id, unit, 'root' FROM un UNION SELECT document_id, 'fallback', 'fallback' FROM un),
+lo AS (SELECT lf.document_id, up.above AS unit, min(sequence) AS "at" FROM lf JOIN up USING (document_id, unit) GROUP BY ALL),
+kn AS (SELECT document_id, unit, sequence AS "at", CAST(NULL AS VARCHAR) AS sub FROM lf UNION ALL SELECT fu.document_id, fu.parent, lo."at", fu.unit FROM fu JOIN lo USING (document_id, unit) WHERE fu.parent IS NOT NULL),
+po AS (SELECT *, row_number() OVER (PARTITION BY document_id, unit ORDER BY "at") - 1 AS place FROM kn),
+nd AS (SELECT document_id, unit, count(*) AS n, fan, 1 AS round FROM po JOIN fu USING (document_id, unit) GROUP BY ALL
+  UNION ALL SELECT document_id, unit, (n + fan - 1) // fan, fan, round + 1 FROM nd WHERE n > fan),
+tp AS (SELECT document_id, unit, max(round) AS rounds FROM nd GROUP BY ALL),
+rg AS (SELECT *, unnest(range(0, n)) AS c FROM nd),
+ed AS (SELECT rg.document_id, rg.unit, rg.round, c // fan AS position, CASE WHEN rg.round > 1 THEN rg.unit || '/' || (rg.round - 1) || '/' || c
+    WHEN po.sub IS NULL THEN 'chunk-' || po."at" ELSE po.sub || '/' || sb.rounds || '/0' END AS child, rg.round = tp.rounds AS top
+  FROM rg JOIN tp USING (document_id, unit) LEFT JOIN po ON po.document_id = rg.document_id AND po.unit = rg.unit AND po.place = rg.c
+  LEFT JOIN tp sb ON sb.document_id = rg.document_id AND sb.unit = po.sub)"""
+
+
+def _tree(t):
+    placed, chunks = _plan(t)
+    fan = F.greatest(F.lit(2), dg.fan_in(F.lit(4), F.lit(9000), F.lit(1000), F.length(F.array_join("path", "/")) + 1000, F.lit(1500)))
+    owned = chunks.select("document_id", F.col("owner").alias("unit"), "sequence")
+    return chunks, cut_lineage(dg.reduction_tree(owned, dg.section_units(placed), fan))
 
 
 @query("reduction_tree", f"WITH RECURSIVE {TREE} SELECT * FROM ed")
 def reduction_tree(t):
-    return dg.reduction_tree(_sections(_chunks(t)), FAN)
+    return _tree(t)[1]
 
 
-@query("stage_kind", f"""WITH RECURSIVE {TREE},
-nodes AS (SELECT stage, document_id, section, 0 AS level, position FROM grp WHERE stage = 'section' UNION ALL SELECT DISTINCT stage, document_id, section, level, position FROM ed),
-top AS (SELECT stage, document_id, section, max(level) AS lv FROM nodes GROUP BY ALL)
-SELECT n.*, CASE WHEN level = 0 THEN 'chunk' WHEN stage = 'document' AND level = lv THEN 'root'
-  WHEN level = lv AND position = 0 THEN 'structural' ELSE 'intermediate' END AS stage_kind FROM nodes n JOIN top USING (stage, document_id, section)""")
+@query("stage_kind", f"""WITH RECURSIVE {TREE}
+SELECT document_id, child AS stage, 'chunk' AS stage_kind FROM ed WHERE child LIKE 'chunk-%'
+UNION ALL SELECT DISTINCT document_id, unit || '/' || round || '/' || position, CASE WHEN NOT top THEN 'intermediate' WHEN unit = 'root' THEN 'root' ELSE 'structural' END FROM ed""")
 def stage_kind(t):
-    leaves = cut_lineage(_sections(_chunks(t)))
-    edges = cut_lineage(dg.reduction_tree(leaves, FAN))
-    reducers = edges.select("document_id", "stage", "section", "level", "position").distinct()
-    top = reducers.where("stage = 'document'").groupBy("document_id").agg(F.max("level").alias("top"))
-    marked = reducers.join(top, "document_id").select(
-        *reducers.columns,
-        ((F.col("stage") == "document") & (F.col("level") == F.col("top"))).alias("is_root"),
-    )
-    chunks = leaves.select(
-        "document_id", F.lit("section").alias("stage"), "section", F.lit(0).alias("level"), "position",
-        F.lit(False).alias("is_root"),
-    )
-    return dg.stage_kind(marked.unionByName(chunks)).drop("is_root")
+    return dg.stage_kind(_tree(t)[1])
 
 
 @query("synth_claims", f"""WITH RECURSIVE {TREE}
-SELECT document_id, 'chunk-' || sequence AS stage_id, 'fact' AS kind, count(*) AS links, CASE WHEN bool_and(whole) THEN '' ELSE 'hard_split' END AS limitations FROM ch GROUP BY document_id, sequence
-UNION ALL SELECT document_id, stage || '-' || section || '-' || level || '-' || position, 'commentary', count(*), '' FROM ed GROUP BY document_id, stage, section, level, position""")
+SELECT document_id, 'chunk-' || sequence AS stage_id, 'fact' AS kind, count(*) AS links, coalesce(string_agg(DISTINCT CASE WHEN limitation <> 'none' THEN limitation END, ',' ORDER BY CASE WHEN limitation <> 'none' THEN limitation END), '') AS limitations FROM ch GROUP BY document_id, sequence
+UNION ALL SELECT document_id, unit || '/' || round || '/' || position, 'commentary', count(*), '' FROM ed GROUP BY document_id, unit, round, position""")
 def synth_claims(t):
-    plan = cut_lineage(_chunks(t))
-    pieces = plan.select(
-        "document_id", F.concat(F.lit("chunk-"), F.col("sequence").cast("string")).alias("chunk"),
-        F.when(F.col("whole"), F.lit("none")).otherwise(F.lit("hard_split")).alias("limitation"),
-    )
-    edges = dg.reduction_tree(_sections(plan), FAN).select(
-        "document_id",
-        F.concat_ws("-", "stage", *[F.col(c).cast("string") for c in ("section", "level", "position")]).alias("reducer"),
-        "child",
-    )
-    return dg.synth_claims(pieces, edges)
+    chunks, edges = _tree(t)
+    pieces = chunks.select("document_id", F.concat(F.lit("chunk-"), F.col("sequence").cast("string")).alias("chunk"), "limitation")
+    reducer = F.concat_ws("/", "unit", F.col("round").cast("string"), F.col("position").cast("string"))
+    return dg.synth_claims(pieces, edges.select("document_id", reducer.alias("reducer"), "child"))
 
 
 # ---- trees and claim graphs over the blocks as leaves ----------------------------------

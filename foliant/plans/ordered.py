@@ -7,9 +7,10 @@ block across blocks. The rows of a hot key are spread over as many tasks as it h
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,3 +198,36 @@ def last_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     rest = [c for c in df.columns if c not in keys]
     picked = F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")
     return df.groupBy(*keys).agg(picked).select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
+
+
+def whole_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str
+) -> DataFrame:
+    """``fn`` over frames of many whole groups at once, each group contiguous and in order.
+
+    The frame has a column ``__key``, one text per group. A grouped map would call ``fn`` once for every
+    group; with small groups that is most of the time. Groups must be of bounded size.
+    """
+    named = df.withColumn("__key", F.to_json(F.struct(*keys)))
+    sorted_rows = named.repartition("__key").sortWithinPartitions("__key", *order)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            keys_here = frame["__key"].to_numpy()
+            cut = int((keys_here == keys_here[-1]).argmax()) if len(frame) else 0  # the last group may go on
+            held = frame.iloc[cut:]
+            if cut:
+                yield fn(frame.iloc[:cut])
+        if held is not None and len(held):
+            yield fn(held)
+
+    return sorted_rows.mapInPandas(run, schema)
+
+
+def group_bounds(frame: pd.DataFrame) -> list[tuple[int, int]]:
+    """``(first, end)`` of each group in a frame of :func:`whole_groups`."""
+    key = frame["__key"].to_numpy()
+    edges = [0, *((key[1:] != key[:-1]).nonzero()[0] + 1).tolist(), len(key)]
+    return list(zip(edges[:-1], edges[1:], strict=True)) if len(key) else []

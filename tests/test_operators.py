@@ -204,35 +204,6 @@ def test_files_versions_and_tree(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(f"{root}/versions").collect()] == [("v1", 2)]
 
 
-def test_line_aligned_hard_split(spark):
-    body = "aa\nbbbb\ncc\n" + "d" * 9 + "\ne"
-    blocks = spark.createDataFrame([("x", 0, "b0", body, 5, 5 + len(body), 0)], "document_id string, reading_order int, block_id string, text string, start bigint, end bigint, island bigint")
-    parts = sorted((r.start, r.text) for r in digestion.hard_split(blocks, 8).collect())
-    assert "".join(t for _, t in parts) == body and [t for _, t in parts][:2] == ["aa\nbbbb\n", "cc\n"]
-    assert all(body[s - 5 : s - 5 + len(t)] == t and len(t) <= 8 for s, t in parts)
-
-
-def test_refused_documents(spark):
-    blocks = spark.createDataFrame([("big", i) for i in range(5)] + [("small", 0)], "document_id string, n int")
-    assert [r.document_id for r in digestion.admitted(blocks, 3).collect()] == ["small"]
-    assert [(r.document_id, r.units) for r in digestion.refused(blocks, 3).collect()] == [("big", 5)]
-
-
-@pytest.mark.parametrize("n", [1, 2, 4, 5, 16, 17, 100])
-def test_reduction_levels(spark, n):
-    chunks = spark.createDataFrame([("d", 0, i) for i in range(n)], "document_id string, section bigint, position bigint")
-    edges = digestion.reduction_tree(chunks, 4).where("stage = 'section'").collect()
-    current, level = n, 0
-    while True:
-        level += 1
-        mine = sorted((e.position, e.child) for e in edges if e.level == level)
-        assert mine == [(c // 4, c) for c in range(current)]
-        current = -(-current // 4)
-        if current == 1:
-            break
-    assert max(e.level for e in edges) == level
-
-
 def test_coverage_is_a_union(spark):
     blocks = spark.createDataFrame([("d", b, 0, 10, c) for b, c in (("x", "eligible"), ("y", "eligible"), ("z", "unsupported"))], "document_id string, block_id string, start bigint, end bigint, source_class string")
     parts = spark.createDataFrame([("d", "x", 0, 6), ("d", "x", 4, 10), ("d", "x", 1, 2), ("d", "y", 0, 4), ("d", "y", 5, 10)], "document_id string, block_id string, start bigint, end bigint")
