@@ -18,7 +18,8 @@ view(
          CAST(n_nationkey + 1 AS DECIMAL(18,9)) * CAST('0.05' AS DECIMAL(18,9)) AS input_price,
          CAST(n_nationkey + 2 AS DECIMAL(18,9)) * CAST('0.15' AS DECIMAL(18,9)) AS output_price,
          CAST(1000 AS INT) AS price_unit, CAST(n_nationkey % 4 AS BIGINT) * 31536000000000 + 788918400000000 AS effective_us
-       FROM {nation} WHERE n_nationkey <> 7""",
+       FROM {nation} WHERE n_nationkey <> 7
+       UNION ALL SELECT 'provider-1', 'model-11', CAST(1 AS DECIMAL(18,9)), CAST(1 AS DECIMAL(18,9)), CAST(1000 AS INT), CAST(0 AS BIGINT) FROM {region} WHERE r_regionkey = 0""",
 )
 view(
     "usage_rows",
@@ -32,9 +33,10 @@ def micro(name: str):
     return F.round(F.col(name) * 1_000_000).cast("bigint").alias(name)
 
 
-@query("token_cost", """SELECT u.ticket, CASE WHEN p.model IS NULL OR p.effective_us > u.at_us THEN 'pricing_unavailable' END AS reason,
-  CASE WHEN p.effective_us <= u.at_us THEN CAST(round((input_price * u.input + output_price * u.output) * 1000) AS BIGINT) END AS cost
-FROM {usage_rows} u LEFT JOIN {prices} p USING (provider, model)""")
+@query("token_cost", """WITH p AS (SELECT provider, model, count(*) AS entries, any_value(input_price) AS input_price, any_value(output_price) AS output_price, any_value(effective_us) AS effective_us FROM {prices} GROUP BY ALL)
+SELECT u.ticket, CASE WHEN entries > 1 THEN 'pricing_ambiguous' WHEN p.model IS NULL OR p.effective_us > u.at_us THEN 'pricing_unavailable' END AS reason,
+  CASE WHEN entries = 1 AND p.effective_us <= u.at_us THEN CAST(round((input_price * u.input + output_price * u.output) * 1000) AS BIGINT) END AS cost
+FROM {usage_rows} u LEFT JOIN p USING (provider, model)""")
 def token_cost(t):
     return g.token_cost(t.usage_rows, t.prices).select("ticket", "reason", micro("cost"))
 

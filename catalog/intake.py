@@ -160,14 +160,14 @@ def object_verify(t):
     return tables.object_verify(refs, objects).select("key", "scope", "verdict")
 
 
-# Artifacts of the labels: some cut short, some with a repeated, an extra or a missing field.
+# Artifacts of the labels: some cut short, some with a repeated, an extra, a missing or a mistyped field.
 @query("json_artifacts", """SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN 'malformed_json' WHEN 2 THEN 'duplicate_field'
-  WHEN 3 THEN 'extra_field' WHEN 4 THEN 'missing_field' END AS reason,
-  CASE WHEN doc_id % 9 NOT IN (1, 2, 3, 4) THEN quality END AS quality FROM {labels}""")
+  WHEN 3 THEN 'extra_field' WHEN 4 THEN 'missing_field' WHEN 5 THEN 'invalid_field' WHEN 6 THEN 'invalid_field' END AS reason,
+  CASE WHEN doc_id % 9 NOT IN (1, 2, 3, 4, 5, 6) THEN quality END AS quality FROM {labels}""")
 def json_artifacts(t):
     schema = T.StructType(
-        [T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()),
-         T.StructField("toxic", T.IntegerType())]
+        [T.StructField("doc_id", T.LongType(), False), T.StructField("quality", T.IntegerType(), False),
+         T.StructField("toxic", T.IntegerType(), False)]
     )
     n = F.col("doc_id").cast("string")
     head = F.concat(F.lit('{"doc_id":'), n)
@@ -181,6 +181,8 @@ def json_artifacts(t):
         .when(case == 2, F.concat(head, F.lit(',"quality":1,"quality":0,"toxic":0}')))
         .when(case == 3, F.concat(head, F.lit(',"note":"x","quality":1,"toxic":0}')))
         .when(case == 4, F.concat(head, F.lit(',"quality":1}')))
+        .when(case == 5, F.concat(head, F.lit(',"quality":"1","toxic":0}')))
+        .when(case == 6, F.concat(head, F.lit(',"quality":1,"toxic":null}')))
         .otherwise(full)
     )
     raw = t.labels.select("doc_id", body.alias("body"))
@@ -427,7 +429,8 @@ def retry_delay(t):
 
 
 _FAIL = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'worker_interrupted' WHEN 2 THEN 'storage_error'
-  WHEN 3 THEN 'something_else' WHEN 4 THEN 'lease_expired' ELSE 'storage_error' END AS category,
+  WHEN 3 THEN 'something_else' WHEN 4 THEN CASE event_id % 4 WHEN 0 THEN 'lease_expired' ELSE 'integrity_error' END
+  ELSE CASE event_id % 4 WHEN 1 THEN 'storage_error' ELSE 'source_too_large' END END AS category,
   event_id % 4 = 1 AS transient,
   CASE k % 10 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 408 WHEN 4 THEN 504 WHEN 5 THEN 429
     WHEN 6 THEN 502 WHEN 7 THEN 500 WHEN 8 THEN 400 END AS status,

@@ -27,13 +27,21 @@ view(
 )
 
 
-@query("latency_summary", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY workload ORDER BY latency) AS rn, count(*) OVER (PARTITION BY workload) AS n FROM {observations} WHERE success),
+# Zeros, values under one, negative ones, and rows without a workload.
+view(
+    "wide_observations",
+    """SELECT event_id, CASE WHEN event_id % 11 <> 3 THEN workload END AS workload, success, ts_us, user_id,
+         CASE event_id % 5 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN latency / 1000 WHEN 2 THEN -latency / 300 ELSE latency END AS latency FROM {observations}""",
+)
+
+
+@query("latency_summary", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY workload ORDER BY latency) AS rn, count(*) OVER (PARTITION BY workload) AS n FROM {wide_observations} WHERE success),
 q AS (SELECT workload, max(latency) FILTER (rn = greatest(1, CAST(floor(n * 0.5 + 0.999999) AS BIGINT))) AS p50, max(latency) FILTER (rn = greatest(1, CAST(floor(n * 0.95 + 0.999999) AS BIGINT))) AS p95,
   max(latency) FILTER (rn = greatest(1, CAST(floor(n * 0.99 + 0.999999) AS BIGINT))) AS p99 FROM r GROUP BY ALL),
-t AS (SELECT workload, count(*) AS requests, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures, (max(ts_us) - min(ts_us)) / 1000000.0::DOUBLE AS d FROM {observations} GROUP BY ALL)
-SELECT workload, requests, successes, failures, round(d, 6) AS duration_seconds, round(successes / d, 6) AS requests_per_second, p50, p95, p99 FROM t JOIN q USING (workload)""")
+t AS (SELECT workload, count(*) AS requests, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures, (max(ts_us) - min(ts_us)) / 1000000.0::DOUBLE AS d FROM {wide_observations} GROUP BY ALL)
+SELECT t.workload, requests, successes, failures, round(d, 6) AS duration_seconds, round(successes / d, 6) AS requests_per_second, p50, p95, p99 FROM t JOIN q ON t.workload IS NOT DISTINCT FROM q.workload""")
 def latency_summary(t):
-    rows = t.observations.withColumn("at", F.col("ts_us"))
+    rows = t.wide_observations.withColumn("at", F.col("ts_us"))
     out = telemetry.latency_summary(rows, ["workload"])
     return out.withColumn("duration_seconds", F.round("duration_seconds", 6)).withColumn(
         "requests_per_second", F.round("requests_per_second", 6)
@@ -45,10 +53,10 @@ def error_counts(t):
     return telemetry.error_counts(t.observations, ["workload"])
 
 
-@query("sample_measure", """SELECT user_id, count(*) AS n, median(latency) AS median, max(latency) AS max, CASE WHEN count(*) >= 100 THEN quantile_disc(latency, 0.95) END AS p95 FROM {observations} GROUP BY ALL
-UNION ALL SELECT -1, count(*), median(latency), max(latency), quantile_disc(latency, 0.95) FROM {observations}""")
+@query("sample_measure", """SELECT user_id, count(*) AS n, median(latency) AS median, max(latency) AS max, CASE WHEN count(*) >= 100 THEN quantile_disc(latency, 0.95) END AS p95 FROM {wide_observations} GROUP BY ALL
+UNION ALL SELECT -1, count(*), median(latency), max(latency), quantile_disc(latency, 0.95) FROM {wide_observations}""")
 def sample_measure(t):
-    rows = t.observations
+    rows = t.wide_observations
     whole = rows.withColumn("user_id", F.lit(-1).cast("bigint"))
     return telemetry.sample_measure(rows.unionByName(whole), ["user_id"], "latency")
 

@@ -81,19 +81,31 @@ def halving_splitter(load: Callable[[], Callable[[str], int]], limit: int = 4096
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = load()
 
-        def pieces(text: str) -> list[dict]:
-            out, start = [], 0
-            while start < len(text):
-                width = min(limit, len(text) - start)
-                while width and count(text[start : start + width]) > tokens:
-                    width //= 2
-                if not width:
+        def fitting(candidates: pd.Series) -> pd.Series:
+            """Every candidate cut in half, again and again, until all are in bounds."""
+            over = candidates.map(count) > tokens
+            while over.any():
+                if (candidates[over].str.len() == 1).any():
                     raise ValueError("one character is over the token limit")
-                out.append({"piece": text[start : start + width], "start": start})
-                start += width
-            return out
+                candidates = candidates.where(~over, [c[: len(c) // 2] for c in candidates])
+                over &= candidates.map(count) > tokens
+            return candidates
 
         for texts in batches:
-            yield texts.map(lambda s: [] if s is None else pieces(s))
+            # all texts of a batch give off their next piece together, until none is left
+            left = texts.dropna()
+            left = left[left.str.len() > 0]
+            found = {i: [] for i in texts.index}
+            at = pd.Series(0, index=left.index)
+            while len(left):
+                pieces = fitting(left.str.slice(0, limit))
+                for i, piece in pieces.items():
+                    found[i].append({"piece": piece, "start": int(at[i])})
+                sizes = pieces.str.len()
+                at += sizes
+                left = pd.Series([t[n:] for t, n in zip(left, sizes)], index=left.index, dtype=object)
+                left = left[left.str.len() > 0]
+                at = at[left.index]
+            yield pd.Series([found[i] for i in texts.index], index=texts.index)
 
     return split

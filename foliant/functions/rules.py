@@ -76,7 +76,13 @@ def retry_delay(
     return F.least(F.lit(float(cap)), grown) * (1 - F.lit(float(jitter)) * share)
 
 
-# The closed set of failure categories that stages can raise themselves.
+# The closed set of failure categories, of documents and of stages.
+DOCUMENT_CATEGORIES = (
+    "unsupported_format", "invalid_document", "encrypted_document", "source_too_large",
+    "page_limit_exceeded", "extraction_limit_exceeded", "extraction_failed", "integrity_error",
+    "storage_error", "object_conflict", "object_not_found", "scope_mismatch",
+    "serialization_error", "invalid_reference",
+)
 STAGE_CATEGORIES = (
     "idempotency_conflict", "invalid_transition", "job_not_found", "step_not_found",
     "lease_conflict", "stale_fence", "lease_expired", "retry_exhausted", "cancelled",
@@ -85,12 +91,12 @@ STAGE_CATEGORIES = (
     "inference_rate_limited", "inference_timeout", "inference_unavailable",
     "inference_authentication", "inference_configuration", "inference_invalid_response",
     "inference_context_exceeded", "inference_output_limit", "inference_unknown",
-    "governance_denied", "security_denied", "storage_error",
+    "governance_denied", "security_denied",
 )
 
 
 def sanitized_category(category: Column) -> Column:
-    return F.when(category.isin(*STAGE_CATEGORIES), category).otherwise(F.lit("worker_failed"))
+    return F.when(category.isin(*DOCUMENT_CATEGORIES, *STAGE_CATEGORIES), category).otherwise(F.lit("worker_failed"))
 
 
 def failure_class(category: Column, transient_storage: Column) -> Column:

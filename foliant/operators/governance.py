@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.plans.ordered import Scan, ordered_scan, running_sums, sliding_sums
+from foliant.plans.ordered import Scan, join_on, ordered_scan, running_sums, sliding_sums
 
 MONEY = "decimal(38,12)"
 DAY = 86_400_000_000
@@ -29,15 +29,22 @@ def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost by (provider, model) price: (input * price + output * price) / unit.
 
     ``usage``: ``provider, model, input, output, at_us``; ``prices``: ``provider, model, input_price,
-    output_price, price_unit, effective_us``. Adds ``cost`` and ``reason`` (NULL when priced).
+    output_price, price_unit, effective_us``. Adds ``cost`` and ``reason`` (NULL when priced). A price list with two
+    entries for one (provider, model) is ambiguous: its calls have no cost.
     """
-    priced = usage.join(prices, ["provider", "model"], "left")
+    names = ("input_price", "output_price", "price_unit", "effective_us")
+    listed = prices.groupBy("provider", "model").agg(
+        F.count("*").alias("__entries"), *[F.first(n).alias(n) for n in names]
+    )
+    priced = join_on(usage, listed, ["provider", "model"])
     amount = (
         F.col("input_price").cast("decimal(18,9)") * F.col("input").cast("decimal(15,0)")
         + F.col("output_price").cast("decimal(18,9)") * F.col("output").cast("decimal(15,0)")
     )
     late = F.col("effective_us") > F.col("at_us")
-    reason = F.when(F.col("price_unit").isNull() | late, F.lit("pricing_unavailable"))
+    reason = F.when(F.col("__entries") > 1, F.lit("pricing_ambiguous")).when(
+        F.col("price_unit").isNull() | late, F.lit("pricing_unavailable")
+    )
     return priced.select(
         *usage.columns,
         F.when(reason.isNull(), (amount / F.col("price_unit").cast("decimal(10,0)")).cast(MONEY)).alias("cost"),
@@ -227,7 +234,8 @@ def rate_admission(calls: DataFrame, policy: dict, *, width: int) -> DataFrame:
         calls, ["quota"], width * 60, {"active": F.lit(True), "docs_active": bg}
     )
     job_active = concurrent_before(calls, ["quota", "job"], width * 60, {"job_active": bg})
-    rows = rows.join(active, ["quota", "call_id"]).join(job_active, ["quota", "job", "call_id"])
+    rows = join_on(rows, active, ["quota", "call_id"], "inner")
+    rows = join_on(rows, job_active, ["quota", "job", "call_id"], "inner")
     p = policy
     cap = F.when(bg, p["tpm"] - p["interactive_tpm"]).otherwise(p["tpm"])
     denied = (

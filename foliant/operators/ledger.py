@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.plans.fixpoint import reach
-from foliant.plans.ordered import Scan, ordered_scan, previous_row
+from foliant.plans.ordered import Scan, join_on, ordered_scan, previous_row
 from foliant.plans.session import cut_lineage
 
 # Job and step states.
@@ -142,8 +142,7 @@ def generation_numbers(jobs: DataFrame, block: Column) -> DataFrame:
         *part, "base", F.max(F.col("most") - F.col("base")).over(across).alias("earlier")
     )
     return (
-        rows.withColumn("__most", F.max(ahead).over(local))
-        .join(carry, part)
+        join_on(rows.withColumn("__most", F.max(ahead).over(local)), carry, part, "inner")
         .select(
             *jobs.columns,
             (F.col("base") + F.col("__n")).alias("generation"),

@@ -122,8 +122,10 @@ def activation_replay(requests: DataFrame, block_rows: int = 4096) -> DataFrame:
     with one number of state; then all blocks are replayed in parallel. All three steps read
     sorted streams, so no group is gathered.
     """
+    # as text, so that a NULL scope is a key like any other in the sorted streams
+    scope = F.coalesce(F.col("scope").cast("string"), F.lit(""))
     blocked = requests.select(
-        "scope", "position", "expected", F.floor(F.col("position") / block_rows).alias("block")
+        scope.alias("scope"), "position", "expected", F.floor(F.col("position") / block_rows).alias("block")
     )
 
     def effect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +145,7 @@ def activation_replay(requests: DataFrame, block_rows: int = 4096) -> DataFrame:
     effects = (
         blocked.repartition("scope", "block")
         .sortWithinPartitions("scope", "block", F.col("position").desc())
-        .mapInPandas(effect, "scope bigint, block bigint, before bigint, after bigint")
+        .mapInPandas(effect, "scope string, block bigint, before bigint, after bigint")
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +164,7 @@ def activation_replay(requests: DataFrame, block_rows: int = 4096) -> DataFrame:
     entry = (
         effects.repartition("scope")
         .sortWithinPartitions("scope", "block", "before")
-        .mapInPandas(fold, "scope bigint, block bigint, start bigint")
+        .mapInPandas(fold, "scope string, block bigint, start bigint")
     )
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,11 +181,13 @@ def activation_replay(requests: DataFrame, block_rows: int = 4096) -> DataFrame:
                 after.append(epoch)
             yield batch[["scope", "position", "expected"]].assign(accepted=accepted, epoch=after)
 
-    return (
+    replayed = (
         blocked.join(entry, ["scope", "block"])
         .repartition("scope", "block")
         .sortWithinPartitions("scope", "block", "position")
         .mapInPandas(
-            replay, "scope bigint, position bigint, expected bigint, accepted boolean, epoch bigint"
+            replay, "scope string, position bigint, expected bigint, accepted boolean, epoch bigint"
         )
     )
+    kind = requests.schema["scope"].dataType
+    return replayed.withColumn("scope", F.when(F.col("scope") != "", F.col("scope")).cast(kind))

@@ -66,10 +66,6 @@ def _raw_idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def _raw_idf(n: Column, df: Column) -> Column:
-    return F.log(n - df + 0.5) - F.log(df + 0.5)
-
-
 def _vocabulary(tokened: DataFrame, keys: list[str]) -> DataFrame:
     """``keys + [term, df, words]`` per distinct term. Every document also counts once under
     the empty term, which gives the corpus size and the word total in the same pass."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.plans.ordered import Scan, last_row, ordered_scan, running_sums
+from foliant.plans.ordered import Scan, join_on, last_row, ordered_scan, running_sums
 
 # Bucket bounds in seconds.
 BOUNDS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0)
@@ -18,10 +18,16 @@ BOUNDS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 12
 def _cumulative(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys + [value, n, upto, total]``: distinct values with cumulative counts."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    block = F.floor(F.log2(F.greatest(F.abs(F.col(value)), F.lit(1e-9))) * 16) * F.signum(F.col(value))
-    upto = running_sums(counts, keys, block, [F.col(value)], {"upto": F.col("n")})
+    upto = running_sums(counts, keys, value_block(F.col(value)), [F.col(value)], {"upto": F.col("n")})
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    return upto.join(totals, keys)
+    return join_on(upto, totals, keys, "inner")
+
+
+def value_block(value: Column) -> Column:
+    """A whole number that never falls as the value rises: sixteen steps a doubling on either side of zero."""
+    size = F.least(F.greatest(F.abs(value.cast("double")), F.lit(1e-9)), F.lit(1e300))
+    step = F.floor(F.log2(size) * 16) + 480  # 1 or more, as 1e-9 is the smallest
+    return F.when(value == 0, F.lit(0)).when(value < 0, -step).otherwise(step).cast("bigint")
 
 
 def _at_rank(rank: Column, value: str) -> Column:
@@ -53,7 +59,7 @@ def latency_summary(observations: DataFrame, keys: list[str]) -> DataFrame:
         observations.where("success"), keys, "latency", {"p50": 0.50, "p95": 0.95, "p99": 0.99}
     )
     return (
-        totals.join(marks, keys, "left")
+        join_on(totals, marks, keys)
         .withColumn(
             "requests_per_second",
             F.when(F.col("duration_seconds") > 0, F.col("successes") / F.col("duration_seconds")),

@@ -51,7 +51,7 @@ def ordered_scan(
         *[F.min(s.within).alias(f"__w_{n}") for n, s in outputs.items() if s.within is not None],
     )
     carry = totals.select(*part, *[_carried(n, s, keys).alias(f"__c_{n}") for n, s in outputs.items()])
-    joined = _join_on(base, carry, part)
+    joined = join_on(base, carry, part)
     local = Window.partitionBy(*part).orderBy(*order)
     near = {n: s for n, s in outputs.items() if s.kind in ("prev", "next")}
     for n, s in near.items():
@@ -102,8 +102,8 @@ def _merged(n: str, s: Scan, local) -> Column:
     return F.coalesce(F.col(f"__n_{n}"), carry)["v"]
 
 
-def _join_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Left join on keys that may be NULL."""
+def join_on(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys that may be NULL; NULL meets NULL."""
     renamed = right.select(
         *[F.col(n).alias(f"__r_{n}") for n in names],
         *[c for c in right.columns if c not in names],
@@ -112,7 +112,7 @@ def _join_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFra
     for n in names:
         part = F.col(n).eqNullSafe(F.col(f"__r_{n}"))
         cond = part if cond is None else cond & part
-    return left.join(renamed, cond, "left").drop(*[f"__r_{n}" for n in names])
+    return left.join(renamed, cond, how).drop(*[f"__r_{n}" for n in names])
 
 
 def running_sums(df, keys, block, order, sums: Mapping[str, Column], *, inclusive=True) -> DataFrame:

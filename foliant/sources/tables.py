@@ -133,10 +133,29 @@ def object_verify(refs: DataFrame, objects: DataFrame) -> DataFrame:
     )
 
 
+# JSON types, as a variant names them, that each field type takes.
+_JSON_TYPES = {
+    "string": "STRING", "boolean": "BOOLEAN", "tinyint": "BIGINT", "smallint": "BIGINT", "int": "BIGINT", "bigint": "BIGINT",
+    "float": "BIGINT|DECIMAL.*|DOUBLE", "double": "BIGINT|DECIMAL.*|DOUBLE", "decimal": "BIGINT|DECIMAL.*|DOUBLE",
+    "array": "ARRAY.*", "struct": "OBJECT.*", "map": "OBJECT.*",
+}
+
+
+def _typed(body: Column, schema: T.StructType) -> Column:
+    value = F.try_parse_json(body)
+    out = value.isNotNull()
+    for f in schema.fields:
+        found = F.schema_of_variant(F.variant_get(value, f"$['{f.name}']", "variant"))
+        kinds = _JSON_TYPES.get(f.dataType.simpleString().split("<")[0].split("(")[0], ".*")
+        out = out & F.coalesce(found, F.lit("VOID")).rlike(f"^({kinds}{'|VOID' if f.nullable else ''})$")
+    return out
+
+
 def decode_artifacts(raw: DataFrame, schema: T.StructType, *, max_bytes: int) -> DataFrame:
-    """Strict reading of JSON artifacts in ``body``: size, syntax, duplicate and extra fields.
+    """Strict reading of JSON artifacts in ``body``: size, syntax, duplicate and extra fields, types.
 
-    Adds ``record`` (STRUCT) and ``reason`` (NULL when accepted).
+    Adds ``record`` (STRUCT) and ``reason`` (NULL when accepted). A value must have the JSON type of its
+    field, nothing is converted; null is accepted for nullable fields only.
     """
     body, names = F.col("body"), F.col("__names")
     allowed = F.array(*[F.lit(f.name) for f in schema.fields])
@@ -148,6 +167,7 @@ def decode_artifacts(raw: DataFrame, schema: T.StructType, *, max_bytes: int) ->
         .when(F.size(names) != F.size(F.array_distinct(names)), F.lit("duplicate_field"))
         .when(F.size(F.array_except(names, allowed)) > 0, F.lit("extra_field"))
         .when(missing, F.lit("missing_field"))
+        .when(~_typed(body, schema), F.lit("invalid_field"))
     )
     return (
         raw.withColumn("__names", F.json_object_keys(body))

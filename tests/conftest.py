@@ -10,7 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     from foliant.plans.session import build_session
 
-    session = build_session("tests", 4)
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
+    session = build_session("tests", 4, str(tmp_path_factory.mktemp("checkpoint")))
     yield session
     session.stop()
