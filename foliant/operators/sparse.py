@@ -3,14 +3,12 @@
 Weights follow the common Okapi form with k1=1.5, b=0.75 and a floor for negative idf of
 0.25 times the mean idf. The corpus is read twice: once to count its vocabulary, with
 map-side combine, and once to score it. A frequent word meets every query in every document,
-so scoring never forms (query, document) rows: each task multiplies its documents with the
-query weights and keeps its best ``k`` per query. Only those rows are shuffled.
+so scoring never forms (query, document) rows: each task multiplies its documents with a block of
+query weights at a time and keeps its best ``k`` per query. Only those rows are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,11 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import tokens
+from foliant.plans.blocks import against, query_blocks
 from foliant.plans.ordered import top_n
 from foliant.plans.session import cut_lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # fixed values
-WEIGHT_CELLS = 8_000_000  # largest query matrix a task holds, in float64 cells
+BLOCK_WEIGHTS = 4000  # (query, term) weights of a query block, so at most 16 million cells
 _ROW_CELLS = 4_000_000
 DOC = ["source", "chunk_id"]
 
@@ -107,65 +106,44 @@ def _saturation(tf, dl, avgdl):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _cells(wanted: DataFrame) -> int:
-    """Terms times queries of the query matrix: two counts, no rows."""
-    row = wanted.agg(F.countDistinct("term").alias("t"), F.countDistinct("query_id").alias("q")).head()
-    return row["t"] * row["q"]
-
-
-def _share(weights: DataFrame):
-    """The measured-small query side as (query ids, terms, matrix), broadcast."""
-    rows = weights.toPandas()  # at most WEIGHT_CELLS, checked by the caller
-    ids, cols = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
-    names, lines = np.unique(rows["term"].to_numpy(dtype=str), return_inverse=True)
-    matrix = np.zeros((len(names), len(ids)))
-    matrix[lines, cols] = rows["w"].to_numpy(dtype=float)
-    return weights.sparkSession.sparkContext.broadcast((ids.tolist(), names.tolist(), matrix))
-
-
-def _task_topk(names: list[str], k: int, shared, postings, carry: list[str] | None = None):
-    """A mapInArrow function: best ``k`` rows per query of the task, equal scores by ``names``
-    (the last one as text); the ``carry`` columns go along.
+def _scored(rows: DataFrame, weights: DataFrame, names: list[str], k: int, postings, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Best ``k`` rows per query of each task, equal scores by ``names`` (the last one as text).
 
-    ``postings(batch, index_of)`` gives row, term and value arrays of one Arrow batch.
+    ``weights``: ``query_id, term, w``; ``postings(batch, vocabulary)`` gives row, term and value arrays of one
+    Arrow batch of ``rows``. The columns ``carry`` go along.
     """
-
-    columns = [*(carry or []), *names]
+    columns = [*carry, *names]
 
     def cut(frame: pd.DataFrame) -> pd.DataFrame:
         ranked = frame.assign(r=-frame["score"].round(9), t=frame[names[-1]].astype(str))
         ranked = ranked.sort_values(["query_id", "r", *names[:-1], "t"], kind="stable")
         return ranked.groupby("query_id", sort=False).head(k).drop(columns=["r", "t"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, terms, weights = shared.value
-        vocabulary = pa.array(terms, pa.string())
-        query_ids = np.array(ids)
-        step = max(16, _ROW_CELLS // max(1, max(weights.shape)))
-        best = None
-        for batch in batches:
-            if not batch.num_rows or not ids:
-                continue
-            rows, cols, values = postings(batch, vocabulary)
-            keys = {n: batch.column(batch.schema.get_field_index(n)).to_pandas() for n in columns}
-            for lo in range(0, batch.num_rows, step):
-                hi = min(lo + step, batch.num_rows)
-                mine = (rows >= lo) & (rows < hi)
-                block = np.zeros((hi - lo, len(terms)))
-                block[rows[mine] - lo, cols[mine]] = values[mine]
-                score = block @ weights
-                rounded = score.round(9)
-                place = max(0, len(score) - k)
-                floor = np.partition(rounded, place, axis=0)[place]
-                r, q = np.nonzero((rounded >= floor) & (score > 0))
-                found = pd.DataFrame({"query_id": query_ids[q], "score": score[r, q]})
-                for n in columns:
-                    found[n] = keys[n].to_numpy()[lo + r]
-                best = cut(found if best is None else pd.concat([best, found], ignore_index=True))
-        if best is not None and len(best):
-            yield pa.RecordBatch.from_pandas(best[["query_id", *columns, "score"]], preserve_index=False)
-
-    return scan
+    def compare(batch: pa.RecordBatch, block: pa.StructArray) -> pa.RecordBatch | None:
+        ids, cols = np.unique(block.field("query_id").to_numpy(zero_copy_only=False), return_inverse=True)
+        terms, lines = np.unique(block.field("term").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        weight = np.zeros((len(terms), len(ids)))
+        weight[lines, cols] = block.field("w").to_numpy(zero_copy_only=False)
+        rows, at, values = postings(batch, pa.array(terms.tolist(), pa.string()))
+        keys = {n: batch.column(batch.schema.get_field_index(n)).to_pandas() for n in columns}
+        step, found = max(16, _ROW_CELLS // max(1, max(weight.shape))), []
+        for lo in range(0, batch.num_rows, step):
+            hi = min(lo + step, batch.num_rows)
+            mine = (rows >= lo) & (rows < hi)
+            part = np.zeros((hi - lo, len(terms)))
+            part[rows[mine] - lo, at[mine]] = values[mine]
+            score = part @ weight
+            rounded = score.round(9)
+            place = max(0, len(score) - k)
+            r, q = np.nonzero((rounded >= np.partition(rounded, place, axis=0)[place]) & (score > 0))
+            found.append(pd.DataFrame({"query_id": ids[q], **{n: keys[n].to_numpy()[lo + r] for n in columns}, "score": score[r, q]}))
+        best = cut(pd.concat(found, ignore_index=True)) if found else None
+        return None if best is None or best.empty else pa.RecordBatch.from_pandas(best, preserve_index=False)
+
+    def merge(table: pa.Table) -> pa.Table:
+        return pa.Table.from_pandas(cut(table.to_pandas()), table.schema, preserve_index=False)
+
+    return against(rows, query_blocks(weights, "query_id", BLOCK_WEIGHTS), compare, merge, schema)
 
 
 def _flat(column) -> tuple[np.ndarray, pa.Array]:
@@ -178,22 +156,17 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Top ``k`` documents per query; equal scores keep corpus order.
 
     Scores are compared at nine places, because the order of a distributed sum is not fixed.
-    Query sets over ``WEIGHT_CELLS`` are scored with joins instead.
     """
-    wanted = query_terms(queries)
     order = [
         F.round("score", 9).desc(), F.col("source").asc(), F.col("chunk_id").cast("string").asc()
     ]
-    if _cells(wanted) > WEIGHT_CELLS:
-        return top_n(joined_scores(corpus, queries), ["query_id"], order, k)
     tokened = tokenized(corpus)
-    weighted = wanted.join(term_stats(tokened), "term").select(
+    stats = term_stats(tokened)
+    weights = query_terms(queries).join(stats.withColumnRenamed("term", "__t"), F.col("term") == F.col("__t")).select(
         "query_id", "term", (F.col("weight") * F.col("idf")).alias("w"), "avgdl"
     )
-    weights = cut_lineage(weighted)
-    shared = _share(weights)
-    head = weights.select("avgdl").head()
-    avgdl = float(head["avgdl"]) if head else 1.0
+    weights = cut_lineage(weights)
+    average = weights.select(F.max("avgdl").alias("avgdl"))  # one number, the same in every row
 
     def postings(batch, vocabulary):
         column = batch.column(batch.schema.get_field_index("terms"))
@@ -204,34 +177,16 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         pairs, tf = np.unique(
             rows[held] * size + found[held].astype(np.int64), return_counts=True
         )
-        dl = batch.column(batch.schema.get_field_index("dl")).to_numpy(zero_copy_only=False)
+        dl, avgdl = (
+            batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("dl", "avgdl")
+        )
         at = pairs // size
-        return at, pairs % size, _saturation(tf, dl[at], avgdl)
+        return at, pairs % size, _saturation(tf, dl[at], avgdl[at])
 
     types = dict(corpus.select(*DOC).dtypes)
     schema = f"query_id bigint, source {types['source']}, chunk_id {types['chunk_id']}, score double"
-    local = tokened.mapInArrow(_task_topk(DOC, k, shared, postings), schema)
-    return top_n(local, ["query_id"], order, k)
-
-
-def joined_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every positive (query, document) score, for query sets too large for one matrix."""
-    tokened = tokenized(corpus)
-    wanted = query_terms(queries)
-    weighted = wanted.join(term_stats(tokened), "term")
-    hits = (
-        tokened.select(*DOC, "dl", F.explode("terms").alias("term"))
-        .join(wanted.select("term").distinct(), "term", "left_semi")
-        .groupBy(*DOC, "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    part = _saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return (
-        hits.join(weighted, "term")
-        .groupBy("query_id", *DOC)
-        .agg(F.sum(F.col("weight") * F.col("idf") * part).alias("score"))
-        .where(F.col("score") > 0)
-    )
+    rows = tokened.withColumn("avgdl", F.coalesce(average.scalar(), F.lit(1.0)))
+    return top_n(_scored(rows, weights.drop("avgdl"), DOC, k, postings, schema), ["query_id"], order, k)
 
 
 def _isolated_parts(records: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -242,20 +197,21 @@ def _isolated_parts(records: DataFrame, wanted: DataFrame) -> DataFrame:
     ).withColumn("dl", F.size("terms"))
     counts = _vocabulary(tokened, ["document_id"])
     sizes = counts.where("term = ''").select(
-        "document_id", F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl")
+        F.col("document_id").alias("d_n"), F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl")
     )
     raw = (
         counts.where("term <> ''")
-        .join(sizes, "document_id")
+        .join(sizes, F.col("document_id") == F.col("d_n"))
         .withColumn("raw", _raw_idf(F.col("n"), F.col("df")))
     )
-    floors = raw.groupBy("document_id").agg((F.avg("raw") * EPSILON).alias("floor"))
-    vocabulary = wanted.select("term").distinct()
+    floors = raw.groupBy(F.col("document_id").alias("d_f")).agg((F.avg("raw") * EPSILON).alias("floor"))
+    vocabulary = cut_lineage(wanted.select("term").distinct())
+    # under new names, as the documents meet statistics made of themselves
     idf = (
         raw.join(vocabulary, "term", "left_semi")
-        .join(floors, "document_id")
+        .join(floors, F.col("document_id") == F.col("d_f"))
         .select(
-            "document_id", "term", "avgdl",
+            F.col("document_id").alias("d"), F.col("term").alias("t"), "avgdl",
             F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"),
         )
     )
@@ -266,7 +222,7 @@ def _isolated_parts(records: DataFrame, wanted: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     part = F.col("idf") * _saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return hits.join(idf, ["document_id", "term"]).select(
+    return hits.join(idf, (F.col("document_id") == F.col("d")) & (F.col("term") == F.col("t"))).select(
         "document_id", "record_id", "term", part.alias("part")
     )
 
@@ -282,15 +238,6 @@ def isolated_search(records: DataFrame, queries: DataFrame, k: int = 8) -> DataF
     parts = _isolated_parts(records, wanted)
     order = [F.round("score", 9).desc(), F.col("record_id").asc()]
     names = ["document_id", "record_id"]
-    if _cells(wanted) > WEIGHT_CELLS:
-        scored = (
-            parts.join(wanted, "term")
-            .groupBy("query_id", *names)
-            .agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
-            .where(F.col("score") > 0)
-        )
-        return top_n(scored, ["query_id"], order, k)
-    shared = _share(wanted.withColumnRenamed("weight", "w"))
     listed = parts.groupBy(*names).agg(
         F.collect_list("term").alias("terms"), F.collect_list("part").alias("parts")
     )
@@ -303,5 +250,5 @@ def isolated_search(records: DataFrame, queries: DataFrame, k: int = 8) -> DataF
 
     types = dict(records.select(*names).dtypes)
     schema = f"query_id bigint, document_id {types['document_id']}, record_id {types['record_id']}, score double"
-    scan = _task_topk(["record_id"], k, shared, postings, carry=["document_id"])
-    return top_n(listed.mapInArrow(scan, schema), ["query_id"], order, k)
+    weights = wanted.withColumnRenamed("weight", "w").withColumn("w", F.col("w").cast("double"))
+    return top_n(_scored(listed, weights, ["record_id"], k, postings, schema, ("document_id",)), ["query_id"], order, k)

@@ -1,67 +1,40 @@
 """Exact vector search and routing without a cross join.
 
-The smaller side is turned into a matrix when its measured size is under a byte limit;
-each task multiplies Arrow batches of the large side with it and keeps only its best ``k``
-rows per query. A smaller side over the limit is cut into a grid of hash blocks: both sides
-are shuffled by (block pair) and every cell does the same product, so no side has to fit
-anywhere as a whole and the answer stays exact.
+Queries (or exemplars) are cut into blocks; every task multiplies its rows with a block at a time and
+keeps the best rows per query. Only those are shuffled, and ranked once more.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.plans.blocks import against, query_blocks
 from foliant.plans.ordered import first_row, top_n
 
-FIXED_LIMIT_BYTES = 64 << 20
-GRID_ROWS = 50_000
-_COLUMNS = 256
+BLOCK_ROWS = 2048  # vectors of a query block
+_CELLS = 1 << 22
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
     rows = len(column)
-    flat = column.flatten() if hasattr(column, "flatten") else column
-    values = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64)
+    values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
     return values.reshape(rows, -1) if rows else values.reshape(0, 0)
 
 
-def _squared_l2(block: np.ndarray, fixed: np.ndarray) -> np.ndarray:
-    d = (block**2).sum(1)[:, None] - 2.0 * block @ fixed.T + (fixed**2).sum(1)[None, :]
-    return np.round(np.maximum(d, 0.0), 9)
-
-
-def _best(ids, block, query_ids, queries, k, kept):
-    """Fold one block of vectors into ``kept``: query id -> list of (distance, id)."""
-    for lo in range(0, len(query_ids), _COLUMNS):
-        part = queries[lo : lo + _COLUMNS]
-        d = _squared_l2(block, part)
-        cut = np.partition(d, min(k, len(d)) - 1, axis=0)[min(k, len(d)) - 1]
-        rows, cols = np.nonzero(d <= cut)
-        for r, c in zip(rows, cols):
-            kept.setdefault(query_ids[lo + c], []).append((float(d[r, c]), ids[r]))
-    for q, found in kept.items():
-        if len(found) > k:
-            found.sort()
-            del found[k:]
-    return kept
-
+def _cut(query: np.ndarray, other: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` smallest (value, other) of each query."""
+    order = np.lexsort((other, value, query))
+    query = query[order]
+    first = np.concatenate([[0], np.flatnonzero(query[1:] != query[:-1]) + 1]) if len(query) else np.zeros(0, int)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return order[place < k]
 
-def _fits(df: DataFrame, dims: int) -> bool:
-    rows = max(1, FIXED_LIMIT_BYTES // (8 * dims))
-    return df.limit(rows + 1).count() <= rows
 
-
-def _dims(df: DataFrame, column: str) -> int:
-    row = df.select(F.size(column).alias("n")).where("n > 0").head()
-    return row["n"] if row else 1
+def _best_rows(table: pa.Table, k: int) -> pa.Table:
+    return table.take(pa.array(_cut(*(table.column(c).to_numpy() for c in ("query_id", "id", "distance")), k)))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -70,75 +43,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ``vectors``: ``id BIGINT, embedding``; ``queries``: ``query_id BIGINT, embedding``.
     Equal distances (nine places) are ordered by id.
     """
-    vecs = vectors.select("id", "embedding").where("embedding is not null")
-    asks = queries.select("query_id", "embedding").where("embedding is not null")
-    dims = _dims(asks, "embedding")
-    schema = "query_id bigint, id bigint, distance double"
-    if _fits(asks, dims):
-        rows = asks.collect()  # at most FIXED_LIMIT_BYTES, checked above
-        ids = [r["query_id"] for r in rows]
-        shared = vectors.sparkSession.sparkContext.broadcast(
-            (ids, np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(ids), dims))
-        )
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, matrix = shared.value
-            kept: dict = {}
-            for batch in batches:
-                if batch.num_rows and query_ids:
-                    _best(
-                        batch.column(0).to_pylist(), _matrix(batch.column(1)),
-                        query_ids, matrix, k, kept,
-                    )
-            yield _as_batch(kept)
-
-        local = vecs.mapInArrow(scan, schema)
-    else:
-        local = _grid(vecs, asks, k, schema)
-    return top_n(local, ["query_id"], [F.col("distance").asc(), F.col("id").asc()], k)
-
-
-def _as_batch(kept: dict) -> pa.RecordBatch:
-    triples = [(q, i, d) for q, found in kept.items() for d, i in found]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([t[0] for t in triples], pa.int64()),
-            pa.array([t[1] for t in triples], pa.int64()),
-            pa.array([t[2] for t in triples], pa.float64()),
-        ],
-        names=["query_id", "id", "distance"],
-    )
-
-
-def _grid(vecs: DataFrame, asks: DataFrame, k: int, schema: str) -> DataFrame:
-    across = max(1, math.ceil(vecs.count() / GRID_ROWS))
-    down = max(1, math.ceil(asks.count() / GRID_ROWS))
-    left = vecs.select(
-        "*",
-        F.pmod(F.xxhash64("id"), F.lit(across)).cast("int").alias("vb"),
-        F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("qb"),
+    vecs = vectors.select("id", "embedding").where("embedding is not null and id is not null")
+    asks = queries.select("query_id", "embedding").where("embedding is not null and query_id is not null")
+
+    def compare(payload: pa.RecordBatch, block: pa.StructArray) -> pa.RecordBatch:
+        ids, x = payload.column(0).to_numpy(zero_copy_only=False), _matrix(payload.column(1))
+        all_ids, all_q = block.field("query_id").to_numpy(zero_copy_only=False), _matrix(block.field("embedding"))
+        step, found = max(1, _CELLS // max(1, len(ids))), []
+        for at in range(0, len(all_ids), step):
+            q = all_q[at : at + step]
+            d = np.maximum((x**2).sum(1)[:, None] - 2.0 * x @ q.T + (q**2).sum(1)[None, :], 0.0).round(9)
+            least = min(k, len(ids)) - 1
+            row, column = np.nonzero(d <= np.partition(d, least, axis=0)[least])  # with all ties
+            found.append((all_ids[at + column], ids[row], d[row, column]))
+        query_id, other, value = (np.concatenate(c) for c in zip(*found, strict=True))
+        keep = _cut(query_id, other, value, k)
+        return pa.RecordBatch.from_pydict({"query_id": query_id[keep], "id": other[keep], "distance": value[keep]})
+
+    local = against(
+        vecs, query_blocks(asks, "query_id", BLOCK_ROWS), compare, lambda t: _best_rows(t, k), "query_id bigint, id bigint, distance double"
     )
-    right = asks.select(
-        "*",
-        F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("vb"),
-    )
-
-    def cell(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(v) or not len(q):
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        kept: dict = {}
-        matrix = np.stack(q["embedding"].to_numpy()).astype(np.float64)
-        query_ids = q["query_id"].tolist()
-        for lo in range(0, len(v), 8192):
-            part = v.iloc[lo : lo + 8192]
-            _best(
-                part["id"].tolist(), np.stack(part["embedding"].to_numpy()).astype(np.float64),
-                query_ids, matrix, k, kept,
-            )
-        return _as_batch(kept).to_pandas()
-
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(cell, schema)
+    return top_n(local, ["query_id"], [F.col("distance").asc(), F.col("id").asc()], k)
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -170,16 +95,6 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1.0, norm)
 
 
-def _best_per_route(asks: np.ndarray, fixed: np.ndarray, codes: np.ndarray, n: int, best: int):
-    """(rows, routes, best) cosines in falling order, padded with NaN."""
-    cos = _unit(asks) @ fixed.T
-    out = np.full((len(asks), n, best), np.nan)
-    for r in range(n):
-        mine = -np.sort(-cos[:, codes == r], axis=1)[:, :best]
-        out[:, r, : mine.shape[1]] = mine
-    return out
-
-
 def semantic_route(
     queries: DataFrame,
     exemplars: DataFrame,
@@ -191,80 +106,32 @@ def semantic_route(
     """Route each query by the mean cosine of the best three exemplars of each route.
 
     ``queries``: ``query_id BIGINT, embedding``; ``exemplars``: ``route STRING, embedding``.
-    Exemplars under the byte limit need no shuffle at all. Beyond it they are used in hash
-    blocks, one product per block, and the best cosines are merged per (query, route).
+    The exemplars are used in blocks; the best cosines of the blocks are merged per (query, route).
+    Without any exemplar every query takes the fallback.
     """
     asks = queries.select("query_id", "embedding").where("embedding is not null")
-    sets = exemplars.select("route", "embedding").where("embedding is not null")
-    rows = max(1, FIXED_LIMIT_BYTES // (8 * _dims(sets, "embedding")))
-    if _fits(sets, _dims(sets, "embedding")):
-        shared = _share(sets)
-
-        def choose(batches):
-            routes, codes, fixed = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                if not routes:
-                    none = [pa.nulls(batch.num_rows, t) for t in (pa.string(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), *none], names=["query_id", "route", "score"]
-                    )
-                    continue
-                sims = _best_per_route(_matrix(batch.column(1)), fixed, codes, len(routes), best)
-                score = np.round(np.nanmean(sims, axis=2), 9)
-                pick = score.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([routes[i] for i in pick], pa.string()),
-                        pa.array(score[np.arange(len(pick)), pick], pa.float64()),
-                    ],
-                    names=["query_id", "route", "score"],
-                )
+    sets = exemplars.select("route", "embedding").where("embedding is not null and route is not null")
+
+    def compare(payload: pa.RecordBatch, block: pa.StructArray) -> pa.RecordBatch:
+        ids, x = payload.column(0), _unit(_matrix(payload.column(1)))
+        routes, codes = np.unique(block.field("route").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        cosines, found = x @ _unit(_matrix(block.field("embedding"))).T, []
+        for r in range(len(routes)):
+            mine = -np.sort(-cosines[:, codes == r], axis=1)[:, :best]
+            row = np.repeat(np.arange(len(ids)), mine.shape[1])
+            found.append((row, np.full(len(row), r), mine.ravel()))
+        row, route, value = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(row)), pa.array(routes[route].tolist(), pa.string()), pa.array(value)], ["query_id", "route", "cosine"]
+        )
 
-        chosen = asks.mapInArrow(choose, "query_id bigint, route string, score double")
-    else:
-        blocks = math.ceil(sets.count() / rows) * 2
-        keyed = sets.withColumn("b", F.pmod(F.xxhash64("embedding"), F.lit(blocks)))
-        parts = [_block_cosines(asks, keyed.where(F.col("b") == b), best) for b in range(blocks)]
-        merged = reduce(DataFrame.unionByName, parts)
-        top = top_n(merged, ["query_id", "route"], [F.col("cosine").desc()], best, "r")
-        mean = top.groupBy("query_id", "route").agg(F.round(F.avg("cosine"), 9).alias("score"))
-        chosen = first_row(mean, ["query_id"], [-F.col("score"), F.col("route")])
-    return chosen.select(
+    blocks = query_blocks(sets.withColumn("part", F.monotonically_increasing_id()), "part", BLOCK_ROWS)
+    local = against(asks, blocks, compare, lambda t: t, "query_id bigint, route string, cosine double")
+    top = top_n(local, ["query_id", "route"], [F.col("cosine").desc()], best, "r")
+    mean = top.groupBy("query_id", "route").agg(F.round(F.avg("cosine"), 9).alias("score"))
+    chosen = first_row(mean, ["query_id"], [-F.col("score"), F.col("route")]).withColumnRenamed("query_id", "__q")
+    return asks.join(chosen, F.col("query_id") == F.col("__q"), "left").select(
         "query_id",
         F.when(F.col("score") >= threshold, F.col("route")).otherwise(F.lit(fallback)).alias("route"),
         F.col("score").alias("confidence"),
     )
-
-
-def _share(sets: DataFrame):
-    found = sets.collect()  # under the byte limit, measured by the caller
-    routes = sorted({r["route"] for r in found})
-    codes = np.array([routes.index(r["route"]) for r in found])
-    width = len(found[0]["embedding"]) if found else 1
-    fixed = _unit(np.array([r["embedding"] for r in found], dtype=np.float64).reshape(-1, width))
-    return sets.sparkSession.sparkContext.broadcast((routes, codes, fixed))
-
-
-def _block_cosines(asks: DataFrame, block: DataFrame, best: int) -> DataFrame:
-    shared = _share(block.select("route", "embedding"))
-
-    def scan(batches):
-        routes, codes, fixed = shared.value
-        for batch in batches:
-            if not batch.num_rows or not routes:
-                continue
-            sims = _best_per_route(_matrix(batch.column(1)), fixed, codes, len(routes), best)
-            q, r, b = np.nonzero(~np.isnan(sims))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(q)),
-                    pa.array([routes[i] for i in r], pa.string()),
-                    pa.array(sims[q, r, b], pa.float64()),
-                ],
-                names=["query_id", "route", "cosine"],
-            )
-
-    return asks.mapInArrow(scan, "query_id bigint, route string, cosine double")

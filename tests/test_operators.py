@@ -82,31 +82,43 @@ def test_dense_score_and_cut(spark):
     assert one[0].score == pytest.approx(0.8)
 
 
-def test_nearest_grid_equals_broadcast(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    data = rng.normal(size=(300, 8)).round(3)
-    data[50:60] = data[50]  # equal distances
-    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "id bigint, embedding array<double>")
-    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(40, 8)))], "query_id bigint, embedding array<double>")
-    near = rows_of(vectors.nearest(v, q, 6), "query_id", "rank", "id", "distance")
-    monkeypatch.setattr(vectors, "FIXED_LIMIT_BYTES", 64)
-    monkeypatch.setattr(vectors, "GRID_ROWS", 37)
-    assert rows_of(vectors.nearest(v, q, 6), "query_id", "rank", "id", "distance") == near
-    qs = {r.query_id: np.array(r.embedding) for r in q.collect()}
-    for i, rank, vid, dist in near:
-        d = ((data - qs[i]) ** 2).sum(1).round(9)
-        assert sorted(zip(d, range(300)))[rank - 1][1] == vid
-
-
-def test_route_blocks_equal_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("rows, adaptive", [(2048, "true"), (7, "true"), (7, "false")])
+def test_nearest_in_blocks(spark, monkeypatch, rows, adaptive):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", rows)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m" if adaptive == "true" else "-1")
+    try:
+        rng = np.random.default_rng(3)
+        data = rng.normal(size=(300, 8)).round(3)
+        data[50:60] = data[50]  # equal distances
+        v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "id bigint, embedding array<double>").repartition(3)
+        asked = rng.normal(size=(40, 8))
+        asked[5] = data[50]
+        q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "query_id bigint, embedding array<double>")
+        near = rows_of(vectors.nearest(v, q, 6), "query_id", "rank", "id", "distance")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = []
+    for i, x in enumerate(asked):
+        d = ((data - x) ** 2).sum(1).round(9)
+        want += [(i, r + 1, vid) for r, (_, vid) in enumerate(sorted(zip(d, range(300)))[:6])]
+    assert [(a, b, c) for a, b, c, _ in near] == want
+
+
+@pytest.mark.parametrize("rows", [2048, 5])
+def test_route_in_blocks(spark, monkeypatch, rows):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", rows)
     rng = np.random.default_rng(4)
-    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(50, 6)))], "query_id bigint, embedding array<double>")
-    e = spark.createDataFrame([(f"r{i % 4}", x.tolist()) for i, x in enumerate(rng.normal(size=(18, 6)))], "route string, embedding array<double>")
-    whole = rows_of(vectors.semantic_route(q, e), "query_id", "route", "confidence")
-    monkeypatch.setattr(vectors, "FIXED_LIMIT_BYTES", 6 * 8 * 5)
-    parts = rows_of(vectors.semantic_route(q, e), "query_id", "route", "confidence")
-    assert [(a, b) for a, b, _ in whole] == [(a, b) for a, b, _ in parts]
-    assert np.allclose([c for *_, c in whole], [c for *_, c in parts])
+    asked, known = rng.normal(size=(50, 6)), rng.normal(size=(18, 6))
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "query_id bigint, embedding array<double>")
+    e = spark.createDataFrame([(f"r{i % 4}", x.tolist()) for i, x in enumerate(known)], "route string, embedding array<double>")
+    got = rows_of(vectors.semantic_route(q, e), "query_id", "route", "confidence")
+    cos = (asked / np.linalg.norm(asked, axis=1)[:, None]) @ (known / np.linalg.norm(known, axis=1)[:, None]).T
+    means = np.array([[np.sort(c[r::4])[::-1][:3].mean() for r in range(4)] for c in cos])
+    want = [(f"r{m.argmax()}" if m.max() >= 0.2 else "direct", m.max()) for m in means]
+    assert [r for _, r, _ in got] == [r for r, _ in want]
+    assert np.allclose([c for *_, c in got], [c for _, c in want])
 
 
 def brute_bm25(docs, query):
@@ -124,9 +136,12 @@ def brute_bm25(docs, query):
     ]
 
 
-@pytest.mark.parametrize("cells", [10**6, 0])
-def test_bm25_both_paths(spark, monkeypatch, cells):
-    monkeypatch.setattr(sparse, "WEIGHT_CELLS", cells)
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("weights", [4000, 2])
+def test_bm25_in_blocks(spark, monkeypatch, request, weights, adaptive):
+    monkeypatch.setattr(sparse, "BLOCK_WEIGHTS", weights)
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.adaptive.enabled", "true"))
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     docs = ["alpha dense vector", "beta text text", "gamma text", "gamma text", "delta beta", "", "alpha alpha beta"]
     docs += ["copy of one text body"] * 40  # a group of copies: ties in corpus order
     corpus = spark.createDataFrame([(f"s{i % 2}", i, d) for i, d in enumerate(docs)], "source string, chunk_id bigint, text string")
@@ -142,9 +157,12 @@ def test_bm25_both_paths(spark, monkeypatch, cells):
         assert mine == want, ask
 
 
-@pytest.mark.parametrize("cells", [10**6, 0])
-def test_isolated_uses_own_statistics(spark, monkeypatch, cells):
-    monkeypatch.setattr(sparse, "WEIGHT_CELLS", cells)
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("weights", [4000, 2])
+def test_isolated_uses_own_statistics(spark, monkeypatch, request, weights, adaptive):
+    monkeypatch.setattr(sparse, "BLOCK_WEIGHTS", weights)
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.adaptive.enabled", "true"))
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     records = [("d1", "r1", "alpha beta"), ("d1", "r2", "beta gamma"), ("d1", "r3", "delta"), ("d2", "r4", "alpha alpha"), ("d2", "r5", "beta")]
     df = spark.createDataFrame(records, "document_id string, record_id string, text string")
     q = spark.createDataFrame([(0, "alpha gamma")], "query_id bigint, text string")
