@@ -72,17 +72,6 @@ view(
     """SELECT r.* FROM {records} r JOIN {labels} l ON l.doc_id = r.document_id
        WHERE l.quality = 1 AND l.toxic = 0""",
 )
-# The three longest records of each labelled document stand for the hits of one question.
-view(
-    "hits",
-    """SELECT query_id, record_id, rank, text FROM (
-         SELECT r.document_id AS query_id, r.record_id, r.text,
-           row_number() OVER (PARTITION BY r.document_id
-                              ORDER BY length(r.text) DESC, r.start) AS rank
-         FROM {records} r JOIN {labels} l ON l.doc_id = r.document_id) x
-       WHERE rank <= 3""",
-)
-
 BM25 = f"""
 tok AS (SELECT source, chunk_id, {tok('text')} AS terms FROM {{corpus}}),
 size AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM tok),
@@ -119,6 +108,22 @@ dn AS (SELECT query_id, source, chunk_id, score,
 """
 
 
+def _record_hits(t):
+    """Real hits: the records of all documents that score best for each question."""
+    corpus = t.records.select(F.col("document_id").alias("source"), F.col("record_id").alias("chunk_id"), "text")
+    found = sparse.search(corpus, t.asks, 3).select("query_id", F.col("chunk_id").alias("record_id"), "rank")
+    return found.join(t.records.select("record_id", "document_id", "text"), "record_id")
+
+
+view("record_corpus", "SELECT document_id AS source, record_id AS chunk_id, text FROM {records}")
+view(
+    "hits",
+    _record_hits,
+    f"""WITH {BM25.replace("{corpus}", "{record_corpus}")}
+    SELECT query_id, r.record_id, rank, r.document_id, r.text FROM bm JOIN {{records}} r ON r.record_id = bm.chunk_id WHERE rank <= 3""",
+)
+
+
 def dense_sql(pool: str) -> str:
     return DENSE.replace("{pool}", pool).replace("FROM ask_vectors q", "FROM {ask_vectors} q")
 
@@ -311,7 +316,7 @@ view(
     "claimed_hits",
     """SELECT query_id, rank,
          CASE WHEN rank = 3 AND query_id % 5 = 0 THEN concat(record_id, ':x') ELSE record_id END AS record_id,
-         query_id + CASE WHEN rank = 1 AND query_id % 3 = 0 THEN 1 ELSE 0 END AS document_id,
+         document_id + CASE WHEN rank = 1 AND query_id % 3 = 0 THEN 1 ELSE 0 END AS document_id,
          CASE WHEN rank = 2 AND query_id % 4 = 0 THEN concat(text, '!') ELSE text END AS text
        FROM {hits}""",
 )
@@ -328,27 +333,39 @@ def hit_provenance(t):
     )
 
 
-@query("citations", """SELECT h.query_id, 'C' || row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS citation,
-  r.record_id, r.document_id, r.start, r."end", md5(substr(d.text, r.start + 1, r."end" - r.start)) AS excerpt_md5
-FROM {hits} h JOIN {records} r USING (record_id) JOIN {documents} d ON d.doc_id = r.document_id""")
+CITED = """j AS (SELECT h.query_id, h.record_id, h.rank, r.document_id, r.start, r."end", substr(d.text, r.start + 1, r."end" - r.start) AS excerpt,
+  CASE WHEN r.record_id IS NULL THEN 'unknown_record' WHEN d.doc_id IS NULL THEN 'unknown_document'
+    WHEN substr(d.text, r.start + 1, r."end" - r.start) IS DISTINCT FROM h.text THEN 'excerpt_differs' END AS reason
+  FROM {hits} h LEFT JOIN {records} r USING (record_id) LEFT JOIN {documents} d ON d.doc_id = r.document_id)"""
+
+
+@query("citations", f"""WITH {CITED} SELECT query_id, 'C' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS citation,
+  record_id, document_id, start, "end", md5(excerpt) AS excerpt_md5
+FROM j WHERE query_id NOT IN (SELECT query_id FROM j WHERE reason IS NOT NULL)""")
 def citations(t):
-    units = t.documents.select(F.col("doc_id").alias("document_id"), "text")
-    found = ranking.citations(
-        t.hits.select("query_id", "record_id", "rank"), t.records.drop("text"), units
-    )
+    found = ranking.citations(t.hits, t.records.drop("text"), _units(t))
     return found.withColumn("excerpt_md5", F.md5("excerpt")).drop("excerpt")
 
 
+def _units(t):
+    return t.documents.select(F.col("doc_id").alias("document_id"), "text")
+
+
+@query("citation_failures", f"WITH {CITED.replace('{hits}', '{claimed_hits}')} SELECT query_id, record_id, reason FROM j WHERE reason IS NOT NULL")
+def citation_failures(t):
+    return ranking.citation_failures(t.claimed_hits, t.records.drop("text"), _units(t))
+
+
 view(
     "supplied_citations",
     "SELECT query_id AS answer_id, concat('C', CAST(rank AS STRING)) AS citation FROM {hits}",
 )
 view(
     "cited_text",
-    """SELECT doc_id AS answer_id, quality = 1 AS available,
-         CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN 'C1,C1'
-              WHEN doc_id % 7 = 2 THEN 'C1,C9' WHEN doc_id % 7 = 3 THEN 'C2,C3' ELSE 'C1' END AS cited
-       FROM {labels}""",
+    """SELECT item_id AS answer_id, item_id % 2 = 0 AS available,
+         CASE WHEN item_id % 7 = 0 THEN '' WHEN item_id % 7 = 1 THEN 'C1,C1'
+              WHEN item_id % 7 = 2 THEN 'C1,C9' WHEN item_id % 7 = 3 THEN 'C2,C3' ELSE 'C1' END AS cited
+       FROM {benchmark}""",
 )
 
 

@@ -81,32 +81,43 @@ def check_hits(hits: DataFrame, records: DataFrame, columns: Sequence[str]) -> D
     return joined.select(*hits.columns, verdict.otherwise(F.lit("ok")).alias("verdict"))
 
 
+def _cited(hits: DataFrame, records: DataFrame, units: DataFrame) -> DataFrame:
+    """Hits with the text that their record's stored span cuts out of the source unit, and why one is invalid."""
+    known = records.select("record_id", "document_id", "start", "end").withColumn("__record", F.lit(True))
+    texts = units.select(F.col("document_id").alias("__unit"), F.col("text").alias("unit_text"))
+    joined = hits.select("query_id", "record_id", "rank", "text").join(known, "record_id", "left")
+    joined = joined.join(texts, F.col("document_id") == F.col("__unit"), "left")
+    excerpt = F.substring(
+        F.col("unit_text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")
+    )
+    reason = (
+        F.when(F.col("__record").isNull(), F.lit("unknown_record"))
+        .when(F.col("__unit").isNull(), F.lit("unknown_document"))
+        .when(~F.col("excerpt").eqNullSafe(F.col("text")), F.lit("excerpt_differs"))
+    )
+    return joined.withColumn("excerpt", excerpt).withColumn("reason", reason)
+
+
+def citation_failures(hits: DataFrame, records: DataFrame, units: DataFrame) -> DataFrame:
+    """``query_id, record_id, reason`` of the hits that refuse their whole answer: an unknown record or document,
+    or a text that is not the one the record's span cuts out."""
+    return _cited(hits, records, units).where("reason IS NOT NULL").select("query_id", "record_id", "reason")
+
+
 def citations(hits: DataFrame, records: DataFrame, units: DataFrame) -> DataFrame:
-    """Number the hits of each query C1.. and cut the cited text out of the source unit.
+    """Number the hits of each query C1.. with the text cut out of the source unit.
 
-    ``hits``: ``query_id, record_id, rank``; ``records``: ``record_id, document_id, start,
-    end``; ``units``: ``document_id, text``. The text is cut by the stored span.
+    ``hits``: ``query_id, record_id, rank, text``; ``records``: ``record_id, document_id, start, end``;
+    ``units``: ``document_id, text``. One invalid hit refuses all of its query; see :func:`citation_failures`.
     """
-    w = Window.partitionBy("query_id").orderBy("rank")
-    numbered = hits.withColumn(
-        "citation", F.concat(F.lit("C"), F.row_number().over(w).cast("string"))
-    )
+    cited = _cited(hits, records, units)
+    bad = F.max(F.col("reason").isNotNull()).over(Window.partitionBy("query_id"))
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return (
-        numbered.join(records, "record_id")
-        .join(units.select("document_id", F.col("text").alias("unit_text")), "document_id")
-        .select(
-            "query_id",
-            "citation",
-            "record_id",
-            "document_id",
-            "start",
-            "end",
-            F.substring(
-                F.col("unit_text"),
-                (F.col("start") + 1).cast("int"),
-                (F.col("end") - F.col("start")).cast("int"),
-            ).alias("excerpt"),
-        )
+        cited.withColumn("__bad", bad)
+        .withColumn("citation", F.concat(F.lit("C"), number.cast("string")))
+        .where(~F.col("__bad"))
+        .select("query_id", "citation", "record_id", "document_id", "start", "end", "excerpt")
     )
 
 
