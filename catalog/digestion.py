@@ -221,8 +221,22 @@ view(
 )
 view(
     "claim_evidence",
-    """SELECT job_id AS stage_id, unit AS position, worker % 5 AS evidence_id FROM {steps} WHERE worker % 6 <> 0
-       UNION ALL SELECT job_id, unit, quantity % 11 FROM {steps} WHERE worker % 4 = 1""",
+    """SELECT job_id AS stage_id, unit AS position, worker % 5 AS evidence_id, quantity % 7 = 0 AS contradicting FROM {steps} WHERE worker % 6 <> 0
+       UNION ALL SELECT job_id, unit, quantity % 11, quantity % 7 <> 1 AND worker % 3 = 0 FROM {steps} WHERE worker % 4 = 1""",
+)
+view(
+    "claim_qualifications",
+    """SELECT job_id AS stage_id, unit AS position, CAST(0 AS INT) AS number, quantity * 11 AS chars, CASE WHEN worker % 3 <> 0 THEN worker % 5 END AS evidence_id FROM {steps} WHERE worker % 8 = 3
+       UNION ALL SELECT job_id, unit, CAST(1 AS INT), quantity, worker % 5 FROM {steps} WHERE worker % 8 = 3 AND quantity % 2 = 0
+       UNION ALL SELECT job_id, unit, CAST(1 AS INT), quantity, quantity % 5 FROM {steps} WHERE worker % 8 = 3 AND quantity % 6 = 0
+       UNION ALL SELECT job_id, unit, CAST(2 AS INT), quantity, worker % 5 FROM {steps} WHERE worker % 16 = 3""",
+)
+view(
+    "stage_results",
+    """SELECT job_id AS stage_id, CASE WHEN job_id % 3 = 0 THEN 'reduction' ELSE 'analysis' END AS stage, job_id + CASE WHEN job_id % 41 = 7 THEN 1 ELSE 0 END AS result_id,
+         CASE WHEN (job_id % 3 = 0) <> (job_id % 43 = 8) THEN 'reduction' ELSE 'analysis' END AS result_kind,
+         CASE WHEN scope % 13 = 4 THEN 'unavailable' ELSE 'analyzed' END AS outcome, job_id % 100 AS characters, CASE WHEN scope % 5 = 1 THEN 0 ELSE job_id % 9 END AS claims,
+         scope % 7 AS questions, scope % 3 AS limitations FROM {jobs}""",
 )
 view(
     "stage_allowed",
@@ -238,28 +252,42 @@ view(
 )
 
 
-@query("claim_validation", """WITH e AS (SELECT stage_id, position, count(*) AS cited, bool_or(times > 1) AS dup, bool_or(NOT known) AS alien FROM (
-  SELECT c.stage_id, c.position, c.evidence_id, count(*) OVER (PARTITION BY c.stage_id, c.position, c.evidence_id) AS times,
+@query("stage_validation", """SELECT stage_id, CASE WHEN characters > 95 THEN 'canonical_response_limit' WHEN result_id <> stage_id THEN 'stage_id_mismatch' WHEN result_kind <> stage THEN 'stage_kind_mismatch'
+  WHEN outcome = 'unavailable' THEN CASE WHEN stage <> 'analysis' THEN 'unavailable_reduction' WHEN claims > 0 THEN 'unavailable_with_claims' WHEN limitations = 0 THEN 'unavailable_missing_limitation'
+    WHEN greatest(questions, limitations) > 5 THEN 'annotation_limit' END
+  WHEN stage = 'analysis' AND claims = 0 THEN 'analyzed_without_claims' WHEN claims > 7 THEN 'claim_limit' WHEN greatest(questions, limitations) > 5 THEN 'annotation_limit' END AS reason FROM {stage_results}""")
+def stage_validation(t):
+    return dg.validate_stages(t.stage_results, max_characters=95, max_claims=7, max_annotations=5)
+
+
+@query("claim_validation", """WITH e AS (SELECT stage_id, position, contradicting, count(*) AS cited, bool_or(times > 1) AS dup, bool_or(NOT known) AS alien FROM (
+  SELECT c.*, count(*) OVER (PARTITION BY c.stage_id, c.position, c.contradicting, c.evidence_id) AS times,
     EXISTS (SELECT 1 FROM {stage_allowed} a WHERE a.stage_id = c.stage_id AND a.evidence_id = c.evidence_id) AS known FROM {claim_evidence} c) GROUP BY ALL),
 l AS (SELECT stage_id, position, bool_or(times > 1) AS dup, bool_or(has_source IS NULL) AS bad, bool_or(has_source) AS inherits FROM (
-  SELECT c.*, count(*) OVER (PARTITION BY c.stage_id, c.position, c.child) AS times, k.has_source FROM {claim_lineage} c LEFT JOIN {stage_links} k USING (stage_id, child)) GROUP BY ALL)
+  SELECT c.*, count(*) OVER (PARTITION BY c.stage_id, c.position, c.child) AS times, k.has_source FROM {claim_lineage} c LEFT JOIN {stage_links} k USING (stage_id, child)) GROUP BY ALL),
+q AS (SELECT stage_id, position, number, list(evidence_id) FILTER (evidence_id IS NOT NULL) AS ids, any_value(chars) AS chars FROM {claim_qualifications} GROUP BY ALL),
+qv AS (SELECT stage_id, position, number, CASE WHEN ids IS NULL THEN 'invalid_qualification_source' WHEN chars > 480 THEN 'text_limit' WHEN len(ids) <> len(list_distinct(ids))
+  OR NOT list_has_all((SELECT list(a.evidence_id) FROM {stage_allowed} a WHERE a.stage_id = q.stage_id), ids) THEN 'invalid_qualification_source' END AS v FROM q),
+qq AS (SELECT stage_id, position, count(*) AS n, arg_min(v, number) FILTER (v IS NOT NULL) AS v FROM qv GROUP BY ALL)
 SELECT c.stage_id, c.position, c.claim_id, CASE WHEN EXISTS (SELECT 1 FROM {stage_claims} p WHERE p.stage_id = c.stage_id AND p.claim_id = c.claim_id AND p.position < c.position) THEN 'duplicate_claim_id'
-  WHEN claim_id <> expected_id THEN 'claim_id_mismatch' WHEN origin <> c.stage_id THEN 'originating_stage_mismatch' WHEN chars > 480 THEN 'text_limit'
-  WHEN e.dup THEN 'duplicate_evidence' WHEN e.alien THEN 'foreign_evidence' WHEN l.dup THEN 'duplicate_child_link' WHEN l.bad THEN 'invalid_child_link'
-  WHEN kind = 'fact' AND (NOT (coalesce(cited, 0) > 0 OR coalesce(inherits, false)) OR status <> 'supported') THEN 'unsupported_fact'
+  WHEN claim_id <> expected_id THEN 'claim_id_mismatch' WHEN origin <> c.stage_id THEN 'originating_stage_mismatch' WHEN c.chars > 480 THEN 'text_limit' WHEN qq.n > 2 THEN 'annotation_limit'
+  WHEN e.dup THEN 'duplicate_evidence' WHEN e.alien THEN 'foreign_evidence' WHEN x.dup THEN 'duplicate_evidence' WHEN x.alien THEN 'foreign_evidence' WHEN l.dup THEN 'duplicate_child_link' WHEN l.bad THEN 'invalid_child_link'
+  WHEN kind = 'fact' AND (NOT (coalesce(e.cited, 0) > 0 OR coalesce(inherits, false)) OR status <> 'supported') THEN 'unsupported_fact' WHEN qq.v IS NOT NULL THEN qq.v
   WHEN subject IS NOT NULL AND kind <> 'fact' THEN 'subject_on_nonfact' END AS reason
-FROM {stage_claims} c LEFT JOIN e USING (stage_id, position) LEFT JOIN l USING (stage_id, position)""")
+FROM {stage_claims} c LEFT JOIN (SELECT * FROM e WHERE NOT contradicting) e USING (stage_id, position) LEFT JOIN (SELECT * FROM e WHERE contradicting) x USING (stage_id, position)
+  LEFT JOIN l USING (stage_id, position) LEFT JOIN qq USING (stage_id, position)""")
 def claim_validation(t):
     return dg.validate_claims(
-        t.stage_claims, t.claim_evidence, t.stage_allowed, t.claim_lineage, t.stage_links, max_text=480
+        t.stage_claims, t.claim_evidence, t.stage_allowed, t.claim_lineage, t.stage_links, t.claim_qualifications, max_text=480, max_annotations=2
     )
 
 
 @query("coverage_missing", """SELECT DISTINCT stage_id, 'missing_source_coverage' AS reason, CAST(evidence_id AS VARCHAR) AS item FROM {stage_allowed} a
-  WHERE NOT EXISTS (SELECT 1 FROM {claim_evidence} e WHERE e.stage_id = a.stage_id AND e.evidence_id = a.evidence_id)
-UNION ALL SELECT stage_id, 'missing_child_coverage', CAST(child AS VARCHAR) FROM {stage_links} k WHERE NOT EXISTS (SELECT 1 FROM {claim_lineage} l WHERE l.stage_id = k.stage_id AND l.child = k.child)""")
+  WHERE stage_id IN (SELECT stage_id FROM {stage_results} WHERE stage = 'analysis' AND outcome = 'analyzed') AND (stage_id, evidence_id) NOT IN (SELECT (stage_id, evidence_id) FROM {claim_evidence})
+UNION ALL SELECT stage_id, 'missing_child_coverage', CAST(child AS VARCHAR) FROM {stage_links}
+  WHERE stage_id IN (SELECT stage_id FROM {stage_results} WHERE stage = 'reduction') AND (stage_id, child) NOT IN (SELECT (stage_id, child) FROM {claim_lineage})""")
 def coverage_missing(t):
-    return dg.missing_coverage(t.stage_allowed, t.claim_evidence, t.stage_links, t.claim_lineage)
+    return dg.missing_coverage(t.stage_results, t.stage_allowed, t.claim_evidence, t.stage_links, t.claim_lineage)
 
 
 _CLASSED = """SELECT doc_id AS document_id, concat(CAST(doc_id AS STRING), ':', CAST(block_no AS STRING)) AS block_id, block_no, start, {end}, text,

@@ -7,19 +7,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.plans.session import cut_lineage
+from foliant.plans.session import staged
 
 
 def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], depth: str | None = None) -> DataFrame:
     """All nodes reachable from ``seeds`` along ``edges(src, dst)`` inside equal ``keys``.
 
-    ``seeds`` has columns ``keys + [node]``. Each round joins only the new frontier, so the
-    work is one pass over each edge. With ``depth`` the round number is kept per node.
+    ``seeds`` has columns ``keys + [node]``. Each round joins only the new frontier; frontiers are
+    written out, so that Spark knows their size and need not shuffle the edges for a small one.
+    With ``depth`` the round number is kept per node.
     """
     cols = [*keys, "node"]
     rounds = 0
-    edges = cut_lineage(edges.select(*keys, "src", "dst"))  # every round reads them
-    frontier = cut_lineage(seeds.select(*cols).distinct().withColumn("__d", F.lit(0)))
+    edges = staged(edges.select(*keys, "src", "dst"), "edges")  # every round reads them
+    frontier = staged(seeds.select(*cols).distinct().withColumn("__d", F.lit(0)), "frontier")
     found = [frontier]
     while True:
         rounds += 1
@@ -30,7 +31,7 @@ def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], depth: str | None
             .distinct()
         )
         seen = reduce(DataFrame.unionByName, found).select(*cols)
-        frontier = cut_lineage(step.join(seen, cols, "left_anti").withColumn("__d", F.lit(rounds)))
+        frontier = staged(step.join(seen, cols, "left_anti").withColumn("__d", F.lit(rounds)), "frontier")
         if frontier.isEmpty():
             break
         found.append(frontier)
