@@ -161,21 +161,22 @@ def budget_admission(t):
 view(
     "calls",
     """SELECT event_type AS quota, user_id AS job, event_id AS call_id, ts_us AS started, CASE WHEN k = 50 THEN CAST(NULL AS BIGINT) ELSE ts_us + 60000000 * k END AS finished,
-         k * 10 AS tokens, user_id % 3 <> 0 AS background FROM {events}""",
+         k * 10 AS tokens, user_id % 3 <> 0 AS background, event_id % 53 = 7 AS exclusive FROM {events}""",
 )
 POLICY = dict(rpm=40, tpm=16_000, concurrent=30, interactive_rpm=8, interactive_tpm=3_000,
               interactive_slots=4, per_job_concurrent=2, per_job_rpm=3)
 WIDTH = DAY // 2
 
 
-@query("rate_admission", f"""WITH w AS (SELECT a.call_id, any_value(a.tokens) AS tokens, any_value(a.background) AS bg,
+@query("rate_admission", f"""WITH w AS (SELECT a.call_id, any_value(a.tokens) AS tokens, any_value(a.background) AS bg, any_value(a.exclusive) AS alone,
   count(b.call_id) FILTER (b.started > a.started - {WIDTH}) AS recent, coalesce(sum(b.tokens) FILTER (b.started > a.started - {WIDTH}), 0) AS recent_tokens,
   count(b.call_id) FILTER (b.started > a.started - {WIDTH} AND b.background) AS docs, coalesce(sum(b.tokens) FILTER (b.started > a.started - {WIDTH} AND b.background), 0) AS docs_tokens,
   count(b.call_id) FILTER (b.started > a.started - {WIDTH} AND b.background AND b.job = a.job) AS job_docs,
   count(b.call_id) FILTER (b.finished IS NULL OR b.finished > a.started) AS active, count(b.call_id) FILTER (b.background AND (b.finished IS NULL OR b.finished > a.started)) AS docs_active,
-  count(b.call_id) FILTER (b.background AND b.job = a.job AND (b.finished IS NULL OR b.finished > a.started)) AS job_active
+  count(b.call_id) FILTER (b.background AND b.job = a.job AND (b.finished IS NULL OR b.finished > a.started)) AS job_active,
+  count(b.call_id) FILTER (b.exclusive AND (b.finished IS NULL OR b.finished > a.started)) AS alone_active
   FROM {{calls}} a LEFT JOIN {{calls}} b ON b.quota = a.quota AND (b.started, b.call_id) < (a.started, a.call_id) GROUP BY a.call_id)
-SELECT call_id, CAST(recent AS BIGINT) AS recent, CAST(recent_tokens AS BIGINT) AS recent_tokens, active, tokens > CASE WHEN bg THEN 13000 ELSE 16000 END OR recent >= 40 OR recent_tokens + tokens > 16000 OR active >= 30
+SELECT call_id, CAST(recent AS BIGINT) AS recent, CAST(recent_tokens AS BIGINT) AS recent_tokens, active, tokens > CASE WHEN bg THEN 13000 ELSE 16000 END OR recent >= 40 OR recent_tokens + tokens > 16000 OR active >= 30 OR (alone AND active > 0) OR alone_active > 0
   OR (bg AND (docs >= 32 OR docs_tokens + tokens > 13000 OR docs_active >= 26 OR job_active >= 2 OR job_docs >= 3)) AS denied FROM w""")
 def rate_admission(t):
     return g.rate_admission(t.calls, POLICY, width=WIDTH).select(

@@ -328,10 +328,9 @@ def ndjson_events(t):
 SELECT e.request_id, md5(coalesce(string_agg(content, '' ORDER BY seq), '')) AS response_md5, count(r.seq) AS chunks FROM e LEFT JOIN {response_events} r ON r.request_id = e.request_id AND r."type" = 'chunk' AND r.seq < e.s
 WHERE e.last = 'done' GROUP BY e.request_id""")
 def stream_assemble(t):
-    base = scratch_path(t.spark, "responses")
-    t.response_events.write.json(base)
-    events = run.read_ndjson(t.spark, base, "request_id bigint, seq bigint, type string, content string")
-    out = run.append_result(st.assemble_responses(events), "assembled")
+    rows = t.response_events.withColumn("at", F.timestamp_micros(F.col("request_id") * 60_000_000 + F.col("seq") * 40_000))
+    events = run.finite_stream(rows, "at", "responses")
+    out = run.append_result(st.assemble_responses(events, "at"), "assembled").where("request_id IS NOT NULL")
     return out.select("request_id", F.md5("response").alias("response_md5"), "chunks")
 
 
@@ -376,14 +375,13 @@ def route_windows(t):
 
 # Rows leave once the watermark, ten minutes behind the slower side, has passed their lease.
 @query("stream_interrupted", f"""WITH s AS (SELECT user_id, event_id AS start_id, ts_us FROM {{events}} WHERE event_type = 'click'), e AS (SELECT user_id, ts_us FROM {{events}} WHERE event_type = 'purchase')
-SELECT user_id, start_id, ts_us AS started_us FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = s.user_id AND e.ts_us >= s.ts_us AND e.ts_us <= s.ts_us + {6 * HOUR})
-  AND s.ts_us + {6 * HOUR} < least((SELECT max(ts_us) FROM s), (SELECT max(ts_us) FROM e)) - 600000000""")
+SELECT user_id, start_id, ts_us AS started_us FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = s.user_id AND e.ts_us >= s.ts_us AND e.ts_us <= s.ts_us + {6 * HOUR})""")
 def stream_interrupted(t):
-    starts = _events(t).where("event_type = 'click'").select(
-        "user_id", F.col("event_id").alias("start_id"), F.col("at").alias("started_at")
-    )
-    ends = _events(t).where("event_type = 'purchase'").select("user_id", F.col("at").alias("ended_at"))
-    out = run.append_result(st.interrupted(starts, ends, "user_id", "6 HOURS"), "interrupted")
+    rows = t.events.withColumn("at", F.timestamp_micros("ts_us"))
+    starts = rows.where("event_type = 'click'").select("user_id", F.col("event_id").alias("start_id"), F.col("at").alias("started_at"))
+    ends = rows.where("event_type = 'purchase'").select("user_id", F.col("at").alias("ended_at"))
+    starts, ends = run.finite_stream(starts, "started_at", "starts", user_id=-1), run.finite_stream(ends, "ended_at", "ends", user_id=-1)
+    out = run.append_result(st.interrupted(starts, ends, "user_id", "6 HOURS"), "interrupted").where("start_id IS NOT NULL")
     return out.select("user_id", "start_id", F.unix_micros("started_at").alias("started_us"))
 
 
@@ -409,9 +407,11 @@ def admission_replay(t):
 
 @query("admission_stream", ADMISSION)
 def admission_stream(t):
-    rows = _events(t).select(
+    rows = t.events.select(
         F.col("event_type").alias("quota"), F.col("event_id").alias("call_id"),
-        F.col("ts_us").alias("at"), (F.col("k") * 10).alias("tokens"),
+        F.col("ts_us").alias("at"), (F.col("k") * 10).alias("tokens"), F.timestamp_micros("ts_us").alias("time"),
     )
-    out = run.append_result(st.admission_stream(rows, width=HOUR * 6, rpm=15, tpm=8_000), "admission")
+    requests = run.finite_stream(rows, "time", "requests")
+    requests = requests.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("call_id", "at", "tokens")})
+    out = run.append_result(st.admission_stream(requests, "time", width=HOUR * 6, rpm=15, tpm=8_000), "admission").where("quota IS NOT NULL")
     return out.select("quota", "call_id", "tokens", "admitted")

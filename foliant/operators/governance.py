@@ -215,11 +215,12 @@ def concurrent_before(calls: DataFrame, keys: list[str], block_us: int, names: d
 
 def rate_admission(calls: DataFrame, policy: dict, *, width: int) -> DataFrame:
     """Provider admission over recorded calls: request and token windows, running calls,
-    room kept for interactive work, and per-job limits. Adds the counts and ``denied``.
+    room kept for interactive work, per-job limits, and exclusive calls, which run alone.
+    Adds the counts and ``denied``.
 
-    ``calls``: ``quota, job, call_id, started, finished, tokens, background``.
+    ``calls``: ``quota, job, call_id, started, finished, tokens, background, exclusive``.
     """
-    bg = F.col("background")
+    bg, alone = F.col("background"), F.col("exclusive")
     rows = sliding_sums(
         calls, ["quota"], "started", "call_id", width,
         {
@@ -231,7 +232,7 @@ def rate_admission(calls: DataFrame, policy: dict, *, width: int) -> DataFrame:
         rows, ["quota", "job"], "started", "call_id", width, {"job_docs": F.when(bg, 1)}
     )
     active = concurrent_before(
-        calls, ["quota"], width * 60, {"active": F.lit(True), "docs_active": bg}
+        calls, ["quota"], width * 60, {"active": F.lit(True), "docs_active": bg, "alone_active": alone}
     )
     job_active = concurrent_before(calls, ["quota", "job"], width * 60, {"job_active": bg})
     rows = join_on(rows, active, ["quota", "call_id"], "inner")
@@ -243,6 +244,8 @@ def rate_admission(calls: DataFrame, policy: dict, *, width: int) -> DataFrame:
         | (F.col("recent") >= p["rpm"])
         | (F.col("recent_tokens") + F.col("tokens") > p["tpm"])
         | (F.col("active") >= p["concurrent"])
+        | (alone & (F.col("active") > 0))
+        | (F.col("alone_active") > 0)
         | (
             bg
             & (

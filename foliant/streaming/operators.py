@@ -21,41 +21,41 @@ def _timer(ms: int) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if ms else GroupStateTimeout.NoTimeout
 
 
+def _millis(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[ms]").astype("int64").tolist()
+
+
 # ---- responses -------------------------------------------------------------------------
 
-def assemble_responses(events: DataFrame, timeout_ms: int = 0) -> DataFrame:
-    """Join the chunks of each request; a row leaves only when ``done`` arrives.
+def assemble_responses(events: DataFrame, time: str, idle_ms: int = 3_600_000, lateness: str = LATENESS) -> DataFrame:
+    """Join the chunks of each request, in order of ``seq``; ``error`` ends a request without a row.
 
-    ``events``: ``request_id BIGINT, seq BIGINT, type, content``. ``error`` ends a request
-    without a row; with ``timeout_ms`` a request with no news for that long is dropped. Leave
-    it 0 on a finite input: a processing-time timer keeps such a run from ending.
+    ``events``: ``request_id BIGINT, seq BIGINT, type, content`` and an event ``time``. Chunks may come after
+    ``done`` and in any order: the row leaves, and the state with it, once the watermark has passed the event that
+    ended the request. A request with no news for ``idle_ms`` of event time is dropped.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts, end, last = json.loads(state.get[0]) if state.exists else ([], None, 0)
         if state.hasTimedOut:
             state.remove()
+            if end and end[1] == "done":
+                told = [text for seq, text in sorted(parts) if seq < end[0]]
+                yield pd.DataFrame({"request_id": [key[0]], "response": ["".join(told)], "chunks": [len(told)]})
             return
-        parts, closed = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], False)
-        frame = pd.concat(list(batches)).sort_values("seq")
-        for kind, content in zip(frame["type"], frame["content"]):
-            if closed:
-                break
-            if kind == "chunk":
-                parts.append(content or "")
-            elif kind == "done":
-                closed = True
-                yield pd.DataFrame(
-                    {"request_id": [key[0]], "response": ["".join(parts)], "chunks": [len(parts)]}
-                )
-            elif kind == "error":
-                closed = True
-        state.update((json.dumps([] if closed else parts), closed))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-
-    return events.groupBy("request_id").applyInPandasWithState(
-        step, "request_id bigint, response string, chunks bigint",
-        "parts string, closed boolean", "append", _timer(timeout_ms),
+        for frame in batches:
+            for seq, kind, content, at in zip(frame["seq"], frame["type"], frame["content"], _millis(frame[time])):
+                if kind == "chunk":
+                    parts.append([int(seq), content or ""])
+                elif kind in ("done", "error") and (end is None or seq < end[0]):
+                    end = [int(seq), kind, at]
+                last = max(last, at)
+        state.update((json.dumps([parts, end, last]),))
+        due = end[2] if end else last + idle_ms
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    return events.withWatermark(time, lateness).groupBy("request_id").applyInPandasWithState(
+        step, "request_id bigint, response string, chunks bigint", "held string", "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -82,9 +82,9 @@ def assemble_batch(events: DataFrame) -> DataFrame:
 # ---- session memory --------------------------------------------------------------------
 
 def session_state(messages: DataFrame, limit: int, ttl_ms: int = 0) -> DataFrame:
-    """Last ``limit`` messages of each session as state; an append refreshes the TTL.
+    """Last ``limit`` messages of each session by position as state; an append refreshes the TTL.
 
-    ``messages``: ``session_id BIGINT, position BIGINT, role, content``. Emits the session
+    ``messages``: ``session_id BIGINT, position BIGINT, role, content``, in any order. Emits the session
     after each batch; an expired session leaves with no messages.
     """
 
@@ -93,14 +93,15 @@ def session_state(messages: DataFrame, limit: int, ttl_ms: int = 0) -> DataFrame
             state.remove()
             yield pd.DataFrame({"session_id": [key[0]], "messages": [0], "history": [""]})
             return
-        kept = deque(json.loads(state.get[0]) if state.exists else [], maxlen=limit)
-        frame = pd.concat(list(batches)).sort_values("position")
-        kept.extend(f"{r}: {c}\n" for r, c in zip(frame["role"], frame["content"]))
-        state.update((json.dumps(list(kept)),))
+        kept = json.loads(state.get[0]) if state.exists else []
+        for frame in batches:
+            kept += [[int(p), f"{r}: {c}\n"] for p, r, c in zip(frame["position"], frame["role"], frame["content"])]
+        kept = sorted(kept)[-limit:]
+        state.update((json.dumps(kept),))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(
-            {"session_id": [key[0]], "messages": [len(kept)], "history": ["".join(kept)]}
+            {"session_id": [key[0]], "messages": [len(kept)], "history": ["".join(line for _, line in kept)]}
         )
 
     return messages.groupBy("session_id").applyInPandasWithState(
@@ -131,20 +132,36 @@ class _Window:
 _ADMITTED = "quota string, call_id bigint, at bigint, tokens bigint, admitted boolean"
 
 
-def admission_stream(requests: DataFrame, *, width: int, rpm: int, tpm: int) -> DataFrame:
-    """Sliding-window admission per quota key; the state is the admitted calls in the window."""
+def admission_stream(requests: DataFrame, time: str, *, width: int, rpm: int, tpm: int, lateness: str = LATENESS) -> DataFrame:
+    """Sliding-window admission per quota key, in event time: a request is decided once the watermark has
+    passed it, after all that came before it.
+
+    The state is the admitted calls in the window and the requests that wait; a quota that is silent for a
+    window's length has none.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window = _Window(json.loads(state.get[0]) if state.exists else None)
-        frame = pd.concat(list(batches)).sort_values(["at", "call_id"])
-        frame["admitted"] = [
-            window.admit(int(a), int(t), width, rpm, tpm) for a, t in zip(frame["at"], frame["tokens"])
-        ]
-        state.update((json.dumps(list(window.held)),))
-        yield frame[["quota", "call_id", "at", "tokens", "admitted"]]
-
-    return requests.groupBy("quota").applyInPandasWithState(
-        step, _ADMITTED, "held string", "append", GroupStateTimeout.NoTimeout
+        held, waiting = json.loads(state.get[0]) if state.exists else ([], [])
+        if not state.hasTimedOut:
+            for frame in batches:
+                waiting += [list(map(int, r)) for r in zip(frame["at"], frame["call_id"], frame["tokens"], _millis(frame[time]))]
+        now = state.getCurrentWatermarkMs()
+        due = sorted(r for r in waiting if r[3] < now)
+        waiting = [r for r in waiting if r[3] >= now]
+        window = _Window(held)
+        verdicts = [window.admit(at, tokens, width, rpm, tpm) for at, _, tokens, _ in due]
+        calm = [at // 1000 + width // 1000 for at, _ in window.held]
+        if not waiting and (not calm or max(calm) < now):
+            state.remove()
+        else:
+            state.update((json.dumps([list(window.held), waiting]),))
+            state.setTimeoutTimestamp(max(min(r[3] for r in waiting) if waiting else max(calm), now + 1))
+        yield pd.DataFrame(
+            {"quota": [key[0]] * len(due), "call_id": [r[1] for r in due], "at": [r[0] for r in due], "tokens": [r[2] for r in due], "admitted": verdicts}
+        )
+
+    return requests.withWatermark(time, lateness).groupBy("quota").applyInPandasWithState(
+        step, _ADMITTED, "held string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -68,3 +68,18 @@ def read_ndjson(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 def event_time(us: Column) -> Column:
     return F.timestamp_micros(us)
+
+
+def finite_stream(rows: DataFrame, time: str, name: str, **marks: object) -> DataFrame:
+    """``rows`` as a stream that flushes: a last row, NULL but for a ``time`` a year after all others, moves
+    the watermark past everything, so that nothing stays open when the run ends. ``marks`` gives it values; a join
+    key needs one, as rows without are dropped before the watermark sees them."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, name)
+    rows.write.parquet(path)
+    last = spark.read.schema(rows.schema).parquet(path).agg(F.max(time).alias("last"))
+    closing = [
+        (F.col("last") + F.expr("INTERVAL 365 DAYS") if f.name == time else F.lit(marks.get(f.name))).cast(f.dataType).alias(f.name) for f in rows.schema
+    ]
+    last.select(*closing).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)

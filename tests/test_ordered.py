@@ -61,7 +61,7 @@ def test_null_keys_stay(spark):
     jobs = spark.createDataFrame([(i, None if i % 2 else "s", i % 3 or None, 10 * i) for i in range(12)], "job_id int, scope string, version_id int, created_at bigint")
     got = ledger.generation_numbers(jobs, F.floor(F.col("created_at") / 40)).collect()
     assert len(got) == 12 and max(r.generation for r in got if r.scope is None and r.version_id is None) == 2
-    calls = spark.createDataFrame([(None if i % 3 else "q", None if i % 2 else "j", i, 10 * i, 10 * i + 5, 1, True) for i in range(12)], "quota string, job string, call_id int, started bigint, finished bigint, tokens int, background boolean")
+    calls = spark.createDataFrame([(None if i % 3 else "q", None if i % 2 else "j", i, 10 * i, 10 * i + 5, 1, True, False) for i in range(12)], "quota string, job string, call_id int, started bigint, finished bigint, tokens int, background boolean, exclusive boolean")
     policy = dict(rpm=9, tpm=99, concurrent=9, interactive_rpm=1, interactive_tpm=1, interactive_slots=1, per_job_concurrent=9, per_job_rpm=9)
     assert governance.rate_admission(calls, policy, width=60).count() == 12
     asked = spark.createDataFrame([(None, 0, 0), (None, 1, 1), (None, 2, 1), (7, 0, 0)], "scope bigint, position bigint, expected bigint")
