@@ -10,7 +10,7 @@ from foliant.functions import chunking, ids, rules
 from foliant.functions.text import bounded_pieces
 from foliant.operators import claims, documents
 from foliant.plans.session import scratch_path
-from foliant.sources import tables
+from foliant.sources import parsers, tables
 
 # Files derived from the documents: some empty, some with a wrong type, a control or a PDF head.
 _BODY = """CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 17 = 1 THEN concat('%PDF-', text)
@@ -54,13 +54,32 @@ def admit_sources(t):
     )
 
 
-# Every eleventh page of a document is absent, short pages count as failed.
+def paragraph_parser():
+    """A parser for the port: the paragraphs of a web page as its pages, very short ones failed."""
+    return lambda content: [None if len(p) < 30 else p for p in content.decode("utf-8").split("<p>")]
+
+
+def _parsed(t):
+    files = t.pages.select(F.col("page_id").alias("document_id"), F.col("html").cast("binary").alias("content"))
+    return parsers.parse_pages(files, paragraph_parser)
+
+
 view(
-    "page_rows",
-    """SELECT doc_id AS document_id, CAST(block_no + 1 AS INT) AS ordinal, length(text) < 30 AS failed
-       FROM {blocks} WHERE (block_no + doc_id) % 11 <> 10""",
+    "parsed_pages",
+    _parsed,
+    """SELECT document_id, CAST(i AS INT) AS ordinal, CASE WHEN length(p) < 30 THEN '' ELSE p END AS text, length(p) < 30 AS failed
+       FROM (SELECT page_id AS document_id, unnest(string_split(html, '<p>')) AS p, generate_subscripts(string_split(html, '<p>'), 1) AS i FROM {pages})""",
 )
-view("page_counts", "SELECT doc_id AS document_id, count(*) AS page_count FROM {blocks} GROUP BY doc_id")
+
+
+@query("parse_pages", "SELECT document_id, ordinal, md5(text) AS text_md5, failed FROM {parsed_pages}")
+def parse_pages(t):
+    return t.parsed_pages.select("document_id", "ordinal", F.md5("text").alias("text_md5"), "failed")
+
+
+# Every eleventh page of a document is absent.
+view("page_rows", "SELECT document_id, ordinal, failed FROM {parsed_pages} WHERE (ordinal + document_id) % 11 <> 10")
+view("page_counts", "SELECT document_id, count(*) AS page_count FROM {parsed_pages} GROUP BY document_id")
 
 
 @query("page_inventory", """WITH w AS (SELECT document_id, unnest(range(1, page_count + 1)) AS ordinal FROM {page_counts})

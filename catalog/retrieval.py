@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import query, view
-from foliant.functions.plugins import overlap_score
+from foliant.functions.plugins import embedder, generate, overlap_score, pair_scorer, valid_embedding
 from foliant.functions.text import STOPWORDS, tokens
 from foliant.operators import documents, ranking, sparse, vectors
 from foliant.plans.ordered import top_n
@@ -289,6 +289,46 @@ def public_sources(t):
     return ranking.public_sources(rows)
 
 
+# The ports with stand-ins for models, as a caller plugs them in.
+def length_ratio():
+    return lambda queries, texts: [min(len(q), len(t)) / max(len(q), len(t), 1) for q, t in zip(queries, texts)]
+
+
+@query("rerank_port", f"""WITH {BM25}, hit AS (SELECT bm.*, c.text, q.text AS query FROM bm JOIN {{corpus}} c USING (source, chunk_id) JOIN {{asks}} q USING (query_id)),
+rs AS (SELECT *, least(length(query), length(text)) / greatest(length(query), length(text), 1) AS s FROM hit)
+SELECT query_id, source, chunk_id, round(s, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rank FROM rs QUALIFY rank <= 3""".replace("QUALIFY rank <= 3", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) <= 3"))
+def rerank_port(t):
+    hits = _bm25(t).join(t.corpus, ["source", "chunk_id"]).join(t.asks.select("query_id", F.col("text").alias("query")), "query_id")
+    ranked = ranking.rerank(hits, pair_scorer(length_ratio), 3)
+    return ranked.select("query_id", "source", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
+def letter_model():
+    """Unit vectors of two letter counts and the rest."""
+    import numpy as np
+
+    def model(texts):
+        v = np.array([[t.count("e"), t.count("a"), len(t) - t.count("e") - t.count("a")] for t in texts], dtype=float).reshape(-1, 3)
+        return v / np.maximum(np.sqrt((v**2).sum(1, keepdims=True)), 1e-12)
+
+    return model
+
+
+@query("embed_port", """WITH c AS (SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS e, length(text) - length(replace(text, 'a', '')) AS a, length(text) AS n FROM {documents}),
+v AS (SELECT doc_id, e, a, n - e - a AS o, sqrt(e * e + a * a + (n - e - a) * (n - e - a)) AS l FROM c)
+SELECT doc_id, round(e / l, 3) AS first, round(a / l, 3) AS second, true AS valid FROM v""")
+def embed_port(t):
+    rows = t.documents.select("doc_id", embedder(letter_model)(F.col("text")).alias("v"))
+    part = lambda i: F.round(F.col("v")[i].cast("double"), 3)
+    return rows.select("doc_id", part(0).alias("first"), part(1).alias("second"), valid_embedding(F.col("v"), 3).alias("valid"))
+
+
+@query("generate_port", "SELECT query_id, md5('answer to ' || text) AS answer_md5 FROM {asks}")
+def generate_port(t):
+    said = generate(t.asks, lambda: lambda prompt: f"answer to {prompt}", "text", "answer")
+    return said.select("query_id", F.md5("answer").alias("answer_md5"))
+
+
 view(
     "history",
     "SELECT conv_id AS session_id, turn AS position, role, text AS content FROM {conversations}",
