@@ -7,8 +7,10 @@ equal bits, corrected for chance, estimates their similarity; pairs that may rea
 are confirmed on the full sets, which are recomputed for those documents alone.
 
 No bucket is turned into all its pairs. Every member is first compared with the bucket's pivot,
-which is linear and joins a group of near copies together. Only buckets that then still hold
-several components look further, and only at pairs across components whose bits are close.
+which is linear and joins a group of near copies together; the pivot is the member that shares the
+most buckets with others, such as the original of many edited copies. Only buckets that then
+still hold several components look further, and only at pairs across components whose bits are
+close. Sets meet by groups of residents, so each is sent once a group and not once a pair.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ from foliant.llm.words import Words, mix
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**32, 3 in a million.
 BANDS, ROWS = 32, 5
+#: Minima in the signature; the first ``BANDS * ROWS`` make the bands.
+MINIMA = 1024
 BITS = 2
 #: Standard deviations of the estimate by which a pair may fall short before it is confirmed.
-SLACK = 5.0
-SALT = 4096  # members that one copy of a pivot's set is compared with
+SLACK = 4.5
+RESIDENTS = 1024  # sets that a task holds while others are compared with them, about
+VISITORS = 4096  # sets that are compared with one copy of a pivot's set, about
 _SEED = 8
-_WORDS_PER_PLANE = -(-BANDS * ROWS // 64)
+_WORDS_PER_PLANE = -(-MINIMA // 64)
 
 
 class Shingles:
@@ -76,16 +81,16 @@ class Minima:
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         x = (shingles >> np.uint64(32)).astype(np.uint32)
         low = np.full(len(self.by), 0xFFFFFFFF, np.uint32)
-        for at in range(0, len(x), 1024):
-            m = x[at : at + 1024, None] ^ self.flip
+        for at in range(0, len(x), 256):
+            m = x[at : at + 256, None] ^ self.flip
             m *= self.by
             np.minimum(low, m.min(axis=0), out=low)
         return low
 
 
 def _band_keys(minima: np.ndarray) -> np.ndarray:
-    """One key per band and document from ``(documents, BANDS * ROWS)`` minima."""
-    m = minima.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    """One key per band and document."""
+    m = minima[:, : BANDS * ROWS].astype(np.uint64).reshape(-1, BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), m.shape[:2]).copy()
     for j in range(ROWS):
         key = mix(key * _ODD + m[:, :, j])
@@ -114,7 +119,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~present, False)), pa.array(rows[present].ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, minima = Shingles(k), Minima(BANDS * ROWS)
+        shingles, minima = Shingles(k), Minima(MINIMA)
         for b in batches:
             for a, z in slices(b.column(1)):
                 sizes, digests, low = [], [], []
@@ -135,7 +140,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 def may_reach(a: str, b: str, threshold: float) -> Column:
     """Whether bits and set sizes of two classes leave room for the threshold."""
-    n = BANDS * ROWS
+    n = MINIMA
     equal = F.lit(n)
     for w in range(_WORDS_PER_PLANE):
         differ = [F.col(f"{a}.planes")[p * _WORDS_PER_PLANE + w].bitwiseXOR(F.col(f"{b}.planes")[p * _WORDS_PER_PLANE + w]) for p in range(BITS)]
@@ -150,23 +155,22 @@ def may_reach(a: str, b: str, threshold: float) -> Column:
     return sizes & (equal >= F.lit(float(least)))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(u, v)`` whose full sets reach the threshold.
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int, join: str | None = None) -> DataFrame:
+    """The pairs ``(u, v, home, part)`` whose full sets reach the threshold, as ``(u, v)``.
 
-    Every set is computed where its text arrives and sent to the pivots ``v`` that ask for it; a
-    pivot's own set comes first in each of its groups of at most about ``SALT`` partners.
+    The sets of all ``v`` of one ``(home, part)`` are residents there, and each ``u`` visits once with the
+    list of those it asks for. Residents of one part that have one component need one link with a
+    visitor only. Every set is computed where its text arrives.
     """
-    pairs = stage(pairs.select("u", "v"), "pairs")
-    parts = pairs.groupBy("v").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
-    asked = pairs.join(parts, "v").select(
-        F.col("u").alias("cid"), F.struct(F.col("v").alias("pivot"), F.pmod(F.xxhash64("u"), "parts").cast("int").alias("part")).alias("to")
-    )
-    own = parts.select(F.col("v").alias("cid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    own = own.select("cid", F.struct(F.col("cid").alias("pivot"), "part").alias("to"))
-    wanted = asked.unionByName(own).groupBy("cid").agg(F.collect_list("to").alias("to"))
+    pairs = stage(pairs.select("u", "v", "home", "part"), "pairs")
+    visits = pairs.groupBy("u", "home", "part").agg(F.collect_list("v").alias("asks")).withColumnRenamed("u", "cid")
+    stays = pairs.select(F.col("v").alias("cid"), "home", "part").distinct().withColumn("asks", F.lit(None).cast("array<bigint>"))
+    wanted = visits.unionByName(stays).groupBy("cid").agg(F.collect_list(F.struct("home", "part", "asks")).alias("to"))
     wanted = stage(wanted.join(classes.select("cid", "doc", "digest"), "cid"), "wanted")
+    wanted = wanted.hint(join) if join else wanted
     found = texts.join(wanted, texts["doc_id"] == wanted["doc"]).select("cid", "digest", "to", "text")
-    sent = T._parse_datatype_string("pivot long, part int, cid long, own boolean, shingles binary")
+    sent = T._parse_datatype_string("home long, part int, cid long, asks array<long>, shingles binary")
+    layout = pa.schema([("home", pa.int64()), ("part", pa.int32()), ("cid", pa.int64()), ("asks", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
@@ -179,34 +183,48 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
                         continue  # another text under the same id
                     for at in range(0, len(targets), 64):
                         some = targets[at : at + 64]
-                        yield pa.RecordBatch.from_pydict(
-                            {"pivot": [t["pivot"] for t in some], "part": [t["part"] for t in some], "cid": [cid] * len(some),
-                             "own": [t["pivot"] == cid for t in some], "shingles": [s.tobytes()] * len(some)},
-                            schema=pa.schema([("pivot", pa.int64()), ("part", pa.int32()), ("cid", pa.int64()), ("own", pa.bool_()), ("shingles", pa.binary())]),
+                        columns = [[t[n] for t in some] for n in ("home", "part", "asks")]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, f.type) for c, f in zip([*columns[:2], [cid] * len(some), columns[2], [s.tobytes()] * len(some)], layout, strict=True)],
+                            schema=layout,
                         )
 
+    def reaches(s: np.ndarray, t: np.ndarray) -> bool:
+        small, large = (s, t) if len(s) <= len(t) else (t, s)
+        place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        shared = int(np.count_nonzero(large[place] == small))
+        return 100 * shared >= percent * (len(s) + len(t) - shared)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mine = None, _NONE
+        at, residents = None, {}
         for b in batches:
             u, v = [], []
-            for pivot, part, cid, own, raw in zip(*(b.column(i) for i in range(5)), strict=True):
-                here, s = (pivot.as_py(), part.as_py()), np.frombuffer(raw.as_buffer(), np.uint64)
-                if own.as_py():
-                    at, mine = here, s.copy()
-                elif here == at:
-                    small, large = (s, mine) if len(s) <= len(mine) else (mine, s)
-                    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    shared = int(np.count_nonzero(large[place] == small))
-                    if 100 * shared >= percent * (len(s) + len(mine) - shared):
+            for home, part, cid, asks, raw in zip(*(b.column(i) for i in range(5)), strict=True):
+                here = (home.as_py(), part.as_py())
+                if here != at:
+                    at, residents = here, {}
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                if not asks.is_valid:
+                    residents[cid.as_py()] = s.copy()
+                    continue
+                for other in asks.as_py():
+                    if other in residents and reaches(s, residents[other]):
                         u.append(cid.as_py())
-                        v.append(here[0])
+                        v.append(other)
+                        break
             yield pa.RecordBatch.from_pydict({"u": u, "v": v}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     sets = found.mapInArrow(send, sent)
-    sets = sets.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.desc("own"))
+    sets = sets.repartition("home", "part").sortWithinPartitions("home", "part", F.col("asks").isNotNull())
     return stage(sets.mapInArrow(compare, "u long, v long").distinct(), "links")
 
 
+def _parts(pairs: DataFrame, of: str, most: int) -> DataFrame:
+    """``pairs`` with each ``home`` cut by ``of`` into parts of about ``most``."""
+    parts = pairs.groupBy("home").agg(F.ceil(F.count_distinct(of) / most).cast("int").alias("parts"))
+    return pairs.join(parts, "home").withColumn("part", F.pmod(F.xxhash64(of), "parts").cast("int"))
+
+
 def minhash_dedup(
     df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -226,29 +244,36 @@ def minhash_dedup(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("planes").alias("planes"), F.first("bands").alias("bands")
     )
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    members = classes.select("cid", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1")
-    members = stage(members.join(shared.select("key", "pivot"), "key"), "members")
+    members = classes.select("cid", F.posexplode("bands").alias("band", "key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stage(members.join(shared, "key"), "members")
+    central = members.groupBy("cid").agg(F.sum("size").alias("score"))
+    pivots = members.join(central, "cid").groupBy("key").agg(F.max_by("cid", F.struct("score", "cid")).alias("pivot"))
     light = classes.select("cid", "n", "planes")
 
-    star = members.where("cid <> pivot").select(F.col("cid").alias("u"), F.col("pivot").alias("v")).distinct()
+    star = members.join(pivots, "key").where("cid <> pivot").select(F.col("cid").alias("u"), F.col("pivot").alias("v")).distinct()
     star = star.join(light.alias("a"), F.col("u") == F.col("a.cid")).join(light.alias("b"), F.col("v") == F.col("b.cid"))
     star = stage(star.where(may_reach("a", "b", percent / 100)).select("u", "v"), "star")
-    links = confirmed(star, classes, texts, k, percent)
+    links = confirmed(_parts(star.withColumn("home", F.col("v")), "u", VISITORS), classes, texts, k, percent, "merge")  # a share of all documents at any size
 
     # buckets that the pivots have not joined into one component
     label = components(links).select(F.col("node").alias("cid"), "component")
-    named = members.join(label, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component"))
+    named = members.join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    left = stage(named.join(open_keys.select("key"), "key").join(light, "cid"), "left")
+    sizes = label.groupBy("component").agg(F.count("*").alias("of"))
+    left = named.join(open_keys.select("key"), "key").join(classes.select("cid", "n", "planes", "bands"), "cid")
+    left = stage(left.join(sizes, "component", "left").withColumn("of", F.coalesce("of", F.lit(1))), "left")
+    a, b = F.struct("a.of", "a.component", "a.cid"), F.struct("b.of", "b.component", "b.cid")
+    earlier = [F.slice(f"{x}.bands", F.lit(1), F.col("a.band")) for x in "ab"]
+    met = F.exists(F.zip_with(*earlier, lambda x, y: x == y), lambda e: e)  # a pair is looked at in its first bucket
     across = left.alias("a").join(
         left.alias("b"),
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") > F.col("b.cid")) & (F.col("a.component") != F.col("b.component"))
-        & may_reach("a", "b", percent / 100),
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (a < b)
+        & may_reach("a", "b", percent / 100) & ~met,
     )
-    across = across.select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v")).distinct()
-    across = stage(across.join(star, ["u", "v"], "left_anti"), "across")
-    links = links.unionByName(confirmed(across, classes, texts, k, percent))
+    across = across.select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v"), F.col("b.component").alias("home"))
+    across = stage(across.join(star, ["u", "v"], "left_anti").join(star.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"), "across")
+    links = links.unionByName(confirmed(_parts(across, "v", RESIDENTS), classes, texts, k, percent))
 
     label = components(links).join(classes.select(F.col("cid").alias("node"), "doc", F.col("digest").alias("of")), "node")
     lowest = label.groupBy("component").agg(F.min("doc").alias("low"))

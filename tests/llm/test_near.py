@@ -73,15 +73,15 @@ def test_minhash_groups_chains_and_thresholds(docs, prose):
 
 
 def test_bits_estimate_similarity():
-    r, low = np.random.RandomState(0), minhash.Minima(minhash.BANDS * minhash.ROWS)
+    r, low = np.random.RandomState(0), minhash.Minima(minhash.MINIMA)
     for share in (0.5, 0.8, 0.95):
         both = r.randint(0, 2**63, 2000).astype(np.uint64)
         n = int(2000 * (1 - share) / share / 2)
         a, b = (np.concatenate([both, r.randint(0, 2**63, n).astype(np.uint64)]) for _ in range(2))
         ma, mb = low(a), low(b)
         equal = np.mean((ma & 3) == (mb & 3))
-        assert abs((equal - 0.25) / 0.75 - len(both) / (len(both) + 2 * n)) < 0.12
-        assert abs(np.mean(ma == mb) - share) < 0.12
+        assert abs((equal - 0.25) / 0.75 - len(both) / (len(both) + 2 * n)) < 0.07
+        assert abs(np.mean(ma == mb) - share) < 0.07
 
 
 def test_components(spark):
