@@ -149,8 +149,7 @@ def budget_admission(t):
     rows = _reservations(t)
 
     def level(limits, keys, name):
-        counted = g.window_requests(rows, keys, 2_592_000_000_000)
-        checked = g.admission_verdict(g.budget_admission(counted, _limits(limits), keys))
+        checked = g.admission_verdict(g.budget_admission(rows, _limits(limits), keys, 2_592_000_000_000))
         return checked.select("ticket", F.col("denied").alias(name))
 
     owner = level(t.owner_limits, ["tenant", "owner"], "owner_denied")

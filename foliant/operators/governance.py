@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.plans.ordered import Scan, join_on, ordered_scan, running_sums, sliding_sums
+from foliant.plans.ordered import Scan, join_on, live_sums, ordered_scan, running_sums
 
 MONEY = "decimal(38,12)"
 DAY = 86_400_000_000
@@ -134,45 +134,40 @@ def budget_remaining(reservations: DataFrame, limits: DataFrame, keys: list[str]
     )
 
 
-def budget_admission(reservations: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
+def budget_admission(reservations: DataFrame, limits: DataFrame, keys: list[str], window_us: int) -> DataFrame:
     """Amounts used before each recorded reservation, per owner or per tenant, with the limits.
 
-    Settled rows count inside their UTC day or month, unsettled rows count for ever and once.
-    Days are the blocks, so all amounts come from one ordered pass. Combine the levels with OR.
+    Settled rows count inside their UTC day or month, unsettled rows count for ever and once; ``recent`` counts the
+    requests of the last ``window_us``. Days are the blocks, and all amounts come from one ordered pass.
+    Combine the levels with OR.
     """
     settled = F.col("state") == "SETTLED"
-    live = F.col("state").isin("RESERVED", "ADMITTING", "STARTED")
-    day, month = day_start(F.col("created")), month_start(F.col("created"))
-
-    def before(amount: Column, within: Column | None = None) -> Scan:
-        return Scan("sum", amount, inclusive=False, within=within)
-
-    inside = {
-        "__day": before(F.when(settled, used_tokens()), day),
-        "__month": before(F.when(settled, used_tokens()), month),
-        "__cost": before(F.when(settled, used_cost()), month),
-        "held": before(F.when(unsettled(), F.col("input") + F.col("output"))),
-        "__held_cost": before(F.when(unsettled(), F.col("cost"))),
-        "__interactive": before(F.when(live & (F.col("workload") == "INTERACTIVE"), 1)),
-        "__background": before(F.when(live & (F.col("workload") != "INTERACTIVE"), 1)),
+    active = F.col("state").isin("RESERVED", "ADMITTING", "STARTED")
+    scans = {
+        "__day": (F.when(settled, used_tokens()), day_start),
+        "__month": (F.when(settled, used_tokens()), month_start),
+        "__cost": (F.when(settled, used_cost()), month_start),
+        "held": (F.when(unsettled(), F.col("input") + F.col("output")), None),
+        "__held_cost": (F.when(unsettled(), F.col("cost")), None),
+        "__interactive": (F.when(active & (F.col("workload") == "INTERACTIVE"), 1), None),
+        "__background": (F.when(active & (F.col("workload") != "INTERACTIVE"), 1), None),
     }
-    order = [F.col("created"), F.col("ticket")]
-    rows = ordered_scan(reservations, keys, F.floor(F.col("created") / DAY), order, inside)
-    return rows.select(
-        *reservations.columns,
-        "held",
-        (F.col("__day") + F.col("held")).alias("day_used"),
-        (F.col("__month") + F.col("held")).alias("month_used"),
-        (F.col("__cost") + F.col("__held_cost")).alias("month_cost"),
-        F.when(F.col("workload") == "INTERACTIVE", F.col("__interactive"))
-        .otherwise(F.col("__background"))
-        .alias("active"),
-    ).join(limits, keys, "left")
-
-
-def window_requests(reservations: DataFrame, keys: list[str], window_us: int) -> DataFrame:
-    """Recorded requests with ``created > t - window`` before each row."""
-    return sliding_sums(reservations, keys, "created", "ticket", window_us, {"recent": F.lit(1)})
+    rows = live_sums(
+        reservations, keys, "created", "ticket", DAY, {"recent": (F.lit(1), F.col("created") + window_us)}, scans
+    )
+    return join_on(
+        rows.select(
+            *reservations.columns,
+            "recent",
+            "held",
+            (F.col("__day") + F.col("held")).alias("day_used"),
+            (F.col("__month") + F.col("held")).alias("month_used"),
+            (F.col("__cost") + F.col("__held_cost")).alias("month_cost"),
+            F.when(F.col("workload") == "INTERACTIVE", F.col("__interactive"))
+            .otherwise(F.col("__background"))
+            .alias("active"),
+        ), limits, keys,
+    )
 
 
 def admission_verdict(rows: DataFrame) -> DataFrame:
@@ -188,55 +183,29 @@ def admission_verdict(rows: DataFrame) -> DataFrame:
     return rows.withColumn("denied", F.coalesce(denied, F.lit(False)))
 
 
-def concurrent_before(calls: DataFrame, keys: list[str], block_us: int, names: dict[str, Column]) -> DataFrame:
-    """Calls still running when each call starts: a +1/-1 sweep, no self join.
-
-    ``calls``: ``call_id, started, finished`` (NULL: never). An end frees its place before a
-    start at the same moment; ``names`` maps an output to the condition it counts.
-    """
-    lasting = F.col("finished").isNull() | (F.col("finished") > F.col("started"))
-    marks = calls.select(
-        *keys, "call_id", F.col("started").alias("at"), F.lit(1).alias("kind"),
-        *[F.when(c & lasting, 1).otherwise(0).alias(n) for n, c in names.items()],
-    ).unionByName(
-        calls.where(F.col("finished") > F.col("started")).select(
-            *keys, "call_id", F.col("finished").alias("at"), F.lit(0).alias("kind"),
-            *[F.when(c, -1).otherwise(0).alias(n) for n, c in names.items()],
-        )
-    )
-    swept = running_sums(
-        marks.withColumnsRenamed({n: f"__{n}" for n in names}),
-        keys, F.floor(F.col("at") / block_us),
-        [F.col("at"), F.col("kind"), F.col("call_id")],
-        {n: F.col(f"__{n}") for n in names}, inclusive=False,
-    )
-    return swept.where("kind = 1").select(*keys, "call_id", *names)
-
-
 def rate_admission(calls: DataFrame, policy: dict, *, width: int) -> DataFrame:
     """Provider admission over recorded calls: request and token windows, running calls,
     room kept for interactive work, per-job limits, and exclusive calls, which run alone.
     Adds the counts and ``denied``.
 
-    ``calls``: ``quota, job, call_id, started, finished, tokens, background, exclusive``.
+    ``calls``: ``quota, job, call_id, started, finished, tokens, background, exclusive``. One sweep per quota and one
+    per job, each over the starts, ends and window ends of the calls, in time blocks far below the window.
     """
     bg, alone = F.col("background"), F.col("exclusive")
-    rows = sliding_sums(
-        calls, ["quota"], "started", "call_id", width,
+    one, none, out, end = F.lit(1), F.lit(0), F.col("started") + width, F.col("finished")
+    block = max(width // 12, 1)
+    rows = live_sums(
+        calls, ["quota"], "started", "call_id", block,
         {
-            "recent": F.lit(1), "recent_tokens": F.col("tokens"),
-            "docs": F.when(bg, 1), "docs_tokens": F.when(bg, F.col("tokens")),
+            "recent": (one, out), "recent_tokens": (F.col("tokens"), out), "docs": (F.when(bg, one).otherwise(none), out),
+            "docs_tokens": (F.when(bg, F.col("tokens")).otherwise(none), out), "active": (one, end),
+            "docs_active": (F.when(bg, one).otherwise(none), end), "alone_active": (F.when(alone, one).otherwise(none), end),
         },
     )
-    rows = sliding_sums(
-        rows, ["quota", "job"], "started", "call_id", width, {"job_docs": F.when(bg, 1)}
-    )
-    active = concurrent_before(
-        calls, ["quota"], width * 60, {"active": F.lit(True), "docs_active": bg, "alone_active": alone}
+    rows = live_sums(
+        rows, ["quota", "job"], "started", "call_id", block,
+        {"job_docs": (F.when(bg, one).otherwise(none), out), "job_active": (F.when(bg, one).otherwise(none), end)},
     )
-    job_active = concurrent_before(calls, ["quota", "job"], width * 60, {"job_active": bg})
-    rows = join_on(rows, active, ["quota", "call_id"], "inner")
-    rows = join_on(rows, job_active, ["quota", "job", "call_id"], "inner")
     p = policy
     cap = F.when(bg, p["tpm"] - p["interactive_tpm"]).otherwise(p["tpm"])
     denied = (

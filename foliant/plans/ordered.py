@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.plans.session import cut_lineage
+
 BLOCK = "__block"
 
 
@@ -137,6 +139,54 @@ def next_row(df, keys, block, order, values: Mapping[str, Column]) -> DataFrame:
     return ordered_scan(df, keys, block, order, {n: Scan("next", v) for n, v in values.items()})
 
 
+def live_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    identity: str,
+    block: int,
+    live: Mapping[str, tuple[Column, Column]],
+    scans: Mapping[str, tuple[Column, Callable[[Column], Column] | None]] | None = None,
+) -> DataFrame:
+    """What is live before each row: one sweep over start and end marks, one ordered scan.
+
+    ``live`` maps an output to ``(amount, end)``: the amount counts from the row's ``time`` until ``end`` (NULL: for
+    ever), which frees its place before a start at the same moment. A sliding window is an end at ``time +
+    width``. ``scans`` adds plain sums ``(amount, within)`` over the earlier rows, ``within`` a function of the time.
+    """
+    ends = list(dict.fromkeys(str(end) for _, end in live.values()))
+    column = {str(end): end for _, end in live.values()}
+    others = [c for c in df.columns if c not in (*keys, identity)]
+    amounts = {n: F.coalesce(a, F.lit(0)) for n, (a, _) in live.items()}
+    lasting = {n: e.isNull() | (e > F.col(time)) for n, (_, e) in live.items()}
+    scans = scans or {}
+    starts = df.select(
+        "*", F.col(time).alias("__at"), F.lit(1).alias("__kind"),
+        *[F.when(lasting[n], amounts[n]).otherwise(0).alias(f"__{n}") for n in live],
+        *[a.alias(f"__{n}") for n, (a, _) in scans.items()],
+    )
+    marks = [starts]
+    for name in ends:
+        end = column[name]
+        marks.append(
+            df.where(end > F.col(time)).select(
+                *keys, identity, *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in others],
+                end.alias("__at"), F.lit(0).alias("__kind"),
+                *[(-amounts[n] if str(e) == name else F.lit(0)).cast(starts.schema[f"__{n}"].dataType).alias(f"__{n}") for n, (_, e) in live.items()],
+                *[F.lit(None).cast(starts.schema[f"__{n}"].dataType).alias(f"__{n}") for n in scans],
+            ).select(*starts.columns)
+        )
+    both = marks[0]
+    for m in marks[1:]:
+        both = both.unionByName(m)
+    outputs = {n: Scan("sum", F.col(f"__{n}"), inclusive=False) for n in live}
+    outputs |= {n: Scan("sum", F.col(f"__{n}"), False, w(F.col("__at")) if w else None) for n, (_, w) in scans.items()}
+    order = [F.col("__at"), F.col("__kind"), F.col(identity)]
+    # the scan reads its input twice; what made it is not run again
+    swept = ordered_scan(cut_lineage(both), keys, F.floor(F.col("__at") / block), order, outputs)
+    return swept.where("__kind = 1").select(*df.columns, *live, *scans)
+
+
 def sliding_sums(
     df: DataFrame,
     keys: Sequence[str],

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.operators import governance, ledger, publication, telemetry
-from foliant.plans.ordered import Scan, join_on, ordered_scan, whole_groups, group_bounds
+from foliant.plans.ordered import Scan, group_bounds, join_on, live_sums, ordered_scan, whole_groups
 from foliant.plans.session import clear_scratch, cut_lineage, scratch_path, shared_dir
 
 
@@ -106,3 +106,38 @@ def test_scratch_is_cleared(spark):
     clear_scratch(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", None]), st.integers(0, 30), st.one_of(st.none(), st.integers(-3, 12)), st.integers(1, 5)), max_size=25), st.integers(1, 9))
+def test_live_sums(spark, rows, width):
+    rows = [(k, n, at, None if span is None else at + span, v) for n, (k, at, span, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "k string, n int, at int, until int, v int")
+    got = live_sums(
+        df, ["k"], "at", "n", 7, {"open": (F.lit(1), F.col("until")), "recent": (F.col("v"), F.col("at") + width)},
+        {"sofar": (F.col("v"), None), "week": (F.col("v"), lambda at: F.floor(at / 14))},
+    ).collect()
+    want = []
+    for k, n, at, until, v in rows:
+        before = [r for r in rows if r[0] == k and (r[2], r[1]) < (at, n)]
+        want.append((
+            k, n, at, until, v, sum(r[3] is None or r[3] > at for r in before), sum(r[4] for r in before if r[2] + width > at),
+            sum(r[4] for r in before), sum(r[4] for r in before if r[2] // 14 == at // 14),
+        ))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_admission_plans_stay_small(spark):
+    import re
+
+    from __spark_entry__ import queries
+
+    for key, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(key, value)
+    try:
+        for name, most in (("budget_admission", 20), ("rate_admission", 8)):
+            plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"(?<!Reused)Exchange ", plan)) <= most, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
