@@ -80,6 +80,25 @@ def field(df: DataFrame, column: str, name: str | None = None) -> T.StructField:
     return T.StructField(name or column, df.schema[column].dataType, True)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept_in_worker(owner: str, make: Callable[[], object] | None = None):
+    """What ``make`` gave to the first task of ``owner`` in this Python worker.
+
+    Workers serve one task after another. What a task keeps for the next is dropped as soon as a task of another owner
+    begins, so a pipeline's stages do not add up in memory.
+    """
+    others = [k for k in _kept if k != owner]
+    for k in others:
+        del _kept[k]
+    if others:
+        pa.default_memory_pool().release_unused()
+    if make is not None and owner not in _kept:
+        _kept[owner] = make()
+    return _kept.get(owner)
+
+
 class Memo(dict):
     """Answers by key. Between ``most`` and twice as many are remembered, the latest asked for."""
 

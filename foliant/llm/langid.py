@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import field, slices
+from foliant.llm.common import kept_in_worker, slices
 
 DIMS = 1 << 15
 SAMPLE = 4000  # labelled documents a language that the weights are fitted on, about
@@ -151,6 +151,7 @@ def train(
         return Model()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("langid")
         seen, n = np.zeros(DIMS, np.int64), 0
         for b in batches:
             for a, z in slices(b.column(0)):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import components, field, slices, stage, text_of
+from foliant.llm.common import components, field, kept_in_worker, slices, stage, text_of
 from foliant.llm.words import Words, mix
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**32, 3 in a million.
@@ -119,6 +119,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~present, False)), pa.array(rows[present].ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("minhash")
         shingles, minima = Shingles(k), Minima(MINIMA)
         for b in batches:
             for a, z in slices(b.column(1)):
@@ -173,6 +174,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
     layout = pa.schema([("home", pa.int64()), ("part", pa.int32()), ("cid", pa.int64()), ("asks", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("minhash")
         shingles = Shingles(k)
         for b in batches:
             for a, z in slices(b.column("text")):

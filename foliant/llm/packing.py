@@ -21,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from foliant.llm.common import Memo, field, slices, text_of
+from foliant.llm.common import Memo, field, kept_in_worker, slices, text_of
 
 WINDOW = 2048
 END_ID = 1
 BLOCK_WINDOWS = 2048  # tokens that wait to be placed, in windows
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 # White space as Unicode has it. No token of a byte-level vocabulary crosses these cuts: a word
 # takes one blank before it, a run of white space leaves its last character to what follows.
 _WS = "\t-\r " + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -39,8 +39,6 @@ class Encoder:
     Words are remembered across the tasks that one Python worker runs.
     """
 
-    _all: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -51,9 +49,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        if path not in cls._all:
-            cls._all[path] = cls(path)
-        return cls._all[path]
+        return kept_in_worker(f"tokens {path}", lambda: cls(path))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [_WORDS.findall(t) for t in texts]

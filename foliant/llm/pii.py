@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import field, slices, text_of
+from foliant.llm.common import field, kept_in_worker, slices, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("strict", "valid", "gazetteer", "context", "shape")
@@ -199,6 +199,7 @@ def fit(df: DataFrame, text_col: str = "text") -> Model:
     schema = T._parse_datatype_string("kind string, vote string, bucket string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("pii")
         for b in batches:
             for a, z in slices(b.column(0)):
                 rows = []
@@ -255,6 +256,7 @@ def detect(df: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     named = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("pii")
         for b in batches:
             for a, z in slices(b.column(1)):
                 texts = b.column(1).slice(a, z - a).to_pylist()
