@@ -30,21 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import Memo, field, slices, stage, text_of
+from foliant.llm.common import Memo, field, kept_in_worker, slices, stage, text_of
 
 CHUNK = 1 << 14
 BLOCK = 64  # chunks whose matrices one task combines
 MARK = "▁"
 _POINT = 1 << 16
 _NEVER = -(1 << 60)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 class Pieces:
     """A vocabulary with additive scores."""
 
-    _all: dict[str, Pieces] = {}
-
     def __init__(self, path: str):
         import sentencepiece
 
@@ -58,10 +56,14 @@ class Pieces:
         self.unknown = round((min(scores.values()) - 10) * _POINT)
         self.score = {sp.id_to_piece(i): (round(scores[i] * _POINT), i) for i in plain}
         self.longest = max(map(len, self.score))
+        # every beginning of a piece, with the piece's score and id if it is one itself
+        self.begin: dict[str, tuple[int, int] | None] = dict.fromkeys(p[:k] for p in self.score for k in range(1, len(p)))
+        self.begin.update(self.score)
+        self.marked = re.compile(f"(?<=[^{MARK}]){MARK}")
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.has_bytes = all(sp.is_byte(i) for i in self.byte_ids)
-        joins = any(MARK in p.lstrip(MARK) for p in self.score)
-        self.words = re.compile("(?s).+" if joins else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.joins = any(MARK in p.lstrip(MARK) for p in self.score)
+        self.words = re.compile("(?s).+" if self.joins else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.seen = Memo(CACHE_WORDS)
         self.bytes = [
             bytes([self.byte_ids.index(i)]) if sp.is_byte(i) else b"" if sp.is_control(i) else "⁇".encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
@@ -70,30 +72,36 @@ class Pieces:
 
     @classmethod
     def of(cls, path: str) -> Pieces:
-        if path not in cls._all:
-            cls._all[path] = cls(path)
-        return cls._all[path]
+        return kept_in_worker(f"pieces {path}", lambda: cls(path))
 
     def steps(self, s: str, at: int) -> Iterator[tuple[int, int, int]]:
         """``(end, score, id)`` of the pieces that begin at ``at``; -1 for a character without a piece of its own."""
-        single = False
-        for end in range(at + 1, min(at + self.longest, len(s)) + 1):
-            got = self.score.get(s[at:end])
-            if got is not None:
-                single |= end == at + 1
-                yield end, *got
-        if not single:
+        if self.score.get(s[at : at + 1]) is None:
             yield at + 1, self.unknown, -1
+        for end in range(at + 1, len(s) + 1):
+            got = self.begin.get(s[at:end], False)
+            if got:
+                yield end, *got
+            elif got is False:
+                break
 
     def solve(self, word: str) -> tuple[int, bytes]:
         """The best score and its ids; of equal ones the path with the longest last pieces."""
-        best, back = [_NEVER] * (len(word) + 1), [(0, -1)] * (len(word) + 1)
+        n, begin = len(word), self.begin
+        best, back = [_NEVER] * (n + 1), [(0, -1)] * (n + 1)
         best[0] = 0
-        for at in range(len(word)):
-            base = best[at]
-            for end, score, piece in self.steps(word, at):
-                if base + score > best[end]:
-                    best[end], back[end] = base + score, (at, piece)
+        for at in range(n):
+            base, end = best[at], at + 1
+            got = begin.get(word[at:end], False)
+            if not got and base + self.unknown > best[end]:
+                best[end], back[end] = base + self.unknown, (at, -1)
+            while got is not False:
+                if got is not None and base + got[0] > best[end]:
+                    best[end], back[end] = base + got[0], (at, got[1])
+                end += 1
+                if end > n:
+                    break
+                got = begin.get(word[at:end], False)
         ids, at = [], len(word)
         while at:
             start, piece = back[at]
@@ -117,20 +125,24 @@ class Pieces:
 
     def matrix(self, s: str, size: int) -> np.ndarray:
         """Best scores from a first cut at ``i`` to a last cut at ``size + j``, pieces beginning before
-        ``size``; ``s`` goes on after ``size`` for as long as a piece can reach."""
+        ``size``; ``s`` goes on after ``size`` for as long as a piece can reach.
+
+        What all paths share, between the first and the last place that is always cut, is left out: it
+        is the same for every entry of the matrix and changes no choice.
+        """
         m, n = self.longest, len(s)
         out = np.full((m, m), _NEVER)
-        cuts = [x.start() for x in self.words.finditer(s[:size])]
-        head = next((c for c in cuts if m - 1 <= c), size)
+        first = None if self.joins else self.marked.search(s, m - 1, size)
+        head = first.start() if first else size
         v = np.full((max(size, head) + m, m), _NEVER)
         for i in range(min(m, n + 1)):
             v[i, i] = 0
         self._spread(s, 0, head, v)
-        if head < size:
-            tail = cuts[-1]
-            middle = self.words.findall(s[head:tail])
-            seen = self.seen.fill(set(middle), lambda new: [self.solve(w) for w in new])
-            best = v[head] + sum(seen[w][0] for w in middle)
+        if first:
+            tail = s.rfind(MARK, head, size)
+            while tail > head and s[tail - 1] == MARK:
+                tail = s.rfind(MARK, head, tail)
+            best = v[head].copy()
             v[tail : size + m] = _NEVER
             v[tail] = best
             self._spread(s, tail, size, v)
