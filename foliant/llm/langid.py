@@ -173,7 +173,9 @@ def train(
     for lang, n in sizes.items():
         part = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(part)
     key = F.xxhash64("text")
-    picked = rows.withColumn("key", key).where(F.pmod("key", F.lit(1 << 30)) < part * (1 << 30)).dropDuplicates(["key", "lang"])
+    picked = rows.withColumn("key", key).where(F.pmod("key", F.lit(1 << 30)) < part * (1 << 30))
+    # one row of each text, the same in every run
+    picked = picked.groupBy("key", "lang").agg(F.max("text").alias("text"), F.max("fits").alias("fits"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
