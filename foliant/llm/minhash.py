@@ -1,7 +1,7 @@
 """Near duplicates by b-bit MinHash, confirmed on whole shingle sets.
 
 One pass over the texts gives each document the digest of its shingle set, band keys of its
-minima, and the lowest two bits of each minimum packed into six numbers. Documents with one
+minima, and two mixed bits of each minimum packed into 64-bit numbers. Documents with one
 set are one class from there on. Candidates come from buckets of equal band keys; the share of
 equal bits, corrected for chance, estimates their similarity; pairs that may reach the threshold
 are confirmed on the full sets, which are recomputed for those documents alone.
@@ -97,9 +97,20 @@ def _band_keys(minima: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _finish(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
 def _planes(minima: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, bit by bit, in 64-bit numbers."""
-    out = []
+    """Two bits of each minimum, bit by bit, in 64-bit numbers.
+
+    The lowest bits of ``(x ^ flip) * odd`` tell two shingles apart under all permutations or under none,
+    so the bits are taken after a finaliser, where different minima agree by chance.
+    """
+    minima, out = _finish(minima), []
     for bit in range(BITS):
         flags = np.zeros((len(minima), 64 * _WORDS_PER_PLANE), np.uint8)
         flags[:, : minima.shape[1]] = (minima >> np.uint32(bit)) & np.uint32(1)

@@ -72,6 +72,34 @@ def test_minhash_groups_chains_and_thresholds(docs, prose):
     check_minhash(docs, rows[:80], k=4)
 
 
+SHORT = ((4, 0, 1), (8, 0, 2), (8, 1, 1), (9, 1, 1))  # shared shingles, those of the first text alone, of the second alone
+
+
+def short_pairs(n, k=5):
+    """Pairs of texts that are linked with few shingles, at or just above the threshold."""
+    rows = []
+    for shared, left, right in SHORT:
+        for _ in range(n):
+            w = [f"w{len(rows)}x{i}" for i in range(left + shared + right + k - 1)]
+            rows += [(len(rows), " ".join(w[: len(w) - right])), (len(rows) + 1, " ".join(w[left:]))]
+    return rows
+
+
+def test_minhash_short_pairs(docs):
+    check_minhash(docs, short_pairs(150))
+
+
+def test_bits_of_different_minima_agree_by_chance():
+    r, low = np.random.RandomState(1), minhash.Minima(minhash.MINIMA)
+    for shared, left, right in SHORT:
+        for _ in range(200):
+            x = r.randint(0, 2**63, left + shared + right).astype(np.uint64) * np.uint64(2)
+            a, b = (minhash._planes(low(s)[None])[0].view(np.uint64) for s in (x[: len(x) - right], x[left:]))
+            differ = (a ^ b).reshape(minhash.BITS, -1)
+            equal = 1 - sum(int(w).bit_count() for w in differ[0] | differ[1]) / minhash.MINIMA
+            assert equal > 0.25 + 0.75 * 0.8 - 4.5 * (0.85 * 0.15 / minhash.MINIMA) ** 0.5
+
+
 def test_bits_estimate_similarity():
     r, low = np.random.RandomState(0), minhash.Minima(minhash.MINIMA)
     for share in (0.5, 0.8, 0.95):
