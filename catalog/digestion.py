@@ -376,8 +376,8 @@ def annotations(t):
     return annotate(t.stance_claims, conflicts, t.digest_notes, t.pinned)
 
 
-view("facts", "SELECT doc_id AS document_id, block_no AS page, text, block_no % 2 = 0 AS preserve FROM {blocks} WHERE block_no % 5 = 0")
-view("fact_findings", "SELECT doc_id AS document_id, concat(CAST(doc_id AS STRING), ':', CAST(block_no AS STRING)) AS finding_id, text, (doc_id + block_no) % 4 <> 0 AS qualified FROM {blocks} WHERE block_no % 5 = 0 AND doc_id % 3 <> 0")
+view("facts", "SELECT doc_id AS document_id, block_no AS page, text, block_no % 2 = 0 AS preserve FROM {blocks}")
+view("fact_findings", "SELECT doc_id AS document_id, concat(CAST(doc_id AS STRING), ':', CAST(block_no AS STRING)) AS finding_id, text, (doc_id + block_no) % 4 <> 0 AS qualified FROM {blocks} WHERE doc_id % 3 <> 0")
 view("fact_excerpts", "SELECT concat(CAST(doc_id AS STRING), ':', CAST(block_no AS STRING)) AS finding_id, block_no + CASE WHEN doc_id % 8 = 1 THEN 1 ELSE 0 END AS page, CASE WHEN doc_id % 10 = 2 THEN upper(text) ELSE concat('> ', text) END AS text FROM {blocks}")
 
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from catalog.base import BASE
+from catalog.base import BASE, Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +43,14 @@ def test_query(spark, con, name):
     assert mine == other
 
 
+def test_fact_match_takes_every_block(spark):
+    tables = Tables(spark, SF)
+    blocks = tables.blocks.select("doc_id", "block_no")
+    got = queries()["fact_match"](spark, SF).select("document_id", "page")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, blocks.collect()))
+    assert tables.fact_findings.count() == blocks.where("doc_id % 3 <> 0").count()
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
 
