@@ -39,6 +39,7 @@ _DIGIT = re.compile(r"[0-9]")
 
 # Loose patterns; every repeat is bounded, so a long text costs no more than its length.
 _DOT = r"(?:\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?|\x20dot\x20|\.)"
+_AT = re.compile(r"[\[({]\x20?(?:at|@)\x20?[\])}]", re.I)  # with a plain " at ", all that the address pattern can hang on
 _LOOSE = {
     "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:\x20?[\[({{]\x20?(?:at|@)\x20?[\])}}]\x20?|\x20at\x20)[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,63}}){{1,4}}", re.I),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\x20?\[\.\]\x20?|\x20\.\x20|\.)[0-9]{1,3}){3}(?![0-9])"),
@@ -93,9 +94,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Loose matches that touch no base span, nor each other."""
     out: list[tuple[str, int, int]] = []
-    digits, low = _DIGIT.search(text), text.lower() if " at " in text or "(" in text or "[" in text or "{" in text else ""
+    digits = _DIGIT.search(text)
+    spelled = " at " in text.lower() or (("(" in text or "[" in text or "{" in text) and _AT.search(text))
     for kind, pattern in _LOOSE.items():
-        if not ("at" in low if kind == "email" else digits):
+        if not (spelled if kind == "email" else digits):
             continue
         for m in pattern.finditer(text):
             if kind == "email" and not re.search(r"dot|\.|@", m[0], re.I):

@@ -103,3 +103,15 @@ def test_awkward(docs, awkward):
 def test_redaction_joins_overlaps():
     assert redacted("abcdefgh", [("ip", 1, 3), ("card", 2, 5), ("email", 6, 7)]) == "a[IP]f[EMAIL]h"
     assert redacted("abc", []) == "abc"
+
+
+def test_gate_lets_all_spelled_addresses_through():
+    for at in (" at ", " AT ", " At ", "[@]", " [@] ", "(at)", "{AT}", "( aT )", "[ @ ]"):
+        for dot in (" dot ", " DOT ", "[.]", "."):
+            text = f"mail: joe.smith{at}example{dot}org"
+            assert [(k, text[a:z]) for k, a, z in pii.candidates(text, [])] == [("email", text[6:])], text
+    r, parts = random.Random(6), ["joe", "firm", " ", "at", "AT", "@", "[", "]", "(", ")", "{", "}", "dot", ".", "org", "x1", "İ"]
+    for _ in range(20_000):
+        text = "".join(r.choices(parts, k=r.randrange(4, 14)))
+        found = [("email", *m.span()) for m in pii._LOOSE["email"].finditer(text)]
+        assert [c for c in pii.candidates(text, []) if c[0] == "email"] == found, text
