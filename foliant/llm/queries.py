@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from foliant.llm import chat, langid, pieces, pii
 from foliant.llm.embedding_dedup import embedding_dedup
 from foliant.llm.exact_dedup import exact_dedup
+from foliant.llm.filter_audit import filter_audit
+from foliant.llm.line_dedup import clean_lines
 from foliant.llm.minhash import minhash_dedup
 from foliant.llm.packing import pack
 from foliant.llm.substring_dedup import substring_dedup
+from foliant.llm.vector_codes import coded
 from foliant.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +192,98 @@ def op3(conversations: DataFrame) -> DataFrame:
     whole = parts.groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("at"))
     whole = whole.select("key", F.sha2(F.array_join(F.transform("at", lambda x: x["h"]), ""), 256).alias("rendered_sha256"))
     return decided.join(whole, "key", "left").drop("key")
+
+
+@query(
+    "op11_line_dedup",
+    "documents",
+    """
+    WITH d AS (SELECT doc_id, unnest(list_zip(string_split(coalesce(text, ''), chr(10)), range(1, 1 + len(string_split(coalesce(text, ''), chr(10)))))) AS z
+               FROM documents),
+    l AS (SELECT doc_id, z[1] AS line, z[2] AS pos, translate(trim(z[1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM d),
+    c AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (c.last > doc_id) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.last IS NULL OR c.last <= doc_id), '')) AS kept_sha256
+    FROM l LEFT JOIN c USING (k) GROUP BY doc_id
+    """,
+)
+def op11(documents: DataFrame) -> DataFrame:
+    return clean_lines(documents).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _codes_sql(rounds: int) -> str:
+    """One part of the check for every round: nearest entries, then their means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS (SELECT p.vec_id, p.part, min(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + c.entry) AS m "
+            f"FROM p JOIN c{r} c USING (part) GROUP BY ALL)"
+        )
+        if r < rounds:
+            steps.append(
+                f"u{r} AS (SELECT part, CAST(m % 64 AS BIGINT) AS entry, pos, CAST(floor(sum(x[pos]) / count(*)) AS BIGINT) AS mean "
+                f"FROM a{r} JOIN p USING (vec_id, part), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS pos) GROUP BY ALL)"
+            )
+            steps.append(
+                f"c{r + 1} AS (SELECT c.part, c.entry, coalesce(list(mean ORDER BY pos) FILTER (mean IS NOT NULL), any_value(c.x)) AS x "
+                f"FROM c{r} c LEFT JOIN u{r} u ON u.part = c.part AND u.entry = c.entry GROUP BY c.part, c.entry)"
+            )
+    return ",\n".join(steps)
+
+
+@query(
+    "op12_vector_codes",
+    "embeddings",
+    f"""
+    WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    k AS (SELECT vec_id, label, list_transform(v, lambda c: CAST(floor(256 * c) AS BIGINT)) AS x FROM e
+          WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    p AS (SELECT vec_id, part, x[part * len(x) // 16 + 1 : (part + 1) * len(x) // 16] AS x FROM k, (SELECT unnest(range(16)) AS part)),
+    c0 AS (SELECT part, entry, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 64) USING (vec_id)),
+    {_codes_sql(2)},
+    o AS (SELECT vec_id, string_agg(printf('%02x', CAST(m % 64 AS INT)), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY vec_id)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+           sha256((SELECT string_agg(array_to_string(x, ','), ',' ORDER BY part, entry) FROM c2)) AS codebooks_sha256
+    FROM o JOIN k USING (vec_id)
+    """,
+)
+def op12(embeddings: DataFrame) -> DataFrame:
+    return coded(embeddings)
+
+
+SQL["op13_filter_audit"] = """
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+               list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]'), lambda x: x <> '') AS w FROM documents),
+    g AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+          CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END ||
+          CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END ||
+          CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END ||
+          CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+          FROM t LEFT JOIN g USING (doc_id)),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+    o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+          WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+    s AS (SELECT filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before
+          FROM o, (SELECT unnest(range(1, 6)) AS step)),
+    n AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+    x AS (SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS failing, fails = f AS alone,
+          before <> '' AND regexp_matches(fails, CASE WHEN before = '' THEN 'z' ELSE '[' || before || ']' END) AS earlier FROM n, s),
+    r AS (SELECT part, filter_order, step, f,
+          CAST(coalesce(sum(n) FILTER (NOT failing AND NOT earlier), 0) AS BIGINT) AS kept,
+          CAST(coalesce(sum(n) FILTER (failing AND NOT earlier), 0) AS BIGINT) AS removed,
+          CAST(coalesce(sum(n) FILTER (failing AND earlier), 0) AS BIGINT) AS redundant,
+          CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
+          CAST(coalesce(sum(good) FILTER (failing AND NOT earlier), 0) AS BIGINT) AS good_lost,
+          CAST(coalesce(sum(toxic) FILTER (failing AND NOT earlier), 0) AS BIGINT) AS toxic_lost FROM x GROUP BY ALL)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")))
+
+
+QUERIES["op13_filter_audit"] = op13
