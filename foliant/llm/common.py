@@ -106,11 +106,27 @@ class Memo(dict):
         super().__init__()
         self.most, self.older = most, {}
 
-    def fill(self, keys: set, answer: Callable[[list], Iterable]) -> Memo:
-        """Makes all ``keys`` present; ``answer`` gets those that are not remembered."""
+    def _turn(self) -> None:
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
+
+    def answers(self, keys: list, answer: Callable[[list], Iterable]) -> list:
+        """What belongs to distinct ``keys``, in their order; ``answer`` gets those that are not remembered."""
+        self._turn()
+        out = list(map(self.get, keys))
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k in rest:
+            if (x := self.older.get(keys[k])) is not None:
+                self[keys[k]] = out[k] = x
+        rest = [k for k in rest if out[k] is None]
+        for k, x in zip(rest, answer([keys[k] for k in rest]), strict=True):
+            self[keys[k]] = out[k] = x
+        return out
+
+    def fill(self, keys: set, answer: Callable[[list], Iterable]) -> Memo:
+        """Makes all ``keys`` present; ``answer`` gets those that are not remembered."""
+        self._turn()
         new = []
         for k in keys.difference(self):
             if k in self.older:

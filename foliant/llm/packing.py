@@ -10,33 +10,95 @@ window.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from foliant.llm.byte_pairs import Merges
 from foliant.llm.common import Memo, field, kept_in_worker, slices, text_of
 
 WINDOW = 2048
 END_ID = 1
 BLOCK_WINDOWS = 2048  # tokens that wait to be placed, in windows
-CACHE_WORDS = 300_000
-# White space as Unicode has it. No token of a byte-level vocabulary crosses these cuts: a word
-# takes one blank before it, a run of white space leaves its last character to what follows.
-_WS = "\t-\r " + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_WORDS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+CACHE_WORDS = 400_000
+SLICE_BYTES = 4 << 20  # of text whose words are looked up together
+# White space as Unicode has it: single bytes, and the later bytes after each first byte of longer ones.
+_SINGLE = np.zeros(256, bool)
+_SINGLE[[9, 10, 11, 12, 13, 32]] = True
+_LONGER = [c.encode() for c in map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+
+# What a byte-level vocabulary keeps apart, as far as single bytes tell: 1 letters, 2 digits, 3 marks; 0 the others.
+_KIND = np.zeros(256, np.uint8)
+_KIND[:128] = 3
+_KIND[_SINGLE] = 0
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, 0xC4, 0xC5]] = 1
+_KIND[48:58] = 2
+# Words that are one such run, which are merged without further cuts.
+_RUN = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+LONG_RUN = 64  # longer ones are left to the library
+
+
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """``_KIND`` with the Latin letters of two bytes, U+00C0 to U+017F but for the two signs among them."""
+    kind = _KIND[raw]
+    at = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC5))
+    sign = (raw[at] == 0xC3) & ((raw[at + 1] == 0x97) | (raw[at + 1] == 0xB7))
+    kind[at[sign]] = 0
+    kind[at[~sign] + 1] = 1
+    return kind
+
+
+def word_cuts(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the words of texts begin and end; the texts lie one after another in ``raw`` and stop at ``ends``.
+
+    No token of a byte-level vocabulary crosses these cuts: a word takes one blank before it, a run of white space
+    leaves its last character to what follows; runs of letters, of digits and of marks are apart, but an apostrophe may
+    belong to the letters after it.
+    """
+    n = len(raw)
+    first = _SINGLE[raw]  # bytes that begin a white space character
+    blank = first.copy()
+    for lead in {x[0] for x in _LONGER}:
+        at = np.flatnonzero(raw == lead)
+        for tail in (x[1:] for x in _LONGER if x[0] == lead):
+            here = at[at + len(tail) < n]
+            for k, byte in enumerate(tail, 1):
+                here = here[raw[here + k] == byte]
+            first[here] = True
+            for k in range(len(tail) + 1):
+                blank[here + k] = True
+    edge = np.zeros(n + 1, bool)
+    edge[0] = True
+    edge[ends] = True
+    change = blank[1:] != blank[:-1]
+    place = np.flatnonzero(change & ~edge[1:-1]) + 1  # inside a text
+    runs, words = place[blank[place]], place[~blank[place]]
+    edge[runs] = True
+    edge[words[raw[words - 1] != 32]] = True
+    last = words - 1  # the last white space character before a word
+    while (back := ~first[last]).any():
+        last = np.where(back, last - 1, last)
+    edge[last] = True
+    kind = _kinds(raw)
+    edge[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (raw[:-1] != 39)
+    return np.flatnonzero(edge)
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes; words seen before are looked up.
+    """Token ids of texts. Words are found by array operations and named once a slice; only new ones are solved.
 
-    Words are remembered across the tasks that one Python worker runs.
+    Words are remembered across the tasks that one Python worker runs. The strings of added tokens are their ids,
+    as in the plain call of the tokenizer; a text that holds one is encoded in the parts between them.
     """
 
     def __init__(self, path: str):
@@ -44,20 +106,86 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.seen = Memo(CACHE_WORDS)
+        added = self.model.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that take in what is around them are not supported")
+        self.added = {t.content: k for k, t in added.items()}
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.marks = re.compile(f"({'|'.join(longest_first)})") if self.added else None
+        definition = json.loads(self.model.to_str())
+        wanted = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        if definition["normalizer"] or not wanted.items() <= (definition["pre_tokenizer"] or {}).items():
+            raise ValueError("only byte-level tokenizers without a normaliser are supported")
+        self.merges, self.seen = Merges(definition), Memo(CACHE_WORDS)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
         return kept_in_worker(f"tokens {path}", lambda: cls(path))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [_WORDS.findall(t) for t in texts]
-        seen = self.seen.fill(set().union(*words), self.solve)
-        return [b"".join(map(seen.__getitem__, ws)) for ws in words]
-
-    def solve(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where each text's ids begin (n + 1 places)."""
+        texts = texts.cast(pa.large_string())
+        if self.marks is not None and pc.any(pc.match_substring_regex(texts, self.marks.pattern)).as_py():
+            return self._marked(texts.to_pylist())
+        return self._plain(texts)
+
+    def _marked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.marks.split(t) for t in texts]  # text, mark, text, ..., text
+        ids, starts = self._plain(pa.array([x for p in parts for x in p[::2]], pa.large_string()))
+        out, sizes, at = [], [], 0
+        for p in parts:
+            mine = []
+            for k, x in enumerate(p):
+                if k % 2:
+                    mine.append(np.array([self.added[x]], np.uint32))
+                else:
+                    mine.append(ids[starts[at] : starts[at + 1]])
+                    at += 1
+            sizes.append(sum(map(len, mine)))
+            out += mine
+        return np.concatenate([np.zeros(0, np.uint32), *out]), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1]
+        base, stop = int(ends[0]), int(ends[-1])
+        if base == stop:
+            return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+        raw = np.frombuffer(data, np.uint8)[base:stop]
+        cuts = word_cuts(raw, ends - base)
+        words = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)])
+        named = words.dictionary_encode()
+        solved = self.seen.answers(named.dictionary.to_pylist(), self.solve)
+        sizes = np.fromiter(map(len, solved), np.int32, len(solved)) // 4
+        ids, begins = np.frombuffer(b"".join(solved), np.uint32), (np.cumsum(sizes) - sizes).astype(np.int32)
+        codes = named.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[codes]
+        after = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        # a slice is one very long text or a few MB, so its ids are fewer than its bytes
+        kind = np.int32 if len(raw) < 1 << 30 else np.int64
+        place = np.repeat((begins[codes] - after[:-1]).astype(kind), counts)
+        place += np.arange(after[-1], dtype=kind)
+        return ids[place], after[np.searchsorted(cuts, ends - base)]
+
+    def solve(self, words: list[bytes]) -> list[bytes]:
+        out: list = [None] * len(words)
+        run = [k for k, w in enumerate(words) if len(w) <= LONG_RUN and _RUN.fullmatch(w)]
+        if run:
+            ids, sizes = self.merges([words[k] for k in run])
+            self._put(out, run, ids.tobytes(), sizes.tolist())
+        rest = [k for k, x in enumerate(out) if x is None]
+        if rest:
+            found = [e.ids for e in self.model.encode_batch_fast([words[k].decode() for k in rest], add_special_tokens=False)]
+            self._put(out, rest, array("I", chain.from_iterable(found)).tobytes(), list(map(len, found)))
+        return out
+
+    @staticmethod
+    def _put(out: list, places: list[int], ids: bytes, sizes: list[int]) -> None:
+        at = 0
+        for k, n in zip(places, sizes, strict=True):
+            out[k] = ids[at : at + 4 * n]
+            at += 4 * n
 
 
 class OpenWindows:
@@ -146,7 +274,7 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
-    ``ids`` are little-endian unsigned 32-bit tokens. A document's tokens are followed by
+    ``ids`` are little-endian unsigned 32-bit tokens, those of the tokenizer's plain call without special tokens at the ends. A document's tokens are followed by
     ``end_id``; a NULL or empty text is that id alone. Sequences are gapless from offset 0 and
     hold at most ``window`` tokens; each belongs to one input split, and its number is the split's number
     and a count. Repeated rows and ids are packed once each; a NULL id stays NULL. Other columns
@@ -166,9 +294,10 @@ def pack(
             nonlocal id_type
             for b in batches:
                 id_type = b.column(0).type
-                for a, z in slices(b.column(1)):
-                    ids = encoder(b.column(1).slice(a, z - a).to_pylist())
-                    yield from ((doc, x + end) for doc, x in zip(b.column(0).slice(a, z - a).to_pylist(), ids, strict=True))
+                for a, z in slices(b.column(1), SLICE_BYTES):
+                    ids, starts = encoder(b.column(1).slice(a, z - a))
+                    for k, doc in enumerate(b.column(0).slice(a, z - a).to_pylist()):
+                        yield doc, ids[starts[k] : starts[k + 1]].tobytes() + end
 
         for block in pack_blocks(documents(), window, block_windows):
             for k in range(0, len(block), 4096):

@@ -1,7 +1,9 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -56,7 +58,6 @@ def test_chunks_follow_content(spark, prose):
 
 def reference_ids(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -102,18 +103,28 @@ def test_packing_empty(docs):
     assert pack(docs([]), PATH).count() == 0
 
 
+MARK = "<|endoftext|>"
+
+
 def test_words_cut_where_tokens_end():
     t = Tokenizer.from_file(PATH)
     e = packing.Encoder(PATH)
-    for text in ("a  b", " \n x", "x \n", "\x1c\x1d a", "don't 's", "a b　 c\xa0d", "\n\n\n", "  ", "a\r\n\tb  ", "é́ 😀😀 x"):
-        got = e([text])[0]
-        assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == t.encode(text, add_special_tokens=False).ids
+    texts = ["a  b", " \n x", "x \n", "\x1c\x1d a", "don't 's", "a b\u3000 c\xa0d", "\n\n\n", "  ", "a\r\n\tb  ", "é\u0301 😀😀 x", "", "\u2003\u2003x", "x\u2028\u2029 \x85y", "\u2000", "\u205f a\u1680\u1680b", "Â\xa0 â\u2080 ã"]
+    texts += [f"a {MARK} b", MARK, f"{MARK}{MARK}", f"x \n{MARK}\n y  {MARK} ", f" <|endof {MARK[:-1]}", f"don't{MARK}'s"]
+    r = random.Random(4)
+    letters = ["a", "B", "1", " ", "  ", "\n", "\t", "\xa0", "\u2009", "\u3000", "é", "😀", "'s", "!", "\x1f", MARK]
+    texts += ["".join(r.choices(letters, k=r.randint(0, 30))) for _ in range(3000)]
+    for some in (texts, [x for x in texts if MARK not in x], texts[:1], []):
+        ids, starts = e(pa.array(some, pa.string()))
+        assert len(starts) == len(some) + 1
+        for k, text in enumerate(some):
+            assert ids[starts[k] : starts[k + 1]].tolist() == t.encode(text, add_special_tokens=False).ids, text
+    ids, starts = e(pa.array(texts, pa.string()).slice(3, 5))  # an array that begins elsewhere in its buffer
+    assert [ids[a:z].tolist() for a, z in zip(starts[:-1], starts[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts[3:8]]
 
 
 @pytest.mark.parametrize("window", [7, 64])
 def test_tightest_window(window):
-    import random
-
     r, w, rooms = random.Random(window), OpenWindows(window), {}
     for _ in range(500):
         n = r.randrange(1, window)
