@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from foliant.llm.words import mix
+from foliant.llm.lookup import KeyTable
 
 _NONE = np.int32(2**31 - 1)
 
@@ -33,30 +33,11 @@ class Merges:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         left, right = (np.array([vocab[p[k]] for p in pairs], np.int64) for k in (0, 1))
         made = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        keys, rank = left << 32 | right, np.arange(len(pairs), dtype=np.int32)
-        self.mask = (1 << max(4, int(4 * len(keys)).bit_length())) - 1
-        self.keys = np.full(self.mask + 1, -1, np.int64)
-        self.rank, self.made = np.full(self.mask + 1, _NONE), np.zeros(self.mask + 1, np.int32)
-        place = self._home(keys)
-        while len(keys):  # the next free place from a pair's own
-            at, first = np.unique(place, return_index=True)
-            first = first[self.keys[at] == -1]
-            at = place[first]
-            self.keys[at], self.rank[at], self.made[at] = keys[first], rank[first], made[first]
-            rest = np.ones(len(keys), bool)
-            rest[first] = False
-            keys, rank, made, place = keys[rest], rank[rest], made[rest], (place[rest] + 1) & self.mask
+        self.rank, self.made = KeyTable(left << 32 | right), made
 
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
-
-    def places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Where a pair stands in the table, or an empty place."""
-        keys = left.astype(np.int64) << 32 | right
-        place = self._home(keys)
-        while len(wrong := np.flatnonzero((self.keys[place] != keys) & (self.keys[place] != -1))):
-            place[wrong] = (place[wrong] + 1) & self.mask
-        return place
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        found = self.rank.find(left.astype(np.int64) << 32 | right)
+        return np.where(found < 0, _NONE, found)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and how many each has. No word is empty."""
@@ -64,13 +45,11 @@ class Merges:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         name, done = np.arange(len(words)), []
         total = np.zeros(len(words), np.int64)
-        place = np.zeros(len(symbols), np.int64)
         rank = np.full(len(symbols), _NONE)
         last = np.zeros(len(symbols), bool)
         last[np.cumsum(sizes) - 1] = True
         inner = np.flatnonzero(~last)
-        place[inner] = self.places(symbols[inner], symbols[inner + 1])
-        rank[inner] = self.rank[place[inner]]
+        rank[inner] = self._ranks(symbols[inner], symbols[inner + 1])
         while len(name):
             starts = np.cumsum(sizes) - sizes
             low = np.minimum.reduceat(rank, starts)
@@ -79,7 +58,7 @@ class Merges:
                 out, stay = ~going, np.repeat(going, sizes)
                 done.append((np.repeat(name[out], sizes[out]), symbols[~stay]))
                 total[name[out]] = sizes[out]
-                symbols, place, rank, last = symbols[stay], place[stay], rank[stay], last[stay]
+                symbols, rank, last = symbols[stay], rank[stay], last[stay]
                 name, sizes, low = name[going], sizes[going], low[going]
                 if not len(name):
                     break
@@ -88,20 +67,19 @@ class Merges:
             hits = np.flatnonzero((rank == low[word]) & (rank != _NONE))
             of = word[hits]
             at = hits[np.concatenate([[True], of[1:] != of[:-1]])]
-            symbols[at] = self.made[place[at]]
+            symbols[at] = self.made[rank[at]]
             last[at] = last[at + 1]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
             moved = at - np.arange(len(at))  # where they stand after the others are gone
-            symbols, place, rank, last = symbols[keep], place[keep], rank[keep], last[keep]
+            symbols, rank, last = symbols[keep], rank[keep], last[keep]
             sizes = sizes - going
             before = moved - 1
-            before = before[(before >= 0)]
+            before = before[before >= 0]
             touched = np.concatenate([moved, before[~last[before]]])
             rank[touched] = _NONE
             touched = touched[~last[touched]]
-            place[touched] = self.places(symbols[touched], symbols[touched + 1])
-            rank[touched] = self.rank[place[touched]]
+            rank[touched] = self._ranks(symbols[touched], symbols[touched + 1])
         owner = np.concatenate([d[0] for d in done]) if done else np.zeros(0, np.int64)
         ids = np.concatenate([d[1] for d in done]) if done else np.zeros(0, np.int32)
         return ids[np.argsort(owner, kind="stable")].astype(np.uint32), total

@@ -135,3 +135,32 @@ class Memo(dict):
                 new.append(k)
         self.update(zip(new, answer(new), strict=True))
         return self
+
+
+def by_word(raw: np.ndarray, cuts: np.ndarray, ends: np.ndarray, seen: Memo, solve: Callable[[list], Iterable]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts word by word: all ids one after another, and where each text's begin.
+
+    ``raw`` holds the texts one after another, ``ends`` where they begin and end (n + 1 places), ``cuts`` the same of the
+    words. Every distinct word is named once; ``solve`` gives little-endian 32-bit ids for those not remembered.
+    """
+    words = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)])
+    named = words.dictionary_encode()
+    solved = seen.answers(named.dictionary.to_pylist(), solve)
+    sizes = np.fromiter(map(len, solved), np.int64, len(solved)) // 4
+    ids, begins = np.frombuffer(b"".join(solved), np.uint32), np.cumsum(sizes) - sizes
+    codes = named.indices.to_numpy(zero_copy_only=False)
+    counts = sizes[codes]
+    after = np.concatenate([[0], np.cumsum(counts)])
+    kind = np.int32 if max(after[-1], len(ids)) < 1 << 31 else np.int64
+    place = np.repeat((begins[codes] - after[:-1]).astype(kind), counts)
+    place += np.arange(after[-1], dtype=kind)
+    return ids[place], after[np.searchsorted(cuts, ends)]
+
+
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string array one after another, and where each text begins and ends (n + 1 places)."""
+    array = texts.cast(pa.large_binary())
+    _, offsets, data = array.buffers()
+    ends = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
+    base, stop = int(ends[0]), int(ends[-1])
+    return (np.frombuffer(data, np.uint8)[base:stop] if stop > base else np.zeros(0, np.uint8)), ends - base

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from foliant.llm.byte_pairs import Merges
-from foliant.llm.common import Memo, field, kept_in_worker, slices, text_of
+from foliant.llm.common import Memo, by_word, field, flat_bytes, kept_in_worker, slices, text_of
 
 WINDOW = 2048
 END_ID = 1
@@ -146,27 +146,10 @@ class Encoder:
         return np.concatenate([np.zeros(0, np.uint32), *out]), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        n = len(texts)
-        _, offsets, data = texts.buffers()
-        ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1]
-        base, stop = int(ends[0]), int(ends[-1])
-        if base == stop:
-            return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        raw = np.frombuffer(data, np.uint8)[base:stop]
-        cuts = word_cuts(raw, ends - base)
-        words = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)])
-        named = words.dictionary_encode()
-        solved = self.seen.answers(named.dictionary.to_pylist(), self.solve)
-        sizes = np.fromiter(map(len, solved), np.int32, len(solved)) // 4
-        ids, begins = np.frombuffer(b"".join(solved), np.uint32), (np.cumsum(sizes) - sizes).astype(np.int32)
-        codes = named.indices.to_numpy(zero_copy_only=False)
-        counts = sizes[codes]
-        after = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        # a slice is one very long text or a few MB, so its ids are fewer than its bytes
-        kind = np.int32 if len(raw) < 1 << 30 else np.int64
-        place = np.repeat((begins[codes] - after[:-1]).astype(kind), counts)
-        place += np.arange(after[-1], dtype=kind)
-        return ids[place], after[np.searchsorted(cuts, ends - base)]
+        raw, ends = flat_bytes(texts)
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        return by_word(raw, word_cuts(raw, ends), ends, self.seen, self.solve)
 
     def solve(self, words: list[bytes]) -> list[bytes]:
         out: list = [None] * len(words)

@@ -30,14 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import Memo, field, kept_in_worker, slices, stage, text_of
+from foliant.llm.common import Memo, by_word, field, flat_bytes, kept_in_worker, slices, stage, text_of
+from foliant.llm.lattice import Lattice
 
 CHUNK = 1 << 14
 BLOCK = 64  # chunks whose matrices one task combines
 MARK = "▁"
+_MARK = MARK.encode()
 _POINT = 1 << 16
 _NEVER = -(1 << 60)
 CACHE_WORDS = 300_000
+LONG_WORD = 64  # longer words are solved one by one
+SLICE_BYTES = 4 << 20
+TASK_CHUNKS = 64  # chunks of giant documents in one task
 
 
 class Pieces:
@@ -63,12 +68,14 @@ class Pieces:
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.has_bytes = all(sp.is_byte(i) for i in self.byte_ids)
         self.joins = any(MARK in p.lstrip(MARK) for p in self.score)
-        self.words = re.compile("(?s).+" if self.joins else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.seen = Memo(CACHE_WORDS)
-        self.bytes = [
+        self.lattice, self.seen = Lattice(self.score, self.unknown), Memo(CACHE_WORDS)
+        spelt = [
             bytes([self.byte_ids.index(i)]) if sp.is_byte(i) else b"" if sp.is_control(i) else "⁇".encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
             for i in ids
         ]
+        self.spelt, self.spelt_sizes = np.frombuffer(b"".join(spelt), np.uint8), np.array(list(map(len, spelt)))
+        self.spelt_at = np.cumsum(self.spelt_sizes) - self.spelt_sizes
+        self.extra = self.normalise("a").startswith(MARK)
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -86,7 +93,7 @@ class Pieces:
                 break
 
     def solve(self, word: str) -> tuple[int, bytes]:
-        """The best score and its ids; of equal ones the path with the longest last pieces."""
+        """The best score and its ids, for a word of any length; of equal ones the path with the longest last pieces."""
         n, begin = len(word), self.begin
         best, back = [_NEVER] * (n + 1), [(0, -1)] * (n + 1)
         best[0] = 0
@@ -114,11 +121,49 @@ class Pieces:
             at = start
         return best[-1], array("I", reversed(ids)).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of normalised texts as little-endian 32-bit bytes."""
-        words = [self.words.findall(t) for t in texts]
-        seen = self.seen.fill(set().union(*words), lambda new: [self.solve(w) for w in new])
-        return [b"".join([seen[w][1] for w in ws]) for ws in words]
+    def solve_all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words; short ones without unknown characters all at once."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        short = [k for k, t in enumerate(texts) if len(t) <= LONG_WORD]
+        out: list = [None] * len(words)
+        if short:
+            ids, sizes, _ = self.lattice([texts[k] for k in short])
+            ends = np.cumsum(sizes)
+            known = np.minimum.reduceat(ids, ends - sizes) >= 0
+            data = ids.astype(np.uint32).tobytes()
+            for k, z, n, fine in zip(short, ends.tolist(), sizes.tolist(), known.tolist(), strict=True):
+                if fine:
+                    out[k] = data[4 * (z - n) : 4 * z]
+        return [self.solve(t)[1] if x is None else x for x, t in zip(out, texts, strict=True)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of normalised texts one after another, and where each text's begin."""
+        raw, ends = flat_bytes(pa.array(texts, pa.large_string()))
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[ends] = True
+        if not self.joins:  # before every mark that follows something else
+            mark = np.zeros(len(raw) + 1, bool)
+            at = np.flatnonzero(raw == _MARK[0])
+            at = at[at + 2 < len(raw)]
+            at = at[(raw[at + 1] == _MARK[1]) & (raw[at + 2] == _MARK[2])]
+            mark[at] = True
+            edge[at[~mark[np.maximum(at - 3, 0)] | (at < 3)]] = True
+        return by_word(raw, np.flatnonzero(edge), ends, self.seen, self.solve_all)
+
+    def spell(self, ids: np.ndarray, starts: np.ndarray, first: list[bool]) -> list[str]:
+        """The texts of ids; the blank that the model puts before a text is taken off where ``first``."""
+        sizes = self.spelt_sizes[ids]
+        after = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.repeat(self.spelt_at[ids] - after[:-1], sizes)
+        place += np.arange(after[-1])
+        data, ends = self.spelt[place].tobytes(), after[starts].tolist()
+        out = []
+        for a, z, begins in zip(ends[:-1], ends[1:], first, strict=True):
+            a += self.extra and begins and data[a:z].startswith(b" ")
+            out.append(data[a:z].decode("utf-8", "replace"))
+        return out
 
     def normalise(self, text: str) -> str:
         return self.sp.normalize(text)
@@ -174,28 +219,43 @@ def states(matrices: list[np.ndarray], entry: int, leave: int) -> list[int]:
     return out[::-1]
 
 
-def _chunks(path: str, schema: T.StructType, carry: bool, chunk: int):
-    """Chunks of giant documents: with matrices, or (``carry``) with their texts."""
+def _bodies(path: str, schema: T.StructType, chunk: int):
+    """Normalised chunks of giant documents, each with what a piece can reach after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Pieces.of(path)
         reach = vocabulary.longest - 1
         for b in batches:
-            for row_no, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = vocabulary.normalise(text.as_py())
+            for k in range(b.num_rows):
+                t = vocabulary.normalise(b.column(2)[k].as_py())
                 total = max(-(-len(t) // chunk), 1)
-                for k in range(total):
-                    body = t[k * chunk : (k + 1) * chunk + reach]
-                    size = min(chunk, len(t) - k * chunk)
-                    value = pa.array([body]) if carry else pa.array([vocabulary.matrix(body, size).tobytes()], pa.binary())
-                    numbers = [pa.array([x], pa.int32()) for x in (k, total, size)]
-                    yield pa.RecordBatch.from_arrays([pa.array([row_no]), *numbers, value], schema.names)
+                for at in range(0, total, 256):
+                    numbers = range(at, min(at + 256, total))
+                    body = [t[n * chunk : (n + 1) * chunk + reach] for n in numbers]
+                    size = [min(chunk, len(t) - n * chunk) for n in numbers]
+                    same = [c.take(pa.array([k] * len(body))) for c in b.columns[:2]]
+                    yield pa.RecordBatch.from_arrays(
+                        [*same, pa.array(numbers, pa.int32()), pa.array([total] * len(body), pa.int32()), pa.array(size, pa.int32()), pa.array(body, pa.string())], schema.names
+                    )
 
     return run
 
 
-def _edges(matrices: DataFrame, block: int) -> DataFrame:
-    """``row_no, chunk, entry, leave``: how far pieces reach into and out of each chunk on the best path."""
+def _matrices(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Pieces.of(path)
+        for b in batches:
+            made = [vocabulary.matrix(body, size).tobytes() for body, size in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(made, pa.binary())], ["row_no", "chunk", "matrix"])
+
+    return run
+
+
+def _edges(matrices: DataFrame, block: int, tasks: int) -> DataFrame:
+    """``row_no, chunk, entry, leave``: how far pieces reach into and out of each chunk on the best path.
+
+    Blocks are dealt over a fixed number of ``tasks``: by their few bytes they would all be folded into one.
+    """
 
     def read(column) -> list[np.ndarray]:
         side = lambda raw: int((len(raw) // 8) ** 0.5)
@@ -220,52 +280,85 @@ def _edges(matrices: DataFrame, block: int) -> DataFrame:
         return pd.DataFrame({"row_no": group["row_no"].to_numpy(), "chunk": group["chunk"].to_numpy(), "entry": s[:-1], "leave": s[1:]})
 
     blocked = matrices.withColumn("block", F.floor(F.col("chunk") / block).cast("int"))
-    blocks = blocked.groupBy("row_no", "block").applyInPandas(fold, "row_no long, block int, matrix binary")
+    dealt = blocked.repartition(tasks, "row_no", "block")
+    blocks = dealt.groupBy("row_no", "block").applyInPandas(fold, "row_no long, block int, matrix binary")
     ends = blocks.groupBy("row_no").applyInPandas(walk_blocks, "row_no long, block int, from int, to int")
-    return blocked.join(ends, ["row_no", "block"]).groupBy("row_no", "block").applyInPandas(walk_chunks, "row_no long, chunk int, entry int, leave int")
+    both = blocked.join(ends, ["row_no", "block"]).repartition(tasks, "row_no", "block")
+    return both.groupBy("row_no", "block").applyInPandas(walk_chunks, "row_no long, chunk int, entry int, leave int")
 
 
-def encode(
-    df: DataFrame, model_path: str, chunk: int = CHUNK, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Ids of all texts: ``row_no, doc_id, chunk, chunks, ids``, little-endian 32-bit, a row per chunk.
+def _schema(df: DataFrame, id_col: str, spell: bool) -> T.StructType:
+    named = [("chunk", T.IntegerType()), ("chunks", T.IntegerType()), ("ids", T.BinaryType())] + [("text", T.StringType())] * spell
+    return T.StructType([T.StructField("row_no", T.LongType()), field(df, id_col, "doc_id")] + [T.StructField(n, t) for n, t in named])
 
-    A document's ids are those of its chunks in order; only documents of ``chunk`` characters or more
-    have several. A NULL or empty text has one chunk without ids. Repeated rows are encoded once each and keep
-    apart by ``row_no``; a NULL id stays NULL. Other columns are not read. No rows give no rows. ``df`` must
-    give the same rows in the same order whenever it is read.
-    """
+
+def _binary_ids(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    data = pa.py_buffer(np.ascontiguousarray(ids, "<u4"))
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer((4 * starts).astype(np.int64)), data]).cast(pa.binary())
+
+
+def _encoded(df: DataFrame, model_path: str, chunk: int, block: int, id_col: str, text_col: str, spell: bool) -> tuple[DataFrame, DataFrame]:
+    """Documents under ``chunk`` characters, a row each, and the chunks of the others."""
     rows = df.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     giant = F.length("text") >= chunk
-    schema = T.StructType([T.StructField("row_no", T.LongType()), field(df, id_col, "doc_id"), T.StructField("chunk", T.IntegerType()), T.StructField("chunks", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+    schema = _schema(df, id_col, spell)
+
+    def answer(vocabulary: Pieces, same: list[pa.Array], numbers: list[pa.Array], texts: list[str], first: list[bool]) -> pa.RecordBatch:
+        ids, starts = vocabulary.encode(texts)
+        spelt = [pa.array(vocabulary.spell(ids, starts, first), pa.string())] if spell else []
+        return pa.RecordBatch.from_arrays([*same, *numbers, _binary_ids(ids, starts), *spelt], schema.names)
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Pieces.of(model_path)
         for b in batches:
-            for a, z in slices(b.column(2)):
+            for a, z in slices(b.column(2), SLICE_BYTES):
                 texts = [vocabulary.normalise(t) for t in b.column(2).slice(a, z - a).to_pylist()]
-                zero, one = (pa.array([k] * (z - a), pa.int32()) for k in (0, 1))
-                ids = pa.array(vocabulary.encode(texts), pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), zero, one, ids], schema.names)
+                numbers = [pa.array([k] * (z - a), pa.int32()) for k in (0, 1)]
+                yield answer(vocabulary, [c.slice(a, z - a) for c in b.columns[:2]], numbers, texts, [True] * (z - a))
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Pieces.of(model_path)
-        for b in batches:
-            size, body, entry, leave = (b.column(c).to_pylist() for c in ("size", "body", "entry", "leave"))
-            texts = [t[i : n + j] for n, t, i, j in zip(size, body, entry, leave, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(vocabulary.encode(texts), pa.binary())], schema.names)
-
-    whole = rows.where(~giant).mapInArrow(small, schema)
-    large = rows.where(giant)
-    parts = T._parse_datatype_string("row_no long, chunk int, chunks int, size int, matrix binary")
-    matrices = stage(large.select("row_no", "text").mapInArrow(_chunks(model_path, parts, False, chunk), parts), "matrices")
-    bodies = T._parse_datatype_string("row_no long, chunk int, chunks int, size int, body string")
-    texts = large.select("row_no", "text").mapInArrow(_chunks(model_path, bodies, True, chunk), bodies)
-    traced = texts.join(_edges(matrices.select("row_no", "chunk", "matrix"), block), ["row_no", "chunk"]).join(large.select("row_no", "doc_id"), "row_no")
+        for whole in batches:
+            for a, z in slices(whole.column(5), SLICE_BYTES):
+                b = whole.slice(a, z - a)
+                number, size, body, entry, leave = (b.column(c).to_pylist() for c in ("chunk", "size", "body", "entry", "leave"))
+                texts = [t[i : n + j] for n, t, i, j in zip(size, body, entry, leave, strict=True)]
+                yield answer(vocabulary, b.columns[:2], b.columns[2:4], texts, [k == 0 for k in number])
+
+    named = [("chunk", T.IntegerType()), ("chunks", T.IntegerType()), ("size", T.IntegerType()), ("body", T.StringType())]
+    parts = T.StructType([*schema.fields[:2]] + [T.StructField(n, t) for n, t in named])
+    bodies = stage(rows.where(giant).mapInArrow(_bodies(model_path, parts, chunk), parts), "chunks")
+    tasks = max(1, -(-bodies.count() // TASK_CHUNKS))
+    # the chunks of one document are anyone's work
+    spread = bodies.select("row_no", "chunk", "size", "body").repartition(tasks, "row_no", "chunk")
+    matrices = stage(spread.mapInArrow(_matrices(model_path), "row_no long, chunk int, matrix binary"), "matrices")
+    traced = bodies.join(_edges(matrices, block, tasks), ["row_no", "chunk"]).repartition(tasks, "row_no", "chunk")
     traced = traced.select("row_no", "doc_id", "chunk", "chunks", "size", "body", "entry", "leave").mapInArrow(trace, schema)
+    return rows.where(~giant).mapInArrow(small, schema), traced
+
+
+def encode(
+    df: DataFrame, model_path: str, chunk: int = CHUNK, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Ids of all texts: ``row_no, doc_id, chunk, chunks, ids``, little-endian 32-bit, a row per chunk.
+
+    A document's ids are those of its chunks in order; only documents of ``chunk`` characters or more
+    have several. A NULL or empty text has one chunk without ids. Repeated rows are encoded once each and keep
+    apart by ``row_no``; a NULL id stays NULL. Other columns are not read. No rows give no rows. ``df`` must
+    give the same rows in the same order whenever it is read.
+    """
+    whole, traced = _encoded(df, model_path, chunk, block, id_col, text_col, False)
     return whole.unionByName(traced)
 
 
+def round_trip(
+    df: DataFrame, model_path: str, chunk: int = CHUNK, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``row_no, doc_id, ids, text``: every document's ids and what they spell, in the pass that encodes; see :func:`encode`."""
+    whole, traced = _encoded(df, model_path, chunk, block, id_col, text_col, True)
+    return whole.select("row_no", "doc_id", "ids", "text").unionByName(_gathered(traced))
+
+
 def decode(df: DataFrame, model_path: str) -> DataFrame:
     """``df`` of ``encode`` with ``text``: what each chunk's ids spell. A document's text is that of its chunks in
     order; the blank that the model puts before a text is taken off the first one again."""
@@ -274,21 +367,25 @@ def decode(df: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Pieces.of(model_path)
-        spell, extra = vocabulary.bytes.__getitem__, vocabulary.normalise("a").startswith(MARK)
-        for b in batches:
-            texts = []
-            for raw, chunk in zip(b.column(at[0]), b.column(at[1]).to_pylist(), strict=True):
-                out = b"".join(map(spell, np.frombuffer(raw.as_buffer(), "<u4").tolist()))
-                texts.append((out[1:] if extra and chunk == 0 and out[:1] == b" " else out).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], schema.names)
+        for whole in batches:
+            for a, z in slices(whole.column(at[0]), SLICE_BYTES):
+                b = whole.slice(a, z - a)
+                raw, ends = flat_bytes(b.column(at[0]))
+                texts = vocabulary.spell(raw.view("<u4"), ends // 4, [k == 0 for k in b.column(at[1]).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def _gathered(parts: DataFrame) -> DataFrame:
+    """``row_no, doc_id, ids, text`` of documents in several chunks."""
+    parts = parts.withColumn("part", F.struct("chunk", "ids", "text"))
+    parts = parts.groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("part")).alias("parts"))
+    spelt = [F.array_join(F.transform("parts", lambda p: f(p)), "") for f in (lambda p: F.hex(p["ids"]), lambda p: p["text"])]
+    return parts.select("row_no", "doc_id", F.unhex(spelt[0]).alias("ids"), spelt[1].alias("text"))
+
+
 def documents(decoded: DataFrame) -> DataFrame:
     """``row_no, doc_id, ids, text``: a row per document; only those of several chunks are gathered."""
     whole = decoded.where("chunks = 1").select("row_no", "doc_id", "ids", "text")
-    parts = decoded.where("chunks > 1").withColumn("part", F.struct("chunk", "ids", "text"))
-    parts = parts.groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("part")).alias("parts"))
-    spelt = [F.array_join(F.transform("parts", lambda p: f(p)), "") for f in (lambda p: F.hex(p["ids"]), lambda p: p["text"])]
-    return whole.unionByName(parts.select("row_no", "doc_id", F.unhex(spelt[0]).alias("ids"), spelt[1].alias("text")))
+    return whole.unionByName(_gathered(decoded.where("chunks > 1")))

@@ -161,12 +161,12 @@ def op7(pages: DataFrame) -> DataFrame:
 
 @query("op2_sentencepiece", "documents")
 def op2(documents: DataFrame) -> DataFrame:
-    path = tokenizer("piece_bpe_32k.model")
-    spelt = pieces.documents(pieces.decode(pieces.encode(documents, path), path))
-    given = documents.select(F.monotonically_increasing_id().alias("row_no"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("given"))
-    return spelt.withColumn("text_sha256", F.sha2("text", 256)).drop("text").join(given, "row_no").select(
-        "doc_id", F.expr("CAST(octet_length(ids) / 4 AS BIGINT) AS n_ids"), F.crc32("ids").alias("ids_crc32"), "text_sha256",
-        (F.col("given") == F.col("text_sha256")).alias("round_trip"),
+    # what is to be compared later goes along with the id
+    given = F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).alias("given")
+    spelt = pieces.round_trip(documents.select(given, "text"), tokenizer("piece_bpe_32k.model"), id_col="given")
+    return spelt.select(
+        "doc_id.doc_id", F.expr("CAST(octet_length(ids) / 4 AS BIGINT) AS n_ids"), F.crc32("ids").alias("ids_crc32"),
+        F.sha2("text", 256).alias("text_sha256"), (F.col("doc_id.sha256") == F.sha2("text", 256)).alias("round_trip"),
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from foliant.llm import pieces
 from foliant.llm.chat import chat_format
-from foliant.llm.pieces import Pieces, combine, decode, documents, encode, states
+from foliant.llm.lattice import Lattice
+from foliant.llm.pieces import Pieces, combine, decode, documents, encode, round_trip, states
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -69,6 +70,8 @@ def check(docs, path, texts, chunk, block=3):
     df = docs(rows)
     got = documents(decode(encode(df, path, chunk, block), path)).collect()
     assert sorted((r.doc_id, r.text) for r in got) == sorted((i, (t or "").replace("▁", " ")) for i, t in rows)
+    fused = round_trip(df, path, chunk, block).select("doc_id", "text", "ids").collect()
+    assert sorted(map(repr, fused)) == sorted(repr(r) for r in [g.__class__(doc_id=g.doc_id, text=g.text, ids=g.ids) for g in got])
     left = {}
     for i, t in rows:
         left.setdefault((i, (t or "").replace("▁", " ")), []).append(t or "")
@@ -96,10 +99,38 @@ def test_ids_of_the_library(docs, prose, tmp_path):
 
 def test_pieces_across_words(docs, prose, tmp_path):
     path = unigram(tmp_path, extra=["of▁the", "a▁b▁c"])
-    assert Pieces(path).words.findall("x▁y▁z") == ["x▁y▁z"]
+    assert Pieces(path).joins and not Pieces(PATH).joins
     check(docs, path, ["out of the a b c house " * 20, "of the" * 30, "a b c a b c"], 23)
 
 
+def test_words_at_once_are_words_one_by_one(prose):
+    v = Pieces(PATH)
+    words = [w for t in TEXTS if t for w in t.split(" ") if w] + prose(3, 3000).split() + ["▁" + w for w in prose(4, 500).split()] + ["≡", "a≡b", "▁▁▁", "é́"]
+    words = [w for w in words if len(w) <= pieces.LONG_WORD]
+    ids, sizes, best = v.lattice(words)
+    ends = np.cumsum(sizes)
+    for w, a, z, score in zip(words, ends - sizes, ends, best.tolist()):
+        assert score == v.solve(w)[0], w
+        if (ids[a:z] >= 0).all():
+            assert ids[a:z].astype("<u4").tobytes() == v.solve(w)[1], w
+    assert v.solve_all([w.encode() for w in words]) == [v.solve(w)[1] for w in words]
+    # of equal scores the longest last piece, as one by one
+    tie = Lattice({"a": (-1, 1), "b": (-1, 2), "ab": (-2, 3), "abb": (-3, 4), "bb": (-2, 5)}, -9)
+    assert tie(["abb", "ab", "b", "xa"])[0].tolist() == [4, 3, 2, -1, 1]
+
+
+def test_one_giant_document_is_many_tasks(spark, docs, prose, monkeypatch):
+    monkeypatch.setattr(pieces, "TASK_CHUNKS", 4)
+    text = prose(7, 30_000) + "ab" * 3000 + " " + prose(8, 2000)
+    df = docs([(1, text)])
+    got = encode(df, PATH, chunk=4096, block=3)
+    assert got.select(F.spark_partition_id()).distinct().count() > 4
+    assert round_trip(df, PATH, chunk=4096, block=3).first().text == text
+    v = Pieces(PATH)
+    ids = np.frombuffer(round_trip(df, PATH, chunk=4096, block=3).first().ids, "<u4").tolist()
+    assert score_of(v, ids) == best_score(v, v.normalise(text))
+
+
 def test_matrices_combine_in_any_order():
     r = np.random.RandomState(1)
     a, b, c = (r.randint(-100, 0, (5, 5)) for _ in range(3))
