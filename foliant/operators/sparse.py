@@ -3,14 +3,15 @@
 Weights follow the common Okapi form with k1=1.5, b=0.75 and a floor for negative idf of
 0.25 times the mean idf. The corpus is read twice: once to count its vocabulary, with
 map-side combine, and once to score it. A frequent word meets every query in every document,
-so scoring never forms (query, document) rows: each task multiplies its documents with a block of
-query weights at a time and keeps its best ``k`` per query. Only those rows are shuffled.
+so scoring never forms (query, document) rows: each task builds the inverted lists of its documents and reads
+only the blocks that can still change a query's best ``k``. Only those rows are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -18,13 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import tokens
-from foliant.plans.blocks import against, query_blocks
+from foliant.operators.postings import Postings, ask
+from foliant.plans.blocks import visit
 from foliant.plans.ordered import top_n
 from foliant.plans.session import cut_lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # fixed values
-BLOCK_WEIGHTS = 4000  # (query, term) weights of a query block, so at most 16 million cells
-_ROW_CELLS = 4_000_000
 DOC = ["source", "chunk_id"]
 
 
@@ -106,44 +106,33 @@ def _saturation(tf, dl, avgdl):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _scored(rows: DataFrame, weights: DataFrame, names: list[str], k: int, postings, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Best ``k`` rows per query of each task, equal scores by ``names`` (the last one as text).
+def _scored(
+    rows: DataFrame, weights: DataFrame, names: list[str], ties: list[str], k: int, entries: Callable[[pa.Table, pa.Array | None], tuple], schema: str,
+) -> DataFrame:
+    """Rows of each payload that may be among the best ``k`` of a query, by :mod:`foliant.operators.postings`.
 
-    ``weights``: ``query_id, term, w``; ``postings(batch, vocabulary)`` gives row, term and value arrays of one
-    Arrow batch of ``rows``. The columns ``carry`` go along.
+    ``weights``: ``query_id, term, w``; ``entries(payload, vocabulary)`` gives row, value and term number of every posting and
+    the terms; those outside ``vocabulary`` may be left out. Equal scores are ordered by ``ties`` as text.
     """
-    columns = [*carry, *names]
-
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        ranked = frame.assign(r=-frame["score"].round(9), t=frame[names[-1]].astype(str))
-        ranked = ranked.sort_values(["query_id", "r", *names[:-1], "t"], kind="stable")
-        return ranked.groupby("query_id", sort=False).head(k).drop(columns=["r", "t"])
-
-    def compare(batch: pa.RecordBatch, block: pa.StructArray) -> pa.RecordBatch | None:
-        ids, cols = np.unique(block.field("query_id").to_numpy(zero_copy_only=False), return_inverse=True)
-        terms, lines = np.unique(block.field("term").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-        weight = np.zeros((len(terms), len(ids)))
-        weight[lines, cols] = block.field("w").to_numpy(zero_copy_only=False)
-        rows, at, values = postings(batch, pa.array(terms.tolist(), pa.string()))
-        keys = {n: batch.column(batch.schema.get_field_index(n)).to_pandas() for n in columns}
-        step, found = max(16, _ROW_CELLS // max(1, max(weight.shape))), []
-        for lo in range(0, batch.num_rows, step):
-            hi = min(lo + step, batch.num_rows)
-            mine = (rows >= lo) & (rows < hi)
-            part = np.zeros((hi - lo, len(terms)))
-            part[rows[mine] - lo, at[mine]] = values[mine]
-            score = part @ weight
-            rounded = score.round(9)
-            place = max(0, len(score) - k)
-            r, q = np.nonzero((rounded >= np.partition(rounded, place, axis=0)[place]) & (score > 0))
-            found.append(pd.DataFrame({"query_id": ids[q], **{n: keys[n].to_numpy()[lo + r] for n in columns}, "score": score[r, q]}))
-        best = cut(pd.concat(found, ignore_index=True)) if found else None
-        return None if best is None or best.empty else pa.RecordBatch.from_pandas(best, preserve_index=False)
-
-    def merge(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pandas(cut(table.to_pandas()), table.schema, preserve_index=False)
-
-    return against(rows, query_blocks(weights, "query_id", BLOCK_WEIGHTS), compare, merge, schema)
+
+    def prepare(payload: pa.Table, asked: pa.Table | None) -> tuple[Postings, pa.Table]:
+        wanted = None if asked is None else pc.unique(asked.column("term"))
+        row, value, code, terms = entries(payload, wanted)
+        order = pc.sort_indices(
+            pa.table([payload.column(n).cast(pa.string()) for n in ties], names=ties), [(n, "ascending") for n in ties], null_placement="at_start"
+        ).to_numpy()
+        tie = np.empty(len(order), np.int64)
+        tie[order] = np.arange(len(order))
+        return Postings.of(tie, row, terms, value, code), payload.select(names)
+
+    def search(made: tuple[Postings, pa.Table], block: pa.Table, held: dict) -> pa.RecordBatch | None:
+        query, doc, score = ask(made[0], block, held, k)
+        if not len(query):
+            return None
+        found = made[1].take(pa.array(doc)).combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), *found.columns, pa.array(score)], ["query_id", *names, "score"])
+
+    return visit(rows, weights, "query_id", F.length("term") + 24, prepare, search, schema)
 
 
 def _flat(column) -> tuple[np.ndarray, pa.Array]:
@@ -152,6 +141,14 @@ def _flat(column) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(sizes)), sizes), column.flatten()
 
 
+def _codes(words: pa.Array, vocabulary: pa.Array | None) -> tuple[np.ndarray, pa.Array]:
+    """A number for every word, -1 outside ``vocabulary``, and the words by number."""
+    if vocabulary is None:
+        coded = words.dictionary_encode()
+        return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    return pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64), vocabulary
+
+
 def search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Top ``k`` documents per query; equal scores keep corpus order.
 
@@ -168,25 +165,20 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     weights = cut_lineage(weights)
     average = weights.select(F.max("avgdl").alias("avgdl"))  # one number, the same in every row
 
-    def postings(batch, vocabulary):
-        column = batch.column(batch.schema.get_field_index("terms"))
-        rows, flat = _flat(column)
-        found = pc.index_in(flat, value_set=vocabulary).to_numpy(zero_copy_only=False)
-        held = ~np.isnan(found) if found.dtype.kind == "f" else np.ones(len(found), bool)
-        size = max(1, len(vocabulary))
-        pairs, tf = np.unique(
-            rows[held] * size + found[held].astype(np.int64), return_counts=True
-        )
-        dl, avgdl = (
-            batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("dl", "avgdl")
-        )
+    def entries(payload: pa.Table, vocabulary: pa.Array | None):
+        row, flat = _flat(payload.column("terms").combine_chunks())
+        code, terms = _codes(flat, vocabulary)
+        held = code >= 0
+        size = max(1, len(terms))
+        pairs, tf = np.unique(row[held] * size + code[held], return_counts=True)
         at = pairs // size
-        return at, pairs % size, _saturation(tf, dl[at], avgdl[at])
+        dl, avgdl = (payload.column(c).to_numpy() for c in ("dl", "avgdl"))
+        return at, _saturation(tf, dl[at], avgdl[at]), pairs % size, terms
 
     types = dict(corpus.select(*DOC).dtypes)
     schema = f"query_id bigint, source {types['source']}, chunk_id {types['chunk_id']}, score double"
     rows = tokened.withColumn("avgdl", F.coalesce(average.scalar(), F.lit(1.0)))
-    return top_n(_scored(rows, weights.drop("avgdl"), DOC, k, postings, schema), ["query_id"], order, k)
+    return top_n(_scored(rows, weights.drop("avgdl"), DOC, DOC, k, entries, schema), ["query_id"], order, k)
 
 
 def _isolated_parts(records: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -242,13 +234,13 @@ def isolated_search(records: DataFrame, queries: DataFrame, k: int = 8) -> DataF
         F.collect_list("term").alias("terms"), F.collect_list("part").alias("parts")
     )
 
-    def postings(batch, vocabulary):
-        rows, flat = _flat(batch.column(batch.schema.get_field_index("terms")))
-        cols = pc.index_in(flat, value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
-        values = batch.column(batch.schema.get_field_index("parts")).flatten()
-        return rows, cols, values.to_numpy(zero_copy_only=False)
+    def entries(payload: pa.Table, vocabulary: pa.Array | None):
+        row, flat = _flat(payload.column("terms").combine_chunks())
+        code, terms = _codes(flat, vocabulary)
+        held = code >= 0
+        return row[held], payload.column("parts").combine_chunks().flatten().to_numpy(zero_copy_only=False)[held], code[held], terms
 
     types = dict(records.select(*names).dtypes)
     schema = f"query_id bigint, document_id {types['document_id']}, record_id {types['record_id']}, score double"
     weights = wanted.withColumnRenamed("weight", "w").withColumn("w", F.col("w").cast("double"))
-    return top_n(_scored(listed, weights, ["record_id"], k, postings, schema, ("document_id",)), ["query_id"], order, k)
+    return top_n(_scored(listed, weights, names, ["record_id"], k, entries, schema), ["query_id"], order, k)

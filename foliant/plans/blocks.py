@@ -1,68 +1,122 @@
-"""A stated query set against all rows, in blocks.
+"""A stated query set against all rows.
 
-The rows are packed into payloads where they are read, the queries are cut into blocks of bounded
-size, and every payload meets every block by an equal key. Spark broadcasts the blocks while they are
-few by its own size limit, and else shuffles both sides over many salted keys; either way it is one
-plan, and no side has to fit anywhere as a whole.
+Rows are gathered into payloads of bounded size where they are read; a payload is prepared once (an index of
+its postings, cells of its vectors) and every query is asked of it. Queries of a proven small size are sent
+to the tasks. A larger query set is dealt out: a group of payloads is shuffled once to one place and all queries stream past
+it. (query, row) pairs are never formed, and no side has to fit anywhere as a whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.plans.session import staged
 
 PAYLOAD_ROWS = 4096
-SALTS = 64  # tasks that share one query block when it is shuffled
-
-
-def packed(rows: DataFrame, payload_rows: int = PAYLOAD_ROWS) -> DataFrame:
-    """``payload``: Arrow streams of at most ``payload_rows`` rows each; nothing moves."""
+MOST_SENT = 16 << 20  # bytes of queries that are sent to every task
+GROUP_PAYLOADS = 8  # payloads in one place when queries are dealt
+BLOCK_ROWS = 4096  # query rows asked at once, when dealt
+MOST_PARTITIONS = 20_000
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of ``most`` rows each, the last one smaller."""
+    held, n = [], 0
+    for b in batches:
+        while b.num_rows:
+            part = b.slice(0, most - n)
+            held.append(part)
+            n, b = n + part.num_rows, b.slice(part.num_rows)
+            if n == most:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def visit(
+    rows: DataFrame, queries: DataFrame, by: str, width: Column, prepare: Callable[[pa.Table, pa.Table | None], object],
+    search: Callable[[object, pa.Table, dict], pa.RecordBatch | None], schema: str,
+) -> DataFrame:
+    """``search(prepare(payload, queries), queries, held)`` for all payloads of ``rows``.
+
+    ``by`` names the query of a row of ``queries``, ``width`` its size in bytes. All rows of a query come together. ``prepare``
+    gets None for the queries when they are not known yet. ``held`` is a dictionary that lasts while the same queries
+    are asked of further payloads, for what was found so far.
+    """
+    queries = staged(queries, "queries")
+    size = queries.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    if size > MOST_SENT:
+        return _dealt(rows, queries, by, prepare, search, schema)
+    sink = pa.BufferOutputStream()
+    table = queries.toArrow()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    sent = rows.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, payload_rows):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema) as out:
-                    out.write_batch(b.slice(at, payload_rows))
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["payload"])
+        asked, held = pa.ipc.open_stream(sent.value).read_all().combine_chunks(), {}
+        for payload in _gathered(batches, PAYLOAD_ROWS):
+            found = search(prepare(payload, asked), asked, held)
+            if found is not None and found.num_rows:
+                yield found
 
-    return rows.mapInArrow(run, "payload binary")
+    return rows.mapInArrow(run, schema)
 
 
-def query_blocks(rows: DataFrame, by: str, most_rows: int) -> DataFrame:
-    """``qb, blocks, asks``: the rows of whole ``by`` values in lists of about ``most_rows``."""
-    count = F.greatest(F.lit(1), F.ceil(F.lit(rows.count()) / most_rows)).cast("int")
-    numbered = rows.withColumn("qb", F.pmod(F.xxhash64(by), count).cast("int"))
-    listed = numbered.groupBy("qb").agg(F.collect_list(F.struct(*rows.columns)).alias("asks"))
-    return staged(listed.withColumn("blocks", count), "queries")
+def _dealt(rows: DataFrame, queries: DataFrame, by: str, prepare, search, schema: str) -> DataFrame:
+    rows = staged(rows, "payloads")
+    groups = max(1, -(-rows.count() // (GROUP_PAYLOADS * PAYLOAD_ROWS)))
+    r, q = F.struct(*rows.columns), F.struct(*queries.columns)
+    left = rows.select(F.pmod(F.xxhash64(*rows.columns), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("by"), r.alias("r"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), F.col(by).cast("string").alias("by"), q.alias("q"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    sorted_rows = both.repartition(min(groups, MOST_PARTITIONS), "g").sortWithinPartitions("g", "kind", "by")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, payload, indexes, asked, last = None, [], None, [], None
 
-def against(
-    rows: DataFrame, blocks: DataFrame, fn: Callable[[pa.RecordBatch, pa.StructArray], pa.RecordBatch | None],
-    merge: Callable[[pa.Table], pa.Table], schema: str,
-) -> DataFrame:
-    """``fn(payload, asks)`` for every payload of ``rows`` and every block; ``merge`` cuts what a task has
-    gathered so far down to what may still count."""
-    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = packed(rows).select("payload", F.pmod(F.xxhash64("payload"), F.lit(SALTS)).cast("int").alias("salt"))
-    pairs = keyed.join(salted, "salt").select("payload", "asks")
+        def ask(whole: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, held = pa.Table.from_batches(whole).combine_chunks(), {}
+            for index in indexes or ():
+                found = search(index, block, held)
+                if found is not None and found.num_rows:
+                    yield found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for b in batches:
-            for k in range(b.num_rows):
-                asks = b.column(1).slice(k, 1).flatten()
-                for payload in pa.ipc.open_stream(b.column(0)[k].as_buffer()):
-                    found = fn(payload, asks)
-                    if found is not None and found.num_rows:
-                        table = pa.Table.from_batches([found])
-                        held = merge(table if held is None else pa.concat_tables([held, table]))
-        if held is not None:
-            yield from held.combine_chunks().to_batches()
-
-    return pairs.mapInArrow(run, schema)
+            g, kind = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            names = b.column(2)
+            edges = np.flatnonzero((g[1:] != g[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, z in zip([0, *edges], [*edges, len(g)], strict=True):
+                if z <= a:
+                    continue
+                if g[a] != group:
+                    if asked:
+                        yield from ask(asked)
+                    group, payload, indexes, asked = g[a], [], None, []
+                if kind[a] == 0:
+                    payload.append(pa.RecordBatch.from_struct_array(b.column(3).slice(a, z - a)))
+                    continue
+                if indexes is None:
+                    indexes = [prepare(t, None) for t in _gathered(iter(payload), PAYLOAD_ROWS)]
+                    payload = []
+                part, of = pa.RecordBatch.from_struct_array(b.column(4).slice(a, z - a)), names.slice(a, z - a).to_pylist()
+                if sum(x.num_rows for x in asked) >= BLOCK_ROWS and of[0] != last:
+                    yield from ask(asked)
+                    asked = []
+                # the last query of the part may go on in the next batch
+                cut = next((k for k in range(len(of) - 1, 0, -1) if of[k] != of[k - 1]), 0)
+                if cut and len(of) + sum(x.num_rows for x in asked) >= BLOCK_ROWS:
+                    yield from ask([*asked, part.slice(0, cut)])
+                    asked, part = [], part.slice(cut)
+                asked.append(part)
+                last = of[-1]
+        if asked:
+            yield from ask(asked)
+
+    return sorted_rows.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.operators import digestion, documents, governance, publication, ranking, sparse, telemetry, vectors
-from foliant.plans import ordered
+from foliant.plans import blocks, ordered
 from foliant.plans.ordered import Scan, ordered_scan
 from foliant.sources import tables
 from foliant.streaming import operators as st
@@ -82,9 +82,16 @@ def test_dense_score_and_cut(spark):
     assert one[0].score == pytest.approx(0.8)
 
 
-@pytest.mark.parametrize("rows, adaptive", [(2048, "true"), (7, "true"), (7, "false")])
-def test_nearest_in_blocks(spark, monkeypatch, rows, adaptive):
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", rows)
+@pytest.fixture
+def dealt(monkeypatch, request):
+    """Queries too large to be sent, in blocks of a few rows, against payloads of a few rows."""
+    if request.param:
+        for name, value in (("MOST_SENT", 0), ("BLOCK_ROWS", 3), ("PAYLOAD_ROWS", 7), ("GROUP_PAYLOADS", 2)):
+            monkeypatch.setattr(blocks, name, value)
+
+
+@pytest.mark.parametrize("dealt, adaptive", [(False, "true"), (True, "true"), (True, "false")], indirect=["dealt"])
+def test_nearest_in_blocks(spark, dealt, adaptive):
     spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m" if adaptive == "true" else "-1")
     try:
@@ -106,9 +113,8 @@ def test_nearest_in_blocks(spark, monkeypatch, rows, adaptive):
     assert [(a, b, c) for a, b, c, _ in near] == want
 
 
-@pytest.mark.parametrize("rows", [2048, 5])
-def test_route_in_blocks(spark, monkeypatch, rows):
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", rows)
+@pytest.mark.parametrize("dealt", [False, True], indirect=True)
+def test_route_in_blocks(spark, dealt):
     rng = np.random.default_rng(4)
     asked, known = rng.normal(size=(50, 6)), rng.normal(size=(18, 6))
     q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "query_id bigint, embedding array<double>")
@@ -137,9 +143,8 @@ def brute_bm25(docs, query):
 
 
 @pytest.mark.parametrize("adaptive", ["true", "false"])
-@pytest.mark.parametrize("weights", [4000, 2])
-def test_bm25_in_blocks(spark, monkeypatch, request, weights, adaptive):
-    monkeypatch.setattr(sparse, "BLOCK_WEIGHTS", weights)
+@pytest.mark.parametrize("dealt", [False, True], indirect=True)
+def test_bm25_in_blocks(spark, request, dealt, adaptive):
     request.addfinalizer(lambda: spark.conf.set("spark.sql.adaptive.enabled", "true"))
     spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     docs = ["alpha dense vector", "beta text text", "gamma text", "gamma text", "delta beta", "", "alpha alpha beta"]
@@ -158,15 +163,16 @@ def test_bm25_in_blocks(spark, monkeypatch, request, weights, adaptive):
 
 
 @pytest.mark.parametrize("adaptive", ["true", "false"])
-@pytest.mark.parametrize("weights", [4000, 2])
-def test_isolated_uses_own_statistics(spark, monkeypatch, request, weights, adaptive):
-    monkeypatch.setattr(sparse, "BLOCK_WEIGHTS", weights)
+@pytest.mark.parametrize("dealt", [False, True], indirect=True)
+def test_isolated_uses_own_statistics(spark, request, dealt, adaptive):
     request.addfinalizer(lambda: spark.conf.set("spark.sql.adaptive.enabled", "true"))
     spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     records = [("d1", "r1", "alpha beta"), ("d1", "r2", "beta gamma"), ("d1", "r3", "delta"), ("d2", "r4", "alpha alpha"), ("d2", "r5", "beta")]
     df = spark.createDataFrame(records, "document_id string, record_id string, text string")
-    q = spark.createDataFrame([(0, "alpha gamma")], "query_id bigint, text string")
-    got = {r.record_id: r.score for r in sparse.isolated_search(df, q, 8).collect()}
+    q = spark.createDataFrame([(0, "alpha gamma"), (1, "delta other words"), (2, "unknown"), (3, "beta beta alpha")], "query_id bigint, text string")
+    found = sparse.isolated_search(df, q, 8).collect()
+    assert {r.record_id for r in found if r.query_id == 1} == {"r3"} and {r.query_id for r in found} == {0, 1, 3}
+    got = {r.record_id: r.score for r in found if r.query_id == 0}
     want = {}
     for d in ("d1", "d2"):
         mine = [(r, t) for doc, r, t in records if doc == d]
