@@ -61,14 +61,14 @@ class Lattice:
         word = np.repeat(np.arange(len(words)), sizes)
         offset = np.arange(len(letters)) - (ends - sizes)[word]
         place, length, score, piece = self._pieces(letters, ends[word])
-        order = np.argsort(offset[place], kind="stable")
+        longest = int(sizes.max(initial=0))
+        order = np.argsort(offset[place].astype(np.int16 if longest < 1 << 15 else np.int64), kind="stable")
         place, length, score, piece = place[order], length[order], score[order], piece[order]
         # a word of n letters has n + 1 states
         source = place + word[place]
         first = ends - sizes + np.arange(len(words))
         best, back = np.full(len(letters) + len(words), _NEVER), np.zeros(len(letters) + len(words), np.int64)
         best[first] = 0
-        longest = int(sizes.max(initial=0))
         cuts = np.searchsorted(offset[place], np.arange(longest + 1))
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):  # pieces that begin at one offset end in different states
             to, value = source[a:z] + length[a:z], best[source[a:z]] + score[a:z]

@@ -8,9 +8,10 @@ may reach out of it on the right. The matrices are combined associatively (chunk
 blocks to the document), which fixes the state at every chunk edge; then each chunk is traced back
 on its own.
 
-No piece of the usual vocabularies goes on with a word mark after other characters, so a text
-is always cut before such a mark; words are looked up once they have been solved. Where a
-vocabulary has such pieces, whole chunks are solved as one word.
+Where two characters stand next to each other in no piece, a text can be cut without losing a path. No piece
+of the usual vocabularies goes on with a word mark after other characters, so that is the case before
+every such mark, and mostly before punctuation. What lies between two cuts is a word; words are looked up once they
+have been solved.
 
 Scores are those of the file for a unigram model. A BPE file holds merge ranks, which are no
 additive scores; its pieces get the logarithm of Zipf's law at their rank. Sums are in fixed point, hence exact in
@@ -21,10 +22,9 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from foliant.llm.common import Memo, by_word, field, flat_bytes, kept_in_worker, slices, stage, text_of
 from foliant.llm.lattice import Lattice
 
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 BLOCK = 64  # chunks whose matrices one task combines
 MARK = "▁"
 _MARK = MARK.encode()
@@ -42,7 +42,7 @@ _NEVER = -(1 << 60)
 CACHE_WORDS = 300_000
 LONG_WORD = 64  # longer words are solved one by one
 SLICE_BYTES = 4 << 20
-TASK_CHUNKS = 64  # chunks of giant documents in one task
+TASK_CHUNKS = 32  # chunks of giant documents in one task
 
 
 class Pieces:
@@ -68,6 +68,11 @@ class Pieces:
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.has_bytes = all(sp.is_byte(i) for i in self.byte_ids)
         self.joins = any(MARK in p.lstrip(MARK) for p in self.score)
+        # bytes that stand next to each other in some piece; a text may be cut between all others
+        self.inside = np.zeros(1 << 16, bool)
+        for p in self.score:
+            b = np.frombuffer(p.encode(), np.uint8).astype(np.int64)
+            self.inside[b[:-1] << 8 | b[1:]] = True
         self.lattice, self.seen = Lattice(self.score, self.unknown), Memo(CACHE_WORDS)
         spelt = [
             bytes([self.byte_ids.index(i)]) if sp.is_byte(i) else b"" if sp.is_control(i) else "⁇".encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
@@ -142,6 +147,7 @@ class Pieces:
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         edge = np.zeros(len(raw) + 1, bool)
+        edge[1:-1] = ~self.inside[raw[:-1].astype(np.int32) << 8 | raw[1:]] & ((raw[1:] & 0xC0) != 0x80)
         edge[ends] = True
         if not self.joins:  # before every mark that follows something else
             mark = np.zeros(len(raw) + 1, bool)
@@ -168,32 +174,39 @@ class Pieces:
     def normalise(self, text: str) -> str:
         return self.sp.normalize(text)
 
-    def matrix(self, s: str, size: int) -> np.ndarray:
-        """Best scores from a first cut at ``i`` to a last cut at ``size + j``, pieces beginning before
-        ``size``; ``s`` goes on after ``size`` for as long as a piece can reach.
+    def brackets(self, s: str, size: int) -> tuple[int, int]:
+        """The first and the last place of ``s[:size]`` that every path goes through, or twice ``size``.
 
-        What all paths share, between the first and the last place that is always cut, is left out: it
-        is the same for every entry of the matrix and changes no choice.
+        What lies between is the same for all paths.
         """
-        m, n = self.longest, len(s)
-        out = np.full((m, m), _NEVER)
-        first = None if self.joins else self.marked.search(s, m - 1, size)
-        head = first.start() if first else size
-        v = np.full((max(size, head) + m, m), _NEVER)
-        for i in range(min(m, n + 1)):
+        first = None if self.joins else self.marked.search(s, self.longest - 1, size)
+        if not first:
+            return size, size
+        head, tail = first.start(), s.rfind(MARK, first.start(), size)
+        while tail > head and s[tail - 1] == MARK:
+            tail = s.rfind(MARK, head, tail)
+        return head, tail
+
+    def matrix(self, head: str, tail: str | None, size: int) -> np.ndarray:
+        """Best scores from a first cut at ``i`` to a last cut ``j`` behind the chunk, pieces beginning inside it.
+
+        ``head`` runs from the chunk's beginning to the first place that every path goes through, ``tail`` from the last such place on,
+        for as long as a piece can reach behind the chunk; ``size`` of its characters are in the chunk. Without such a
+        place ``tail`` is None and ``head`` is the chunk and what a piece can reach. What all paths share is left
+        out: it changes no choice.
+        """
+        m = self.longest
+        stop = size if tail is None else len(head)
+        v = np.full((stop + m, m), _NEVER)
+        for i in range(min(m, len(head) + 1)):
             v[i, i] = 0
-        self._spread(s, 0, head, v)
-        if first:
-            tail = s.rfind(MARK, head, size)
-            while tail > head and s[tail - 1] == MARK:
-                tail = s.rfind(MARK, head, tail)
-            best = v[head].copy()
-            v[tail : size + m] = _NEVER
-            v[tail] = best
-            self._spread(s, tail, size, v)
-        rows = v[size : size + m]
-        out[:, : len(rows)] = rows.T
-        return np.maximum(out, _NEVER)
+        self._spread(head, 0, stop, v)
+        if tail is not None:
+            best, v = v[stop].copy(), np.full((size + m, m), _NEVER)
+            v[0] = best
+            self._spread(tail, 0, size, v)
+        rows = v[size : size + m] if tail is not None else v[stop : stop + m]
+        return np.maximum(np.ascontiguousarray(rows.T), _NEVER)
 
     def _spread(self, s: str, start: int, stop: int, v: np.ndarray) -> None:
         for at in range(start, min(stop, len(s))):
@@ -220,7 +233,7 @@ def states(matrices: list[np.ndarray], entry: int, leave: int) -> list[int]:
 
 
 def _bodies(path: str, schema: T.StructType, chunk: int):
-    """Normalised chunks of giant documents, each with what a piece can reach after it."""
+    """Normalised chunks of giant documents, each with what a piece can reach after it, and the two ends on which its matrix rests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Pieces.of(path)
@@ -233,10 +246,13 @@ def _bodies(path: str, schema: T.StructType, chunk: int):
                     numbers = range(at, min(at + 256, total))
                     body = [t[n * chunk : (n + 1) * chunk + reach] for n in numbers]
                     size = [min(chunk, len(t) - n * chunk) for n in numbers]
+                    cuts = [vocabulary.brackets(s, n) for s, n in zip(body, size, strict=True)]
+                    head = [s if h == n else s[:h] for s, n, (h, _) in zip(body, size, cuts, strict=True)]
+                    tail = [None if h == n else s[z:] for s, n, (h, z) in zip(body, size, cuts, strict=True)]
+                    inside = [n if h == n else n - z for n, (h, z) in zip(size, cuts, strict=True)]
                     same = [c.take(pa.array([k] * len(body))) for c in b.columns[:2]]
-                    yield pa.RecordBatch.from_arrays(
-                        [*same, pa.array(numbers, pa.int32()), pa.array([total] * len(body), pa.int32()), pa.array(size, pa.int32()), pa.array(body, pa.string())], schema.names
-                    )
+                    counts = [pa.array(c, pa.int32()) for c in (numbers, [total] * len(body), size, inside)]
+                    yield pa.RecordBatch.from_arrays([*same, *counts, *(pa.array(c, pa.string()) for c in (body, head, tail))], schema.names)
 
     return run
 
@@ -245,46 +261,72 @@ def _matrices(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Pieces.of(path)
         for b in batches:
-            made = [vocabulary.matrix(body, size).tobytes() for body, size in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            made = [vocabulary.matrix(*x).tobytes() for x in zip(*(b.column(n).to_pylist() for n in ("head", "tail", "inside")), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(made, pa.binary())], ["row_no", "chunk", "matrix"])
 
     return run
 
 
+def _groups(df: DataFrame, by: list[str], order: str, tasks: int, fn: Callable[[dict, list[np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """``fn(columns, matrices)`` for the rows of each ``by`` in ``order``; many groups share one task and one call of Python."""
+    where = [c for c in df.columns if c not in ("matrix", *by)]
+    dealt = df.repartition(tasks, *by).sortWithinPartitions(*by, order)
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    kinds = [pa.binary() if c.endswith("binary") else pa.int64() if c.endswith("long") else pa.int32() for c in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+
+        def close() -> None:
+            if held:
+                columns = dict(zip(by, key, strict=True)) | {c: [h[0][k] for h in held] for k, c in enumerate(where)}
+                side = int((len(held[0][1]) // 8) ** 0.5)
+                out.extend(fn(columns, [np.frombuffer(h[1], np.int64).reshape(side, side) for h in held]))
+
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in by), strict=True)
+            others = zip(*(b.column(c).to_pylist() for c in where), strict=True)
+            for k, o, raw in zip(rows, others, b.column("matrix").to_pylist(), strict=True):
+                if k != key:
+                    close()
+                    key, held = k, []
+                held.append((o, raw))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def _edges(matrices: DataFrame, block: int, tasks: int) -> DataFrame:
     """``row_no, chunk, entry, leave``: how far pieces reach into and out of each chunk on the best path.
 
-    Blocks are dealt over a fixed number of ``tasks``: by their few bytes they would all be folded into one.
+    Chunks are combined to blocks, blocks to the document, and the states found there are handed back to the chunks. A group
+    is at most a block, but for the blocks of one document. Groups are dealt over a fixed number of ``tasks``: by
+    their few bytes they would all be folded into one.
     """
 
-    def read(column) -> list[np.ndarray]:
-        side = lambda raw: int((len(raw) // 8) ** 0.5)
-        return [np.frombuffer(raw, np.int64).reshape(side(raw), -1) for raw in column]
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        ms = read(group["matrix"])
+    def fold(c: dict, ms: list[np.ndarray]) -> list[tuple]:
         out = ms[0]
         for m in ms[1:]:
             out = combine(out, m)
-        return pd.DataFrame({"row_no": [group["row_no"].iloc[0]], "block": [group["block"].iloc[0]], "matrix": [out.tobytes()]})
+        return [(c["row_no"], c["block"], out.tobytes())]
 
-    def walk_blocks(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("block")
-        s = states(read(group["matrix"]), 0, 0)
-        return pd.DataFrame({"row_no": group["row_no"].to_numpy(), "block": group["block"].to_numpy(), "from": s[:-1], "to": s[1:]})
+    def walk_blocks(c: dict, ms: list[np.ndarray]) -> list[tuple]:
+        s = states(ms, 0, 0)
+        return [(c["row_no"], b, i, j) for b, i, j in zip(c["block"], s[:-1], s[1:], strict=True)]
 
-    def walk_chunks(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        s = states(read(group["matrix"]), int(group["from"].iloc[0]), int(group["to"].iloc[0]))
-        return pd.DataFrame({"row_no": group["row_no"].to_numpy(), "chunk": group["chunk"].to_numpy(), "entry": s[:-1], "leave": s[1:]})
+    def walk_chunks(c: dict, ms: list[np.ndarray]) -> list[tuple]:
+        s = states(ms, c["from"][0], c["to"][0])
+        return [(c["row_no"], k, i, j) for k, i, j in zip(c["chunk"], s[:-1], s[1:], strict=True)]
 
     blocked = matrices.withColumn("block", F.floor(F.col("chunk") / block).cast("int"))
-    dealt = blocked.repartition(tasks, "row_no", "block")
-    blocks = dealt.groupBy("row_no", "block").applyInPandas(fold, "row_no long, block int, matrix binary")
-    ends = blocks.groupBy("row_no").applyInPandas(walk_blocks, "row_no long, block int, from int, to int")
-    both = blocked.join(ends, ["row_no", "block"]).repartition(tasks, "row_no", "block")
-    return both.groupBy("row_no", "block").applyInPandas(walk_chunks, "row_no long, chunk int, entry int, leave int")
+    blocks = _groups(blocked, ["row_no", "block"], "chunk", tasks, fold, "row_no long, block int, matrix binary")
+    ends = stage(_groups(blocks, ["row_no"], "block", tasks, walk_blocks, "row_no long, block int, from int, to int"), "blocks")
+    return _groups(blocked.join(ends, ["row_no", "block"]), ["row_no", "block"], "chunk", tasks, walk_chunks, "row_no long, chunk int, entry int, leave int")
 
 
 def _schema(df: DataFrame, id_col: str, spell: bool) -> T.StructType:
@@ -325,12 +367,12 @@ def _encoded(df: DataFrame, model_path: str, chunk: int, block: int, id_col: str
                 texts = [t[i : n + j] for n, t, i, j in zip(size, body, entry, leave, strict=True)]
                 yield answer(vocabulary, b.columns[:2], b.columns[2:4], texts, [k == 0 for k in number])
 
-    named = [("chunk", T.IntegerType()), ("chunks", T.IntegerType()), ("size", T.IntegerType()), ("body", T.StringType())]
+    named = [(n, T.IntegerType()) for n in ("chunk", "chunks", "size", "inside")] + [(n, T.StringType()) for n in ("body", "head", "tail")]
     parts = T.StructType([*schema.fields[:2]] + [T.StructField(n, t) for n, t in named])
     bodies = stage(rows.where(giant).mapInArrow(_bodies(model_path, parts, chunk), parts), "chunks")
     tasks = max(1, -(-bodies.count() // TASK_CHUNKS))
-    # the chunks of one document are anyone's work
-    spread = bodies.select("row_no", "chunk", "size", "body").repartition(tasks, "row_no", "chunk")
+    # the chunks of one document are anyone's work; their ends are all that moves
+    spread = bodies.select("row_no", "chunk", "inside", "head", "tail").repartition(tasks, "row_no", "chunk")
     matrices = stage(spread.mapInArrow(_matrices(model_path), "row_no long, chunk int, matrix binary"), "matrices")
     traced = bodies.join(_edges(matrices, block, tasks), ["row_no", "chunk"]).repartition(tasks, "row_no", "chunk")
     traced = traced.select("row_no", "doc_id", "chunk", "chunks", "size", "body", "entry", "leave").mapInArrow(trace, schema)

@@ -139,16 +139,21 @@ def test_matrices_combine_in_any_order():
     assert a[s[0], s[1]] + b[s[1], s[2]] + c[s[2], s[3]] == combine(combine(a, b), c)[0, 2]
 
 
+def matrix_of(v, s, size):
+    head, tail = v.brackets(s, size)
+    return v.matrix(s, None, size) if head == size else v.matrix(s[:head], s[tail:], size - tail)
+
+
 def test_chunk_matrix_is_the_recurrence():
     v = Pieces(PATH)
     text, size = v.normalise("some words and onemuchlongerword, at the end of it all anyhow"), 30
-    m = v.matrix(text[: size + v.longest - 1], size)
+    m = matrix_of(v, text[: size + v.longest - 1], size)
     for i in range(v.longest):
         for j in range(v.longest):
             if m[i, j] > -(1 << 59) and m[i, 0] > -(1 << 59):  # up to what all paths share
                 assert m[i, j] - m[0, 0] <= best_score(v, text[i : size + j]) - best_score(v, text[:size])
     for size in (20, 40):
-        a, b = v.matrix(text[: size + v.longest - 1], size), v.matrix(text[size:], len(text) - size)
+        a, b = matrix_of(v, text[: size + v.longest - 1], size), matrix_of(v, text[size:], len(text) - size)
         s = states([a, b], 0, 0)
         cut = size + s[1]
         assert best_score(v, text[:cut]) + best_score(v, text[cut:]) == best_score(v, text)
