@@ -4,9 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import minhash
 from foliant.llm.common import components
+from foliant.llm import embedding_dedup as embedding_dedup_module
 from foliant.llm.embedding_dedup import embedding_dedup, linked, unit
 from foliant.llm.hnsw import Graph
 from foliant.llm.minhash import minhash_dedup
@@ -212,8 +214,8 @@ def test_recall_on_large_clusters():
     x = unit(np.concatenate([r.randn(2500, 64), center + r.randn(400, 64) * 0.2]))[r.permutation(2900)]
     graph = Graph.build(x)
     graph = Graph.load(x, graph.dump())
-    row, point, width = linked(x, graph, x, 0.93)
-    true = int((x @ x.T >= 0.93).sum())
+    row, point, width = linked(x, graph, x, 0.93, np.arange(len(x)))
+    true = int((x @ x.T >= 0.93).sum()) - len(x)
     assert width < 1000 and true > 50_000 and len(row) >= 0.999 * true
     assert len(set(zip(row.tolist(), point.tolist()))) == len(row)
     ids, _ = graph.search(x[:300], 40)
@@ -221,3 +223,44 @@ def test_recall_on_large_clusters():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), best.tolist())]) >= 0.9
 
 
+
+
+def test_few_links_are_audited_until_there_is_evidence():
+    r = np.random.RandomState(9)
+    x, q = unit(r.randn(4000, 24)), unit(r.randn(3000, 24))
+    q[[5, 1700, 2999]] = unit(x[[10, 20, 30]] + r.randn(3, 24) * 0.02)
+    row, point, _ = linked(x, Graph.build(x), q, 0.93)
+    assert sorted(zip(row.tolist(), point.tolist())) == [(5, 10), (1700, 20), (2999, 30)]
+    # a vector is no link of itself, and is no evidence either
+    row, point, _ = linked(x, Graph.build(x), x, 0.93, np.arange(len(x)))
+    near = x @ x.T >= 0.93
+    assert len(row) == near.sum() - len(x)
+
+
+def test_recall_over_several_large_shards(vectors):
+    """Shards well above the beam, each asked by all others: nearly every link is found, none is invented."""
+    r = np.random.RandomState(10)
+    centers = r.randn(900, 24)
+    v = np.concatenate([centers[r.randint(0, 900, 4200)] + r.randn(4200, 24) * 0.13, r.randn(1800, 24)]).astype(np.float32)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    got = {g.vec_id: g for g in embedding_dedup(vectors(rows), shard_rows=2000, block_rows=700).collect()}
+    near = unit(v) @ unit(v).T >= 0.93
+    np.fill_diagonal(near, False)
+    true, found = near.sum(axis=1), np.array([got[i].n_links for i in range(len(v))])
+    assert true.sum() > 10_000 and (found <= true).all()
+    assert found.sum() >= 0.999 * true.sum()
+
+
+def test_graphs_are_copied_a_fixed_number_of_times(spark):
+    """Whatever the number of shards a graph is sent to as many places; no label is one task."""
+    built = [("k", 8, s, p, b"g" if p == 0 else None, b"", b"", b"") for s in range(20) for p in range(4)]
+    names = "label string, dims int, shard int, part int, graph binary, x binary, cid binary, weight binary"
+    shards = spark.createDataFrame([("k", 8, 20)], "label string, dims int, shards int")
+    met = embedding_dedup_module._meetings(spark.createDataFrame(built, names), shards)
+    rows = [r.asDict() for r in met.withColumn("task", F.spark_partition_id()).drop("x", "cid", "weight").collect()]
+    graphs = [r for r in rows if r["kind"] == 0]
+    assert len(graphs) == 20 * embedding_dedup_module.PLACES
+    assert len(rows) - len(graphs) == 20 * 20 * 3  # every block asks every shard once
+    assert len({r["task"] for r in rows}) > 60
+    spots = {(r["shard"], r["place"], r["task"]) for r in rows}
+    assert len(spots) == 20 * embedding_dedup_module.PLACES  # a graph and its questions are in one task
