@@ -186,25 +186,54 @@ def cascade_cancel(t):
     return ledger.cascade_cancel(t.steps)
 
 
-view(
-    "chain_steps",
-    """SELECT job_id, CAST(unit AS INT) AS node, CASE WHEN unit > 1 AND worker % 3 <> 0 THEN CAST(unit - 1 AS INT) END AS reused_from, worker, quantity, state FROM {steps}""",
-)
-view("receipts", "SELECT job_id, node, worker * 100 + quantity AS digest FROM {chain_steps} WHERE worker % 13 <> 5")
-view("provider_records", "SELECT job_id, node, worker * 100 + quantity + CASE WHEN quantity = 7 THEN 1 ELSE 0 END AS digest FROM {chain_steps} WHERE worker % 17 <> 5")
-view("call_attempts", "SELECT job_id, node, worker * 100 + quantity + CASE WHEN quantity = 9 THEN 1 ELSE 0 END AS digest FROM {chain_steps} WHERE state <> 'FAILED'")
+# Units 1, 4 and 7 of a job did their work, the others reuse that of the unit before; some reuse across that, run in a
+# circle or name a unit that is not there. What the records say differs in one thing or another.
+_ORIGIN = "unit - (unit - 1) % 3"
+_OBJECT = f"concat(CAST(job_id AS STRING), '-', CAST({_ORIGIN} AS STRING))"
 
 
-@query("receipt_chain", """WITH RECURSIVE o AS (SELECT job_id, node, node AS pos, reused_from FROM {chain_steps}
-  UNION ALL SELECT o.job_id, o.node, s.node, s.reused_from FROM o JOIN {chain_steps} s ON s.job_id = o.job_id AND s.node = o.reused_from),
+def _lists(text: str) -> tuple[str, str]:
+    """The view in Spark's words and in the check's."""
+    return text.replace("LIST(", "array("), text.replace("LIST(", "list_value(")
 
-e AS (SELECT job_id, node, CASE WHEN bool_or(reused_from IS NULL) THEN min(pos) ELSE min(reused_from) END AS origin FROM o GROUP BY ALL)
-SELECT e.job_id, e.node, e.origin, CASE WHEN r.digest IS NULL THEN 'receipt_missing' WHEN p.digest IS NULL THEN 'record_missing' WHEN a.digest IS NULL THEN 'attempt_missing'
-  WHEN r.digest <> p.digest THEN 'record_differs' WHEN p.digest <> a.digest THEN 'attempt_differs' ELSE 'verified' END AS verdict
-FROM e LEFT JOIN {receipts} r ON r.job_id = e.job_id AND r.node = e.origin LEFT JOIN {provider_records} p ON p.job_id = e.job_id AND p.node = e.origin
-LEFT JOIN {call_attempts} a ON a.job_id = e.job_id AND a.node = e.origin""")
+
+_CHAIN = _lists(
+    f"""SELECT job_id, unit AS node, CASE WHEN unit = 1 AND worker % 41 = 3 THEN CAST(3 AS INT) WHEN unit % 3 <> 1 OR unit = 4 AND worker % 5 = 1 THEN CAST(unit - 1 AS INT) END AS reused_from,
+         CASE WHEN quantity % 23 = 1 THEN 'FAILED' ELSE 'SUCCEEDED' END AS state, concat('c', {_OBJECT}) AS checkpoint,
+         CASE WHEN quantity % 29 = 2 THEN LIST(concat('c', {_OBJECT}), concat('r', {_OBJECT}))
+              ELSE LIST(CASE WHEN worker % 43 = 5 THEN 'x' ELSE concat('c', {_OBJECT}) END, concat('r', {_OBJECT}), concat('p', {_OBJECT})) END AS manifest,
+         job_id % 7 AS plan, 5 AS config, {_OBJECT} AS request, job_id % 11 AS "table", concat('k', {_OBJECT}) AS canonical, 1 + worker % 3 AS attempt_count, quantity AS fence, worker
+       FROM {{steps}}"""
+)
+view("chain_steps", _CHAIN[0].replace('"table"', "`table`"), _CHAIN[1])
+_RECEIPTS = """SELECT job_id, concat('r', request) AS object, CASE WHEN worker % 47 = 1 THEN 'x' ELSE concat('p', request) END AS proposal, CASE WHEN worker % 53 = 2 THEN 'x' ELSE checkpoint END AS checkpoint,
+  CASE WHEN worker % 59 = 3 THEN 'x' ELSE request END AS request, "table" + CASE WHEN worker % 61 = 4 THEN 1 ELSE 0 END AS "table", fence AS generation, worker AS audit,
+  CASE WHEN worker % 67 = 20 THEN 'x' ELSE canonical END AS canonical FROM {chain_steps} WHERE node % 3 = 1 AND worker % 13 <> 5"""
+view("receipts", _RECEIPTS.replace('"table"', "`table`"), _RECEIPTS)
+_RECORDS = """SELECT job_id, concat('p', request) AS object, node + CASE WHEN worker % 71 = 6 THEN 3 ELSE 0 END AS node, plan + CASE WHEN worker % 73 = 7 THEN 1 ELSE 0 END AS plan,
+  attempt_count + CASE WHEN worker % 79 = 8 THEN 1 ELSE 0 END AS attempt, fence + CASE WHEN worker % 83 = 9 THEN 1 ELSE 0 END AS fence, config + CASE WHEN worker % 89 = 10 THEN 1 ELSE 0 END AS config,
+  CASE WHEN worker % 97 = 11 THEN 'x' ELSE request END AS request, "table" + CASE WHEN worker % 37 = 12 THEN 1 ELSE 0 END AS "table", fence + CASE WHEN worker % 31 = 13 THEN 1 ELSE 0 END AS generation,
+  worker + CASE WHEN worker % 29 = 14 THEN 1 ELSE 0 END AS audit, concat('raw ', request) AS raw, HASH(CASE WHEN worker % 19 = 15 THEN 'x' ELSE concat('raw ', request) END) AS raw_sha256
+  FROM {chain_steps} WHERE node % 3 = 1 AND worker % 17 <> 5"""
+view("provider_records", _RECORDS.replace('"table"', "`table`").replace("HASH(CASE WHEN worker % 19 = 15 THEN 'x' ELSE concat('raw ', request) END)", "sha2(CASE WHEN worker % 19 = 15 THEN 'x' ELSE concat('raw ', request) END, 256)"), _RECORDS.replace("HASH(", "sha256("))
+view("call_attempts", "SELECT job_id, node, attempt_count AS number, fence, CASE WHEN worker % 23 = 4 THEN 'FAILED' ELSE 'SUCCEEDED' END AS outcome FROM {chain_steps} WHERE node % 3 = 1")
+
+
+@query("receipt_chain", """WITH RECURSIVE w AS (SELECT job_id, node, node AS here, reused_from AS nxt, true AS sound, 0 AS hops FROM {chain_steps}
+  UNION ALL SELECT w.job_id, w.node, s.node, s.reused_from, w.sound AND s.state = 'SUCCEEDED' AND s.manifest = b.manifest, hops + 1
+  FROM w JOIN {chain_steps} b ON b.job_id = w.job_id AND b.node = w.here JOIN {chain_steps} s ON s.job_id = w.job_id AND s.node = w.nxt WHERE hops < 12),
+o AS (SELECT job_id, node, max(here) FILTER (nxt IS NULL) AS origin, bool_and(sound) AS sound, max(hops) = 12 AS circle FROM w GROUP BY ALL),
+j AS (SELECT s.*, o.origin, o.sound, o.circle, f.attempt_count AS f_attempt, f.fence AS f_fence, s.manifest[3] AS third, r AS r, p AS p,
+    EXISTS (SELECT 1 FROM {call_attempts} a WHERE a.job_id = s.job_id AND a.node = p.node AND a.number = p.attempt AND a.fence = p.fence AND a.outcome = 'SUCCEEDED') AS held
+  FROM {chain_steps} s JOIN o USING (job_id, node) LEFT JOIN {chain_steps} f ON f.job_id = s.job_id AND f.node = o.origin
+  LEFT JOIN {receipts} r ON r.job_id = s.job_id AND r.object = s.manifest[2] LEFT JOIN {provider_records} p ON p.job_id = s.job_id AND p.object = s.manifest[3])
+SELECT job_id, node, origin, CASE WHEN len(manifest) <> 3 OR manifest[1] <> checkpoint THEN 'manifest' WHEN circle THEN 'reuse_cycle' WHEN origin IS NULL THEN 'reuse_missing' WHEN NOT sound THEN 'reuse_differs'
+  WHEN r.object IS NULL THEN 'receipt_missing' WHEN p.object IS NULL THEN 'record_missing' WHEN r.proposal <> third THEN 'receipt_proposal' WHEN r.checkpoint <> checkpoint THEN 'receipt_checkpoint'
+  WHEN p.plan <> plan THEN 'plan' WHEN p.node <> origin THEN 'step' WHEN p.attempt <> f_attempt THEN 'attempt_number' WHEN p.fence <> f_fence THEN 'fence' WHEN p.config <> config THEN 'config'
+  WHEN p.request <> request OR r.request <> request THEN 'request' WHEN p."table" <> "table" OR r."table" <> "table" THEN 'table' WHEN p.generation <> r.generation THEN 'generation' WHEN p.audit <> r.audit THEN 'audit'
+  WHEN p.raw_sha256 <> sha256(p.raw) THEN 'raw' WHEN NOT held THEN 'attempt_missing' WHEN r.canonical <> canonical THEN 'canonical' ELSE 'verified' END AS verdict FROM j""")
 def receipt_chain(t):
-    return ledger.receipt_chain(t.chain_steps, t.receipts, t.provider_records, t.call_attempts, ["job_id"])
+    return ledger.receipt_chain(t.chain_steps.drop("worker"), t.receipts, t.provider_records, t.call_attempts, ["job_id"])
 
 
 view("operations", "SELECT job_id, unit AS step FROM {steps} WHERE state <> 'PENDING'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.plans.fixpoint import reach
+from foliant.plans.fixpoint import follow, reach
 from foliant.plans.ordered import Scan, join_on, ordered_scan, previous_row
 from foliant.plans.session import cut_lineage
 
@@ -276,49 +276,77 @@ def reconcile_report(steps: DataFrame, jobs: DataFrame, outbox: DataFrame, inten
 
 
 def resolve_origins(links: DataFrame, keys: list[str]) -> DataFrame:
-    """Follow ``node -> reused_from`` chains to their origin by pointer doubling.
+    """Follow ``node -> reused_from`` chains to their origin: ``keys + [node, origin, lost]``.
 
-    ``links``: ``keys + [node, reused_from]`` (NULL for an origin). Rounds grow with the
-    logarithm of the longest chain; each round is checkpointed.
+    ``links``: ``keys + [node, reused_from]`` (NULL for an origin). A chain that runs in a circle or to an unknown node
+    has no origin and says so in ``lost``.
     """
-    now = cut_lineage(links.select(*keys, "node", F.coalesce("reused_from", "node").alias("origin")))
-    while True:
-        hop = now.select(*keys, F.col("node").alias("origin"), F.col("origin").alias("further"))
-        step = now.join(hop, [*keys, "origin"], "left").select(
-            *keys, "node", F.coalesce("further", "origin").alias("next"), "origin"
-        )
-        step = cut_lineage(step)
-        moved = step.where("next <> origin").limit(1).count()
-        now = step.select(*keys, "node", F.col("next").alias("origin"))
-        if not moved:
-            return now
+    return follow(links.select(*keys, "node", F.col("reused_from").alias("to")), keys).select(*keys, "node", "origin", "lost")
+
+
+#: Why a receipt chain is refused, in the order of the checks.
+CHAIN_REASONS = (
+    "manifest", "reuse_cycle", "reuse_missing", "reuse_differs", "receipt_missing", "record_missing", "receipt_proposal", "receipt_checkpoint",
+    "plan", "step", "attempt_number", "fence", "config", "request", "table", "generation", "audit", "raw", "attempt_missing", "canonical",
+)
 
 
 def receipt_chain(steps: DataFrame, receipts: DataFrame, records: DataFrame, attempts: DataFrame, keys: list[str]) -> DataFrame:
-    """Each step's receipt, provider record and attempt must agree, through reuse edges."""
-    origin = resolve_origins(steps.select(*keys, "node", "reused_from"), keys)
-    at = [*keys, "origin"]
+    """``keys + [node, origin, verdict]``: each step's receipt, record and attempt against its request, through reuse.
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.col("node").alias("origin"), F.col("digest").alias(name))
+    ``steps``: ``keys + [node, reused_from, state, manifest, checkpoint, plan, config, request, table, canonical, attempt_count,
+    fence]``; a manifest names checkpoint, receipt and record. ``receipts``: ``keys + [object, proposal, checkpoint, request,
+    table, generation, audit, canonical]``; ``records``: ``keys + [object, node, plan, attempt, fence, config, request, table,
+    generation, audit, raw, raw_sha256]``; ``attempts``: ``keys + [node, number, fence, outcome]``.
 
-    joined = (
-        origin.join(side(receipts, "receipt"), at, "left")
-        .join(side(records, "record"), at, "left")
-        .join(side(attempts, "attempt"), at, "left")
+    Every hop of a reuse chain must lead to a step that succeeded with the same manifest. The record must be that of the
+    chain's origin, of its last attempt and fence, and such an attempt must have succeeded. The verdict is ``verified`` or the
+    first of ``CHAIN_REASONS``.
+    """
+    source = steps.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col("node").alias("s_node"), F.col("state").alias("s_state"), F.col("manifest").alias("s_manifest"))
+
+    def on(left: dict[str, str], prefix: str) -> Column:
+        both = None
+        for a, b in [(k, f"{prefix}{k}") for k in keys] + list(left.items()):
+            same = F.col(a).eqNullSafe(F.col(b))
+            both = same if both is None else both & same
+        return both
+
+    hops = steps.select(*keys, "node", "reused_from", "manifest").join(source, on({"reused_from": "s_node"}, "s_"), "left")
+    sound = (F.col("s_state") == "SUCCEEDED") & (F.col("s_manifest") == F.col("manifest"))
+    origin = follow(hops.select(*keys, "node", F.col("reused_from").alias("to"), sound.alias("fine")), keys, F.col("fine"))
+    at = origin.select(*[F.col(k).alias(f"o_{k}") for k in keys], F.col("node").alias("o_node"), "origin", "sound", "lost")
+    first = steps.select(
+        *[F.col(k).alias(f"f_{k}") for k in keys], F.col("node").alias("f_node"), F.col("attempt_count").alias("f_attempt"), F.col("fence").alias("f_fence")
     )
-    return joined.select(
-        *keys,
-        "node",
-        "origin",
-        F.when(F.col("receipt").isNull(), F.lit("receipt_missing"))
-        .when(F.col("record").isNull(), F.lit("record_missing"))
-        .when(F.col("attempt").isNull(), F.lit("attempt_missing"))
-        .when(F.col("receipt") != F.col("record"), F.lit("record_differs"))
-        .when(F.col("record") != F.col("attempt"), F.lit("attempt_differs"))
-        .otherwise(F.lit("verified"))
-        .alias("verdict"),
+    one = lambda df, name: df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.struct(*[c for c in df.columns if c not in keys]).alias(name))
+    done = attempts.where("outcome = 'SUCCEEDED'").select(
+        *[F.col(k).alias(f"a_{k}") for k in keys], F.col("node").alias("a_node"), F.col("number").alias("a_number"), F.col("fence").alias("a_fence")
+    ).distinct()
+    rows = (
+        steps.withColumn("r_object", F.try_element_at("manifest", F.lit(2))).withColumn("p_object", F.try_element_at("manifest", F.lit(3)))
+        .join(at, on({"node": "o_node"}, "o_"))
+        .join(first, on({"origin": "f_node"}, "f_"), "left")
+        .join(one(receipts, "receipt"), on({"r_object": "receipt.object"}, "receipt_"), "left")
+        .join(one(records, "record"), on({"p_object": "record.object"}, "record_"), "left")
+        .join(done, on({"record.node": "a_node", "record.attempt": "a_number", "record.fence": "a_fence"}, "a_"), "left")
     )
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    failing = {
+        "manifest": (F.size("manifest") != 3) | ~F.try_element_at("manifest", F.lit(1)).eqNullSafe(F.col("checkpoint")),
+        "reuse_cycle": F.col("lost") == "cycle", "reuse_missing": F.col("lost") == "missing", "reuse_differs": ~F.col("sound"),
+        "receipt_missing": F.col("receipt").isNull(), "record_missing": F.col("record").isNull(),
+        "receipt_proposal": differs("receipt.proposal", "p_object"), "receipt_checkpoint": differs("receipt.checkpoint", "checkpoint"),
+        "plan": differs("record.plan", "plan"), "step": differs("record.node", "origin"), "attempt_number": differs("record.attempt", "f_attempt"),
+        "fence": differs("record.fence", "f_fence"), "config": differs("record.config", "config"),
+        "request": differs("record.request", "request") | differs("receipt.request", "request"),
+        "table": differs("record.table", "table") | differs("receipt.table", "table"),
+        "generation": differs("receipt.generation", "record.generation"), "audit": differs("receipt.audit", "record.audit"),
+        "raw": ~F.sha2("record.raw", 256).eqNullSafe(F.col("record.raw_sha256")), "attempt_missing": F.col("a_node").isNull(),
+        "canonical": differs("receipt.canonical", "canonical"),
+    }
+    verdict = F.coalesce(*[F.when(failing[name], name) for name in CHAIN_REASONS], F.lit("verified"))
+    return rows.select(*keys, "node", "origin", verdict.alias("verdict"))
 
 
 def ledger_reconcile(operations: DataFrame, reservations: DataFrame, calls: DataFrame) -> DataFrame:
