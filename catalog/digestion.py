@@ -59,7 +59,7 @@ ln AS (SELECT document_id, block_id AS unit, block_id AS above, parent_id AS up,
 un AS (SELECT document_id, block_id AS unit, coalesce(parent_id, 'root') AS parent, CASE WHEN parent_id IS NULL THEN 'section' ELSE 'subsection' END AS kind FROM mk WHERE kind = 'heading'
   UNION ALL SELECT DISTINCT document_id, 'fallback', 'root', 'fallback' FROM mk UNION ALL SELECT DISTINCT document_id, 'root', NULL, 'document' FROM mk),
 pa AS (SELECT document_id, unit, max(depth) AS depth, max(chars) AS chars FROM ln GROUP BY document_id, unit),
-fu AS (SELECT un.*, CAST(coalesce(pa.depth, 0) AS INT) AS depth, coalesce(pa.chars, 0) AS path_chars, greatest(2, least(4, (7000 - coalesce(pa.chars, 0)) // 1500)) AS fan FROM un LEFT JOIN pa USING (document_id, unit))"""
+fu AS (SELECT un.*, CAST(coalesce(pa.depth, 0) AS INT) AS depth, coalesce(pa.chars, 0) AS path_chars, least(4, (4500 - coalesce(pa.chars, 0)) // 1500) AS fan FROM un LEFT JOIN pa USING (document_id, unit))"""
 
 
 @query("section_units", f"WITH RECURSIVE {UNITS} SELECT document_id, unit, parent, kind, depth, path_chars FROM fu")
@@ -98,7 +98,10 @@ TREE = f"""{PACK},
 lf AS (SELECT DISTINCT document_id, owner AS unit, sequence FROM ch),
 up AS (SELECT DISTINCT document_id, unit, above FROM ln UNION SELECT document_id, unit, 'root' FROM un UNION SELECT document_id, 'fallback', 'fallback' FROM un),
 lo AS (SELECT lf.document_id, up.above AS unit, min(sequence) AS "at" FROM lf JOIN up USING (document_id, unit) GROUP BY ALL),
-kn AS (SELECT document_id, unit, sequence AS "at", CAST(NULL AS VARCHAR) AS sub FROM lf UNION ALL SELECT fu.document_id, fu.parent, lo."at", fu.unit FROM fu JOIN lo USING (document_id, unit) WHERE fu.parent IS NOT NULL),
+rf AS (SELECT document_id, unit FROM lo JOIN fu USING (document_id, unit) WHERE fan < 2),
+cg AS (SELECT * FROM ch WHERE document_id NOT IN (SELECT document_id FROM rf)),
+kn AS (SELECT document_id, unit, "at", sub FROM (SELECT document_id, unit, sequence AS "at", CAST(NULL AS VARCHAR) AS sub FROM lf UNION ALL SELECT fu.document_id, fu.parent, lo."at", fu.unit FROM fu JOIN lo USING (document_id, unit) WHERE fu.parent IS NOT NULL)
+  WHERE document_id NOT IN (SELECT document_id FROM rf)),
 po AS (SELECT *, row_number() OVER (PARTITION BY document_id, unit ORDER BY "at") - 1 AS place FROM kn),
 nd AS (SELECT document_id, unit, count(*) AS n, fan, 1 AS round FROM po JOIN fu USING (document_id, unit) GROUP BY ALL
   UNION ALL SELECT document_id, unit, (n + fan - 1) // fan, fan, round + 1 FROM nd WHERE n > fan),
@@ -110,11 +113,24 @@ ed AS (SELECT rg.document_id, rg.unit, rg.round, c // fan AS position, CASE WHEN
   LEFT JOIN tp sb ON sb.document_id = rg.document_id AND sb.unit = po.sub)"""
 
 
-def _tree(t):
+def _refusable(t):
+    """Chunks by unit, units, and the children a unit's reducer has room for."""
     placed, chunks = _plan(t)
-    fan = F.greatest(F.lit(2), dg.fan_in(F.lit(4), F.lit(9000), F.lit(1000), F.length(F.array_join("path", "/")) + 1000, F.lit(1500)))
-    owned = chunks.select("document_id", F.col("owner").alias("unit"), "sequence")
-    return chunks, cut_lineage(dg.reduction_tree(owned, dg.section_units(placed), fan))
+    fan = dg.fan_in(F.lit(4), F.lit(6500), F.lit(1000), F.length(F.array_join("path", "/")) + 1000, F.lit(1500))
+    return chunks, chunks.select("document_id", F.col("owner").alias("unit"), "sequence"), dg.section_units(placed), fan
+
+
+def _tree(t):
+    """The chunks and reducers of the plans that are not refused."""
+    chunks, owned, units, fan = _refusable(t)
+    edges = cut_lineage(dg.reduction_tree(owned, units, fan))
+    return chunks.join(edges.select("document_id").distinct(), "document_id", "left_semi"), edges
+
+
+@query("refused_units", f"WITH RECURSIVE {TREE} SELECT document_id, unit, 'synthesis_limit_exceeded' AS reason FROM rf")
+def refused_units(t):
+    _, owned, units, fan = _refusable(t)
+    return dg.refused_units(owned, units, fan)
 
 
 @query("reduction_tree", f"WITH RECURSIVE {TREE} SELECT * FROM ed")
@@ -130,7 +146,7 @@ def stage_kind(t):
 
 
 @query("synth_claims", f"""WITH RECURSIVE {TREE}
-SELECT document_id, 'chunk-' || sequence AS stage_id, 'fact' AS kind, count(*) AS links, coalesce(string_agg(DISTINCT CASE WHEN limitation <> 'none' THEN limitation END, ',' ORDER BY CASE WHEN limitation <> 'none' THEN limitation END), '') AS limitations FROM ch GROUP BY document_id, sequence
+SELECT document_id, 'chunk-' || sequence AS stage_id, 'fact' AS kind, count(*) AS links, coalesce(string_agg(DISTINCT CASE WHEN limitation <> 'none' THEN limitation END, ',' ORDER BY CASE WHEN limitation <> 'none' THEN limitation END), '') AS limitations FROM cg GROUP BY document_id, sequence
 UNION ALL SELECT document_id, unit || '/' || round || '/' || position, 'commentary', count(*), '' FROM ed GROUP BY document_id, unit, round, position""")
 def synth_claims(t):
     chunks, edges = _tree(t)
@@ -163,28 +179,48 @@ def claim_reach(t):
     return dg.claim_reach(lineage, roots).drop("depth")
 
 
-view(
-    "leaf_facts",
-    """SELECT doc_id AS document_id, block_no AS position, CASE WHEN (doc_id + block_no) % 9 = 0 THEN 0 ELSE 1 END AS analyzed,
-         CASE WHEN (doc_id + block_no) % 9 = 0 THEN 1 ELSE 0 END AS failed, block_no % 3 AS qualifications, CASE WHEN block_no % 5 = 0 THEN 1 ELSE 0 END AS questions,
-         concat('s', CAST(length(text) % 4 AS STRING)) AS subject, CASE (doc_id + block_no) % 3 WHEN 0 THEN 'affirmed' WHEN 1 THEN 'denied' ELSE 'unknown' END AS stance FROM {blocks}""",
-)
+def _stages(t):
+    """Chunks and reducers of the reduction tree with what each holds itself; some chunks could not be analyzed."""
+    chunks, edges = _tree(t)
+    named = edges.withColumn("stage", F.concat_ws("/", "unit", F.col("round").cast("string"), F.col("position").cast("string")))
+    key = F.col("document_id") + F.col("sequence")
+    leaf = chunks.groupBy("document_id", "sequence").agg(F.count("*").alias("links")).select(
+        "document_id", F.concat(F.lit("chunk-"), F.col("sequence").cast("string")).alias("stage"), "sequence",
+        F.when(key % 9 == 0, "unavailable").otherwise("analyzed").alias("outcome"), "links",
+        F.when(F.col("sequence") % 3 == 1, F.concat(F.lit("q"), F.col("sequence").cast("string"))).alias("q"), (F.col("sequence") % 5 == 0).alias("asks"),
+        F.concat(F.lit("s"), (F.col("sequence") % 4).cast("string")).alias("subject"),
+        F.when(key % 3 == 0, "affirmed").when(key % 3 == 1, "denied").otherwise("unknown").alias("stance"),
+    )
+    inner = named.groupBy("document_id", "stage", "unit", "round", "position").agg(F.count("*").alias("links"), F.bool_or("top").alias("top")).select(
+        "document_id", "stage", F.lit(None).cast("bigint").alias("sequence"), F.lit("analyzed").alias("outcome"), "links",
+        F.when(F.col("position") % 2 == 1, F.concat(F.lit("r"), "stage")).alias("q"), (F.col("round") == 2).alias("asks"),
+        F.concat(F.lit("s"), (F.col("position") % 4).cast("string")).alias("subject"),
+        F.when(F.col("round") % 2 == 0, "denied").otherwise("unknown").alias("stance"), "unit", "top",
+    )
+    return chunks, cut_lineage(named), cut_lineage(leaf.unionByName(inner, allowMissingColumns=True))
+
 
+STAGES = f"""{TREE},
+rd AS (SELECT document_id, unit || '/' || round || '/' || position AS stage, unit, round, position, bool_or(top) AS top, count(*) AS links FROM ed GROUP BY ALL),
+sg AS (SELECT document_id, 'chunk-' || sequence AS stage, sequence, CASE WHEN (document_id + sequence) % 9 = 0 THEN 'unavailable' ELSE 'analyzed' END AS outcome, count(*) AS links,
+  CASE WHEN sequence % 3 = 1 THEN 'q' || sequence END AS q, sequence % 5 = 0 AS asks, 's' || sequence % 4 AS subject,
+  CASE (document_id + sequence) % 3 WHEN 0 THEN 'affirmed' WHEN 1 THEN 'denied' ELSE 'unknown' END AS stance, CAST(NULL AS VARCHAR) AS unit, false AS top FROM cg GROUP BY document_id, sequence
+  UNION ALL SELECT document_id, stage, NULL, 'analyzed', links, CASE WHEN position % 2 = 1 THEN 'r' || stage END, round = 2, 's' || position % 4, CASE WHEN round % 2 = 0 THEN 'denied' ELSE 'unknown' END, unit, top FROM rd)"""
 
-@query("inherited_counts", f"""WITH RECURSIVE {LV},
-a AS (SELECT f.*, lv.l AS level, f.position // CAST(pow({FAN}, lv.l) AS BIGINT) AS node FROM {{leaf_facts}} f JOIN lv USING (document_id) WHERE lv.l >= 1),
-c AS (SELECT document_id, level, node, count(*) FILTER (y AND z) AS contradictions FROM (SELECT document_id, level, node, subject, bool_or(stance = 'affirmed') AS y, bool_or(stance = 'denied') AS z FROM a GROUP BY ALL) GROUP BY ALL)
-SELECT document_id, level, node, CAST(sum(analyzed) AS BIGINT) AS analyzed, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(qualifications) AS BIGINT) AS qualifications,
-  CAST(sum(questions) AS BIGINT) AS questions, any_value(contradictions) AS contradictions FROM a JOIN c USING (document_id, level, node) GROUP BY ALL""")
+
+@query("inherited_counts", f"""WITH RECURSIVE {STAGES},
+an AS (SELECT document_id, stage AS below, stage FROM sg UNION ALL SELECT an.document_id, an.below, e.unit || '/' || e.round || '/' || e.position FROM an JOIN ed e ON e.document_id = an.document_id AND e.child = an.stage),
+al AS (SELECT an.stage AS node, s.* FROM an JOIN sg s ON s.document_id = an.document_id AND s.stage = an.below),
+cn AS (SELECT document_id, node, count(*) FILTER (y AND n) AS contradictions FROM (SELECT document_id, node, subject, bool_or(stance = 'affirmed') AS y, bool_or(stance = 'denied') AS n FROM al GROUP BY ALL) GROUP BY ALL)
+SELECT document_id, node AS stage, CAST(coalesce(sum(links) FILTER (sequence IS NOT NULL AND outcome = 'analyzed'), 0) AS BIGINT) AS analyzed, CAST(coalesce(sum(links) FILTER (outcome = 'unavailable'), 0) AS BIGINT) AS failed,
+  count(q) AS qualifications, count(*) FILTER (asks) AS questions, any_value(contradictions) AS contradictions FROM al JOIN cn USING (document_id, node) GROUP BY ALL""")
 def inherited_counts(t):
-    keys = ["document_id"]
-    names = ("analyzed", "failed", "qualifications", "questions")
-    sums = dg.ancestor_sums(t.leaf_facts, keys, FAN, {n: F.col(n) for n in names})
-    sizes = t.leaf_facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    conflicts = dg.node_contradictions(
-        t.leaf_facts.select("document_id", "position", "subject", "stance"), sizes, keys, FAN
+    _, edges, stages = _stages(t)
+    own = stages.select(
+        "document_id", "stage", F.when(F.col("sequence").isNotNull() & (F.col("outcome") == "analyzed"), F.col("links")).otherwise(0).alias("analyzed"),
+        F.when(F.col("outcome") == "unavailable", F.col("links")).otherwise(0).alias("failed"), F.col("q").isNotNull().cast("int").alias("qualifications"), F.col("asks").cast("int").alias("questions"),
     )
-    return sums.join(conflicts, ["document_id", "level", "node"])
+    return dg.inherited_counts(edges.select("document_id", "stage", "child"), own, stages.select("document_id", "stage", "subject", "stance"), ["analyzed", "failed", "qualifications", "questions"])
 
 
 view(
@@ -344,23 +380,61 @@ def contradictions(t):
     return dg.contradictions(t.stance_claims, ["document_id"])
 
 
-view("digest_documents", "SELECT o_orderkey AS document_id, CASE WHEN o_orderstatus = 'F' THEN 'COMPLETE' WHEN o_orderstatus = 'O' THEN 'PARTIAL' ELSE 'FAILED' END AS status, o_orderkey % 3 AS unsupported, o_orderkey % 4 AS conflicts, CASE WHEN o_orderkey % 9 <> 0 THEN concat('summary ', CAST(o_orderkey AS STRING)) END AS root_text FROM {orders}")
 view("digest_notes", "SELECT l_orderkey AS document_id, CASE WHEN l_returnflag = 'R' THEN 'question' ELSE 'limitation' END AS kind, concat('note ', CAST(l_suppkey % 5 AS STRING)) AS text FROM {lineitem} WHERE l_returnflag <> 'N'")
 
 
-@query("digest_rollup", """WITH n AS (SELECT DISTINCT * FROM (SELECT * FROM {digest_notes} UNION ALL SELECT document_id, 'limitation', 'Incomplete source coverage; this digest is not complete publishable knowledge.' FROM {digest_documents} WHERE status <> 'COMPLETE'
-  UNION ALL SELECT document_id, 'question', 'Content unavailable for unsupported or unextractable source units.' FROM {digest_documents} WHERE unsupported > 0
-  UNION ALL SELECT document_id, 'question', 'Conflicting source propositions remain unresolved.' FROM {digest_documents} WHERE conflicts > 0)),
-nn AS (SELECT document_id, count(*) FILTER (kind = 'limitation') AS limitations, count(*) FILTER (kind = 'question') AS questions FROM n GROUP BY ALL),
-f AS (SELECT l_orderkey AS document_id, count(*) AS findings, sum(CAST(l_quantity AS BIGINT) % 3) AS qualifications, count(*) FILTER (l_linestatus = 'O') AS sections FROM {lineitem} GROUP BY ALL)
-SELECT d.document_id, status, coalesce(findings, 0) AS findings, CAST(coalesce(qualifications, 0) AS BIGINT) AS qualifications, coalesce(limitations, 0) AS limitations, coalesce(questions, 0) AS questions,
-  coalesce(sections, 0) AS sections, coalesce(root_text, 'No supported root findings are available.') AS summary FROM {digest_documents} d LEFT JOIN f USING (document_id) LEFT JOIN nn USING (document_id)""")
+_DIGEST_STATE = "CASE WHEN document_id % 4 < 2 THEN 'COMPLETE' WHEN document_id % 4 = 2 THEN 'PARTIAL' ELSE 'FAILED' END"
+
+
+@query("digest_rollup", f"""WITH RECURSIVE {STAGES},
+cl AS (SELECT *, stage || ':c' AS claim_id, CASE WHEN sequence IS NULL THEN 'commentary ' ELSE 'fact ' END || links AS text FROM sg WHERE outcome = 'analyzed'),
+lg AS (SELECT document_id, unit || '/' || round || '/' || position || ':c' AS src, child || ':c' AS dst FROM ed WHERE (document_id + length(child)) % 37 <> 5
+    AND coalesce((document_id + TRY_CAST(substr(child, 7) AS BIGINT)) % 9 <> 0 OR child NOT LIKE 'chunk-%', true)
+  UNION ALL SELECT document_id, stage || ':c', 'ghost' FROM sg WHERE top AND unit = 'root' AND document_id % 41 = 3),
+re AS (SELECT document_id, stage || ':c' AS claim_id FROM sg WHERE top AND unit = 'root' UNION SELECT l.document_id, l.dst FROM re JOIN lg l ON l.document_id = re.document_id AND l.src = re.claim_id),
+sc AS (SELECT cl.*, re.claim_id IS NOT NULL AS reached FROM cl LEFT JOIN re USING (document_id, claim_id)),
+dd AS (SELECT document_id, stage AS root, {_DIGEST_STATE} AS status, document_id % 3 AS unsupported FROM sg WHERE top AND unit = 'root'),
+fo AS (SELECT document_id, count(*) FILTER (sequence IS NOT NULL) AS findings, string_agg(stage || '|' || claim_id || '|' || text, ';' ORDER BY sequence) FILTER (sequence IS NOT NULL) AS f,
+  count(q) FILTER (reached) AS qualifications, string_agg(q, ';' ORDER BY sequence NULLS LAST, stage) FILTER (reached) AS q, bool_or(sequence IS NOT NULL AND NOT reached) AS lost FROM sc GROUP BY document_id),
+sd AS (SELECT document_id, subject, string_agg(claim_id, ',' ORDER BY sequence) FILTER (stance = 'affirmed') AS yes, string_agg(claim_id, ',' ORDER BY sequence) FILTER (stance = 'denied') AS no FROM sc WHERE sequence IS NOT NULL GROUP BY ALL),
+ct AS (SELECT document_id, count(*) AS contradictions, string_agg(subject || '|' || yes || '|' || no, ';' ORDER BY subject) AS c FROM sd WHERE yes IS NOT NULL AND no IS NOT NULL GROUP BY document_id),
+se AS (SELECT document_id, count(*) AS sections, string_agg(unit || '|' || stage || '|' || text, ';' ORDER BY CAST(split_part(unit, ':', 2) AS BIGINT)) AS s FROM sc WHERE top AND unit NOT IN ('root', 'fallback') GROUP BY document_id),
+nt AS (SELECT document_id, 'limitation' AS kind, limitation AS text FROM cg WHERE limitation <> 'none' UNION SELECT document_id, 'question', 'question ' || sequence % 2 FROM cg WHERE sequence % 5 = 0
+  UNION SELECT document_id, 'limitation', 'Incomplete source coverage; this digest is not complete publishable knowledge.' FROM dd WHERE status <> 'COMPLETE'
+  UNION SELECT document_id, 'question', 'Content unavailable for unsupported or unextractable source units.' FROM dd WHERE unsupported > 0
+  UNION SELECT document_id, 'question', 'Conflicting source propositions remain unresolved.' FROM ct),
+nn AS (SELECT document_id, string_agg(text, ';' ORDER BY text) FILTER (kind = 'limitation') AS l, string_agg(text, ';' ORDER BY text) FILTER (kind = 'question') AS u FROM nt GROUP BY document_id)
+SELECT document_id, CASE WHEN document_id IN (SELECT document_id FROM re WHERE claim_id = 'ghost') THEN 'evidence_validation_failed' WHEN lost THEN 'coverage_failed' ELSE 'ok' END AS verdict, status, dd.root,
+  (SELECT any_value(text) FROM cl WHERE cl.document_id = dd.document_id AND cl.stage = dd.root) AS summary, coalesce(sections, 0) AS sections, md5(coalesce(s, '')) AS sections_md5, findings, md5(coalesce(f, '')) AS findings_md5,
+  qualifications, md5(coalesce(q, '')) AS qualifications_md5, coalesce(contradictions, 0) AS contradictions, md5(coalesce(c, '')) AS contradictions_md5, coalesce(l, '') AS limitations, coalesce(u, '') AS questions
+FROM dd JOIN fo USING (document_id) LEFT JOIN ct USING (document_id) LEFT JOIN se USING (document_id) LEFT JOIN nn USING (document_id)""")
 def digest_rollup(t):
-    findings = t.lineitem.select(
-        F.col("l_orderkey").alias("document_id"), (F.col("l_quantity").cast("bigint") % 3).alias("qualifications")
+    chunks, edges, stages = _stages(t)
+    name = lambda c: F.concat(c, F.lit(":c"))
+    claims = stages.where("outcome = 'analyzed'").select(
+        "document_id", "stage", F.lit(0).alias("position"), name("stage").alias("claim_id"),
+        F.concat(F.when(F.col("sequence").isNull(), "commentary ").otherwise("fact "), F.col("links").cast("string")).alias("text"),
+        "subject", "stance", F.array_compact(F.array("q")).alias("qualifications"),
+    )
+    gone = stages.where("outcome = 'unavailable'").select("document_id", F.col("stage").alias("child"))
+    linked = edges.where((F.col("document_id") + F.length("child")) % 37 != 5).join(gone, ["document_id", "child"], "left_anti")
+    roots = stages.where("top AND unit = 'root'")
+    lineage = linked.select("document_id", name("stage").alias("claim_id"), name("child").alias("child_id")).unionByName(
+        roots.where("document_id % 41 = 3").select("document_id", name("stage").alias("claim_id"), F.lit("ghost").alias("child_id"))
+    )
+    documents = roots.select("document_id", F.col("stage").alias("root"), F.expr(_DIGEST_STATE).alias("status"), (F.col("document_id") % 3).alias("unsupported"))
+    order = F.substring_index("unit", ":", -1).cast("bigint")
+    sections = stages.where("top AND unit NOT IN ('root', 'fallback')").select("document_id", "unit", order.alias("ord"), "stage")
+    notes = chunks.where("limitation <> 'none'").select("document_id", F.lit("limitation").alias("kind"), F.col("limitation").alias("text")).unionByName(
+        chunks.where("sequence % 5 = 0").select("document_id", F.lit("question").alias("kind"), F.concat(F.lit("question "), (F.col("sequence") % 2).cast("string")).alias("text"))
     )
-    sections = t.lineitem.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("document_id"))
-    return dg.digest_rollup(t.digest_documents, findings, t.digest_notes, sections)
+    out = dg.assemble_digests(documents, stages.select("document_id", "stage", "sequence", "outcome"), claims, lineage, sections, notes)
+    text = {
+        "sections": lambda x: F.concat_ws("|", x["unit"], x["stage"], x["text"]), "findings": lambda x: F.concat_ws("|", x["stage"], x["claim_id"], x["text"]), "qualifications": lambda x: x,
+        "contradictions": lambda x: F.concat_ws("|", x["subject"], F.array_join(x["affirmed"], ","), F.array_join(x["denied"], ",")),
+    }
+    lists = [c for n, f in text.items() for c in (F.size(n).cast("bigint").alias(n), F.md5(F.array_join(F.transform(n, f), ";")).alias(f"{n}_md5"))]
+    return out.select("document_id", "verdict", "status", "root", "summary", *lists, *[F.array_join(n, ";").alias(n) for n in ("limitations", "questions")])
 
 
 view("pinned", "SELECT s_suppkey AS document_id FROM {supplier} WHERE s_acctbal > 5000")
