@@ -39,6 +39,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 5
 BLOCK = 16 << 20  # bytes of an archive that one group of reads covers
+MOST_TASKS = 50_000
 
 
 def digest_of(payload: bytes) -> str:
@@ -191,7 +192,10 @@ def read_records(spark: SparkSession, target: str, manifest: DataFrame, id_type:
     """
     index = spark.read.schema("archive string, offset long, length long").option("pathGlobFilter", "*.idx").json(target)
     index = index.join(manifest.select("archive"), "archive", "left_semi")
-    index = index.repartition("archive", F.floor(F.col("offset") / BLOCK)).sortWithinPartitions("archive", "offset")
+    # as many tasks as the archives have blocks: the few bytes of the index would be folded into one
+    size = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(1, min(-(-size // BLOCK), MOST_TASKS))
+    index = index.repartition(tasks, "archive", F.floor(F.col("offset") / BLOCK)).sortWithinPartitions("archive", "offset")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
