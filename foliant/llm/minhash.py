@@ -35,6 +35,7 @@ BITS = 2
 #: Standard deviations of the estimate by which a pair may fall short before it is confirmed.
 SLACK = 4.5
 RESIDENTS = 1024  # sets that a task holds while others are compared with them, about
+SALTS = 32  # places in which the pairs of one home learn how it is cut
 VISITORS = 4096  # sets that are compared with one copy of a pivot's set, about
 _SEED = 8
 _WORDS_PER_PLANE = -(-MINIMA // 64)
@@ -233,9 +234,16 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
 
 
 def _parts(pairs: DataFrame, of: str, most: int) -> DataFrame:
-    """``pairs`` with each ``home`` cut by ``of`` into parts of about ``most``."""
-    parts = pairs.groupBy("home").agg(F.ceil(F.count_distinct(of) / most).cast("int").alias("parts"))
-    return pairs.join(parts, "home").withColumn("part", F.pmod(F.xxhash64(of), "parts").cast("int"))
+    """``pairs`` with each ``home`` cut by ``of`` into parts of about ``most``.
+
+    A home may hold a large share of all pairs: it is counted by sketches of bounded size, and its pairs meet the
+    count in ``SALTS`` places.
+    """
+    parts = pairs.groupBy("home").agg(F.ceil(F.approx_count_distinct(of, 0.02) / most).cast("int").alias("parts"))
+    each = parts.select(F.col("home").alias("h"), "parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("u", "v"), F.lit(SALTS)).cast("int"))
+    met = salted.join(each, (F.col("home") == F.col("h")) & (F.col("salt") == F.col("s")))
+    return met.select(*pairs.columns, F.pmod(F.xxhash64(of), "parts").cast("int").alias("part"))
 
 
 def minhash_dedup(
