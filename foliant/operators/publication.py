@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.plans.ordered import Scan, ordered_scan
+from foliant.plans.session import cut_lineage
 from foliant.sources.tables import inventory_diff
 
 
@@ -117,77 +116,35 @@ def activation_replay(requests: DataFrame, block_rows: int = 4096) -> DataFrame:
     """Compare-and-swap replay per scope: a request is accepted only if it expects the present
     epoch, which it then raises by one.
 
-    ``requests``: ``scope, position (0-based), expected``. Each block of positions is first
-    reduced to its effect on every epoch it mentions; the effects are folded along each scope
-    with one number of state; then all blocks are replayed in parallel. All three steps read
-    sorted streams, so no group is gathered.
+    ``requests``: ``scope, position (0-based), expected``. If a request is accepted, the next one is the first after it that expects
+    one epoch more. These successors are one ordered scan; the accepted requests are the way from the first
+    that expects epoch 0 along them. The way is found by jumps of 1, 2, 4, ... successors, the longest first, so
+    in rounds by the logarithm of the epochs, all in built-in functions.
     """
-    # as text, so that a NULL scope is a key like any other in the sorted streams
-    scope = F.coalesce(F.col("scope").cast("string"), F.lit(""))
-    blocked = requests.select(
-        scope.alias("scope"), "position", "expected", F.floor(F.col("position") / block_rows).alias("block")
-    )
-
-    def effect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come latest first: entering at epoch ``e`` here leaves the block at ``after[e]``."""
-        current, after = None, {}
-        for batch in batches:
-            out = []
-            for scope, block, expected in zip(batch["scope"], batch["block"], batch["expected"]):
-                if (scope, block) != current:
-                    out += [(*current, e, a) for e, a in after.items()] if current else []
-                    current, after = (scope, block), {}
-                after[expected] = after.get(expected + 1, expected + 1)
-            yield pd.DataFrame(out, columns=["scope", "block", "before", "after"])
-        rest = [(*current, e, a) for e, a in after.items()] if current else []
-        yield pd.DataFrame(rest, columns=["scope", "block", "before", "after"])
-
-    effects = (
-        blocked.repartition("scope", "block")
-        .sortWithinPartitions("scope", "block", F.col("position").desc())
-        .mapInPandas(effect, "scope string, block bigint, before bigint, after bigint")
+    node = lambda position: F.struct("scope", F.col(position).alias("position"))
+    held = requests.select("scope", F.col("expected").alias("epoch"), "position", F.col("position").alias("at"))
+    asks = requests.select("scope", (F.col("expected") + 1).alias("epoch"), "position", F.lit(None).cast(held.schema["at"].dataType).alias("at"))
+    later = ordered_scan(
+        cut_lineage(held.unionByName(asks)), ["scope", "epoch"], F.floor(-F.col("position") / block_rows), [-F.col("position")], {"next": Scan("last", F.col("at"))}
     )
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scope, block, epoch, found = None, None, 0, None
-        for batch in batches:
-            out = []
-            for s, b, before, after in zip(batch["scope"], batch["block"], batch["before"], batch["after"]):
-                if (s, b) != (scope, block):
-                    epoch = (epoch if found is None else found) if s == scope else 0
-                    scope, block, found = s, b, None
-                    out.append((scope, block, epoch))
-                if before == epoch:
-                    found = after
-            yield pd.DataFrame(out, columns=["scope", "block", "start"])
-
-    entry = (
-        effects.repartition("scope")
-        .sortWithinPartitions("scope", "block", "before")
-        .mapInPandas(fold, "scope string, block bigint, start bigint")
-    )
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, epoch = None, 0
-        for batch in batches:
-            accepted, after = [], []
-            for scope, block, expected, start in zip(
-                batch["scope"], batch["block"], batch["expected"], batch["start"]
-            ):
-                if (scope, block) != current:
-                    current, epoch = (scope, block), start
-                accepted.append(expected == epoch)
-                epoch += int(expected == epoch)
-                after.append(epoch)
-            yield batch[["scope", "position", "expected"]].assign(accepted=accepted, epoch=after)
-
-    replayed = (
-        blocked.join(entry, ["scope", "block"])
-        .repartition("scope", "block")
-        .sortWithinPartitions("scope", "block", "position")
-        .mapInPandas(
-            replay, "scope string, position bigint, expected bigint, accepted boolean, epoch bigint"
-        )
+    hops = later.where("at IS NULL AND next IS NOT NULL").select(node("position").alias("from"), node("next").alias("to"))
+    first = requests.where("expected = 0").groupBy("scope").agg(F.min("position").alias("position")).select(node("position").alias("n"))
+    on_way = cut_lineage(first)
+    # only successors and the first can lie on the way
+    hops = cut_lineage(hops)
+    may = hops.select(F.col("to").alias("n")).unionByName(on_way).distinct()
+    jumps = [cut_lineage(hops.join(may, F.col("from") == F.col("n"), "left_semi"))]
+    while True:
+        last = jumps[-1]
+        onward = last.select(F.col("from").alias("mid"), F.col("to").alias("end"))
+        twice = cut_lineage(last.join(onward, F.col("to") == F.col("mid")).select("from", F.col("end").alias("to")))
+        if twice.isEmpty():
+            break
+        jumps.append(twice)
+    for jump in reversed(jumps):
+        on_way = cut_lineage(on_way.unionByName(on_way.join(jump, F.col("n") == F.col("from")).select(F.col("to").alias("n"))))
+    named = requests.select("scope", "position", "expected", node("position").alias("__node"))
+    marked = named.join(on_way, F.col("__node") == F.col("n"), "left").select("scope", "position", "expected", F.col("n").isNotNull().alias("accepted"))
+    return ordered_scan(
+        cut_lineage(marked), ["scope"], F.floor(F.col("position") / block_rows), [F.col("position")], {"epoch": Scan("sum", F.col("accepted").cast("bigint"))}
     )
-    kind = requests.schema["scope"].dataType
-    return replayed.withColumn("scope", F.when(F.col("scope") != "", F.col("scope")).cast(kind))
