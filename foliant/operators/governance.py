@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.plans.session import cut_lineage
 from foliant.plans.ordered import Scan, join_on, live_sums, ordered_scan, running_sums
 
 MONEY = "decimal(38,12)"
@@ -229,38 +230,85 @@ def rate_admission(calls: DataFrame, policy: dict, *, width: int) -> DataFrame:
     return rows.withColumn("denied", denied)
 
 
-def capacity_forecast(history: DataFrame, plan: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
-    """Planned calls in order on top of settled history: the first one that breaks a limit.
+#: What a planned call may break first, in this order at each level.
+LEVEL_RULES = ("requests", "reserved_tokens", "daily_tokens", "monthly_tokens", "monthly_cost")
+PROVIDER_RULES = ("provider_rpm", "provider_tpm", "background_rpm", "background_tpm")
 
-    Both inputs: ``keys + [call_id, at, tokens, cost]``; up to the first failure the planned
-    calls before it all count, so prefix sums decide it without a replay.
+
+def _first(rules: dict[str, Column], prefix: str = "") -> Column:
+    return F.coalesce(*[F.when(broken, prefix + name) for name, broken in rules.items()])
+
+
+def forecast_calls(
+    history: DataFrame, provider_calls: DataFrame, plan: DataFrame, tenant_limits: DataFrame, owner_limits: DataFrame, policy: dict, *, width: int
+) -> DataFrame:
+    """``tenant, call_id, at, rule``: the first rule that each planned call would break, NULL if none.
+
+    ``history``: ``tenant, owner, call_id, at, state, tokens, cost``; released rows count as requests only. ``plan``: ``tenant, owner,
+    quota, call_id, at, tokens, cost, background``; ``provider_calls``: ``quota, call_id, at, tokens, background``. Limits are as
+    for :func:`budget_remaining`, ``policy`` has ``rpm, tpm, interactive_rpm, interactive_tpm`` for the last ``width``. Planned
+    calls count in full for those after them, at the level of the tenant, of the owner and of the provider's quota, so each
+    level is one sweep over what was and what is planned. Room that is kept for interactive calls is no room for
+    background ones. Call ids must be unique in all three.
     """
-    rows = history.select("*", F.lit(False).alias("planned")).unionByName(
-        plan.select("*", F.lit(True).alias("planned"))
+    common = ["tenant", "owner", "call_id", "at", "tokens", "cost"]
+    spent = F.col("state") == "SETTLED"
+    rows = history.select(*common, spent.alias("spent"), F.lit(False).alias("planned")).unionByName(
+        plan.select(*common, F.lit(True).alias("spent"), F.lit(True).alias("planned"))
     )
-    block, order = F.floor(F.col("at") / DAY), [F.col("at"), F.col("call_id")]
-    months = month_start(F.col("at"))
-    month = ordered_scan(
-        rows, keys, block, order,
+
+    def level(limits: DataFrame, keys: list[str], name: str) -> DataFrame:
+        known = rows.join(limits, keys)
+        amount = lambda c: F.when(F.col("spent"), F.col(c))
+        swept = live_sums(
+            known, keys, "at", "call_id", DAY, {"recent": (F.lit(1), F.col("at") + F.col("window_us"))},
+            {"day_used": (amount("tokens"), day_start), "month_used": (amount("tokens"), month_start), "month_spent": (amount("cost"), month_start)},
+        ).where("planned")
+        broken = (
+            F.col("recent") >= F.col("requests_per_window"), F.col("tokens") > F.col("reserved_tokens"),
+            F.col("day_used") + F.col("tokens") > F.col("daily_tokens"), F.col("month_used") + F.col("tokens") > F.col("monthly_tokens"),
+            F.col("month_spent") + F.col("cost") > F.col("monthly_cost"),
+        )
+        return swept.select(F.col("call_id").alias(f"{name}_call"), _first(dict(zip(LEVEL_RULES, broken, strict=True)), f"{name}_").alias(name))
+
+    asked = ["quota", "call_id", "at", "tokens", "background"]
+    calls = provider_calls.select(*asked, F.lit(False).alias("planned")).unionByName(plan.select(*asked, F.lit(True).alias("planned")))
+    one, none, bg, out = F.lit(1), F.lit(0), F.col("background"), F.col("at") + width
+    swept = live_sums(
+        calls, ["quota"], "at", "call_id", max(width // 12, 1),
         {
-            "day_tokens": Scan("sum", F.col("tokens"), within=day_start(F.col("at"))),
-            "month_tokens": Scan("sum", F.col("tokens"), within=months),
-            "month_cost": Scan("sum", F.col("cost"), within=months),
+            "recent": (one, out), "recent_tokens": (F.col("tokens"), out), "docs": (F.when(bg, one).otherwise(none), out),
+            "docs_tokens": (F.when(bg, F.col("tokens")).otherwise(none), out),
         },
-    )
-    joined = month.where("planned").join(limits, keys)
+    ).where("planned")
+    p, tokens = policy, F.col("tokens")
     broken = (
-        (F.col("day_tokens") > F.col("daily_tokens"))
-        | (F.col("month_tokens") > F.col("monthly_tokens"))
-        | (F.col("month_cost") > F.col("monthly_cost"))
-        | (F.col("tokens") > F.col("reserved_tokens"))
+        F.col("recent") >= p["rpm"], F.col("recent_tokens") + tokens > p["tpm"], bg & (F.col("docs") >= p["rpm"] - p["interactive_rpm"]),
+        bg & (F.col("docs_tokens") + tokens > p["tpm"] - p["interactive_tpm"]),
     )
-    return joined.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.min_by("call_id", F.when(broken, F.struct("at", "call_id"))).alias("first_failing"),
-    ).withColumn(
-        "status",
-        F.when(F.col("first_failing").isNull(), F.lit("FORECAST_FITS")).otherwise(F.lit("LIMIT")),
+    provider = swept.select(F.col("call_id").alias("provider_call"), _first(dict(zip(PROVIDER_RULES, broken, strict=True))).alias("provider"))
+    judged = plan.select("tenant", "call_id", "at")
+    for name, found in (("tenant", level(tenant_limits, ["tenant"], "tenant")), ("owner", level(owner_limits, ["tenant", "owner"], "owner")), ("provider", provider)):
+        judged = judged.join(found.withColumnRenamed(name, f"{name}_rule"), F.col("call_id") == F.col(f"{name}_call"), "left")
+    return judged.select("tenant", "call_id", "at", F.coalesce("tenant_rule", "owner_rule", "provider_rule").alias("rule"))
+
+
+def capacity_forecast(
+    history: DataFrame, provider_calls: DataFrame, plan: DataFrame, tenant_limits: DataFrame, owner_limits: DataFrame, policy: dict, *, width: int
+) -> DataFrame:
+    """``tenant, calls, first_failing, rule, status`` of each tenant's plan, see :func:`forecast_calls`.
+
+    A tenant with a reservation that is neither settled nor released has to be reconciled first. ``status`` says so, or
+    ``LIMIT``, or that the forecast fits, which is no authorization.
+    """
+    judged = cut_lineage(forecast_calls(history, provider_calls, plan, tenant_limits, owner_limits, policy, width=width))
+    unsettled_tenants = history.where("state NOT IN ('SETTLED', 'RELEASED')").select("tenant", F.lit(True).alias("unsettled")).distinct()
+    broken = F.when(F.col("rule").isNotNull(), F.struct("at", "call_id"))
+    told = judged.groupBy("tenant").agg(
+        F.count(F.lit(1)).alias("calls"), F.min_by("call_id", broken).alias("first_failing"), F.min_by("rule", broken).alias("rule")
     )
+    status = F.when(F.coalesce("unsettled", F.lit(False)), "RECONCILIATION_REQUIRED").when(F.col("rule").isNotNull(), "LIMIT").otherwise("FORECAST_FITS")
+    return told.join(unsettled_tenants, "tenant", "left").select("tenant", "calls", "first_failing", "rule", status.alias("status"))
+
 
 
