@@ -195,7 +195,7 @@ view("past_calls", *_at(f"SELECT tenant % 3 AS quota, ticket AS call_id, created
 view("planned_calls", *_at(f"""SELECT tenant, owner, tenant % 3 AS quota, ticket AS call_id, created AS AT, input + output AS tokens, cost_micro AS micro, workload <> 'INTERACTIVE' AS background
   FROM {{reservations}} WHERE created >= {NOW}"""))
 # Limits under which every rule is broken by some plan.
-for _name, _of, _key, _small in (("plan_tenant_limits", "tenant_limits", "tenant", (20, 3000, 9000, 60000, 200000)), ("plan_owner_limits", "owner_limits", "owner", (2, 2500, 3000, 6000, 12000))):
+for _name, _of, _key, _small in (("plan_tenant_limits", "tenant_limits", "tenant", (5, 3000, 9000, 15000, 40000)), ("plan_owner_limits", "owner_limits", "owner", (2, 2500, 3000, 6000, 12000))):
     _few = ", ".join(
         f"CASE WHEN {_key} % 7 = {k} THEN {v} ELSE {c} END AS {c}"
         for k, (c, v) in enumerate(zip(("requests_per_window", "reserved_tokens", "daily_tokens", "monthly_tokens", "monthly_micro"), _small, strict=True))

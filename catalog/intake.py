@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from catalog.base import query, view
 from foliant.functions import chunking, ids, rules
-from foliant.functions.text import bounded_pieces
+from foliant.functions.text import exact_pieces
 from foliant.operators import claims, documents
 from foliant.plans.session import scratch_path
 from foliant.sources import parsers, tables
@@ -415,11 +415,20 @@ def chunk_recursive(t):
     )
 
 
-@query("split_bounded", """WITH s AS (SELECT doc_id, text, unnest(range(0, ((length(text) + 4095) // 4096))) AS n FROM {documents})
-SELECT doc_id, n * 4096 AS start, md5(substr(text, n * 4096 + 1, 4096)) AS piece_md5 FROM s""")
+# Exact pieces: as many characters as allowed, halved until the words and marks fit, two more tokens counted around them.
+def pieces_sql(source: str, keys: str, limit: int, tokens: int) -> str:
+    count = "len(regexp_extract_all(substr(text, start + 1, {n}), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\x09-\\x0D\\x20]')) + 2"
+    size = f"list_filter(list_transform(range({limit.bit_length() + 1}), lambda k: least({limit}, length(text) - start) >> k), lambda n: {count.format(n='n')} <= {tokens})[1]"
+    sized = f"SELECT {keys}, text, start, {size} AS size FROM"
+    return f"""pieces AS ({sized} (SELECT {keys}, text, CAST(0 AS BIGINT) AS start FROM {source} WHERE length(text) > 0)
+  UNION ALL {sized} (SELECT {keys}, text, start + size AS start FROM pieces WHERE start + size < length(text)))"""
+
+
+@query("split_bounded", f"""WITH RECURSIVE {pieces_sql('{documents}', 'doc_id', 4096, 240)}
+SELECT doc_id, start, md5(substr(text, start + 1, size)) AS piece_md5, len(string_split(substr(text, 1, start), chr(10))) - 1 AS lines FROM pieces""")
 def split_bounded(t):
-    parts = t.documents.select("doc_id", F.explode(bounded_pieces(F.col("text"), 4096)).alias("p"))
-    return parts.select("doc_id", F.col("p.start").alias("start"), F.md5("p.piece").alias("piece_md5"))
+    parts = exact_pieces(t.documents.select("doc_id", "text"), "text", "pieces", limit=4096, tokens=240)
+    return parts.select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.start", F.md5("p.piece").alias("piece_md5"), "p.lines")
 
 
 # Blocks as chunks: the chunk id is the block's place, the file type follows the language.
@@ -597,9 +606,9 @@ def offset_to_line(t):
 view("included_documents", "SELECT doc_id FROM {labels} WHERE quality = 1")
 
 
-@query("build_records", f"""WITH p AS (SELECT b.*, unnest(range(0, ((length(b.text) + 99) // 100))) AS n FROM {{blocks}} b
-  WHERE doc_id IN (SELECT doc_id FROM {{included_documents}})),
-c AS (SELECT doc_id, block_no, start + n * 100 AS start, line, substr(text, n * 100 + 1, 100) AS piece FROM p)
+@query("build_records", f"""WITH RECURSIVE inc AS (SELECT * FROM {{blocks}} WHERE doc_id IN (SELECT doc_id FROM {{included_documents}})),
+b AS (SELECT doc_id, block_no, start AS begins, line, text FROM inc), {pieces_sql('b', 'doc_id, block_no, begins, line', 100, 14)},
+c AS (SELECT doc_id, block_no, begins + start AS start, line, substr(text, start + 1, size) AS piece FROM pieces)
 SELECT {uuid_sql("'[\"' || doc_id || '\",\"' || doc_id || ':' || block_no || '\",\"' || start || '\",\"' || sha256(piece) || '\"]'")} AS record_id,
   doc_id AS document_id, start, start + length(piece) AS "end", line AS line_start, line AS line_end,
   'section-' || block_no // 10 AS path, 'none' AS limitation, md5(piece) AS text_md5 FROM c""")
@@ -612,7 +621,7 @@ def build_records(t):
     paths = t.blocks.select(
         block_id, F.concat(F.lit("section-"), F.floor(F.col("block_no") / 10).cast("string")).alias("path")
     )
-    return documents.build_records(blocks, included, paths, 100).select(
+    return documents.build_records(blocks, included, paths, 100, 14).select(
         "record_id", "document_id", "start", "end", "line_start", "line_end", "path", "limitation",
         F.md5("text").alias("text_md5"),
     )

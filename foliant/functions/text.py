@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,5 +88,70 @@ def bounded_pieces(text: Column, limit: int) -> Column:
     )
 
 
+# Tokens as a vocabulary of whole words and single marks counts them.
+WORD_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x09-\x0D\x20]"
+
+
+def word_tokens(text: Column, extra: int = 2) -> Column:
+    """A token count without a model: words and marks, and ``extra`` for the tokens around a text."""
+    return F.regexp_count(text, F.lit(WORD_TOKEN)) + extra
+
+
+def exact_pieces(rows: DataFrame, text: str, out: str, *, limit: int, tokens: int, count: Callable[[Column], Column] = word_tokens, extra: int = 2) -> DataFrame:
+    """``rows`` with ``out``, an array of ``piece, start, lines``: exact slices under both bounds.
+
+    A piece takes ``limit`` characters, or half as many again and again until ``count`` of it is at most ``tokens``;
+    counts need not grow with the text. ``lines`` is the number of LF before it. ``count`` must not exceed the characters by more than
+    ``extra``, so that every piece but the last has more than ``(tokens - extra) / 2`` characters, and the loop an end.
+
+    The text is read once, in slices: a step holds what is left of two of them, however long the text is.
+    """
+    least = max(1, (min(limit, tokens - extra) + 1) // 2)
+    if tokens <= extra:
+        raise ValueError("no character fits the token limit")
+    halvings = F.sequence(F.lit(0), F.lit(max(0, (limit - 1).bit_length())))
+    piece = "piece string, start bigint, lines bigint"
+    zero = F.struct(
+        F.lit("").alias("left"), F.lit(0).alias("next"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("lines"),
+        F.array().cast(f"array<struct<{piece.replace(' string', ':string').replace(' bigint', ':bigint')}>>").alias("out"),
+    )
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        """``body`` of a value that is computed once."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def first_fit(held: Column) -> Column:
+        given = F.least(F.length(held), F.lit(limit))
+        sizes = F.transform(halvings, lambda k: F.floor(given / F.pow(F.lit(2.0), k)).cast("int"))
+        # most pieces fit as they are or cut once; the others look on
+        late = F.get(F.filter(F.slice(sizes, 2, 64), lambda n: count(F.substring(held, F.lit(1), n)) <= tokens), F.lit(0))
+        return F.when(count(F.substring(held, F.lit(1), given)) <= tokens, given).otherwise(late)
+
+    def onward(state: Column, held: Column, taken: Column) -> Column:
+        one = F.struct(taken.alias("piece"), state["start"].alias("start"), state["lines"].alias("lines"))
+        return F.struct(
+            F.substring(held, F.length(taken) + 1, F.lit(2 * limit)).alias("left"), (state["next"] + F.when(wants(state), 1).otherwise(0)).alias("next"),
+            (state["start"] + F.length(taken)).alias("start"), (state["lines"] + count_char(taken, "\n")).alias("lines"),
+            F.concat(state["out"], F.array(one)).alias("out"),
+        )
+
+    def wants(state: Column) -> Column:
+        return (F.length(state["left"]) < limit) & (state["next"] < F.size("__slices"))
+
+    def step(state: Column, _: Column) -> Column:
+        held = F.when(wants(state), F.concat(state["left"], F.get("__slices", state["next"]))).otherwise(state["left"])
+        over = (F.length(state["left"]) == 0) & ~wants(state)
+        go = let(held, lambda h: let(F.substring(h, F.lit(1), first_fit(h)), lambda t: onward(state, h, t)))
+        return F.when(over, state).otherwise(go)
+
+    n = F.coalesce(F.length(text), F.lit(0))
+    steps = F.when(n > 0, F.sequence(F.lit(1), (F.floor(n / least) + 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    cut = rows.withColumn("__slices", F.regexp_extract_all(text, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0)))
+    # a text that is one piece needs no loop
+    alone = F.struct(F.col(text).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("lines"))
+    fits = (n > 0) & (n <= limit) & (count(F.col(text)) <= tokens)
+    return cut.withColumn(out, F.when(fits, F.array(alone)).otherwise(F.aggregate(steps, zero, step)["out"])).drop("__slices")
+
+
 def count_char(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,17 +212,19 @@ def offsets_to_lines(offsets: DataFrame, blocks: DataFrame) -> DataFrame:
     return filled.where("asked = 1").select("document_id", "offset", F.col("found").alias("line"))
 
 
-def build_records(blocks: DataFrame, included: DataFrame, paths: DataFrame, limit: int = 4096) -> DataFrame:
-    """Retrieval records of the included blocks: bounded pieces with lines, path and id.
+def build_records(
+    blocks: DataFrame, included: DataFrame, paths: DataFrame, limit: int = 4096, tokens: int = 240, count: Callable[[Column], Column] = tx.word_tokens
+) -> DataFrame:
+    """Retrieval records of the included blocks: pieces within both bounds, with lines, path and id.
 
     ``blocks``: ``document_id, block_id, kind, text, start, line``; ``included``: ``block_id``;
-    ``paths``: ``block_id, path``. All per-piece values come from the block's own row.
+    ``paths``: ``block_id, path``; ``count`` counts the tokens of a text. All per-piece values come from the block's own row.
     """
     kept = blocks.join(included.select("block_id").distinct(), "block_id", "left_semi")
     owned = kept.join(paths, "block_id", "left")
-    parts = owned.select("*", F.explode(tx.bounded_pieces(F.col("text"), limit)).alias("p"))
-    before = F.substring(F.col("text"), F.lit(1), F.col("p.start").cast("int"))
-    line = F.col("line") + tx.count_char(before, "\n")
+    split = tx.exact_pieces(owned, "text", "__pieces", limit=limit, tokens=tokens, count=count)
+    parts = split.select("*", F.explode("__pieces").alias("p")).drop("__pieces")
+    line = F.col("line") + F.col("p.lines")
     body = F.rtrim(F.col("p.piece"), F.lit("\n"))
     begin = F.col("start") + F.col("p.start")
     return parts.select(

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import uuid
 
@@ -70,6 +71,41 @@ def test_json_and_ids(spark):
             assert row.k == hashlib.sha256(json.dumps([s], separators=(",", ":")).encode()).hexdigest()
 
 
+def halved(t, limit, tokens, count):
+    """The rule in plain words."""
+    at, lines, out = 0, 0, []
+    while at < len(t):
+        end = min(len(t), at + limit)
+        while count(t[at:end]) > tokens:
+            end = at + (end - at) // 2
+        out.append((t[at:end], at, lines))
+        lines += t[at:end].count("\n")
+        at = end
+    return out
+
+
+@pytest.mark.parametrize("limit, tokens", [(4096, 240), (40, 9), (7, 3), (1, 3), (33, 1000)])
+def test_exact_pieces(spark, limit, tokens):
+    r = random.Random(limit)
+    texts = [None, "", "a", "one two", "x" * 300, "ü. " * 90, "\n" * 50, " \t\x0b" * 30, "漢字 かな!? " * 40]
+    texts += ["".join(r.choices(["word", " ", "\n", "!", "é", "\xa0", "12", "_", "😀"], k=r.randint(1, 400))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    count = lambda t: len(re.findall(r"[\w]+|[^\w\t-\r ]", t)) + 2
+    got = {r.id: [tuple(p) for p in r.pieces] for r in text.exact_pieces(df, "body", "pieces", limit=limit, tokens=tokens).collect()}
+    for i, t in enumerate(texts):
+        if t and "😀" in t or t and "\xa0" in t:
+            assert "".join(p[0] for p in got[i]) == t
+        assert got[i] == halved(t or "", limit, tokens, count), (i, t)
+    # another counter, and one that does not grow with the text
+    odd = {r.id: [tuple(p) for p in r.pieces] for r in text.exact_pieces(df, "body", "pieces", limit=40, tokens=20, count=lambda c: F.length(c) % 31, extra=0).collect()}
+    assert all(odd[i] == halved(t or "", 40, 20, lambda x: len(x) % 31) for i, t in enumerate(texts))
+
+
+def test_no_token_limit_below_the_marks(spark):
+    with pytest.raises(ValueError):
+        text.exact_pieces(rows(spark), "text", "p", limit=10, tokens=2)
+
+
 def test_bounded_pieces_lose_nothing(spark):
     out = rows(spark).select("id", F.explode(text.bounded_pieces(F.col("text"), 7)).alias("p")).collect()
     for i, s in enumerate(TEXTS):
