@@ -89,7 +89,7 @@ def bounded_pieces(text: Column, limit: int) -> Column:
 
 
 # Tokens as a vocabulary of whole words and single marks counts them.
-WORD_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x09-\x0D\x20]"
+WORD_TOKEN = r"[\p{L}\p{N}_]++|[^\p{L}\p{N}_\x09-\x0D\x20]"
 
 
 def word_tokens(text: Column, extra: int = 2) -> Column:
@@ -111,8 +111,9 @@ def exact_pieces(rows: DataFrame, text: str, out: str, *, limit: int, tokens: in
         raise ValueError("no character fits the token limit")
     halvings = F.sequence(F.lit(0), F.lit(max(0, (limit - 1).bit_length())))
     piece = "piece string, start bigint, lines bigint"
+    # in the state, so that the text is cut once and not wherever a slice is asked for
     zero = F.struct(
-        F.lit("").alias("left"), F.lit(0).alias("next"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("lines"),
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0)).alias("slices"), F.lit("").alias("left"), F.lit(0).alias("next"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("lines"),
         F.array().cast(f"array<struct<{piece.replace(' string', ':string').replace(' bigint', ':bigint')}>>").alias("out"),
     )
 
@@ -122,35 +123,37 @@ def exact_pieces(rows: DataFrame, text: str, out: str, *, limit: int, tokens: in
 
     def first_fit(held: Column) -> Column:
         given = F.least(F.length(held), F.lit(limit))
-        sizes = F.transform(halvings, lambda k: F.floor(given / F.pow(F.lit(2.0), k)).cast("int"))
-        # most pieces fit as they are or cut once; the others look on
-        late = F.get(F.filter(F.slice(sizes, 2, 64), lambda n: count(F.substring(held, F.lit(1), n)) <= tokens), F.lit(0))
-        return F.when(count(F.substring(held, F.lit(1), given)) <= tokens, given).otherwise(late)
+        halved = lambda k: F.floor(given / F.pow(F.lit(2.0), k)).cast("int")
+        fits = lambda n: (n <= tokens - extra) | (count(F.substring(held, F.lit(1), n)) <= tokens)
+        soon = F.when(fits(given), given)
+        for k in range(1, 4):  # most pieces are cut a few times at most; what comes later is not counted for them
+            soon = soon.when(fits(halved(F.lit(k))), halved(F.lit(k)))
+        late = F.transform(F.slice(halvings, 5, 64), halved)
+        return soon.otherwise(F.get(F.filter(late, fits), F.lit(0)))
 
     def onward(state: Column, held: Column, taken: Column) -> Column:
         one = F.struct(taken.alias("piece"), state["start"].alias("start"), state["lines"].alias("lines"))
         return F.struct(
-            F.substring(held, F.length(taken) + 1, F.lit(2 * limit)).alias("left"), (state["next"] + F.when(wants(state), 1).otherwise(0)).alias("next"),
+            state["slices"].alias("slices"), F.substring(held, F.length(taken) + 1, F.lit(2 * limit)).alias("left"), (state["next"] + F.when(wants(state), 1).otherwise(0)).alias("next"),
             (state["start"] + F.length(taken)).alias("start"), (state["lines"] + count_char(taken, "\n")).alias("lines"),
             F.concat(state["out"], F.array(one)).alias("out"),
         )
 
     def wants(state: Column) -> Column:
-        return (F.length(state["left"]) < limit) & (state["next"] < F.size("__slices"))
+        return (F.length(state["left"]) < limit) & (state["next"] < F.size(state["slices"]))
 
     def step(state: Column, _: Column) -> Column:
-        held = F.when(wants(state), F.concat(state["left"], F.get("__slices", state["next"]))).otherwise(state["left"])
+        held = F.when(wants(state), F.concat(state["left"], F.get(state["slices"], state["next"]))).otherwise(state["left"])
         over = (F.length(state["left"]) == 0) & ~wants(state)
         go = let(held, lambda h: let(F.substring(h, F.lit(1), first_fit(h)), lambda t: onward(state, h, t)))
         return F.when(over, state).otherwise(go)
 
     n = F.coalesce(F.length(text), F.lit(0))
     steps = F.when(n > 0, F.sequence(F.lit(1), (F.floor(n / least) + 2).cast("int"))).otherwise(F.array().cast("array<int>"))
-    cut = rows.withColumn("__slices", F.regexp_extract_all(text, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0)))
     # a text that is one piece needs no loop
     alone = F.struct(F.col(text).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("lines"))
-    fits = (n > 0) & (n <= limit) & (count(F.col(text)) <= tokens)
-    return cut.withColumn(out, F.when(fits, F.array(alone)).otherwise(F.aggregate(steps, zero, step)["out"])).drop("__slices")
+    fits = (n > 0) & (n <= limit) & ((n <= tokens - extra) | (count(F.col(text)) <= tokens))
+    return rows.withColumn(out, F.when(fits, F.array(alone)).otherwise(F.aggregate(steps, zero, step)["out"]))
 
 
 def count_char(text: Column, char: str) -> Column:
