@@ -303,8 +303,9 @@ def benchmark_pivot(t):
 # ---- streams ---------------------------------------------------------------------------
 
 def _stream(t, name: str):
+    """A table as a stream, be it one file or a folder of them; only a pattern may name either."""
     schema = t.spark.read.parquet(f"{t.dir}/{name}.parquet").schema
-    return run.watch_files(t.spark, t.dir, f"{name}.parquet", schema)
+    return run.watch_files(t.spark, f"{t.dir}/{name}.{{parquet}}", schema)
 
 
 def _events(t):

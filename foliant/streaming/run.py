@@ -34,10 +34,11 @@ def append_result(stream: DataFrame, name: str) -> DataFrame:
 def update_result(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     """Updated rows of every batch, then the last one per key.
 
-    Each batch writes its own folder, so a repeated batch replaces itself.
+    Each batch writes its own folder, so a repeated batch replaces itself; a stream without rows has none but the empty one.
     """
     spark = stream.sparkSession
     path = scratch_path(spark, name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/data/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
@@ -54,11 +55,9 @@ def update_result(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFram
     return last_row(rows, list(keys), [F.col("batch")]).drop("batch")
 
 
-def watch_files(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
-    """A stream of the files in a folder whose names match."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-    )
+def watch_files(spark: SparkSession, pattern: str, schema) -> DataFrame:
+    """A stream of the files that match a path pattern, and of the files in the folders that match it."""
+    return spark.readStream.schema(schema).parquet(pattern)
 
 
 def read_ndjson(spark: SparkSession, folder: str, schema) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import catalog
 from foliant.streaming import operators as st
 from foliant.streaming import run
 
@@ -82,6 +83,17 @@ def test_sessions_keep_the_latest_by_position(spark, tmp_path):
     assert {(x.session_id, x.messages, x.history) for x in out} == {(s, 3, "user: m6\nuser: m7\nuser: m8\n") for s in (1, 2)}
 
 
+def test_sessions_of_a_table_in_one_file_or_many(spark, tmp_path):
+    rows = spark.createDataFrame([(s, p, "user", f"m{p}") for s in range(4) for p in range(9)], "conv_id bigint, turn bigint, role string, text string")
+    rows.repartition(3, "conv_id").write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    (tmp_path / "one").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "one" / "conversations.parquet")
+    rows.limit(0).write.parquet(str(tmp_path / "none" / "conversations.parquet"))
+    got = [sorted(map(tuple, catalog.QUERIES["session_state"](spark, str(tmp_path / d)).collect())) for d in ("many", "one", "none")]
+    assert [x[:2] for x in got[0]] == [(s, 4) for s in range(4)]
+    assert got[1] == got[0] and got[2] == []
+
+
 @pytest.mark.parametrize("lease", ["6 HOURS"])
 def test_finite_runs_flush(spark, lease):
     at = lambda h: F.timestamp_seconds(F.lit(10**9 + 3600 * h))
