@@ -6,6 +6,7 @@ import json
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,6 +130,7 @@ class _Window:
         return True
 
 
+ANSWERED = 8192  # verdicts that leave at once
 _ADMITTED = "quota string, call_id bigint, at bigint, tokens bigint, admitted boolean"
 
 
@@ -136,32 +138,35 @@ def admission_stream(requests: DataFrame, time: str, *, width: int, rpm: int, tp
     """Sliding-window admission per quota key, in event time: a request is decided once the watermark has
     passed it, after all that came before it.
 
-    The state is the admitted calls in the window and the requests that wait; a quota that is silent for a
-    window's length has none.
+    The state is the admitted calls in the window and the requests that wait, as packed integers; a quota that is silent
+    for a window's length has none.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, waiting = json.loads(state.get[0]) if state.exists else ([], [])
+        held, waits = state.get if state.exists else (b"", b"")
+        parts = [np.frombuffer(waits, np.int64).reshape(-1, 4)]
         if not state.hasTimedOut:
-            for frame in batches:
-                waiting += [list(map(int, r)) for r in zip(frame["at"], frame["call_id"], frame["tokens"], _millis(frame[time]))]
-        now = state.getCurrentWatermarkMs()
-        due = sorted(r for r in waiting if r[3] < now)
-        waiting = [r for r in waiting if r[3] >= now]
-        window = _Window(held)
-        verdicts = [window.admit(at, tokens, width, rpm, tpm) for at, _, tokens, _ in due]
+            parts += [np.column_stack([f["at"], f["call_id"], f["tokens"], _millis(f[time])]).astype(np.int64) for f in batches]
+        rows, now = np.concatenate(parts), state.getCurrentWatermarkMs()
+        del parts, waits
+        passed = rows[:, 3] < now
+        due, waiting = rows[passed], rows[~passed]
+        del rows
+        due = due[np.lexsort(due.T[::-1])]
+        window = _Window(np.frombuffer(held, np.int64).reshape(-1, 2).tolist())
+        for first in range(0, len(due), ANSWERED):
+            part = due[first : first + ANSWERED]
+            verdicts = [window.admit(at, tokens, width, rpm, tpm) for at, _, tokens, _ in part.tolist()]
+            yield pd.DataFrame({"quota": key[0], "call_id": part[:, 1], "at": part[:, 0], "tokens": part[:, 2], "admitted": verdicts})
         calm = [at // 1000 + width // 1000 for at, _ in window.held]
-        if not waiting and (not calm or max(calm) < now):
+        if not len(waiting) and (not calm or max(calm) < now):
             state.remove()
         else:
-            state.update((json.dumps([list(window.held), waiting]),))
-            state.setTimeoutTimestamp(max(min(r[3] for r in waiting) if waiting else max(calm), now + 1))
-        yield pd.DataFrame(
-            {"quota": [key[0]] * len(due), "call_id": [r[1] for r in due], "at": [r[0] for r in due], "tokens": [r[2] for r in due], "admitted": verdicts}
-        )
+            state.update((np.array(window.held, np.int64).tobytes(), waiting.tobytes()))
+            state.setTimeoutTimestamp(max(int(waiting[:, 3].min()) if len(waiting) else max(calm), now + 1))
 
     return requests.withWatermark(time, lateness).groupBy("quota").applyInPandasWithState(
-        step, _ADMITTED, "held string", "append", GroupStateTimeout.EventTimeTimeout
+        step, _ADMITTED, "held binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

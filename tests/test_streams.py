@@ -102,3 +102,16 @@ def test_finite_runs_flush(spark, lease):
     s, e = run.finite_stream(starts, "started_at", "s", id=-1), run.finite_stream(ends, "ended_at", "e", id=-1)
     out = run.append_result(st.interrupted(s, e, "id", lease), "open").where("start_id IS NOT NULL")
     assert sorted(x.id for x in out.collect()) == [1, 2]
+
+
+def test_admission_of_a_hot_quota_leaves_in_parts(spark, tmp_path):
+    r = random.Random(5)
+    rows = [("hot", i, r.randrange(1, 40_000) * 10**6, r.randrange(1, 9)) for i in range(20_000)]
+    assert len(rows) > 2 * st.ANSWERED
+    df = spark.createDataFrame(rows, "quota string, call_id bigint, at bigint, tokens bigint")
+    requests = run.finite_stream(df.withColumn("time", F.timestamp_micros("at")), "time", "hot")
+    requests = requests.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("call_id", "at", "tokens")})
+    got = run.append_result(st.admission_stream(requests, "time", width=900 * 10**6, rpm=5, tpm=25), "hot").where("quota IS NOT NULL").collect()
+    want = st.admission_replay(df, F.floor(F.col("at") / 10**9), width=900 * 10**6, rpm=5, tpm=25).collect()
+    assert {x.call_id: x.admitted for x in got} == {x.call_id: x.admitted for x in want}
+    assert len(got) == len(rows)
