@@ -102,6 +102,7 @@ bad AS (SELECT job_id, unit FROM {new_specs} n WHERE NOT EXISTS (SELECT 1 FROM c
   UNION SELECT d.job_id, d.unit FROM bad b JOIN {deps} d ON d.job_id = b.job_id AND d.parent = b.unit)
 SELECT job_id, unit FROM cand EXCEPT SELECT job_id, unit FROM bad""")
 def reusable_steps(t):
+    t.hold("steps", "job_id", "unit", "state", "worker", "quantity")
     return ledger.reusable_steps(t.new_specs, t.old_success, t.deps)
 
 
@@ -233,6 +234,7 @@ SELECT job_id, node, origin, CASE WHEN len(manifest) <> 3 OR manifest[1] <> chec
   WHEN p.request <> request OR r.request <> request THEN 'request' WHEN p."table" <> "table" OR r."table" <> "table" THEN 'table' WHEN p.generation <> r.generation THEN 'generation' WHEN p.audit <> r.audit THEN 'audit'
   WHEN p.raw_sha256 <> sha256(p.raw) THEN 'raw' WHEN NOT held THEN 'attempt_missing' WHEN r.canonical <> canonical THEN 'canonical' ELSE 'verified' END AS verdict FROM j""")
 def receipt_chain(t):
+    t.hold("steps", "job_id", "unit", "worker", "quantity")
     return ledger.receipt_chain(t.chain_steps.drop("worker"), t.receipts, t.provider_records, t.call_attempts, ["job_id"])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.plans.fixpoint import follow, reach
 from foliant.plans.ordered import Scan, join_on, ordered_scan, previous_row
-from foliant.plans.session import cut_lineage
+from foliant.plans.session import staged
 
 # Job and step states.
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED", "PARTIAL")
@@ -82,14 +82,20 @@ def reusable_steps(new: DataFrame, old: DataFrame, deps: DataFrame) -> DataFrame
     """Steps whose old run succeeded with the same spec and whose ancestors are all reused.
 
     ``new``/``old``: ``job_id, unit, spec`` (``old`` holds successes only). The blocked set
-    grows along the dependency edges to a fixpoint.
+    grows to a fixpoint along the dependency edges between steps that could be reused.
     """
-    same = new.join(old.select("job_id", "unit", F.col("spec").alias("old_spec")), ["job_id", "unit"])
-    candidates = same.where("spec = old_spec").select("job_id", "unit")
-    broken = new.select("job_id", "unit").join(candidates, ["job_id", "unit"], "left_anti")
-    edges = deps.select("job_id", F.col("parent").alias("src"), F.col("unit").alias("dst"))
-    blocked = reach(edges, broken.withColumnRenamed("unit", "node"), ["job_id"])
-    return candidates.join(blocked.withColumnRenamed("node", "unit"), ["job_id", "unit"], "left_anti")
+    key = ["job_id", "unit"]
+    met = new.join(old.select(*key, F.col("spec").alias("old_spec")), key, "left")
+    known = staged(met.groupBy(*key).agg(F.coalesce(F.max(F.col("spec") == F.col("old_spec")), F.lit(False)).alias("same")), "steps")
+    candidates = known.where("same").select(*key)
+    # only a candidate can be blocked further; its parents are candidates too or block it at once
+    into = deps.select("job_id", F.col("parent").alias("src"), F.col("unit").alias("dst")).join(
+        candidates.withColumnRenamed("unit", "dst"), ["job_id", "dst"], "left_semi"
+    )
+    edges = staged(into.join(known.withColumnsRenamed({"unit": "src", "same": "sound"}), ["job_id", "src"]), "edges")
+    seeds = edges.where("NOT sound").select("job_id", F.col("dst").alias("node"))
+    blocked = reach(edges.where("sound").select("job_id", "src", "dst"), seeds, ["job_id"])
+    return candidates.join(blocked.withColumnRenamed("node", "unit"), key, "left_anti")
 
 
 def job_progress(jobs: DataFrame, steps: DataFrame) -> DataFrame:
@@ -303,7 +309,6 @@ def receipt_chain(steps: DataFrame, receipts: DataFrame, records: DataFrame, att
     chain's origin, of its last attempt and fence, and such an attempt must have succeeded. The verdict is ``verified`` or the
     first of ``CHAIN_REASONS``.
     """
-    source = steps.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col("node").alias("s_node"), F.col("state").alias("s_state"), F.col("manifest").alias("s_manifest"))
 
     def on(left: dict[str, str], prefix: str) -> Column:
         both = None
@@ -312,40 +317,65 @@ def receipt_chain(steps: DataFrame, receipts: DataFrame, records: DataFrame, att
             both = same if both is None else both & same
         return both
 
-    hops = steps.select(*keys, "node", "reused_from", "manifest").join(source, on({"reused_from": "s_node"}, "s_"), "left")
-    sound = (F.col("s_state") == "SUCCEEDED") & (F.col("s_manifest") == F.col("manifest"))
-    origin = follow(hops.select(*keys, "node", F.col("reused_from").alias("to"), sound.alias("fine")), keys, F.col("fine"))
-    at = origin.select(*[F.col(k).alias(f"o_{k}") for k in keys], F.col("node").alias("o_node"), "origin", "sound", "lost")
-    first = steps.select(
-        *[F.col(k).alias(f"f_{k}") for k in keys], F.col("node").alias("f_node"), F.col("attempt_count").alias("f_attempt"), F.col("fence").alias("f_fence")
+    def named(df: DataFrame, prefix: str, **columns: str | Column) -> DataFrame:
+        return df.select(*[F.col(k).alias(f"{prefix}_{k}") for k in keys], *[(F.col(c) if isinstance(c, str) else c).alias(f"{prefix}_{n}") for n, c in columns.items()])
+
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    # a shuffle moves what is compared after it and no more: verdicts of the comparisons before it are one number, a bit each
+    bits = lambda **checks: sum((F.when(c, 1 << CHAIN_REASONS.index(n)).otherwise(0) for n, c in checks.items()), F.lit(0))
+
+    reused = steps.where(F.col("reused_from").isNotNull()).select(*keys, "node", "reused_from", "manifest")
+    source = named(steps.where("state = 'SUCCEEDED'"), "s", node="node", manifest="manifest")
+    hops = reused.join(source, on({"reused_from": "s_node"}, "s_"), "left").select(
+        *keys, "node", F.col("reused_from").alias("to"), (F.col("s_manifest") == F.col("manifest")).alias("fine")
     )
-    one = lambda df, name: df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.struct(*[c for c in df.columns if c not in keys]).alias(name))
-    done = attempts.where("outcome = 'SUCCEEDED'").select(
-        *[F.col(k).alias(f"a_{k}") for k in keys], F.col("node").alias("a_node"), F.col("number").alias("a_number"), F.col("fence").alias("a_fence")
-    ).distinct()
-    rows = (
-        steps.withColumn("r_object", F.try_element_at("manifest", F.lit(2))).withColumn("p_object", F.try_element_at("manifest", F.lit(3)))
-        .join(at, on({"node": "o_node"}, "o_"))
-        .join(first, on({"origin": "f_node"}, "f_"), "left")
-        .join(one(receipts, "receipt"), on({"r_object": "receipt.object"}, "receipt_"), "left")
-        .join(one(records, "record"), on({"p_object": "record.object"}, "record_"), "left")
-        .join(done, on({"record.node": "a_node", "record.attempt": "a_number", "record.fence": "a_fence"}, "a_"), "left")
+    ends = steps.where(F.col("reused_from").isNull()).select(*keys, "node", F.col("reused_from").alias("to"), F.lit(True).alias("fine"))
+    origin = follow(hops.unionByName(ends), keys, F.col("fine"))
+    lost = bits(reuse_cycle=F.col("lost") == "cycle", reuse_missing=F.col("lost") == "missing", reuse_differs=~F.col("sound"))
+    first = named(steps, "f", node="node", attempt="attempt_count", fence="fence")
+    at = named(
+        origin.select(*keys, "node", "origin", lost.alias("bits")).join(first, on({"origin": "f_node"}, "f_"), "left"),
+        "o", node="node", origin="origin", bits="bits", attempt="f_attempt", fence="f_fence",
     )
-    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
-    failing = {
-        "manifest": (F.size("manifest") != 3) | ~F.try_element_at("manifest", F.lit(1)).eqNullSafe(F.col("checkpoint")),
-        "reuse_cycle": F.col("lost") == "cycle", "reuse_missing": F.col("lost") == "missing", "reuse_differs": ~F.col("sound"),
-        "receipt_missing": F.col("receipt").isNull(), "record_missing": F.col("record").isNull(),
-        "receipt_proposal": differs("receipt.proposal", "p_object"), "receipt_checkpoint": differs("receipt.checkpoint", "checkpoint"),
-        "plan": differs("record.plan", "plan"), "step": differs("record.node", "origin"), "attempt_number": differs("record.attempt", "f_attempt"),
-        "fence": differs("record.fence", "f_fence"), "config": differs("record.config", "config"),
-        "request": differs("record.request", "request") | differs("receipt.request", "request"),
-        "table": differs("record.table", "table") | differs("receipt.table", "table"),
-        "generation": differs("receipt.generation", "record.generation"), "audit": differs("receipt.audit", "record.audit"),
-        "raw": ~F.sha2("record.raw", 256).eqNullSafe(F.col("record.raw_sha256")), "attempt_missing": F.col("a_node").isNull(),
-        "canonical": differs("receipt.canonical", "canonical"),
-    }
-    verdict = F.coalesce(*[F.when(failing[name], name) for name in CHAIN_REASONS], F.lit("verified"))
+
+    done = named(attempts.where("outcome = 'SUCCEEDED'"), "a", node="node", number="number", fence="fence").distinct()
+    own = bits(raw=~F.sha2("raw", 256).eqNullSafe(F.col("raw_sha256")))
+    record = named(
+        records.select(*keys, "object", "node", "plan", "attempt", "fence", "config", "request", "table", "generation", "audit", own.alias("own"))
+        .join(done, on({"node": "a_node", "attempt": "a_number", "fence": "a_fence"}, "a_"), "left"),
+        "p", object="object", node="node", plan="plan", attempt="attempt", fence="fence", config="config", request="request", table="table",
+        generation="generation", audit="audit", bits=F.col("own") + bits(attempt_missing=F.col("a_node").isNull()),
+    )
+    receipt = named(
+        receipts, "r", object="object", proposal="proposal", checkpoint="checkpoint", request="request", table="table", generation="generation",
+        audit="audit", canonical="canonical", known=F.lit(True),
+    )
+    named_in = F.try_element_at("manifest", F.lit(2)).alias("receipt_named"), F.try_element_at("manifest", F.lit(3)).alias("record_named")
+    broken = (F.size("manifest") != 3) | ~F.try_element_at("manifest", F.lit(1)).eqNullSafe(F.col("checkpoint"))
+    compared = ["checkpoint", "plan", "config", "request", "table", "canonical"]
+    with_receipt = (
+        steps.select(*keys, "node", *named_in, *compared, bits(manifest=broken).alias("bits"))
+        .join(receipt, on({"receipt_named": "r_object"}, "r_"), "left")
+        .select(
+            *keys, "node", "record_named", "plan", "config", "request", "table", "r_generation", "r_audit",
+            (F.col("bits") + bits(
+                receipt_missing=F.col("r_known").isNull(), receipt_proposal=differs("r_proposal", "record_named"), receipt_checkpoint=differs("r_checkpoint", "checkpoint"),
+                request=differs("r_request", "request"), table=differs("r_table", "table"), canonical=differs("r_canonical", "canonical"),
+            )).alias("bits"),
+        )
+    )
+    both = with_receipt.join(record, on({"record_named": "p_object"}, "p_"), "left").select(
+        *keys, "node", F.col("p_node").alias("worked"), F.col("p_attempt").alias("attempt"), F.col("p_fence").alias("fence"),
+        F.col("bits").bitwiseOR(F.coalesce("p_bits", F.lit(0))).bitwiseOR(bits(
+            record_missing=F.col("p_bits").isNull(), plan=differs("p_plan", "plan"), config=differs("p_config", "config"), request=differs("p_request", "request"),
+            table=differs("p_table", "table"), generation=differs("r_generation", "p_generation"), audit=differs("r_audit", "p_audit"),
+        )).alias("bits"),
+    )
+    found = F.col("bits").bitwiseOR(F.col("o_bits")).bitwiseOR(
+        bits(step=differs("worked", "o_origin"), attempt_number=differs("attempt", "o_attempt"), fence=differs("fence", "o_fence"))
+    )
+    rows = both.join(at, on({"node": "o_node"}, "o_")).select(*keys, "node", F.col("o_origin").alias("origin"), found.alias("found"))
+    verdict = F.coalesce(*[F.when(F.col("found").bitwiseAND(1 << n) != 0, name) for n, name in enumerate(CHAIN_REASONS)], F.lit("verified"))
     return rows.select(*keys, "node", "origin", verdict.alias("verdict"))
 
 
