@@ -6,12 +6,14 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEPARATORS = ("\n\n", "\n", " ")  # fixed values, from coarse to fine
 CHUNK, OVERLAP = 500, 30  # fixed values
+PART = 4 << 20  # characters of chunks that leave a task together
 
 
 def _merge(parts: list[str], size: int, overlap: int) -> Iterator[str]:
@@ -55,17 +57,40 @@ def recursive_chunks(
     yield from _merge(short, size, overlap)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunk_array(texts: pd.Series) -> pd.Series:
-    return texts.map(
-        lambda s: [] if s is None else [c for c in map(str.strip, recursive_chunks(s)) if c]
-    )
-
-
 def chunk_text(rows: DataFrame, text: str = "text") -> DataFrame:
-    """One row per chunk with its ``chunk_id`` (0-based) and ``chunk``."""
+    """One row per chunk with its ``chunk_id`` (0-based) and ``chunk``.
+
+    A task holds the chunks of one text and a part of those before it.
+    """
     keep = [c for c in rows.columns if c != text]
-    return rows.select(*keep, F.posexplode(chunk_array(F.col(text))).alias("chunk_id", "chunk"))
+    schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("chunk_id", T.IntegerType()), T.StructField("chunk", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, at, number, chunks, size = batch.select(keep), [], [], [], 0
+
+            def part(kept=kept, at=at, number=number, chunks=chunks) -> pa.RecordBatch:
+                made = {"chunk_id": pa.array(number, pa.int32()), "chunk": pa.array(chunks, pa.string())}
+                taken = kept.take(pa.array(at, pa.int64()))
+                columns = dict(zip(keep, taken.columns, strict=True)) | made
+                del at[:], number[:], chunks[:]
+                return pa.RecordBatch.from_pydict(columns)
+
+            for row, value in enumerate(batch.column(batch.schema.get_field_index(text))):
+                whole = value.as_py()
+                stripped = map(str.strip, recursive_chunks(whole)) if whole is not None else ()
+                for n, chunk in enumerate(filter(None, stripped)):
+                    at.append(row)
+                    number.append(n)
+                    chunks.append(chunk)
+                    size += len(chunk)
+                if size >= PART:
+                    yield part()
+                    size = 0
+            if chunks:
+                yield part()
+
+    return rows.select(*keep, text).mapInArrow(run, schema)
 
 
 def chunk_metadata(chunks: DataFrame, file_type: Column) -> DataFrame:

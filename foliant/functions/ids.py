@@ -11,26 +11,23 @@ URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 def json_string(value: Column) -> Column:
     """A JSON string in ASCII, as compact canonical JSON writes it."""
-    text = value.cast("string")
-    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    plain = value.cast("string")
+    for ch, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        plain = F.replace(plain, F.lit(ch), F.lit(escaped))
 
-    def escape(ch: Column) -> Column:
-        units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+    def escape(run: Column) -> Column:
+        units = F.lower(F.hex(F.encode(run, "UTF-16BE")))
         return (
-            F.when(ch == "\n", F.lit("\\n"))
-            .when(ch == "\r", F.lit("\\r"))
-            .when(ch == "\t", F.lit("\\t"))
-            .when(ch == "\b", F.lit("\\b"))
-            .when(ch == "\f", F.lit("\\f"))
-            .when(ch.rlike(r"^[\x20-\x7e\x7f]$"), ch)
+            F.when(run.rlike(r"^[\x20-\x7f]"), run)
             .when(F.length(units) > 4, F.concat(F.lit("\\u"), F.substring(units, 1, 4),
                                                 F.lit("\\u"), F.substring(units, 5, 4)))
             .otherwise(F.concat(F.lit("\\u"), units))
         )
 
-    escaped = F.array_join(F.transform(F.split(plain, ""), escape), "")
-    body = F.when(plain.rlike(r"[^\x20-\x7f]"), escaped).otherwise(plain)
-    return F.concat(F.lit('"'), body, F.lit('"'))
+    # what stays as it is comes in runs, and only the other characters one by one
+    runs = lambda text: F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)[\x20-\x7f]+|."), F.lit(0)), escape), "")
+    once = F.get(F.transform(F.array(plain), lambda text: F.when(text.rlike(r"[^\x20-\x7f]"), runs(text)).otherwise(text)), F.lit(0))
+    return F.concat(F.lit('"'), once, F.lit('"'))
 
 
 def json_array(*parts: Column) -> Column:

@@ -99,7 +99,9 @@ def claim_reasons(claims: DataFrame, body: Column, *, max_text: int) -> DataFram
 
 def escaped_size(value: Column) -> Column:
     """Bytes a text needs inside a JSON string that is itself inside a JSON string."""
-    return F.length(json_string(json_string(value))) - 2
+    # the outer string only doubles the marks of the inner one
+    marked = lambda text: 2 * F.length(text) - F.length(F.translate(text, '"\\', ""))
+    return F.get(F.transform(F.array(json_string(value)), marked), F.lit(0))
 
 
 def envelope_sizes(pieces: DataFrame, keys: list[str], base: int, per_piece: int) -> DataFrame:

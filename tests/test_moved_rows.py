@@ -1,6 +1,12 @@
 """What is moved, written and held while larger inputs are worked on."""
 
-from foliant.plans import fixpoint
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from foliant.functions import ids
+from foliant.operators import claims, ledger
+from foliant.plans import blocks, fixpoint
 
 
 def counted(monkeypatch, module, name):
@@ -29,3 +35,45 @@ def test_receipts_read_the_lines_once(spark):
 
     plan = queries()["receipt_chain"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_suppkey" not in plan
+
+
+def plan_of(spark, name):
+    from __spark_entry__ import queries
+
+    return queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_are_reused_along_few_edges(spark, monkeypatch):
+    made = counted(monkeypatch, ledger, "reach")
+    spec = [("j", n, 1) for n in range(50)]
+    old = [(j, n, 2 if n == 3 else s) for j, n, s in spec if n not in (10, 11, 12, 13)]
+    deps = [("j", n, n - 1) for n in range(1, 50) if n != 30]
+    new = spark.createDataFrame(spec, "job_id string, unit int, spec int")
+    got = ledger.reusable_steps(new, spark.createDataFrame(old, new.schema), spark.createDataFrame(deps, "job_id string, unit int, parent int"))
+    assert sorted(r.unit for r in got.collect()) == [0, 1, 2, *range(30, 50)]
+    assert made == [len(deps) - 4 - 2 - 1]  # none into or out of a step without an equal old run: 3, 10 to 13
+
+
+def test_tasks_are_dealt_by_rows(spark):
+    for name in ("budget_admission", "rate_admission", "claim_validation"):
+        assert "REPARTITION_BY_NUM" in plan_of(spark, name), name
+
+
+def test_json_takes_runs_of_characters(spark):
+    import json
+
+    odd = ["", "plain", 'a "quote" \\ back\\n', "line\nend\r\n\t\b\f", "\x00\x1f", "é ü  日本 😀 x", "ß" * 3 + "\\u00df"]
+    df = spark.createDataFrame([(t,) for t in odd] + [(None,)], "t string")
+    once = df.select("t", ids.json_string(F.col("t")).alias("j"), claims.escaped_size(F.col("t")).alias("n"))
+    for t, j, n in once.collect():
+        assert (j, n) == ((None, None) if t is None else (json.dumps(t), len(json.dumps(json.dumps(t))) - 2)), t
+    assert "split(" not in once._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_workers_hold_parts(spark):
+    assert "ArrowEvalPython" not in plan_of(spark, "chunk_recursive") and "MapInPandas" not in plan_of(spark, "parse_pages")
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 40})
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(blocks, "PAYLOAD_BYTES", 8000)
+        sizes = [t.num_rows for t in blocks._gathered(iter([batch, batch]), 4096)]
+    assert sum(sizes) == 80 and max(sizes) <= 9
