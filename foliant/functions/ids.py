@@ -11,9 +11,6 @@ URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 def json_string(value: Column) -> Column:
     """A JSON string in ASCII, as compact canonical JSON writes it."""
-    plain = value.cast("string")
-    for ch, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
-        plain = F.replace(plain, F.lit(ch), F.lit(escaped))
 
     def escape(run: Column) -> Column:
         units = F.lower(F.hex(F.encode(run, "UTF-16BE")))
@@ -26,7 +23,15 @@ def json_string(value: Column) -> Column:
 
     # what stays as it is comes in runs, and only the other characters one by one
     runs = lambda text: F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)[\x20-\x7f]+|."), F.lit(0)), escape), "")
-    once = F.get(F.transform(F.array(plain), lambda text: F.when(text.rlike(r"[^\x20-\x7f]"), runs(text)).otherwise(text)), F.lit(0))
+    let = lambda one, body: F.get(F.transform(F.array(one), body), F.lit(0))
+
+    def marked(plain: Column) -> Column:
+        for ch, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+            plain = F.replace(plain, F.lit(ch), F.lit(escaped))
+        return let(plain, lambda text: F.when(text.rlike(r"[^\x20-\x7f]"), runs(text)).otherwise(text))
+
+    # most texts hold nothing to escape, and one look tells
+    once = let(value.cast("string"), lambda text: F.when(text.rlike(r'[^\x20-\x7f]|["\\]'), marked(text)).otherwise(text))
     return F.concat(F.lit('"'), once, F.lit('"'))
 
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import ids
-from foliant.operators import claims, ledger
+from foliant.functions.arrays import with_starts
+from foliant.operators import claims, documents, ledger
 from foliant.plans import blocks, fixpoint
 
 
@@ -77,3 +78,36 @@ def test_workers_hold_parts(spark):
         m.setattr(blocks, "PAYLOAD_BYTES", 8000)
         sizes = [t.num_rows for t in blocks._gathered(iter([batch, batch]), 4096)]
     assert sum(sizes) == 80 and max(sizes) <= 9
+
+
+def test_pieces_are_cut_once(spark):
+    from __spark_entry__ import queries
+
+    for name, cut in (("build_records", ".{1,100}"), ("split_bounded", ".{1,4096}")):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(cut) == 1, name
+        assert plan.count("Generate posexplode(") == (name == "build_records")
+
+
+def test_records_of_included_blocks(spark):
+    blocks = spark.createDataFrame(
+        [("d", f"d:{n}", "text", t, 10 * n, n + 1, f"s{n % 2}") for n, t in enumerate(["one two three four five", "", None, "six", "x" * 30])],
+        "document_id string, block_id string, kind string, text string, start bigint, line bigint, path string",
+    )
+    wanted = spark.createDataFrame([("d:0",), ("d:1",), ("d:2",), ("d:4",), ("d:4",)], "block_id string")
+    paths = blocks.select("block_id", "path").where("block_id <> 'd:4'")
+    got = documents.build_records(blocks.drop("path"), wanted, paths, 20, 6)
+    assert [(r.block_id, r.text, r.start, r.path) for r in got.orderBy("block_id", "start").collect()] == [
+        ("d:0", "one two th", 0, "s0"), ("d:0", "ree four five", 10, "s0"), ("d:4", "x" * 20, 40, ""), ("d:4", "x" * 10, 60, "")]
+    whole = documents.build_records(blocks, None, None, 20, 6).where("block_id IN ('d:0', 'd:4')")
+    assert got.drop("path").exceptAll(whole.drop("path")).isEmpty() and whole.count() == 4
+
+
+def test_starts_of_many_lines(spark):
+    lines = [("ab" * (n % 4), n) for n in range(1000)]
+    df = spark.createDataFrame([(1, [t for t, _ in lines]), (2, []), (3, ["x"] * 256), (4, ["x"] * 257)], "id int, p array<string>")
+    got = {r.id: r.s for r in with_starts(df, "p", "s").collect()}
+    want = [0]
+    for t, _ in lines:
+        want.append(want[-1] + len(t))
+    assert got == {1: want[:-1], 2: [], 3: list(range(256)), 4: list(range(257))}
