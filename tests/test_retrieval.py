@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from foliant.operators import sparse, vectors
+from foliant.operators import postings, ranking, sparse, vectors
 from foliant.operators.postings import Postings, Read, ask
 from foliant.operators.vectors import Cells, Visits
 from foliant.plans import blocks
@@ -124,3 +124,43 @@ def test_routes_of_unsound_vectors(spark):
     e = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [float("nan"), 1.0]), ("c", None), (None, [1.0, 0.0])], "route string, embedding array<double>")
     got = {r.query_id: r.route for r in vectors.semantic_route(q, e).collect()}
     assert got == {1: "a", 2: "direct", 3: "direct", 5: "direct"}
+
+
+def test_candidates_are_scored_from_their_postings(monkeypatch):
+    r = np.random.default_rng(4)
+    row, code, value = zipf_postings(r, 1500, 800)
+    index = Postings.of(np.arange(1500), row, pa.array([f"w{i}" for i in range(800)]), value, code)
+    codes = np.unique(np.minimum(r.zipf(1.2, 30), len(index.terms)) - 1)
+    weights, docs = r.normal(size=len(codes)), np.unique(row)[::3]
+    looked = weights @ index.lookup(codes, docs)
+    with monkeypatch.context() as m:
+        m.setattr(Postings, "lookup", None)  # short documents need none
+        assert np.allclose(index.full(codes, weights, docs), looked, atol=1e-12)
+    monkeypatch.setattr(postings, "PROBE", 0)
+    assert np.array_equal(index.full(codes, weights, docs), looked) and not index.weight.any()
+    assert len(index.full(codes, weights, docs[:0])) == 0
+
+
+def test_payloads_of_any_size_find_the_same(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    words = [chr(97 + i % 26) * (2 + i // 26) for i in range(60)]
+    df = spark.createDataFrame([(f"d{i % 7}", f"r{i:03d}", " ".join(r.choice(words, 12))) for i in range(150)], "document_id string, record_id string, text string").coalesce(1)
+    q = spark.createDataFrame([(i, " ".join(r.choice(words, 6))) for i in range(9)], "query_id bigint, text string")
+    found = []
+    for rows, times in ((4096, 8), (4, 8), (4, 1)):
+        monkeypatch.setattr(blocks, "PAYLOAD_ROWS", rows)
+        monkeypatch.setattr(sparse, "TIMES", times)
+        corpus = df.selectExpr("document_id AS source", "record_id AS chunk_id", "text")
+        found.append([sorted(map(tuple, f.collect())) for f in (
+            sparse.isolated_search(df, q, 4).selectExpr("query_id", "record_id", "round(score, 9) s", "rank"),
+            sparse.search(corpus, q, 4).selectExpr("query_id", "chunk_id", "round(score, 9) s", "rank"))])
+    assert found[0] == found[1] == found[2] and len(found[0][0]) >= 36
+
+
+def test_hits_move_only_the_records_they_name(spark):
+    records = spark.createDataFrame([(f"r{i}", f"t{i}", i) for i in range(20)] + [(None, "t", 0)], "record_id string, text string, document_id int")
+    hits = spark.createDataFrame([(1, "r1", "t1", 1), (1, "r2", "t", 2), (2, "r2", "t2", 9), (2, "x", "t", 1), (3, None, "t", 0), (3, "r1", None, 1)], "query_id int, record_id string, text string, document_id int")
+    checked = ranking.check_hits(hits, records, ["text", "document_id"])
+    got = {(r.query_id, r.record_id): r.verdict for r in checked.collect()}
+    assert got == {(1, "r1"): "ok", (1, "r2"): "text_differs", (2, "r2"): "document_id_differs", (2, "x"): "unknown_record", (3, None): "unknown_record", (3, "r1"): "text_differs"}
+    assert "LeftSemi" in checked._jdf.queryExecution().optimizedPlan().toString()
