@@ -164,3 +164,20 @@ def test_hits_move_only_the_records_they_name(spark):
     got = {(r.query_id, r.record_id): r.verdict for r in checked.collect()}
     assert got == {(1, "r1"): "ok", (1, "r2"): "text_differs", (2, "r2"): "document_id_differs", (2, "x"): "unknown_record", (3, None): "unknown_record", (3, "r1"): "text_differs"}
     assert "LeftSemi" in checked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_asked_words_shuffle_no_word_by_itself(spark):
+    rows = [("d1", "r1", "alpha alpha beta the"), ("d1", "r2", "beta gamma"), ("d1", "r3", "delta"), ("d1", "r4", None), ("d2", "r5", "alpha"), ("d2", "r6", "gamma delta"), ("d2", "r7", "")]
+    df = spark.createDataFrame(rows, "document_id string, record_id string, text string")
+    q = spark.createDataFrame([(1, "alpha"), (2, "gamma nowhere gamma"), (3, "nowhere"), (4, None)], "query_id bigint, text string")
+    found = sparse.isolated_search(df, q, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and "hashpartitioning(document_id" in plan
+    avg = (3 + 2 + 1) / 3
+
+    def part(n, df, tf, dl, avgdl):
+        return np.log((n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))
+
+    got = {(r.query_id, r.record_id): r.score for r in found.collect()}
+    want = {(1, "r1"): part(3, 1, 2, 3, avg), (1, "r5"): part(3, 1, 1, 1, 1), (2, "r2"): 2 * part(3, 1, 1, 2, avg), (2, "r6"): 2 * part(3, 1, 1, 2, 1)}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
